@@ -179,12 +179,12 @@ def exact_duplicates(docs: DataFrame, trie_bytes: int = TRIE_BYTES) -> DataFrame
     columns other than doc_id and text are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(normalised(), 256)).alias("sha"))
+    # Rows that repeat an id and its text are numbered before the join: after it they would be dealt by hot texts.
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "sha").orderBy("doc_id")))
     out = rows.join(copy_groups(docs, trie_bytes), "sha", "left")
     alone = F.col("group_size").isNull()
-    # Only rows that are a group's smallest id can repeat it; all others need no order.
-    first = F.row_number().over(Window.partitionBy("doc_id", "sha").orderBy("doc_id"))
     lead = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    return out.withColumn("nth", first).select(
+    return out.select(
         "doc_id",
         F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
