@@ -25,15 +25,16 @@ from crosspanel.llm.components import components
 from crosspanel.llm.simhash import SAMPLE, Router, distance, near
 
 TABLES, BITS, RADIUS = 10, 24, 2
-#: Differing bits of the first 64 beyond which a pair cannot be similar (expected at 0.8: 6, standard deviation 2.3).
-CHECK_BITS = 22
+#: Differing bits of the first 128 beyond which a pair is not verified: of similar pairs 11 to 18 are expected
+#: (standard deviation 4), of unrelated ones 64 (6).
+CHECK_BITS = 34
 #: 2**2 shards for each of the ten words.
 DEPTH = 2
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, content, check, w0..w9): content is a hash of the whole word sequence, check the first 64 bits."""
-    names = ["doc_id", "content", "check", *[f"w{i}" for i in range(TABLES)]]
+    """(doc_id, content, check0, check1, w0..w9): content is a hash of the word sequence, check0 and check1 the first bits."""
+    names = ["doc_id", "content", "check0", "check1", *[f"w{i}" for i in range(TABLES)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -52,22 +53,23 @@ def sketches(docs: DataFrame) -> DataFrame:
             sketch = np.concatenate(bits)
             flat = np.unpackbits(sketch.astype("<u8").view(np.uint8), axis=1, bitorder="little")[:, : TABLES * BITS].reshape(len(sketch), TABLES, BITS)
             word = flat.astype(np.int64) @ (1 << np.arange(BITS, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x.view(np.int64)) for x in (np.concatenate(content), np.ascontiguousarray(sketch[:, 0]))), *(pa.array(word[:, t].astype(np.int32)) for t in range(TABLES))], names=names)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x.view(np.int64)) for x in (np.concatenate(content), *(np.ascontiguousarray(sketch[:, i]) for i in (0, 1)))), *(pa.array(word[:, t].astype(np.int32)) for t in range(TABLES))], names=names)
 
-    kinds = ", ".join([f"{n} long" for n in names[:3]] + [f"{n} int" for n in names[3:]])
+    kinds = ", ".join([f"{n} long" for n in names[:4]] + [f"{n} int" for n in names[4:]])
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, kinds)
 
 
 def _leaders_of_shard() -> Callable:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node", kind="stable")
-        node, word, check = pdf["node"].to_numpy(), pdf["word"].to_numpy().astype(np.uint64), pdf["check"].to_numpy().view(np.uint64)
+        node, word = pdf["node"].to_numpy(), pdf["word"].to_numpy().astype(np.uint64)
+        checks = [pdf[n].to_numpy().view(np.uint64) for n in ("check0", "check1")]
         points = np.flatnonzero(pdf["home"].to_numpy())
         least = np.full(len(pdf), len(pdf), dtype=np.int64)  # rows are in order of node
         closest = np.full(len(pdf), np.iinfo(np.int64).max)
         for p, q in near(word[points], word, RADIUS):
             p = points[p]
-            apart = distance(check[p], check[q]).astype(np.int64)
+            apart = sum(distance(c[p], c[q]).astype(np.int64) for c in checks)
             good = (node[p] != node[q]) & (apart <= CHECK_BITS)
             p, q, apart = p[good], q[good], apart[good]
             np.minimum.at(least, q, p)
@@ -80,7 +82,7 @@ def _leaders_of_shard() -> Callable:
 
 
 def candidate_pairs(points: DataFrame, depth: int = DEPTH, sample: int = SAMPLE) -> DataFrame:
-    """points (node, check, w0..w9) -> distinct pairs (a, b), a < b, that may be similar."""
+    """points (node, check0, check1, w0..w9) -> distinct pairs (a, b), a < b, that may be similar."""
     pick = np.array([tuple(r) for r in points.select(*[f"w{t}" for t in range(TABLES)]).orderBy(F.xxhash64("node")).limit(sample).collect()], dtype=np.uint64).reshape(-1, TABLES)
     routers = [Router(pick[:, t], depth) for t in range(TABLES)]
 
@@ -92,9 +94,9 @@ def candidate_pairs(points: DataFrame, depth: int = DEPTH, sample: int = SAMPLE)
                 row, shard = router.route(x, 0)
                 home[row] = shard
                 row, shard = router.route(x, RADIUS)
-                yield pa.RecordBatch.from_arrays([pa.array((t * 2**depth + shard).astype(np.int32)), pa.array(home[row] == shard), *(b.column(n).take(pa.array(row)) for n in ("node", f"w{t}", "check"))], names=["shard", "home", "node", "word", "check"])
+                yield pa.RecordBatch.from_arrays([pa.array((t * 2**depth + shard).astype(np.int32)), pa.array(home[row] == shard), *(b.column(n).take(pa.array(row)) for n in ("node", f"w{t}", "check0", "check1"))], names=["shard", "home", "node", "word", "check0", "check1"])
 
-    routed = points.mapInArrow(run, "shard int, home boolean, node long, word int, check long")
+    routed = points.mapInArrow(run, "shard int, home boolean, node long, word int, check0 long, check1 long")
     return routed.groupBy("shard").applyInPandas(_leaders_of_shard(), "a long, b long").distinct()
 
 
@@ -137,7 +139,7 @@ def near_duplicate_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
     texts = with_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ends).select(F.col("doc_id").alias("node"), "text").dropDuplicates(["node"])
     links = verified(pairs, texts, k, similarity)
-    same = rows.join(points.select("content", "check", "node", *[f"w{t}" for t in range(TABLES)]), ["content", "check", *[f"w{t}" for t in range(TABLES)]]).select("doc_id", "node")
+    same = rows.join(points, rows.columns[1:]).select("doc_id", "node")
     found = components(links)
     return same.join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
 

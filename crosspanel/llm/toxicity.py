@@ -67,10 +67,10 @@ class ToxicityModel:
         order = np.argsort(key)
         key, counts = key[order], [toxic[order].astype(float), ordinary[order].astype(float)]
         self.slope, self.middle = 0.0, 0.0
-        self.key, self.context = key, np.unique(key >> np.uint64(8))
+        self.tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if not len(key):
-            self.value = self.back = np.zeros(0)
             return
+        context = np.unique(key >> np.uint64(8))
         low = self._shared(key)
         top, back = [], []
         for c in counts:
@@ -78,9 +78,8 @@ class ToxicityModel:
             weight = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
             top.append(np.log(np.where(total > 0, np.maximum(c - DISCOUNT, 0) / np.maximum(total, 1), 0.0) + weight * low))
             back.append(np.log(weight))
-        first = np.searchsorted(key >> np.uint64(8), self.context)
-        self.value, self.back = top[0] - top[1], (back[0] - back[1])[first]
-        self._index()
+        first = np.searchsorted(key >> np.uint64(8), context)
+        self._index(key, top[0] - top[1], context, (back[0] - back[1])[first])
 
     @staticmethod
     def _shared(key: np.ndarray) -> np.ndarray:
@@ -97,10 +96,9 @@ class ToxicityModel:
             p, shorter = np.maximum(count - DISCOUNT, 0) / total + DISCOUNT * kinds / total * below, level
         return p[np.searchsorted(shorter, key & np.uint64((1 << (8 * (ORDER - 1))) - 1))]
 
-    def _index(self) -> None:
+    def _index(self, grams: np.ndarray, values: np.ndarray, contexts: np.ndarray, backs: np.ndarray) -> None:
         """Tables by the leading bits of a mixed key narrow each binary search to a few entries."""
-        self.tables = []
-        for key, value in ((self.key, self.value), (self.context, self.back)):
+        for key, value in ((grams, values), (contexts, backs)):
             h = mix(key)
             order = np.argsort(h)
             self.tables.append((h[order], value[order].astype(np.float32), np.searchsorted(h[order] >> np.uint64(64 - _TABLE_BITS), np.arange((1 << _TABLE_BITS) + 1, dtype=np.uint64)).astype(np.int32)))
@@ -124,7 +122,7 @@ class ToxicityModel:
     def evidence(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Mean difference of log-likelihoods over the bytes of each row; zero for empty rows."""
         key, to = grams(raw, at)
-        if not len(self.key) or not len(key):
+        if not self.tables or not len(key):
             return np.zeros(len(at) - 1)
         found, each = self._find(self.tables[0], key)
         other = np.flatnonzero(~found)
