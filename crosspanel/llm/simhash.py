@@ -29,7 +29,7 @@ DEPTH = 6
 #: A leaf is compared whole.
 LEAF = 96
 #: Pairs compared at once.
-CELLS = 1 << 22
+CELLS = 1 << 18
 
 
 def xxh64_fingerprints(column: pa.Array, k: int = 3) -> np.ndarray:
