@@ -27,13 +27,13 @@ _OWNED = "length int, sha binary, text string, keep_id long, group_size long"
 class Trie:
     """A compressed radix trie over byte strings: an edge per node, terminals with [smallest id, rows, tag].
 
-    When its labels exceed `limit` bytes, the child of the root with the most bytes is spilled: its entries go to an
-    unlinked temporary file, later ones with the same first byte are appended, and `groups` reads each file back into a
-    trie of its own, one byte deeper if need be.
+    Keys count from byte `depth` on; what lies before is alike in all. When labels exceed `limit` bytes, the child of
+    the root with the most bytes is spilled: its entries go to an unlinked temporary file, later ones with the same
+    first byte are appended, and `groups` reads each file back into a trie that starts where its keys first differ.
     """
 
     def __init__(self, limit: int = TRIE_BYTES, depth: int = 0):
-        self.limit, self.depth, self.bytes = limit, depth, 0
+        self.limit, self.depth, self.bytes, self.terminals = limit, depth, 0, 0
         self.root: list = [b"", {}, None]  # label, children by first byte, terminal
         self.weight: dict[int, int] = {}
         self.spilled: dict[int, object] = {}
@@ -41,12 +41,13 @@ class Trie:
     def add(self, key: bytes, ident: int | None, rows: int, tag: object) -> None:
         head = key[self.depth] if len(key) > self.depth else -1
         if head in self.spilled:
-            self._write(self.spilled[head], key, ident, rows, tag)
+            self._write(self.spilled[head], key[self.depth :], ident, rows, tag)
             return
         grown = self._insert(key, ident, rows, tag)
         self.bytes += grown
         self.weight[head] = self.weight.get(head, 0) + grown
-        if self.bytes > self.limit and len(self.weight) > 1:
+        self.terminals += grown > 0
+        if self.bytes > self.limit and self.terminals > 1:
             self._spill(max((h for h in self.weight if h >= 0), key=self.weight.get))
 
     def _insert(self, key: bytes, ident: int | None, rows: int, tag: object) -> int:
@@ -87,8 +88,9 @@ class Trie:
         child = self.root[1].pop(head, None)
         if child is not None:
             for key, (ident, rows, tag) in self._walk(child, b""):
-                self._write(out, b"\0" * self.depth + key, ident, rows, tag)
+                self._write(out, key, ident, rows, tag)
         self.bytes -= self.weight.pop(head)
+        self.terminals = len(self.weight)
         self.spilled[head] = out
 
     @staticmethod
@@ -101,16 +103,23 @@ class Trie:
             yield terminal
         self.root = [b"", {}, None]
         for file in self.spilled.values():
-            file.seek(0)
-            inner = Trie(self.limit, self.depth + 1)
-            while head := file.read(27):
-                size, rows, tags = (int.from_bytes(head[a:b], "little") for a, b in ((0, 8), (17, 25), (25, 27)))
-                tag = file.read(tags)
-                ident = int.from_bytes(head[9:17], "little", signed=True) if head[8] else None
-                inner.add(file.read(size), ident, rows, tag)
+            first, alike = None, 0
+            for key, *_ in self._read(file):
+                first, alike = (key, len(key)) if first is None else (first, common_prefix(first[:alike], key, 0))
+            inner = Trie(self.limit, alike)
+            for entry in self._read(file):
+                inner.add(*entry)
             file.close()
             yield from inner.groups()
 
+    @staticmethod
+    def _read(file) -> Iterator[tuple[bytes, int | None, int, bytes]]:
+        file.seek(0)
+        while head := file.read(27):
+            size, rows, tags = (int.from_bytes(head[a:b], "little") for a, b in ((0, 8), (17, 25), (25, 27)))
+            tag = file.read(tags)
+            yield file.read(size), int.from_bytes(head[9:17], "little", signed=True) if head[8] else None, rows, tag
+
 
 def smaller(a: int | None, b: int | None) -> int | None:
     return b if a is None else a if b is None else min(a, b)

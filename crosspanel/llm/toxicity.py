@@ -1,12 +1,12 @@
 """Toxicity by class-conditional Kneser-Ney models over bytes.
 
-Two models of order six, of toxic and of ordinary texts, discount their own counts and back off to the same
+Two models of order four, of toxic and of ordinary texts, discount their own counts and back off to the same
 continuation counts, taken over both classes. So an expression that neither class has shown says nothing, and one that
 is rare is smoothed alike in both. The score of a text is its log-likelihood under the one less that under the other,
 for each byte, made a probability by a logistic curve fitted on texts that the models have not seen.
 
-Fitted on a bounded sample (`per_class` labelled documents of each class, in order of a hash of their id); every
-document is scored whole.
+Fitted on a bounded sample (as many labelled documents of either class, `per_class` at most, in order of a hash of
+their id: classes of unequal size would be discounted unequally); every document is scored whole.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from crosspanel.llm.common import checkpoint
 from crosspanel.llm.words import blocks, mix, text_bytes
 
-ORDER, DISCOUNT = 6, 0.75
+ORDER, DISCOUNT = 4, 0.75
 #: Labelled documents of each class that the models and the curve are fitted on; of these one in FOLDS for the curve.
 PER_CLASS, FOLDS = 4096, 5
 _TABLE_BITS = 22
@@ -134,8 +134,8 @@ class ToxicityModel:
     def fit_curve(self, evidence: np.ndarray, toxic: np.ndarray, rate: float) -> None:
         """Logistic curve by Newton steps, classes weighted to their true rate, with a slight pull of the slope to zero."""
         y = toxic.astype(float)
-        if not 0 < y.mean() < 1:
-            self.slope, self.middle = 1.0, 0.0
+        if not len(y) or not 0 < y.mean() < 1:
+            self.slope, self.middle = 0.0, -5.0
             return
         w = np.where(toxic, rate / y.mean(), (1 - rate) / (1 - y.mean()))
         unit = evidence.std() or 1.0
@@ -164,7 +164,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLAS
     one = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).alias("toxic"))
     one = checkpoint(one.withColumn("hash", F.xxhash64("doc_id")))
     rates = {r["toxic"]: r["count"] for r in one.groupBy("toxic").count().collect()}
-    picked = [one.filter(F.col("toxic") == t).orderBy("hash", "doc_id").limit(per_class) for t in (True, False)]
+    picked = [one.filter(F.col("toxic") == t).orderBy("hash", "doc_id").limit(min(per_class, *(rates.get(x, 0) for x in (True, False)))) for t in (True, False)]
     sample = picked[0].unionByName(picked[1])  # at most 2 * per_class rows
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
     rows = checkpoint(rows.join(F.broadcast(sample), "doc_id").select("text", "toxic", (F.pmod(F.xxhash64("hash"), F.lit(FOLDS)) == 0).alias("curve")))
@@ -198,8 +198,8 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLAS
 def toxicity_scores(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """docs (doc_id, text) -> doc_id, score (0 to 1), predicted (1 if score is 0.5 or more).
 
-    Null and empty texts get the score of no evidence. Rows that repeat an id are scored each. A model that saw one
-    class only, or nothing, has no evidence of its own: scores then follow what little it has and are never null.
+    Null and empty texts get the score of no evidence. Rows that repeat an id are scored each. A model that saw
+    one class only, or too few documents for a curve, calls nothing toxic: every score is near zero.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
