@@ -143,8 +143,8 @@ class ToxicityModel:
         beta = np.zeros(2)
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-            hessian = (x * (w * p * (1 - p))[:, None]).T @ x + np.diag([0.05, 1e-6])
-            beta = beta + np.linalg.solve(hessian, x.T @ (w * (y - p)) - np.array([0.05, 0.0]) * beta)
+            hessian = (x * (w * p * (1 - p))[:, None]).T @ x + np.diag([0.001, 1e-6])
+            beta = beta + np.linalg.solve(hessian, x.T @ (w * (y - p)) - np.array([0.001, 0.0]) * beta)
         self.slope, self.middle = beta[0] / unit, beta[1]
 
     def scores(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
