@@ -4,9 +4,14 @@ Two texts whose five-word shingle sets have a Jaccard similarity of 0.8 differ i
 fingerprint, more than a vantage-point tree over 64-bit fingerprints can prune at. So each text gets 240 bits (of its
 two-word shingles), cut into ten words of 24 bits, and each word is searched exactly within radius 2: a pair of
 expected distance 20 is missed by all ten words about once in a few thousand pairs. Shards and trees are those of
-`simhash`. A shard reports at most two partners of a text, its smallest and its nearest; distinct pairs are then
-verified on whole texts, and verified links become components. Groups of copies thus cost rows in proportion to
-their size.
+`simhash`.
+
+Two rounds find the links without listing the pairs of a group of copies. In the first, a shard reports for each text
+its smallest and its nearest partner; these pairs are verified on whole texts, and verified links become components.
+In the second, the texts that have a partner are searched again and every pair of different components is reported
+that the first did not verify; pairs inside a component can change nothing. So no candidate that matters is left out,
+and groups of copies cost rows in proportion to their size; only families of texts that resemble each other without
+reaching the similarity cost a row for each pair.
 """
 
 from __future__ import annotations
@@ -22,14 +27,14 @@ from pyspark.sql import functions as F
 from crosspanel.llm import words as W
 from crosspanel.llm.common import checkpoint, with_ids, without_ids
 from crosspanel.llm.components import components
-from crosspanel.llm.simhash import SAMPLE, Router, distance, near
+from crosspanel.llm.simhash import LEAF, SAMPLE, Router, compared, distance, leaves
 
 TABLES, BITS, RADIUS = 10, 24, 2
 #: Differing bits of the first 128 beyond which a pair is not verified: of similar pairs 11 to 18 are expected
 #: (standard deviation 4), of unrelated ones 64 (6).
 CHECK_BITS = 34
-#: 2**2 shards for each of the ten words.
-DEPTH = 2
+#: 2**DEPTH shards for each of the ten words, or as many more as leave about SHARD texts at home in each.
+DEPTH, SHARD = 2, 1 << 18
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -59,30 +64,69 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, kinds)
 
 
-def _leaders_of_shard() -> Callable:
+def _leaders(node: np.ndarray, word: np.ndarray, home: np.ndarray, apart: Callable) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of each text with its smallest and its nearest partner; rows are in order of node.
+
+    Where more than LEAF texts share a word, only the first LEAF are compared with the rest: a text there is also
+    paired with itself, which keeps it for the second round.
+    """
+    points = np.flatnonzero(home)
+    least, closest = np.full(len(node), len(node), dtype=np.int64), np.full(len(node), np.iinfo(np.int64).max)
+    still = np.zeros(len(node), dtype=bool)
+    for p, q in leaves(word[points], word, RADIUS):
+        if len(p) > LEAF:
+            still[q] = True
+            p = p[:LEAF]
+        for x, y in compared(word[points], word, p, q, RADIUS):
+            x, bits = points[x], apart(points[x], y)
+            good = (node[x] != node[y]) & (bits <= CHECK_BITS)
+            x, y, bits = x[good], y[good], bits[good]
+            np.minimum.at(least, y, x)
+            np.minimum.at(closest, y, (bits << 40) + x)
+    found, still = np.flatnonzero(least < len(node)), np.flatnonzero(still)
+    return np.concatenate([least[found], closest[found] & ((1 << 40) - 1), still]), np.concatenate([found, found, still])
+
+
+def _across(word: np.ndarray, home: np.ndarray, group: np.ndarray, apart: Callable) -> tuple[np.ndarray, np.ndarray]:
+    """Every pair of different groups."""
+    points = np.flatnonzero(home)
+    at_home, pairs = group[points], [(points[:0], points[:0])]
+    for p, q in leaves(word[points], word, RADIUS, at_home, group):
+        some, back, count = np.unique(at_home[p], return_inverse=True, return_counts=True)
+        major, alien = back == count.argmax(), group[q] != some[count.argmax()]
+        for pp, qq in ((p[major], q[alien]), (p[~major], q)):
+            for x, y in compared(word[points], word, pp, qq, RADIUS):
+                x = points[x]
+                good = (group[x] != group[y]) & (apart(x, y) <= CHECK_BITS)
+                pairs.append((x[good], y[good]))
+    return np.concatenate([x for x, _ in pairs]), np.concatenate([y for _, y in pairs])
+
+
+def _pairs_of_shard(grouped: bool) -> Callable:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node", kind="stable")
-        node, word = pdf["node"].to_numpy(), pdf["word"].to_numpy().astype(np.uint64)
+        node, word, home = pdf["node"].to_numpy(), pdf["word"].to_numpy().astype(np.uint64), pdf["home"].to_numpy()
         checks = [pdf[n].to_numpy().view(np.uint64) for n in ("check0", "check1")]
-        points = np.flatnonzero(pdf["home"].to_numpy())
-        least = np.full(len(pdf), len(pdf), dtype=np.int64)  # rows are in order of node
-        closest = np.full(len(pdf), np.iinfo(np.int64).max)
-        for p, q in near(word[points], word, RADIUS):
-            p = points[p]
-            apart = sum(distance(c[p], c[q]).astype(np.int64) for c in checks)
-            good = (node[p] != node[q]) & (apart <= CHECK_BITS)
-            p, q, apart = p[good], q[good], apart[good]
-            np.minimum.at(least, q, p)
-            np.minimum.at(closest, q, (apart << 40) + p)
-        found = np.flatnonzero(least < len(pdf))
-        a, b = np.concatenate([node[least[found]], node[closest[found] & ((1 << 40) - 1)]]), np.concatenate([node[found], node[found]])
+
+        def apart(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+            return sum(distance(c[p], c[q]).astype(np.int64) for c in checks)
+
+        p, q = _across(word, home, pdf["component"].to_numpy(), apart) if grouped else _leaders(node, word, home, apart)
+        a, b = node[p], node[q]
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
     return run
 
 
 def candidate_pairs(points: DataFrame, depth: int = DEPTH, sample: int = SAMPLE) -> DataFrame:
-    """points (node, check0, check1, w0..w9) -> distinct pairs (a, b), a < b, that may be similar."""
+    """points (node, check0, check1, w0..w9) -> distinct pairs (a, b), a <= b, that may be similar: of each text the
+    smallest and the nearest partner. With a column component, every pair of different components instead.
+
+    A pair a = b says that a text's partners were not all looked at.
+    """
+    grouped = "component" in points.columns
+    carried = ["check0", "check1", *(["component"] if grouped else [])]
+    depth = max(depth, (points.count() // SHARD).bit_length())
     pick = np.array([tuple(r) for r in points.select(*[f"w{t}" for t in range(TABLES)]).orderBy(F.xxhash64("node")).limit(sample).collect()], dtype=np.uint64).reshape(-1, TABLES)
     routers = [Router(pick[:, t], depth) for t in range(TABLES)]
 
@@ -94,10 +138,10 @@ def candidate_pairs(points: DataFrame, depth: int = DEPTH, sample: int = SAMPLE)
                 row, shard = router.route(x, 0)
                 home[row] = shard
                 row, shard = router.route(x, RADIUS)
-                yield pa.RecordBatch.from_arrays([pa.array((t * 2**depth + shard).astype(np.int32)), pa.array(home[row] == shard), *(b.column(n).take(pa.array(row)) for n in ("node", f"w{t}", "check0", "check1"))], names=["shard", "home", "node", "word", "check0", "check1"])
+                yield pa.RecordBatch.from_arrays([pa.array((t * 2**depth + shard).astype(np.int32)), pa.array(home[row] == shard), *(b.column(n).take(pa.array(row)) for n in ("node", f"w{t}", *carried))], names=["shard", "home", "node", "word", *carried])
 
-    routed = points.mapInArrow(run, "shard int, home boolean, node long, word int, check0 long, check1 long")
-    return routed.groupBy("shard").applyInPandas(_leaders_of_shard(), "a long, b long").distinct()
+    routed = points.mapInArrow(run, "shard int, home boolean, node long, word int, " + ", ".join(f"{n} long" for n in carried))
+    return routed.groupBy("shard").applyInPandas(_pairs_of_shard(grouped), "a long, b long").distinct()
 
 
 def _sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -136,11 +180,13 @@ def near_duplicate_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8)
     rows = checkpoint(sketches(docs).filter("doc_id is not null"))
     points = checkpoint(rows.groupBy(*rows.columns[1:]).agg(F.min("doc_id").alias("node")))
     pairs = checkpoint(candidate_pairs(points))
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
-    texts = with_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ends).select(F.col("doc_id").alias("node"), "text").dropDuplicates(["node"])
-    links = verified(pairs, texts, k, similarity)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    texts = checkpoint(with_ids(docs.select(F.col("doc_id").cast("long").alias("node"), "text"), ends, "node").dropDuplicates(["node"]))
+    links = checkpoint(verified(pairs.filter("a < b"), texts, k, similarity))
+    again = with_ids(points, ends, "node").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    others = candidate_pairs(checkpoint(again)).join(pairs, ["a", "b"], "left_anti")
+    found = components(links.unionByName(verified(checkpoint(others), texts, k, similarity)))
     same = rows.join(points, rows.columns[1:]).select("doc_id", "node")
-    found = components(links)
     return same.join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
 
 

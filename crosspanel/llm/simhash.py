@@ -94,26 +94,45 @@ class Router:
         return row, node - (2**self.depth - 1)
 
 
-def near(points: np.ndarray, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (point, query) within radius, leaf by leaf, by a vantage-point tree over the points."""
+def leaves(points: np.ndarray, queries: np.ndarray, radius: int, point_group: np.ndarray | None = None, query_group: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Leaves of a vantage-point tree over the points: indices of its points and of the queries that may be within
+    radius of one. A leaf of more than LEAF points holds one value only.
+
+    With groups, a subtree whose points and queries are all of one group is passed over.
+    """
     todo = [(np.arange(len(points)), np.arange(len(queries)))]
     while todo:
         p, q = todo.pop()
         if not len(p) or not len(q):
             continue
+        if point_group is not None and (point_group[p] == point_group[p[0]]).all() and (query_group[q] == point_group[p[0]]).all():
+            continue
         if len(p) > LEAF:
             v = points[p[W.mix(points[p]).argmin()]]
             dp, dq = distance(points[p], v).astype(np.int64), distance(queries[q], v).astype(np.int64)
-            cut = int(np.median(dp))
-            inside = dp <= cut
-            if 0 < inside.sum() < len(p):
+            if dp.max():
+                cut = min(int(np.median(dp)), int(dp.max()) - 1)
+                inside = dp <= cut
                 todo += [(p[inside], q[dq <= cut + radius]), (p[~inside], q[dq > cut - radius])]
                 continue
-        step = max(1, CELLS // len(p))
-        for i in range(0, len(q), step):
-            a, b = np.nonzero(distance(points[p][:, None], queries[q[i : i + step]][None, :]) <= radius)
+            q = q[dq <= radius]
+        yield p, q
+
+
+def compared(points: np.ndarray, queries: np.ndarray, p: np.ndarray, q: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (point, query) within radius of points p and queries q, at most CELLS compared at once."""
+    wide = max(1, CELLS // max(1, min(len(p), LEAF)))
+    for i in range(0, len(p), LEAF):
+        for j in range(0, len(q), wide):
+            a, b = np.nonzero(distance(points[p[i : i + LEAF]][:, None], queries[q[j : j + wide]][None, :]) <= radius)
             if len(a):
-                yield p[a], q[i + b]
+                yield p[i + a], q[j + b]
+
+
+def near(points: np.ndarray, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (point, query) within radius, leaf by leaf."""
+    for p, q in leaves(points, queries, radius):
+        yield from compared(points, queries, p, q, radius)
 
 
 class Forest:

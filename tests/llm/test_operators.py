@@ -3,8 +3,10 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -224,6 +226,54 @@ def test_near_duplicates(spark, odd, none):
     assert near_dedup.drop_near_duplicates(none).collect() == []
 
 
+def test_near_duplicates_against_all_pairs(spark):
+    """Whole sf0.01 table: all pairs by sets of five-word shingles, linked by union-find."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    shingles, at = {}, {}
+    for r in docs.select("doc_id", "text").collect():
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in r["text"] or ""))
+        shingles[r["doc_id"]] = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else {()}
+        for s in shingles[r["doc_id"]]:
+            at.setdefault(s, []).append(r["doc_id"])
+    up = {d: d for d in shingles}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for d, mine in shingles.items():
+        shared = Counter(x for s in mine for x in at[s] if x < d)
+        for x, n in shared.items():
+            if n >= 0.8 * (len(mine) + len(shingles[x]) - n) - 1e-9:
+                a, b = sorted((root(d), root(x)))
+                up[b] = a
+    got = dict(near_dedup.near_duplicate_groups(docs).select("doc_id", "component_id").collect())
+    assert got == {d: root(d) for d in shingles}
+
+
+def test_near_duplicate_rounds_find_every_pair():
+    """One word shared by many texts of three families: the second round reports what the first leaves apart."""
+    rng = np.random.default_rng(5)
+    family = rng.integers(0, 3, 700)
+    base = rng.integers(0, 2**63, (3, 2), dtype=np.uint64)
+    check = base[family] ^ (np.uint64(1) << rng.integers(0, 64, (700, 2), dtype=np.uint64))
+    frame = pd.DataFrame({"node": np.arange(700), "word": np.where(np.arange(700) % 7 == 0, rng.integers(0, 1 << 24, 700), 9), "home": True, "check0": check[:, 0].view(np.int64), "check1": check[:, 1].view(np.int64)})
+    word = frame["word"].to_numpy().astype(np.uint64)
+    want = {
+        (i, j)
+        for j in range(700)
+        for i in range(j)
+        if simhash.distance(word[i], word[j]) <= near_dedup.RADIUS and sum(simhash.distance(check[i], check[j]).tolist()) <= near_dedup.CHECK_BITS
+    }
+    first = near_dedup._pairs_of_shard(False)(frame)
+    some = set(zip(first["a"].tolist(), first["b"].tolist(), strict=True))
+    assert {p for p in some if p[0] < p[1]} <= want and {x for p in want for x in p} <= {x for p in some for x in p}
+    group = np.minimum(np.arange(700), 350)
+    second = near_dedup._pairs_of_shard(True)(frame.assign(component=group))
+    assert set(zip(second["a"].tolist(), second["b"].tolist(), strict=True)) == {(i, j) for i, j in want if group[i] != group[j]}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
