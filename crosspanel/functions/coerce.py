@@ -31,7 +31,7 @@ def int_or_null(c: Column) -> Column:
 
 
 def date_or_null(c: Column) -> Column:
-    return F.coalesce(F.try_to_date(c, F.lit("yyyy-MM-dd")), F.try_to_date(c, F.lit("MMMM d, yyyy")))
+    return F.coalesce(F.try_to_date(c, "yyyy-MM-dd"), F.try_to_date(c, "MMMM d, yyyy"))
 
 
 def safe_div(a: Column, b: Column) -> Column:
