@@ -1,6 +1,6 @@
 """All queries of the library outside the corpus operators."""
 
-from crosspanel.plans import fact_queries, report_queries, score_queries, text_queries  # noqa: F401  (importing registers)
+from crosspanel.plans import fact_queries, report_queries, score_queries, surrogate_queries, text_queries  # noqa: F401  (importing registers)
 from crosspanel.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -33,7 +33,7 @@ def reports(spark, sf) -> DataFrame:
         (total * 0.2).alias("debt"), (total * 0.1).alias("cash"), F.when(k % 4 == 0, total * 0.05).otherwise(zero).alias("investments"), (10.0 + k % 100).alias("shares"), (total / (20.0 + k % 90)).alias("price"))
 
 
-_RECURSIVE = f"""WITH RECURSIVE {REPORTS}, yrs AS (SELECT l_orderkey AS report_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS i, l_discount * 2 - 5e-2 AS growth, l_tax * 3 - 4e-2 AS margin FROM lineitem),
+_RECURSIVE = f"""WITH RECURSIVE {REPORTS}, yrs AS (SELECT l_orderkey AS report_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_discount, l_tax) AS i, l_discount * 2 - 5e-2 AS growth, l_tax * 3 - 4e-2 AS margin FROM lineitem),
 proj AS (SELECT report_id, CAST(0 AS BIGINT) AS i, revenue0 AS revenue, nwc0 AS nwc, nol, 1e0 AS factor, 0e0 AS fcff, 0e0 AS ebitda, 0e0 AS pv FROM reports
   UNION ALL SELECT report_id, i, revenue, revenue * 1e-1, CASE WHEN ebit > 0 THEN nol - used ELSE nol - ebit END, factor, f, ebit + revenue * 3e-2, pv + f * factor FROM (
     SELECT *, ebit - CASE WHEN ebit > 0 THEN (ebit - used) * 2.1e-1 ELSE 0 END + revenue * 3e-2 - revenue * 4e-2 - (revenue * 1e-1 - nwc) AS f FROM (
