@@ -5,7 +5,7 @@ A report is a row whose forecast is an array of yearly structs, so a projection
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosspanel.functions.coerce import num_or_null, parse_amount
@@ -194,12 +194,13 @@ def label_panel(reports: DataFrame, features: DataFrame, sectors: DataFrame, pri
 
 
 def label_summary(panel: DataFrame, labels: list[str], flags: str = "flags") -> DataFrame:
-    """(kind, name, n, share): coverage of each label and count of each flag, in two small aggregations."""
-    total = panel.agg(F.count("*").alias("_n"), *[F.count(c).alias(c) for c in labels])
-    coverage = total.unpivot(["_n"], labels, "name", "n").select(F.lit("coverage").alias("kind"), "name", "n", F.try_divide("n", "_n").alias("share"))
-    counts = panel.select(F.explode(flags).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
-    flagged = counts.crossJoin(F.broadcast(total.select("_n"))).select(F.lit("flag").alias("kind"), "name", "n", F.try_divide("n", "_n").alias("share"))  # one row of totals
-    return coverage.unionByName(flagged)
+    """(kind, name, n, share): coverage of each label and count of each flag, in one pass over the panel."""
+    entry = lambda kind, name, hit: F.struct(F.lit(kind).alias("kind"), name.alias("name"), hit.cast("long").alias("hit"))
+    fixed = [entry("total", F.lit("rows"), F.lit(1)), *[entry("coverage", F.lit(c), F.col(c).isNotNull()) for c in labels]]
+    raised = F.coalesce(F.transform(flags, lambda f: entry("flag", f, F.lit(1))), F.array().cast("array<struct<kind:string,name:string,hit:bigint>>"))
+    counts = panel.select(F.explode(F.concat(F.array(*fixed), raised)).alias("e")).groupBy("e.kind", "e.name").agg(F.sum("e.hit").alias("n"))
+    total = F.max(F.when(F.col("kind") == "total", F.col("n"))).over(Window.partitionBy())  # a row for each label and flag
+    return counts.withColumn("share", F.try_divide("n", total)).filter("kind <> 'total'")
 
 
 def tier_comparison(reports: DataFrame, a: str, b: str, values: list[str], order: list[str]) -> DataFrame:
