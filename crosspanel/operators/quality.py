@@ -36,3 +36,10 @@ def fingerprint(df: DataFrame) -> DataFrame:
 def coverage(df: DataFrame, columns: list[str]) -> DataFrame:
     counted = [df.agg(F.lit(c).alias("feature"), F.count(c).alias("non_null"), F.avg(F.col(c).isNotNull().cast("double")).alias("share")) for c in columns]
     return reduce(DataFrame.unionByName, counted)
+
+
+def summary_row(df: DataFrame, columns: list[str], by_count: dict[str, Column] | None = None) -> DataFrame:
+    """One row in one pass: rows, <column>_coverage, and a count for each named condition."""
+    shares = [F.avg(F.col(c).isNotNull().cast("double")).alias(f"{c}_coverage") for c in columns]
+    counts = [F.count(F.when(ok, 1)).alias(name) for name, ok in (by_count or {}).items()]
+    return df.agg(F.count("*").alias("rows"), *shares, *counts)

@@ -85,3 +85,14 @@ def without_degenerate(scores: DataFrame, by: list[str], score: str = "score") -
     w = Window.partitionBy(*by)
     finite = F.when(F.col(score).isNotNull() & ~F.isnan(score) & (F.abs(score) < float("inf")), F.col(score))
     return scores.withColumns({"_lo": F.min(finite).over(w), "_hi": F.max(finite).over(w)}).filter("_lo < _hi").drop("_lo", "_hi")
+
+
+def score_history(panel: DataFrame, by: list[str], models: dict[str, Column], factors: list[str]) -> DataFrame:
+    """panel (by, ticker, eligible, features) -> (by, ticker, signal, score), long: fixed models on each row, and per partition the z-score of each raw factor.
+
+    Rows that are not eligible and null scores go; so do partitions of fewer than two distinct scores of a signal.
+    """
+    some = panel.filter("eligible")
+    made = [F.struct(F.lit(n).alias("signal"), m.alias("score")) for n, m in models.items()] + [F.struct(F.lit(f).alias("signal"), zscore(F.col(f), by).alias("score")) for f in factors]
+    long = some.select(*by, "ticker", F.array(*made).alias("_s")).select(*by, "ticker", F.explode("_s").alias("_e")).select(*by, "ticker", "_e.signal", "_e.score")
+    return without_degenerate(long.filter("score is not null"), [*by, "signal"])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from crosspanel.functions.coerce import settle
 from crosspanel.operators import facts as O
+from crosspanel.operators import quality
 from crosspanel.operators.asof import asof
 from crosspanel.plans.registry import FILINGS, PRICES, R, query
 from crosspanel.sources import proxy
@@ -160,3 +161,9 @@ def current_features(spark, sf):
     known = proxy.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("ticker"))
     error = F.when(F.col("revenue").isNull() & F.col("net_income").isNull(), F.concat(F.lit("no facts for ticker "), F.col("ticker").cast("string")))
     return known.join(wide, "ticker", "left").join(growth, "ticker", "left").select("ticker", "revenue", settle(F.try_divide("net_income", "revenue")).alias("net_margin"), settle(F.col("g")).alias("asset_growth_1y"), error.alias("error"))
+
+
+@query(f"WITH {CFACTS} SELECT count(*) AS rows, {R('avg(CAST(accn IS NOT NULL AS INTEGER))')} AS accn_coverage, count(*) FILTER (WHERE form = '10-K') AS annual, count(*) FILTER (WHERE value > 1e5) AS large FROM cfacts")
+def fact_summary(spark, sf):
+    s = quality.summary_row(company_facts(spark, sf), ["accn"], {"annual": F.col("form") == "10-K", "large": F.col("value") > 1e5})
+    return s.withColumn("accn_coverage", settle(F.col("accn_coverage")))

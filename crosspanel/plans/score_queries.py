@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crosspanel.functions.coerce import settle
-from crosspanel.operators import comparison, diagnostics, portfolio, scores
+from crosspanel.operators import comparison, diagnostics, membership, portfolio, scores
 from crosspanel.plans.fact_queries import DERIVED, FEATURES, derived
 from crosspanel.plans.registry import PANEL, R, query, ranked
 from crosspanel.sources import proxy
@@ -200,3 +200,14 @@ def strategy_pass(spark, sf):
     """All signals on one universe side by side."""
     p = portfolio.performance(_signal_buckets(spark, sf), ["signal", "bucket"])
     return p.select("signal", "bucket", "months", settle(F.col("volatility")).alias("volatility"), settle(F.col("sharpe")).alias("sharpe"))
+
+
+@query(f"""WITH {PANEL}, el AS (SELECT * FROM panel WHERE ticker % 2 = 1 OR date >= DATE '1995-01-01' + CAST(ticker * 10 AS INTEGER)),
+  h AS (SELECT ticker, date, 'model' AS signal, 0.1 + (score - 0.5) / 2 * 0.3 AS score FROM el UNION ALL SELECT ticker, date, 'score', CASE WHEN stddev_pop(score) OVER w > 1e-12 THEN (score - avg(score) OVER w) / stddev_pop(score) OVER w ELSE 0 END FROM el WINDOW w AS (PARTITION BY date))
+  SELECT ticker, date, signal, {R('score')} AS score FROM h WINDOW w AS (PARTITION BY date, signal) QUALIFY min(score) OVER w < max(score) OVER w""")
+def score_history(spark, sf):
+    """A fixed linear map and the raw factor over all dates, for names in the universe by then."""
+    p = proxy.panel(spark, sf).select("ticker", "date", "score")
+    changes = proxy.securities(spark, sf).filter("ticker % 2 = 0").select("ticker", F.lit("added").alias("kind"), F.date_add(F.lit("1995-01-01").cast("date"), (F.col("ticker") * 10).cast("int")).alias("date"))
+    h = scores.score_history(membership.add_date_filter(p, changes), ["date"], {"model": scores.linear_score(0.1, {"score": (0.3, 0.0, 0.5, 2.0)})}, ["score"])
+    return h.select("ticker", "date", "signal", settle(F.col("score")).alias("score"))
