@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Written as a table to the folder of checkpoints and read back: smaller than a checkpoint, and read by column."""
+    use_checkpoints(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def without_ids(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
     """Rows of docs whose id is not in ids (one column of that name). A short list is broadcast, so that docs are not shuffled."""
     ids = checkpoint(ids.select(column).distinct())

@@ -2,8 +2,9 @@
 
 Both are token bigram models over the one vocabulary of a public tokenizer, with equal smoothing: bigram counts
 interpolated with unigram shares, those with the uniform one. The background is every document, the target the
-documents named. Counts cover the whole corpus; bigrams are counted in hash buckets, so the model has a size fixed by
-parameters (2**22 buckets and the vocabulary: 34 MB) however large the corpus is, and scoring needs no shuffle.
+documents named. Counts are exact and cover the whole corpus, so the table of bigrams grows with it. A run of texts
+is tokenised once and becomes one row for each distinct bigram, with the texts that have it; these rows meet the
+counts by a shuffle, and each text's losses are added up from there. Only the vocabulary's own counts are broadcast.
 """
 
 from __future__ import annotations
@@ -12,20 +13,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosspanel.llm.common import BROADCAST_IDS, checkpoint
+from crosspanel.llm.common import BROADCAST_IDS, checkpoint, stored
 from crosspanel.llm.tokens import byte_tokenizer
-from crosspanel.llm.words import mix
 
-BUCKET_BITS = 22
 VOCABULARY = 50_257
 #: The id before a text's first token.
 START = 50_256
 #: Strength of the unigram share in a bigram probability, and of the uniform one in a unigram probability.
 BACKOFF, UNIFORM = 20.0, 0.1
-_TEXTS = 512
+#: Texts encoded at once, and the tokens from which such texts make a run.
+_TEXTS, _TOKENS = 512, 1 << 20
+#: Largest count in one entry of a run; a larger one takes several.
+_MOST = (1 << 16) - 1
+#: Losses are added as whole numbers of this part of a nat, so sums do not depend on the order of rows.
+_UNIT = 2.0**-30
+#: Sums held by a task before they are combined, and after it before they are sent.
+_HELD, _KEPT = 1 << 20, 1 << 19
 
 
 def _token_runs(b: pa.RecordBatch, encode) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -40,10 +47,6 @@ def _token_runs(b: pa.RecordBatch, encode) -> Iterator[tuple[int, np.ndarray, np
         yield i, context, flat, at
 
 
-def _bucket(context: np.ndarray, ids: np.ndarray, bits: int) -> np.ndarray:
-    return (mix((context * VOCABULARY + ids).astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
-
-
 def flag_ids(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
     """docs (doc_id, text) and a boolean: is doc_id among ids? A short list is broadcast."""
     ids = checkpoint(ids.select("doc_id").filter("doc_id is not null").distinct())
@@ -51,76 +54,126 @@ def flag_ids(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
     return docs.join(F.broadcast(marked) if ids.count() <= BROADCAST_IDS else marked, "doc_id", "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
-class Models:
-    """Counts of background and target, and the loss of each for a run of tokens."""
-
-    def __init__(self, counts: pa.Table, bits: int = BUCKET_BITS):
-        self.bits = bits
-        slot = np.asarray(counts.column("slot"))
-        both = []
-        for name in ("background", "target"):
-            all_counts = np.zeros((1 << bits) + 2 * VOCABULARY, dtype=np.float32)
-            all_counts[slot] = np.asarray(counts.column(name))
-            pair, single = all_counts[: 1 << bits], all_counts[1 << bits : (1 << bits) + VOCABULARY].astype(np.float64)
-            share = (single + UNIFORM) / (single.sum() + UNIFORM * VOCABULARY)
-            both.append((pair, share.astype(np.float32), all_counts[(1 << bits) + VOCABULARY :]))
-        self.models = both
-
-    def losses(self, context: np.ndarray, ids: np.ndarray) -> list[np.ndarray]:
-        """Background's and target's."""
-        bucket = _bucket(context, ids, self.bits)
-        return [-np.log((pair[bucket] + BACKOFF * share[ids]) / (before[context] + BACKOFF)) for pair, share, before in self.models]
-
-
-def count_tokens(flagged: DataFrame, tokenizer: str, bits: int = BUCKET_BITS) -> DataFrame:
-    """flagged (text, target) -> (slot, background, target): bigram buckets, then contexts' and tokens' counts.
-
-    Each task adds up its own documents first and sends one row for each slot that it met.
+def _run_rows(text: int, pair: np.ndarray, row: np.ndarray, target: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Bigrams and rows of the tokens of one run -> a row for each distinct bigram; entries are row * 2**16 + count."""
+    key = np.sort((pair << 16) + row)
+    starts = np.flatnonzero(np.diff(key, prepend=-1))
+    count, key = np.diff(starts, append=len(key)), key[starts]
+    if len(count) and count.max() > _MOST:
+        pieces = -(-count // _MOST)
+        last = np.cumsum(pieces) - 1
+        rest, key = count - (pieces - 1) * _MOST, np.repeat(key, pieces)
+        count = np.full(len(key), _MOST)
+        count[last] = rest
+    pair, row = key >> 16, key & 0xFFFF
+    starts = np.flatnonzero(np.diff(pair, prepend=-1))
+    entries = ((row << 16) + count).astype("<u4")
+    offsets = (4 * np.append(starts, len(pair))).astype(np.int32)
+    packed = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(entries)])
+    if len(starts):
+        columns = [pa.array(np.full(len(starts), text)), pa.array(pair[starts]), packed, pa.array(np.add.reduceat(count, starts)), pa.array(np.add.reduceat(count * target[row], starts))]
+        rows = pa.RecordBatch.from_arrays([*columns, *[pa.nulls(len(starts), pa.int64())] * 2], names=_NAMES)
+        for i in range(0, len(starts), 50_000):
+            yield rows.slice(i, 50_000)
+
+
+_NAMES = ["text", "pair", "entries", "background", "target", "doc_id", "n_tokens"]
+
+
+def count_tokens(flagged: DataFrame, tokenizer: str) -> DataFrame:
+    """flagged (doc_id, text, target) -> rows of two kinds, stored: (text, doc_id, n_tokens) of each text, text being a
+    number of its own; and (text, pair, entries, background, target) of each bigram of a run whose first text that is.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, size = byte_tokenizer(tokenizer).encode_ordinary, (1 << bits) + 2 * VOCABULARY
-        total, chosen = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
+        encode, text = byte_tokenizer(tokenizer).encode_ordinary, TaskContext.get().partitionId() << 40
+        held, rows, size = [], 0, 0
         for b in batches:
-            target = np.asarray(b.column("target").to_numpy(zero_copy_only=False), dtype=bool)
+            target = np.asarray(b.column("target").to_numpy(zero_copy_only=False), dtype=np.int64)
             for i, context, ids, at in _token_runs(b, encode):
-                slots = np.concatenate([_bucket(context, ids, bits), (1 << bits) + ids, (1 << bits) + VOCABULARY + context])
-                np.add.at(total, slots, 1)
-                picked = np.repeat(target[i : i + len(at) - 1], np.diff(at))
-                np.add.at(chosen, slots[np.concatenate([picked] * 3)], 1)
-        met = np.flatnonzero(total)
-        for i in range(0, len(met), 50_000):
-            part = met[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part]), pa.array(chosen[part])], names=["slot", "background", "target"])
+                n = len(at) - 1
+                if held and (size + len(ids) > _TOKENS or rows + n > 1 << 16):
+                    yield from _run_rows(text, *map(np.concatenate, zip(*held, strict=True)))
+                    text, held, rows, size = text + rows, [], 0, 0
+                nothing = [pa.nulls(n, t) for t in (pa.int64(), pa.binary(), pa.int64(), pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(n) + (text + rows)), *nothing, b.column("doc_id").slice(i, n), pa.array(np.diff(at))], names=_NAMES)
+                held.append((context * VOCABULARY + ids, np.repeat(np.arange(n), np.diff(at)) + rows, target[i : i + n]))
+                rows, size = rows + n, size + len(ids)
+        if held:
+            yield from _run_rows(text, *map(np.concatenate, zip(*held, strict=True)))
 
-    partial = flagged.select("text", "target").mapInArrow(run, "slot int, background long, target long")
-    return partial.groupBy("slot").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+    return stored(flagged.select("doc_id", "text", "target").mapInArrow(run, "text long, pair long, entries binary, background long, target long, doc_id long, n_tokens long"))
 
 
-def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, tokenizer: str, bits: int = BUCKET_BITS) -> DataFrame:
+class Models:
+    """Background and target: counts of each context, and smoothed shares of each token; as long as the vocabulary."""
+
+    def __init__(self, counts: DataFrame):
+        both = []
+        for number in (F.expr(f"pair div {VOCABULARY}"), F.expr(f"pair % {VOCABULARY}")):
+            single = counts.groupBy(number.alias("id")).agg(F.sum("background").alias("background"), F.sum("target").alias("target")).toArrow()
+            full = np.zeros((2, VOCABULARY))
+            for model, name in enumerate(("background", "target")):
+                full[model, np.asarray(single.column("id"))] = np.asarray(single.column(name))
+            both.append(full)
+        self.before, single = both
+        self.share = (single + UNIFORM) / (single.sum(axis=1, keepdims=True) + UNIFORM * VOCABULARY)
+
+    def losses(self, pair: np.ndarray, counts: list[np.ndarray]) -> list[np.ndarray]:
+        """Background's and target's, of bigrams that each has counted so often."""
+        context, ids = pair // VOCABULARY, pair % VOCABULARY
+        return [-np.log((n + BACKOFF * share[ids]) / (before[context] + BACKOFF)) for n, share, before in zip(counts, self.share, self.before, strict=True)]
+
+
+def _combined(held: list[np.ndarray]) -> list[np.ndarray]:
+    """Columns (text, background, target) with one column for each text."""
+    text, background, target = np.concatenate(held, axis=1)
+    order = np.argsort(text, kind="stable")
+    starts = np.flatnonzero(np.diff(text[order], prepend=-1))
+    return [np.stack([text[order][starts], np.add.reduceat(background[order], starts), np.add.reduceat(target[order], starts)])] if len(starts) else []
+
+
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, tokenizer: str, bits: int | None = None) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, target_loss, background_loss, score.
 
     Losses are nats per token; score is background_loss - target_loss, higher for documents more like the target
     (target_ids: doc_id). Texts without tokens, null ones too, have losses and score zero. Rows that repeat an id are
-    scored each; rows without an id are background. Without a target the target model is the uniform one.
+    scored each; rows without an id are background. Without a target the target model is the uniform one. Counts are
+    exact; bits, once the size of a hashed model, has no effect.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counts = count_tokens(flag_ids(rows, target_ids.select(F.col("doc_id").cast("long").alias("doc_id")), "target"), tokenizer, bits).toArrow()  # at most 2**bits + 2 * VOCABULARY rows
-    models = rows.sparkSession.sparkContext.broadcast(Models(counts, bits))
+    met = count_tokens(flag_ids(rows, target_ids.select(F.col("doc_id").cast("long").alias("doc_id")), "target"), tokenizer)
+    pairs = met.filter("pair is not null")
+    counts = stored(pairs.groupBy("pair").agg(F.sum("background").alias("background"), F.sum("target").alias("target")))
+    models = rows.sparkSession.sparkContext.broadcast(Models(counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, both = byte_tokenizer(tokenizer).encode_ordinary, models.value
+        held: list[np.ndarray] = []
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            for text, *sums in held:
+                yield pa.RecordBatch.from_arrays([pa.array(text), *map(pa.array, sums)], names=["text", "background", "target"])
+
         for b in batches:
-            n, target, background = [], [], []
-            for _, context, ids, at in _token_runs(b, encode):
-                back, aim = both.losses(context, ids)
-                size = np.diff(at)
-                sums = [np.concatenate([[0.0], np.cumsum(x, dtype=np.float64)]) for x in (back, aim)]
-                mean = [np.where(size > 0, (s[at[1:]] - s[at[:-1]]) / np.maximum(size, 1), 0.0) for s in sums]
-                n.append(size)
-                background.append(mean[0])
-                target.append(mean[1])
-            n, target, background = (np.concatenate(x) if x else np.zeros(0) for x in (n, target, background))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(target), pa.array(background), pa.array(background - target)], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+            if not b.num_rows:
+                continue
+            losses = models.value.losses(np.asarray(b.column("pair")), [np.asarray(b.column(n)) for n in ("background", "target")])
+            packed = b.column("entries").cast(pa.large_binary())
+            _, offsets, data = packed.buffers()
+            at = np.frombuffer(offsets, dtype=np.int64)[packed.offset : packed.offset + len(packed) + 1]
+            entries = np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]].view("<u4").astype(np.int64)
+            each, count = np.diff(at) // 4, entries & 0xFFFF
+            held.append(np.stack([np.repeat(np.asarray(b.column("text")), each) + (entries >> 16), *(np.repeat(np.rint(x / _UNIT).astype(np.int64), each) * count for x in losses)]))
+            if sum(x.shape[1] for x in held) > _HELD:
+                held = _combined(held)
+                if held[0].shape[1] > _KEPT:
+                    yield from sent()
+                    held = []
+        held = _combined(held) if held else []
+        yield from sent()
+
+    found = pairs.select("text", "pair", "entries").join(counts, "pair").mapInArrow(run, "text long, background long, target long")
+    sums = found.groupBy("text").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+    texts = met.filter("pair is null").select("text", "doc_id", "n_tokens").join(sums, "text", "left")
+    target, background = (F.coalesce(F.try_divide(F.col(n) * _UNIT, "n_tokens"), F.lit(0.0)) for n in ("target", "background"))
+    return texts.select("doc_id", "n_tokens", target.alias("target_loss"), background.alias("background_loss"), (background - target).alias("score"))

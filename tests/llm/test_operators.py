@@ -180,6 +180,29 @@ def test_lm_score(spark, odd, none):
     assert lm_score.cross_entropy_difference(none, none.select("doc_id"), BYTES, bits=16).collect() == []
 
 
+def test_lm_score_counts_are_exact(spark, odd):
+    """Losses of exact counts, whatever else the corpus holds: with few buckets unrelated bigrams shared counts."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"{a:x}" for a in rng.integers(0, 1 << 16, 60)) for _ in range(200)] + ["a b " * 70_000, "a b", None]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], SCHEMA).unionByName(odd.select("doc_id", "text"))
+    data = [(r["doc_id"], byte_tokenizer(BYTES).encode_ordinary(r["text"] or "")) for r in frame.collect()]
+    losses = []
+    for chosen in (lambda i: i is not None and i < 100, lambda i: True):
+        pair, before, single = Counter(), Counter(), Counter()
+        for i, ids in data:
+            if chosen(i):
+                pair.update(zip([lm_score.START, *ids[:-1]], ids, strict=bool(ids)))
+                before.update([lm_score.START, *ids[:-1]] if ids else [])
+                single.update(ids)
+        total = sum(single.values()) + lm_score.UNIFORM * lm_score.VOCABULARY
+        losses.append([-sum(np.log((pair[c, x] + 20 * (single[x] + lm_score.UNIFORM) / total) / (before[c] + 20)) for c, x in zip([lm_score.START, *ids[:-1]], ids, strict=bool(ids))) / max(1, len(ids)) for _, ids in data])
+    want = sorted((repr(i), len(ids), round(t, 6), round(b, 6)) for (i, ids), t, b in zip(data, *losses, strict=True))
+    got = lm_score.cross_entropy_difference(frame, frame.filter("doc_id < 100").select("doc_id"), BYTES, bits=8).collect()
+    got = sorted((repr(r["doc_id"]), r["n_tokens"], r["target_loss"], r["background_loss"]) for r in got)
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert np.allclose([x[2:] for x in sorted(got)], [x[2:] for x in want], atol=2e-6)
+
+
 def brute_fingerprint(text):
     w = (text or "").encode().lower().split()
     grams = [b" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
