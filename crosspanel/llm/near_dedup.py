@@ -2,7 +2,7 @@
 
 Two texts whose five-word shingle sets have a Jaccard similarity of 0.8 differ in about a tenth of the bits of a
 fingerprint, more than a vantage-point tree over 64-bit fingerprints can prune at. So each text gets 240 bits (of its
-two-word shingles), cut into ten words of 24 bits, and each word is searched exactly within radius 2: a pair of
+distinct two-word shingles, as the similarity is one of sets), cut into ten words of 24 bits, and each word is searched exactly within radius 2: a pair of
 expected distance 20 is missed by all ten words about once in a few thousand pairs. Shards and trees are those of
 `simhash`.
 
@@ -52,7 +52,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 place = np.arange(len(words)) - np.repeat(first[:-1], np.diff(first))
                 sums = np.concatenate([[np.uint64(0)], np.cumsum(W.mix(words + W.mix(place.astype(np.uint64))), dtype=np.uint64)])
                 content.append(sums[first[1:]] - sums[first[:-1]])
-                bits.append(W.simhash(*W.shingle_hashes(words, first, 2), lanes=4))
+                bits.append(W.simhash(*W.distinct(*W.shingle_hashes(words, first, 2)), lanes=4))
             if not content:
                 continue
             sketch = np.concatenate(bits)

@@ -109,6 +109,16 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.nda
     return out, at
 
 
+def distinct(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of each row sorted and without repeats, and for each row the number of its first."""
+    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    order = np.lexsort((hashes, row))
+    hashes, row = hashes[order], row[order]
+    new = np.ones(len(hashes), dtype=bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
+    return hashes[new], np.searchsorted(row[new], np.arange(len(at)))
+
+
 def simhash(hashes: np.ndarray, at: np.ndarray, lanes: int = 1) -> np.ndarray:
     """For each row lanes*64 majority bits of its shingle hashes (repeats count); zero for a row without shingles."""
     n = len(at) - 1

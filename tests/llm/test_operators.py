@@ -237,6 +237,13 @@ def test_vantage_points_lose_no_pair():
     assert {(p, q) for a, b in simhash.near(x, x, 2) for p, q in zip(a.tolist(), b.tolist(), strict=True)} == want
 
 
+def test_repeated_lines_are_near_duplicates(spark):
+    """Sets of shingles are compared, so a text and itself with a sentence many times over are near duplicates."""
+    words = [f"w{i * 7919 % 1009}" for i in range(200)]
+    frame = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words + words[40:60] * 20)), (3, " ".join(f"v{i}" for i in range(200)))], SCHEMA)
+    assert dict(near_dedup.near_duplicate_groups(frame).collect()) == {1: 1, 2: 1, 3: 3}
+
+
 def test_near_duplicates(spark, odd, none):
     base = " ".join(f"w{i * 7919 % 1009}" for i in range(200))
     words = base.split()
