@@ -1,8 +1,9 @@
 """URL filters: explicit host-and-path rules, and a path-template tree learned from labelled pages.
 
 Everything is DataFrame work. Paths are first reduced to templates (digits and hexadecimal names become `*`) and
-counted for each host; the tree is then grown over these counts level by level: below each node, children that are
-many and rare, or whose labels do not differ from those of their siblings together, become the wildcard branch. A
+counted for each host; the tree is then grown over these counts level by level: below each node, children whose labels
+do not differ from those of their siblings together become the wildcard branch, and so do those without labels to tell
+by where they are many and rare. A
 template is rejected where its smoothed share of bad labels is high.
 """
 
@@ -17,7 +18,7 @@ from crosspanel.llm.common import checkpoint
 
 #: Levels of the tree; what lies deeper is one last segment.
 LEVELS = 5
-#: A node with more children keeps only those with this share of its pages.
+#: A node with more children keeps, of those whose labels tell nothing, only those with this share of its pages.
 MANY, SHARE = 20, 0.1
 #: Standard errors by which a branch must differ from its siblings to stay apart.
 APART = 1.96
@@ -97,8 +98,9 @@ def _wildcard(node) -> Column:
     pooled = F.try_divide(F.sum("bad").over(node), F.sum("labelled").over(node))
     gap = F.abs(F.try_divide("bad", "labelled") - F.try_divide(others_bad, others))
     error = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), "labelled") + F.try_divide(F.lit(1.0), others)))
+    apart = F.coalesce(gap > APART * error, F.lit(False))
     alike = F.coalesce(gap <= APART * error, F.lit(False)) & (F.count("*").over(node) > 1)
-    return (many | alike) & (F.col("child") != "")
+    return ((many & ~apart) | alike) & (F.col("child") != "")
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[Rule]) -> DataFrame:

@@ -105,6 +105,15 @@ def test_urls(spark):
     assert url_filter.judge_urls(pages.limit(0), bad, RULES).collect() == []
 
 
+def test_rare_bad_section_among_many_is_blocked(spark):
+    section = F.col("id") % 25
+    pages = spark.range(1000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://news.net/"), F.translate(section.cast("string"), "0123456789", "ghijklmnop"), F.lit("/x")).alias("url"), (section == 7).cast("int").alias("bad"))
+    verdicts = {(r["page_id"] % 25 == 7, r["verdict"]) for r in url_filter.judge_urls(pages, pages.select("page_id", "bad"), RULES).collect()}
+    assert verdicts == {(True, "block"), (False, "allow")}
+    few = pages.select("page_id", "bad").filter("page_id % 25 < 3")  # sections without labels are one branch still
+    assert len({r["template"] for r in url_filter.judge_urls(pages, few, RULES).collect()}) == 1
+
+
 @pytest.mark.parametrize("block", [7, 1 << 16])
 def test_token_counts(odd, docs, none, block):
     bpe = byte_tokenizer(BYTES)
