@@ -30,12 +30,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Written as a table to the folder of checkpoints and read back: smaller than a checkpoint, and read by column."""
+def stored_at(df: DataFrame, *by: str) -> str:
+    """Path of df written as a table, in folders by the columns named, to the folder of checkpoints."""
     use_checkpoints(df.sparkSession)
     path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4()}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*by).parquet(path)
+    return path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Written as a table and read back: smaller than a checkpoint, and read by column."""
+    return df.sparkSession.read.schema(df.schema).parquet(stored_at(df))
 
 
 def without_ids(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:

@@ -147,6 +147,24 @@ def test_decontaminate(spark, odd, docs, none):
     assert decontaminate.contaminated(none, bench).collect() == [] == decontaminate.contaminated(odd, bench.limit(0)).collect()
 
 
+def test_decontaminate_weighs_the_whole_benchmark(spark, monkeypatch):
+    """Similarities by the stated formula, the same however the items are cut into blocks."""
+    common = "one two three four five six seven"
+    texts = [f"{common} " + " ".join(f"q{i}x{j}" for j in range(40)) for i in range(30)] + ["only three words", "no"]
+    bench = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    grams = lambda t: Counter(tuple(w[a : a + 5]) for w in [t.split()] for a in range(max(1, len(w) - 4)))
+    having = Counter(g for t in texts for g in set(grams(t)))
+    weigh = lambda c: sum(np.log1p(len(texts) / max(1, having[g])) * n for g, n in c.items())
+    changed = texts[5].replace("q5x38", "other")
+    want = {(1, 5): weigh(grams(changed) & grams(texts[5])) / weigh(grams(changed) | grams(texts[5])), (2, 7): 1.0, (3, 30): 1.0}
+    planted = spark.createDataFrame([(1, changed), (2, texts[7]), (3, texts[30]), (4, "nothing of it at all")], SCHEMA)
+    for size in (1 << 22, 1 << 10):
+        monkeypatch.setattr(decontaminate, "BLOCK", size)
+        got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.contaminated(planted, bench, similarity=0.7).collect()}
+        assert got == pytest.approx(want)
+        assert [r["doc_id"] for r in decontaminate.drop_contaminated(planted, bench, similarity=0.7).collect()] == [4]
+
+
 def test_pack(odd, docs, none):
     tokenizer = word_tokenizer(WORDS)[0]
     for frame in (odd, docs):
