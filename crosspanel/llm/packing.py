@@ -4,7 +4,7 @@ Bins see only lengths, so the instance is the histogram of piece lengths: at mos
 corpus. It alone reaches the driver, where it is reduced and packed into patterns with multiplicities. The pieces
 then find their places in parallel: the i-th piece of a length takes the i-th slot of that length.
 
-Reduction, for the longest length left, with r the room beside it:
+Reduction, for each length left from the longest on, until no rule fixes any, with r the room beside it:
 * a partner of exactly r fills the bin, which dominates every alternative;
 * if no two remaining pieces fit into r together, the longest single piece that fits dominates;
 * if nothing fits, the piece stays alone.
@@ -46,27 +46,36 @@ def _lengths_left(count: list[int]) -> list[int]:
     return [n for n in range(1, len(count)) if count[n]]
 
 
+def _dominant(count: list[int], held: list[int], length: int, capacity: int) -> Pattern | None:
+    """The bins that dominance fixes for a piece of that length; held are the lengths left."""
+    room = capacity - length
+    count[length] -= 1
+    at = bisect.bisect_right(held, room) - 1
+    while at >= 0 and not count[held[at]]:
+        at -= 1
+    partner = held[at] if at >= 0 else 0
+    least = next((n for n in held if count[n]), 0)
+    alone = partner == least and count[least] == 1
+    count[length] += 1
+    if not partner:
+        return Pattern([length], count[length], True)
+    if partner == room or 2 * least > room or alone:
+        return Pattern([length, partner], count[length] // 2 if partner == length else min(count[length], count[partner]), True)
+    return None
+
+
 def reduce_by_dominance(count: list[int], capacity: int) -> list[Pattern]:
-    """Takes from count what dominance fixes; returns the fixed patterns. Stops at the first length no rule fixes."""
-    fixed, held = [], _lengths_left(count)
-    while held:
-        longest = held[-1]
-        count[longest] -= 1
-        room, least = capacity - longest, held[0] if count[held[0]] or held[0] != longest else 0
-        fits = [n for n in held[: bisect.bisect_right(held, room)] if count[n]]
-        count[longest] += 1
-        if not fits:
-            fixed.append(Pattern([longest], count[longest], True))
-            count[longest] = 0
-        elif fits[-1] == room or 2 * least > room or (fits == [least] and count[least] == 1 and 2 * least <= room):
-            partner = fits[-1]
-            bins = count[longest] // 2 if partner == longest else min(count[longest], count[partner])
-            fixed.append(Pattern([longest, partner], bins, True))
-            count[longest] -= bins
-            count[partner] -= bins
-        else:
-            break
-        held = [n for n in held if count[n]]
+    """Takes from count what dominance fixes; returns the fixed patterns. Passes over all lengths, the longest first,
+    until one fixes nothing."""
+    fixed, before = [], -1
+    while len(fixed) != before:
+        before, held = len(fixed), _lengths_left(count)
+        for length in held[::-1]:
+            while count[length] and (p := _dominant(count, held, length, capacity)):
+                for n in p.lengths:
+                    count[n] -= p.bins
+                fixed.append(p)
+                held = _lengths_left(count)
     return fixed
 
 

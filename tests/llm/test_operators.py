@@ -197,6 +197,13 @@ def test_packing_is_near_the_bound():
     assert sum(p.bins for p in patterns) <= 1.01 * (lengths * counts).sum() / 100
 
 
+def test_dominance_goes_on_past_a_length_that_no_rule_fixes():
+    count = [0] * 101
+    count[90], count[60], count[40], count[3], count[2] = 1, 5, 5, 2, 2  # beside 90 two small pieces fit: no rule
+    fixed = packing.reduce_by_dominance(count, 100)
+    assert any(p.lengths == [60, 40] and p.bins == 5 for p in fixed) and not count[60] and not count[40] and count[90] == 1
+
+
 def test_lm_score(spark, odd, none):
     train = [(i, "the cat sat on the mat and the dog ran " * 3) for i in range(30)] + [(100 + i, "zq xv qqz vxx zzq jjk " * 5) for i in range(30)]
     frame = spark.createDataFrame(train, SCHEMA)
