@@ -133,4 +133,4 @@ def ranking_surprises(spark, sf):
 def tree_fit(spark, sf):
     """Boosted trees on the panel's features; a fit by Spark's own library."""
     t = O.training_frame(_labels(spark, sf), derived(spark, sf)).filter("roe is not null")
-    return O.tree_surrogate(t, NUMERIC, "label", rounds=20).transform(t).select("ticker", settle(F.col("prediction")).alias("prediction"))
+    return O.tree_surrogate(t, NUMERIC, "label").transform(t).select("ticker", settle(F.col("prediction")).alias("prediction"))
