@@ -2,9 +2,9 @@
 
 Texts go to owners, partitions chosen by length and content hash. An owner inserts each full byte string into a trie
 whose terminal nodes hold the smallest identifier and the number of rows. Before the shuffle every Arrow batch is
-passed through a trie of its own, so that of a group of copies however large one row a batch reaches the owner. Only
-groups of two and more leave the owners; their verdict is joined back to the rows by length and SHA-256, a join that
-adaptive execution splits where one group is hot.
+passed through a trie of its own and what it repeats through one of the task, so that of a group of copies however
+large few rows of a task reach the owner. Only groups of two and more leave the owners; their verdict is joined back to
+the rows by SHA-256, a join that adaptive execution splits where one group is hot.
 """
 
 from __future__ import annotations
@@ -16,10 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crosspanel.llm.common import checkpoint, without_ids
+from crosspanel.llm.common import text_key, tidied, without_rows
 
-#: Bytes of edge labels that an owner keeps in memory; beyond it the largest subtree goes to a task-private file.
-TRIE_BYTES = 256 << 20
+#: Bytes of labels and nodes (NODE each, with what it holds) that an owner keeps in memory; beyond them the largest
+#: subtree goes to a task-private file. COMBINED is what a task holds of repeated texts before the shuffle.
+TRIE_BYTES, NODE, COMBINED = 256 << 20, 400, 32 << 20
 
 _OWNED = "length int, sha binary, text string, keep_id long, group_size long"
 
@@ -27,7 +28,7 @@ _OWNED = "length int, sha binary, text string, keep_id long, group_size long"
 class Trie:
     """A compressed radix trie over byte strings: an edge per node, terminals with [smallest id, rows, tag].
 
-    Keys count from byte `depth` on; what lies before is alike in all. When labels exceed `limit` bytes, the child of
+    Keys count from byte `depth` on; what lies before is alike in all. When it exceeds `limit` bytes, the child of
     the root with the most bytes is spilled: its entries go to an unlinked temporary file, later ones with the same
     first byte are appended, and `groups` reads each file back into a trie that starts where its keys first differ.
     """
@@ -51,19 +52,20 @@ class Trie:
             self._spill(max((h for h in self.weight if h >= 0), key=self.weight.get))
 
     def _insert(self, key: bytes, ident: int | None, rows: int, tag: object) -> int:
-        node, at = self.root, self.depth
+        """Bytes that the trie has grown by: nothing for a key that it has."""
+        node, at, forks = self.root, self.depth, 0
         while True:
             if at == len(key):
                 if node[2] is None:
                     node[2] = [ident, rows, tag]
-                else:
-                    node[2][0] = smaller(node[2][0], ident)
-                    node[2][1] += rows
+                    return NODE * (1 + forks)
+                node[2][0] = smaller(node[2][0], ident)
+                node[2][1] += rows
                 return 0
             child = node[1].get(key[at])
             if child is None:
                 node[1][key[at]] = [key[at:], {}, [ident, rows, tag]]
-                return len(key) - at
+                return len(key) - at + NODE * (1 + forks)
             label = child[0]
             if key.startswith(label, at):
                 node, at = child, at + len(label)
@@ -72,7 +74,7 @@ class Trie:
             fork = [label[:same], {label[same]: child}, None]
             child[0] = label[same:]
             node[1][key[at]] = fork
-            node, at = fork, at + same
+            node, at, forks = fork, at + same, 1
 
     def _walk(self, node: list, prefix: bytes) -> Iterator[tuple[bytes, list]]:
         todo = [(node, prefix)]
@@ -97,6 +99,10 @@ class Trie:
     def _write(out, key: bytes, ident: int | None, rows: int, tag: bytes) -> None:
         out.write(len(key).to_bytes(8, "little") + (b"\0" * 9 if ident is None else b"\1" + ident.to_bytes(8, "little", signed=True)) + rows.to_bytes(8, "little") + len(tag).to_bytes(2, "little") + tag + key)
 
+    def entries(self) -> Iterator[tuple[bytes, list]]:
+        """Each key that is in memory with its terminal."""
+        yield from self._walk(self.root, b"")
+
     def groups(self) -> Iterator[list]:
         """[smallest id, rows, tag] of each distinct key."""
         for _, terminal in self._walk(self.root, b""):
@@ -141,15 +147,35 @@ def normalised(text: str = "text"):
     return F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
+def _rows(found: list[tuple[bytes, list]]) -> pa.RecordBatch:
+    """(key, terminal) with tags (length, sha) as rows for the owners."""
+    tags = [t[2] for _, t in found]
+    texts = pa.array([key for key, _ in found], pa.binary()).cast(pa.string())
+    columns = [pa.array([x[0] for x in tags], pa.int32()), pa.array([x[1] for x in tags], pa.binary()), texts, *(pa.array([t[i] for _, t in found], pa.int64()) for i in (0, 1))]
+    return pa.RecordBatch.from_arrays(columns, names=["length", "sha", "text", "keep_id", "group_size"])
+
+
 def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each distinct text of a batch."""
+    """One row for each distinct text of a batch, and for each text that a batch repeats one row of the task (or, past
+    COMBINED bytes, a few)."""
+    repeated = Trie(limit=1 << 62)
     for batch in batches:
-        trie, texts = Trie(limit=1 << 62), batch.column("text").cast(pa.binary())
-        for i, (text, ident, rows) in enumerate(zip(texts.to_pylist(), batch.column("keep_id").to_pylist(), batch.column("group_size").to_pylist(), strict=True)):
+        trie, texts = Trie(limit=1 << 62), batch.column("text").cast(pa.binary()).to_pylist()
+        for i, (text, ident, rows) in enumerate(zip(texts, batch.column("keep_id").to_pylist(), batch.column("group_size").to_pylist(), strict=True)):
             trie.add(text, ident, rows, i)
         found = list(trie.groups())
+        again = [x for x in found if x[1] > 1]
+        length, sha = batch.column("length"), batch.column("sha")
+        for ident, rows, i in again:
+            repeated.add(texts[i], ident, rows, (length[i].as_py(), sha[i].as_py()))
+        found = [x for x in found if x[1] == 1]
         take = batch.take(pa.array([x[2] for x in found], pa.int64()))
         yield pa.RecordBatch.from_arrays([take.column("length"), take.column("sha"), take.column("text"), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["length", "sha", "text", "keep_id", "group_size"])
+        if repeated.bytes > COMBINED:
+            yield _rows(list(repeated.entries()))
+            repeated = Trie(limit=1 << 62)
+    if repeated.terminals:
+        yield _rows(list(repeated.entries()))
 
 
 def _own(limit: int):
@@ -171,9 +197,9 @@ def copy_groups(docs: DataFrame, trie_bytes: int = TRIE_BYTES) -> DataFrame:
     """(sha, keep_id, group_size) of each text that two or more rows have."""
     text = docs.select(F.col("doc_id").cast("long").alias("keep_id"), normalised().alias("text"))
     rows = text.select(F.octet_length("text").alias("length"), F.unhex(F.sha2("text", 256)).alias("sha"), "text", "keep_id", F.lit(1).cast("long").alias("group_size"))
-    combined = rows.mapInArrow(_combine, _OWNED)
+    combined = rows.mapInArrow(tidied(_combine), _OWNED)
     owners = combined.repartition(_partitions(docs), "length", F.xxhash64("text"))
-    return owners.select("sha", "text", "keep_id", "group_size").mapInArrow(_own(trie_bytes), "sha binary, keep_id long, group_size long")
+    return owners.select("sha", "text", "keep_id", "group_size").mapInArrow(tidied(_own(trie_bytes)), "sha binary, keep_id long, group_size long")
 
 
 def _partitions(df: DataFrame) -> int:
@@ -203,19 +229,12 @@ def exact_duplicates(docs: DataFrame, trie_bytes: int = TRIE_BYTES) -> DataFrame
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose text a row of a smaller doc_id has; all columns stay.
+    """docs with one row of each group of equal texts, that of the smallest id (null ids last); all columns stay.
 
-    Ids are taken to name one text each: rows that repeat an id and its text become one row.
+    Rows are told apart by id and text: of an id that repeats with other texts, each text has its own verdict.
     """
-    verdict = checkpoint(exact_duplicates(docs).select("doc_id", "keep_id", "kept", F.unhex("text_sha256").alias("sha")))
-    gone = verdict.filter(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id")
-    left = without_ids(docs, gone)
-    repeated = checkpoint(verdict.filter(F.col("doc_id").eqNullSafe(F.col("keep_id")) & ~F.col("kept")).select("doc_id").distinct())
-    if repeated.isEmpty():
-        return left
-    nth = F.row_number().over(Window.partitionBy("doc_id", F.sha2(normalised(), 256)).orderBy("doc_id"))
-    names = docs.columns
-    tag = "_nth" + "_" * max(map(len, names))
-    again = left.join(repeated, left["doc_id"].eqNullSafe(repeated["doc_id"]), "left_semi")
-    once = left.join(repeated, left["doc_id"].eqNullSafe(repeated["doc_id"]), "left_anti")
-    return once.unionByName(again.withColumn(tag, nth).filter(F.col(tag) == 1).select(names))
+    key = text_key(normalised())
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), F.unhex(F.sha2(normalised(), 256)).alias("sha"))
+    verdict = rows.join(copy_groups(docs), "sha", "left")
+    stays = F.col("group_size").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    return without_rows(docs, verdict.select("doc_id", "key", stays.alias("stays")), key)

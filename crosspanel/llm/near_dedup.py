@@ -6,12 +6,13 @@ distinct two-word shingles, as the similarity is one of sets), cut into ten word
 expected distance 20 is missed by all ten words about once in a few thousand pairs. Shards and trees are those of
 `simhash`.
 
-Two rounds find the links without listing the pairs of a group of copies. In the first, a shard reports for each text
+Three rounds find the links without listing the pairs of a group of copies. In the first, a shard reports for each text
 its smallest and its nearest partner; these pairs are verified on whole texts, and verified links become components.
-In the second, the texts that have a partner are searched again and every pair of different components is reported
-that the first did not verify; pairs inside a component can change nothing. So no candidate that matters is left out,
-and groups of copies cost rows in proportion to their size; only families of texts that resemble each other without
-reaching the similarity cost a row for each pair.
+The other rounds search the texts that have a partner again, now with a sketch of their five-word shingles, by which a
+shard itself rejects pairs clearly below the similarity: the second reports for each text and each other component
+that it may belong to one pair, the likeliest; the third every pair of components that are still apart. Pairs inside a
+component can change nothing, so no candidate that matters is left out, and groups of copies cost rows in proportion
+to their size. What costs a row a pair are texts that are apart and so near to the similarity that no sketch can tell.
 """
 
 from __future__ import annotations
@@ -25,27 +26,75 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crosspanel.llm import words as W
-from crosspanel.llm.common import checkpoint, with_ids, without_ids
+from crosspanel.llm.common import checkpoint, rows_of, text_key, tidied, without_rows
 from crosspanel.llm.components import components
 from crosspanel.llm.simhash import LEAF, SAMPLE, Router, compared, distance, leaves
 
 TABLES, BITS, RADIUS = 10, 24, 2
-#: Differing bits of the first 128 beyond which a pair is not verified: of similar pairs 11 to 18 are expected
+#: Differing bits of the first 128 beyond which a pair is not looked at: of similar pairs 11 to 19 are expected
 #: (standard deviation 4), of unrelated ones 64 (6).
-CHECK_BITS = 34
-#: 2**DEPTH shards for each of the ten words, or as many more as leave about SHARD texts at home in each.
-DEPTH, SHARD = 2, 1 << 18
-
-
-def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, content, check0, check1, w0..w9): content is a hash of the word sequence, check0 and check1 the first bits."""
-    names = ["doc_id", "content", "check0", "check1", *[f"w{i}" for i in range(TABLES)]]
+CHECK_BITS = 40
+#: Bins of a set sketch (two bits each), and standard deviations below the similarity at which it rejects.
+BINS, SURE = 1024, 4.0
+#: 2**DEPTH shards for each of the ten words, or as many more as leave about SHARD texts at home in each
+#: (SKETCHED where rows carry a set sketch).
+DEPTH, SHARD, SKETCHED = 2, 1 << 18, 1 << 16
+#: Bytes and rows sketched at once, and pairs of sketches compared at once.
+_BYTES, _ROWS, _PAIRS = 1 << 18, 2048, 1 << 14
+
+_LEADERS, _LIKELIEST, _ALL = "leaders", "likeliest", "all"
+
+
+def set_sketch(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the number of its distinct hashes and a sketch of their set: the hashes fall into BINS bins, and of
+    each bin the sketch has whether it holds any, and the last bit of the least in it. At most _ROWS rows."""
+    n, low = len(at) - 1, np.uint64(14)
+    key = np.sort((np.repeat(np.arange(n, dtype=np.uint64), np.diff(at)) << np.uint64(50)) | (hashes >> low))
+    key = key[np.diff(key, prepend=~np.uint64(0)) != 0] if len(key) else key
+    row = (key >> np.uint64(50)).astype(np.int64)
+    place = (key >> np.uint64(50 - BINS.bit_length() + 1)).astype(np.int64)
+    least = np.flatnonzero(np.diff(place, prepend=-1))
+    bits = np.zeros((2, n * BINS), dtype=np.uint8)
+    bits[0, place[least]] = 1
+    bits[1, place[least]] = (key[least] & np.uint64(1)).astype(np.uint8)
+    packed = np.packbits(bits.reshape(2, n, BINS), axis=2)
+    return np.bincount(row, minlength=n), np.concatenate([packed[0], packed[1]], axis=1)
+
+
+def likeness(sketch: np.ndarray, size: np.ndarray, p: np.ndarray, q: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Estimated similarity of the pairs p, q by sketches (rows of 64-bit words), and whether it may be `similarity`.
+
+    The bins of the smaller hashes of a pair are a sample of its union; a bin whose two least hashes differ shows
+    equal bits half of the time. Both make the estimate vary, by less the smaller the sets.
+    """
+    half = sketch.shape[1] // 2
+    estimate, may = np.zeros(len(p)), np.zeros(len(p), dtype=bool)
+    for i in range(0, len(p), _PAIRS):
+        a, b = sketch[p[i : i + _PAIRS]], sketch[q[i : i + _PAIRS]]
+        shared = a[:, :half] & b[:, :half]
+        union = np.bitwise_count(a[:, :half] | b[:, :half]).sum(1, dtype=np.int64)
+        both = np.bitwise_count(shared).sum(1, dtype=np.int64)
+        same = np.bitwise_count(shared & ~(a[:, half:] ^ b[:, half:])).sum(1, dtype=np.int64)
+        m, n = size[p[i : i + _PAIRS]], size[q[i : i + _PAIRS]]
+        all_of = np.maximum((m + n) / (1 + similarity), 1)
+        sampled = np.maximum(union, 1)
+        spread = sampled * similarity * (1 - similarity) * np.maximum(0, 1 - sampled / all_of) + np.maximum(both - similarity * union, 0)
+        estimate[i : i + _PAIRS] = (2 * same - both) / sampled
+        may[i : i + _PAIRS] = (union == 0) | (estimate[i : i + _PAIRS] >= similarity - (SURE * np.sqrt(spread) + 2) / sampled)
+        may[i : i + _PAIRS] &= np.minimum(m, n) + 1 >= similarity * np.maximum(m, n)
+    return estimate, may
+
+
+def sketches(docs: DataFrame, k: int = 5) -> DataFrame:
+    """(doc_id, key, content, check0, check1, size, sketch, w0..w9) of each row: key is a hash of the text, content one
+    of its words, check0 and check1 are the first bits, size and sketch belong to its set of k-word shingles."""
+    names = ["doc_id", "key", "content", "check0", "check1", "size", "sketch", *[f"w{i}" for i in range(TABLES)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, at = W.text_bytes(b.column("text"))
-            content, bits = [], []
-            for i, j in W.blocks(at):
+            content, bits, size, drawn = [], [], [], []
+            for i, j in ((x, min(x + _ROWS, j)) for i, j in W.blocks(at, _BYTES) for x in range(i, j, _ROWS)):
                 part, offsets = raw[at[i] : at[j]], at[i : j + 1] - at[i]
                 starts, ends, first = W.spans(part, offsets)
                 words = W.word_hashes(part, starts, ends)
@@ -53,22 +102,27 @@ def sketches(docs: DataFrame) -> DataFrame:
                 sums = np.concatenate([[np.uint64(0)], np.cumsum(W.mix(words + W.mix(place.astype(np.uint64))), dtype=np.uint64)])
                 content.append(sums[first[1:]] - sums[first[:-1]])
                 bits.append(W.simhash(*W.distinct(*W.shingle_hashes(words, first, 2)), lanes=4))
+                many, drawing = set_sketch(*W.shingle_hashes(words, first, k))
+                size.append(many)
+                drawn.append(drawing)
             if not content:
                 continue
-            sketch = np.concatenate(bits)
-            flat = np.unpackbits(sketch.astype("<u8").view(np.uint8), axis=1, bitorder="little")[:, : TABLES * BITS].reshape(len(sketch), TABLES, BITS)
+            all_bits = np.concatenate(bits)
+            flat = np.unpackbits(all_bits.astype("<u8").view(np.uint8), axis=1, bitorder="little")[:, : TABLES * BITS].reshape(len(all_bits), TABLES, BITS)
             word = flat.astype(np.int64) @ (1 << np.arange(BITS, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x.view(np.int64)) for x in (np.concatenate(content), *(np.ascontiguousarray(sketch[:, i]) for i in (0, 1)))), *(pa.array(word[:, t].astype(np.int32)) for t in range(TABLES))], names=names)
+            drawing = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BINS // 4), len(all_bits), [None, pa.py_buffer(np.ascontiguousarray(np.concatenate(drawn)))]).cast(pa.binary())
+            longs = (np.concatenate(content), *(np.ascontiguousarray(all_bits[:, i]) for i in (0, 1)))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), *(pa.array(x.view(np.int64)) for x in longs), pa.array(np.concatenate(size).astype(np.int32)), drawing, *(pa.array(word[:, t].astype(np.int32)) for t in range(TABLES))], names=names)
 
-    kinds = ", ".join([f"{n} long" for n in names[:4]] + [f"{n} int" for n in names[4:]])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, kinds)
+    kinds = ", ".join([f"{n} long" for n in names[:5]] + ["size int", "sketch binary"] + [f"{n} int" for n in names[7:]])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), kinds)
 
 
-def _leaders(node: np.ndarray, word: np.ndarray, home: np.ndarray, apart: Callable) -> tuple[np.ndarray, np.ndarray]:
+def _leaders(node: np.ndarray, word: np.ndarray, home: np.ndarray, size: np.ndarray, apart: Callable, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of each text with its smallest and its nearest partner; rows are in order of node.
 
     Where more than LEAF texts share a word, only the first LEAF are compared with the rest: a text there is also
-    paired with itself, which keeps it for the second round.
+    paired with itself, which keeps it for the other rounds.
     """
     points = np.flatnonzero(home)
     least, closest = np.full(len(node), len(node), dtype=np.int64), np.full(len(node), np.iinfo(np.int64).max)
@@ -79,7 +133,7 @@ def _leaders(node: np.ndarray, word: np.ndarray, home: np.ndarray, apart: Callab
             p = p[:LEAF]
         for x, y in compared(word[points], word, p, q, RADIUS):
             x, bits = points[x], apart(points[x], y)
-            good = (node[x] != node[y]) & (bits <= CHECK_BITS)
+            good = (node[x] != node[y]) & (bits <= CHECK_BITS) & (np.minimum(size[x], size[y]) + 1 >= similarity * np.maximum(size[x], size[y]))
             x, y, bits = x[good], y[good], bits[good]
             np.minimum.at(least, y, x)
             np.minimum.at(closest, y, (bits << 40) + x)
@@ -87,46 +141,77 @@ def _leaders(node: np.ndarray, word: np.ndarray, home: np.ndarray, apart: Callab
     return np.concatenate([least[found], closest[found] & ((1 << 40) - 1), still]), np.concatenate([found, found, still])
 
 
-def _across(word: np.ndarray, home: np.ndarray, group: np.ndarray, apart: Callable) -> tuple[np.ndarray, np.ndarray]:
-    """Every pair of different groups."""
+def _across(word: np.ndarray, home: np.ndarray, group: np.ndarray, may_link: Callable) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Every pair of different groups that may be similar, and its estimate, a leaf at a time; the point comes first."""
     points = np.flatnonzero(home)
-    at_home, pairs = group[points], [(points[:0], points[:0])]
+    at_home = group[points]
     for p, q in leaves(word[points], word, RADIUS, at_home, group):
         some, back, count = np.unique(at_home[p], return_inverse=True, return_counts=True)
         major, alien = back == count.argmax(), group[q] != some[count.argmax()]
         for pp, qq in ((p[major], q[alien]), (p[~major], q)):
             for x, y in compared(word[points], word, pp, qq, RADIUS):
                 x = points[x]
-                good = (group[x] != group[y]) & (apart(x, y) <= CHECK_BITS)
-                pairs.append((x[good], y[good]))
-    return np.concatenate([x for x, _ in pairs]), np.concatenate([y for _, y in pairs])
+                good = (x < y) & (group[x] != group[y])
+                yield may_link(x[good], y[good])
+
 
+def _best(text: np.ndarray, group: np.ndarray, estimate: np.ndarray, partner: np.ndarray) -> list[np.ndarray]:
+    """One row for each text and group, that of the greatest estimate."""
+    order = np.lexsort((-estimate, group, text))
+    text, group, estimate, partner = (v[order] for v in (text, group, estimate, partner))
+    new = np.ones(len(text), dtype=bool)
+    new[1:] = (text[1:] != text[:-1]) | (group[1:] != group[:-1])
+    return [v[new] for v in (text, group, estimate, partner)]
 
-def _pairs_of_shard(grouped: bool) -> Callable:
+
+def _pairs_of_shard(kind: str, similarity: float) -> Callable:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node", kind="stable")
-        node, word, home = pdf["node"].to_numpy(), pdf["word"].to_numpy().astype(np.uint64), pdf["home"].to_numpy()
+        pdf = pdf.sort_values(["node", "home"], ascending=[True, False], kind="stable").reset_index(drop=True)
+        node, word, home, size = pdf["node"].to_numpy(), pdf["word"].to_numpy().astype(np.uint64), pdf["home"].to_numpy(), pdf["size"].to_numpy().astype(np.int64)
         checks = [pdf[n].to_numpy().view(np.uint64) for n in ("check0", "check1")]
 
         def apart(p: np.ndarray, q: np.ndarray) -> np.ndarray:
             return sum(distance(c[p], c[q]).astype(np.int64) for c in checks)
 
-        p, q = _across(word, home, pdf["component"].to_numpy(), apart) if grouped else _leaders(node, word, home, apart)
-        a, b = node[p], node[q]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+        if kind == _LEADERS:
+            p, q = _leaders(node, word, home, size, apart, similarity)
+            a, b = node[p], node[q]
+            return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+        group = pdf["component"].to_numpy()
+        sketch = np.frombuffer(b"".join(pdf["sketch"]), dtype=np.uint64).reshape(len(pdf), BINS // 32)
+
+        def may_link(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            near = apart(p, q) <= CHECK_BITS
+            p, q = p[near], q[near]
+            estimate, may = likeness(sketch, size, p, q, similarity)
+            return p[may], q[may], estimate[may]
+
+        none = np.zeros(0, dtype=np.int64)
+        if kind == _ALL:
+            found = [(node[p], node[q]) for p, q, _ in _across(word, home, group, may_link)] or [(none, none)]
+            return pd.DataFrame({"a": np.concatenate([x for x, _ in found]), "b": np.concatenate([y for _, y in found])})
+        best, held = [none, none, np.zeros(0), none], 0
+        parts = [best]
+        for p, q, estimate in _across(word, home, group, may_link):
+            parts.append([np.concatenate([p, q]), np.concatenate([group[q], group[p]]), np.tile(estimate, 2), np.concatenate([q, p])])
+            held += len(p)
+            if held > 1 << 20:
+                parts, held = [_best(*map(np.concatenate, zip(*parts, strict=True)))], 0
+        text, other, estimate, partner = _best(*map(np.concatenate, zip(*parts, strict=True)))
+        return pd.DataFrame({"text": node[text], "other": other, "estimate": estimate, "partner": node[partner]})
 
     return run
 
 
-def candidate_pairs(points: DataFrame, depth: int = DEPTH, sample: int = SAMPLE) -> DataFrame:
-    """points (node, check0, check1, w0..w9) -> distinct pairs (a, b), a <= b, that may be similar: of each text the
-    smallest and the nearest partner. With a column component, every pair of different components instead.
+def candidate_pairs(points: DataFrame, kind: str = _LEADERS, similarity: float = 0.8, depth: int = DEPTH, sample: int = SAMPLE) -> DataFrame:
+    """points (node, size, check0, check1, w0..w9) -> distinct pairs (a, b), a <= b, that may be similar.
 
-    A pair a = b says that a text's partners were not all looked at.
+    leaders: of each text the smallest and the nearest partner; a pair a = b says that a text's partners were not all
+    looked at. With columns component and sketch, likeliest: for each text and other component the likeliest pair; and
+    all: every pair of different components.
     """
-    grouped = "component" in points.columns
-    carried = ["check0", "check1", *(["component"] if grouped else [])]
-    depth = max(depth, (points.count() // SHARD).bit_length())
+    carried = {"check0": "long", "check1": "long", "size": "int"} | ({} if kind == _LEADERS else {"component": "long", "sketch": "binary"})
+    depth = max(depth, (points.count() // (SHARD if kind == _LEADERS else SKETCHED)).bit_length())
     pick = np.array([tuple(r) for r in points.select(*[f"w{t}" for t in range(TABLES)]).orderBy(F.xxhash64("node")).limit(sample).collect()], dtype=np.uint64).reshape(-1, TABLES)
     routers = [Router(pick[:, t], depth) for t in range(TABLES)]
 
@@ -140,13 +225,18 @@ def candidate_pairs(points: DataFrame, depth: int = DEPTH, sample: int = SAMPLE)
                 row, shard = router.route(x, RADIUS)
                 yield pa.RecordBatch.from_arrays([pa.array((t * 2**depth + shard).astype(np.int32)), pa.array(home[row] == shard), *(b.column(n).take(pa.array(row)) for n in ("node", f"w{t}", *carried))], names=["shard", "home", "node", "word", *carried])
 
-    routed = points.mapInArrow(run, "shard int, home boolean, node long, word int, " + ", ".join(f"{n} long" for n in carried))
-    return routed.groupBy("shard").applyInPandas(_pairs_of_shard(grouped), "a long, b long").distinct()
+    routed = points.mapInArrow(tidied(run), "shard int, home boolean, node long, word int, " + ", ".join(f"{n} {t}" for n, t in carried.items()))
+    shape = "text long, other long, estimate double, partner long" if kind == _LIKELIEST else "a long, b long"
+    found = routed.groupBy("shard").applyInPandas(_pairs_of_shard(kind, similarity), shape)
+    if kind == _LIKELIEST:
+        best = found.groupBy("text", "other").agg(F.max(F.struct("estimate", "partner"))["partner"].alias("partner"))
+        found = best.select(F.least("text", "partner").alias("a"), F.greatest("text", "partner").alias("b"))
+    return found.distinct()
 
 
 def _sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
     raw, at = W.text_bytes(column)
-    for i, j in W.blocks(at):
+    for i, j in W.blocks(at, _BYTES):
         part, offsets = raw[at[i] : at[j]], at[i : j + 1] - at[i]
         starts, ends, first = W.spans(part, offsets)
         h, to = W.shingle_hashes(W.word_hashes(part, starts, ends), first, k)
@@ -167,33 +257,54 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> D
 
     with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     with_b = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return with_b.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return with_b.select("a", "b", "text_a", "text_b").mapInArrow(tidied(run), "a long, b long")
 
 
-def near_duplicate_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id) of each row with an id: the smallest doc_id reachable over verified links.
+def _row_groups(docs: DataFrame, k: int, similarity: float) -> DataFrame:
+    """(doc_id, key, component) of each row of docs; component is a number of no meaning."""
+    rows = checkpoint(sketches(docs, k))
+    same = ["content", "check0", "check1", "size", *[f"w{t}" for t in range(TABLES)]]
+    # Rows of equal words are one point; its number is settled by the checkpoint. One of its rows lends it a text.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key"))
+    points = checkpoint(rows.groupBy(*same).agg(first.alias("first"), F.first("sketch").alias("sketch")).withColumn("node", F.monotonically_increasing_id()))
+    pairs = checkpoint(candidate_pairs(points, _LEADERS, similarity))
 
-    Texts of the same words are equal; a text of fewer than k words is one shingle, and null and blank texts have
-    none: they are equal to each other only. Rows that repeat an id with other words count as one node. Rows without an
-    id are left out. An empty table gives no rows.
-    """
-    rows = checkpoint(sketches(docs).filter("doc_id is not null"))
-    points = checkpoint(rows.groupBy(*rows.columns[1:]).agg(F.min("doc_id").alias("node")))
-    pairs = checkpoint(candidate_pairs(points))
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-    texts = checkpoint(with_ids(docs.select(F.col("doc_id").cast("long").alias("node"), "text"), ends, "node").dropDuplicates(["node"]))
+    def ends(of: DataFrame) -> DataFrame:
+        return of.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+    def grouped(some: DataFrame, links: DataFrame) -> DataFrame:
+        return some.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+    partnered = checkpoint(points.join(ends(pairs), "node", "left_semi"))
+    named = partnered.select("node", F.col("first.doc_id").alias("doc_id"), F.col("first.key").alias("key"))
+    texts = checkpoint(rows_of(docs.select("doc_id", "text"), named).select("node", "text").dropDuplicates(["node"]))
     links = checkpoint(verified(pairs.filter("a < b"), texts, k, similarity))
-    again = with_ids(points, ends, "node").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    others = candidate_pairs(checkpoint(again)).join(pairs, ["a", "b"], "left_anti")
+    likeliest = checkpoint(candidate_pairs(checkpoint(grouped(partnered, links)), _LIKELIEST, similarity).join(pairs, ["a", "b"], "left_anti"))
+    links = checkpoint(links.unionByName(verified(likeliest, texts, k, similarity)))
+    apart = checkpoint(grouped(partnered.join(ends(likeliest), "node", "left_semi"), links))
+    others = candidate_pairs(apart, _ALL, similarity).join(likeliest.unionByName(pairs), ["a", "b"], "left_anti")
     found = components(links.unionByName(verified(checkpoint(others), texts, k, similarity)))
-    same = rows.join(points, rows.columns[1:]).select("doc_id", "node")
-    return same.join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
+    numbered = rows.select("doc_id", "key", *same).join(points.select("node", *same), same).select("doc_id", "key", "node")
+    return numbered.join(found, "node", "left").select("doc_id", "key", F.coalesce("component", "node").alias("component"))
 
 
-def drop_near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs with one document, that of the smallest id, of each group of near duplicates; all columns stay.
+def near_duplicate_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) of each row: the smallest doc_id reachable over verified links.
 
-    Rows without an id stay.
+    Texts of the same words are equal; a text of fewer than k words is one shingle, and null and blank texts have
+    none: they are equal to each other only. Rows are told apart by id and text, so those that repeat an id with
+    another text are texts of their own. Rows without an id take part; a group of such rows only has no component_id.
+    An empty table gives no rows.
     """
-    groups = near_duplicate_groups(docs, k, similarity)
-    return without_ids(docs, groups.filter("doc_id <> component_id"))
+    rows = checkpoint(_row_groups(docs, k, similarity))
+    least = rows.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(least, "component").select("doc_id", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each group of near duplicates, that of the smallest id (null ids last, then any text of
+    that id); all columns stay. Rows equal in id and text are copies, of which one stays."""
+    rows = checkpoint(_row_groups(docs, k, similarity))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
+    lead = rows.groupBy("component").agg(F.min(order).alias("lead"))
+    return without_rows(docs, rows.join(lead, "component").select("doc_id", "key", (order == F.col("lead")).alias("stays")))

@@ -19,13 +19,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crosspanel.llm import words as W
-from crosspanel.llm.common import checkpoint, without_ids
+from crosspanel.llm.common import checkpoint
 from crosspanel.llm.components import components
 
 #: Fingerprints that the upper tree is fitted on.
 SAMPLE = 4096
-#: Depth of the upper tree: 2**6 shards.
-DEPTH = 6
+#: Depth of the upper tree: 2**DEPTH shards, or as many more as leave about SHARD fingerprints at home in each.
+DEPTH, SHARD = 6, 1 << 17
 #: A leaf is compared whole.
 LEAF = 96
 #: Pairs compared at once.
@@ -192,7 +192,7 @@ def hamming_components(fps: DataFrame, radius: int = 2, depth: int = DEPTH) -> D
     """(fp, component_id) of each distinct fp of fps (doc_id, fp): the smallest doc_id reachable over links of at most
     radius differing bits."""
     points = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    routed = route_to_shards(fps.sparkSession, points, radius, depth)
+    routed = route_to_shards(fps.sparkSession, points, radius, max(depth, (points.count() // SHARD).bit_length()))
     edges = routed.groupBy("shard").applyInPandas(_forest_of_shard(radius), "a long, b long")
     found = components(edges)
     return points.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
