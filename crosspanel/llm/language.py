@@ -2,9 +2,9 @@
 
 A Bloom filter whose slots hold bitmasks, one bit for each language (bit-sliced filters, one for each language, laid
 side by side): adding an n-gram sets its languages' bits in a few slots, and the AND of those slots gives at once all
-languages that contain it. An n-gram is a language's own if it is at least as frequent there as on the average over
-languages. A text's n-grams are looked up, each language's bits are counted and corrected for the false positives its
-slice gives, and the largest count decides. The filter's size is a parameter; n-gram counts cover all learned rows.
+languages that contain it (with a share of their n-grams and a number of times below which it is taken as stray). A
+text's n-grams are looked up, each language's bits are counted and corrected for the false positives its slice gives,
+and the largest count decides. The filter grows with the n-grams; their counts cover all learned rows.
 """
 
 from __future__ import annotations
@@ -16,10 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from crosspanel.llm.common import checkpoint
 from crosspanel.llm.words import BLOCK, blocks, mix, text_bytes
 
-#: Bytes of an n-gram, slots of the filter (8 bytes each, 32 MB), hash functions, languages in a slice of masks.
-N, SLOT_BITS, HASHES, SLICE = 4, 22, 3, 63
+#: Bytes of an n-gram, hash functions, languages in a slice of masks, slots (8 bytes each) for an n-gram and hash.
+N, HASHES, SLICE, ROOM = 4, 3, 63, 3
+#: Times and share of a language's n-grams from which a language contains an n-gram: at most a million a language.
+LEAST, LEAST_SHARE = 2, 1e-6
 
 _fold = np.arange(256, dtype=np.uint8)
 _fold[65:91] += 32
@@ -52,7 +55,7 @@ def grams(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[good], kept[np.minimum(to, len(good))]
 
 
-def slots(key: np.ndarray, bits: int = SLOT_BITS) -> list[np.ndarray]:
+def slots(key: np.ndarray, bits: int) -> list[np.ndarray]:
     h = mix(key.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
     step = mix(h) | np.uint64(1)
     return [((h + np.uint64(i) * step) >> np.uint64(64 - bits)).astype(np.int64) for i in range(HASHES)]
@@ -93,8 +96,9 @@ def held_out(ident: str, folds: int, fold: int):
     return F.crc32(F.coalesce(F.col(ident).cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def learn_filter(rows: DataFrame, bits: int = SLOT_BITS) -> LanguageFilter:
-    """rows (text, lang) -> a filter. Rows of null text or lang are left out."""
+def learn_filter(rows: DataFrame, bits: int | None = None) -> LanguageFilter:
+    """rows (text, lang) -> a filter of 2**bits slots (by default as many as its n-grams need). Rows of null text or
+    lang are left out; of a language with fewer than LEAST rows of an n-gram nothing of it is learned."""
     spark = rows.sparkSession
     rows = rows.filter("text is not null and lang is not null").select("text", "lang")
 
@@ -119,18 +123,17 @@ def learn_filter(rows: DataFrame, bits: int = SLOT_BITS) -> LanguageFilter:
         counts.unpersist()
         return LanguageFilter([], UNDETERMINED, [])
     named = spark.createDataFrame([(r["lang"], i // SLICE, 1 << (i % SLICE), r["total"]) for i, r in enumerate(totals)], "lang string, slice int, mask long, total long")
-    share = counts.join(F.broadcast(named), "lang").withColumn("share", F.col("n") / F.col("total"))
-    average = share.groupBy("gram").agg((F.sum("share") / len(languages)).alias("average"))
-    own = share.join(average, "gram").filter("share >= average")
+    own = checkpoint(counts.join(F.broadcast(named), "lang").filter(f"n >= {LEAST} and n >= total * {LEAST_SHARE}").select("gram", "slice", "mask"))
+    counts.unpersist()
+    size = bits or max(16, (own.select("gram").distinct().count() * HASHES * ROOM).bit_length())
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in slots(np.asarray(b.column("gram")), bits):
+            for at in slots(np.asarray(b.column("gram")), size):
                 yield pa.RecordBatch.from_arrays([b.column("slice"), pa.array(at), b.column("mask")], names=["slice", "slot", "mask"])
 
-    table = own.select("gram", "slice", "mask").mapInArrow(place, "slice int, slot long, mask long").groupBy("slice", "slot").agg(F.bit_or("mask").alias("mask")).toArrow()  # at most a row for each slot and slice
-    counts.unpersist()
-    masks = [np.zeros(1 << bits, dtype=np.int64) for _ in range((len(languages) + SLICE - 1) // SLICE)]
+    table = own.mapInArrow(place, "slice int, slot long, mask long").groupBy("slice", "slot").agg(F.bit_or("mask").alias("mask")).toArrow()  # at most a row for each slot and slice
+    masks = [np.zeros(1 << size, dtype=np.int64) for _ in range((len(languages) + SLICE - 1) // SLICE)]
     which = np.asarray(table.column("slice"))
     for s, mask in enumerate(masks):
         mask[np.asarray(table.column("slot"))[which == s]] = np.asarray(table.column("mask"))[which == s]
@@ -141,8 +144,9 @@ def identify(docs: DataFrame, learned: LanguageFilter) -> DataFrame:
     """docs (doc_id, text) -> doc_id, lang_pred, score.
 
     `und`, with score zero, where the text is null or has no letter (or nothing was learned). A text with letters but
-    no known n-gram gets the most usual language and score zero; ties go to the first language by name. Rows that
-    repeat an id are judged each. No rows give no rows.
+    no known n-gram gets the most usual language and score zero; ties go to the first language by name. Texts of any
+    length are read whole; rows that repeat an id are judged each; null ids stay; other columns are ignored, whatever
+    their names. No rows give no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(learned)
     names = ["doc_id", "lang_pred", "score"]
