@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crosspanel.llm import words as W
-from crosspanel.llm.common import checkpoint, stored_at
+from crosspanel.llm.common import checkpoint, stored_at, tidied
 
 #: Bytes of benchmark text that a task holds at once (its index takes some forty times as many), with ITEM more for
 #: each item; a larger benchmark is worked through in blocks, each read once for HELD bytes of documents.
@@ -179,7 +179,7 @@ def benchmark_tables(benchmark: DataFrame, k: int) -> Tables | None:
             first[to[:-1][np.diff(to) > 0]] = 1
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(first)], names=["shingle", "first"])
 
-    met = items.select("text").mapInArrow(run, "shingle long, first long").groupBy("shingle").agg(F.count("*").alias("items"), F.sum("first").alias("first"))
+    met = items.select("text").mapInArrow(tidied(run), "shingle long, first long").groupBy("shingle").agg(F.count("*").alias("items"), F.sum("first").alias("first"))
     met = checkpoint(met)
     n = met.agg(F.sum("first")).first()[0] or 0
     return Tables(where, stored_at(met.filter("items > 1").select("shingle", "items")), blocks, n, k)
@@ -233,7 +233,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, similarity:
             ids = b.column("doc_id").take(pa.array([x[0] for x in found], pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, *(pa.array([x[i] for x in found], kind) for i, kind in ((1, pa.int64()), (2, pa.float64()), (3, pa.int32()), (4, pa.int32())))], names=["doc_id", "item_id", "similarity", "start_word", "n_words"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), schema)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -248,4 +248,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, similar
             keep[[x[0] for x in found]] = False
             yield b.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

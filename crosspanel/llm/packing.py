@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crosspanel.llm.common import checkpoint
+from crosspanel.llm.common import checkpoint, tidied
 from crosspanel.llm.tokens import PackedEncoder
 
 CAPACITY = 4096
@@ -182,7 +182,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                         crc.append(zlib.crc32(part))
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -204,7 +204,7 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(sequence), pa.array(offset.astype(np.int64))], names=[*names, "sequence_id", "offset"])
 
     kinds = [f"{f.name} {f.dataType.simpleString()}" for f in ranked.schema.fields if f.name in names]
-    return ranked.mapInArrow(run, ", ".join([*kinds, "sequence_id long", "offset long"]))
+    return ranked.mapInArrow(tidied(run), ", ".join([*kinds, "sequence_id long", "offset long"]))
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1) -> DataFrame:

@@ -10,7 +10,7 @@ from itertools import islice
 import numpy as np
 
 #: Chunks between white space whose ids a worker remembers (about 150 bytes each), and how many outlive a full cache.
-CACHE, KEPT = 300_000, 150_000
+CACHE, KEPT = 120_000, 60_000
 #: Texts of these characters alone are cut at white space before they are encoded: there, cutting, lower-casing and
 #: composing chunk by chunk give what the whole text gives. Special tokens' strings start with "<|".
 _PLAIN = re.compile("[^\t-\r -~¡-įı-ɏ‐-‧]|<\\|")
