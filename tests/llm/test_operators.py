@@ -285,7 +285,7 @@ def test_near_duplicates(spark, odd, none):
     far = " ".join(w if i % 4 else "other" for i, w in enumerate(words))
     frame = spark.createDataFrame([(5, base), (2, near), (9, far), (4, base + " tail"), (7, "short text"), (8, "short  text")], SCHEMA).withColumn("node", F.lit(1))
     assert sorted(r["doc_id"] for r in near_dedup.drop_near_duplicates(frame).collect()) == [2, 7, 9]
-    got = dict(near_dedup.near_duplicate_groups(odd).distinct().collect())
+    got = dict(near_dedup.near_duplicate_groups(odd).filter("doc_id is not null").distinct().collect())
     assert got[3] == 1 and got[6] == 5 and got[7] == 5 and got[9] == 9
     assert near_dedup.drop_near_duplicates(none).collect() == []
 
@@ -317,12 +317,15 @@ def test_near_duplicates_against_all_pairs(spark):
 
 
 def test_near_duplicate_rounds_find_every_pair():
-    """One word shared by many texts of three families: the second round reports what the first leaves apart."""
+    """One word shared by many texts of three families: the first round reports each text with a partner, the last
+    every pair of different groups, the second the likeliest of each text and group."""
     rng = np.random.default_rng(5)
     family = rng.integers(0, 3, 700)
     base = rng.integers(0, 2**63, (3, 2), dtype=np.uint64)
     check = base[family] ^ (np.uint64(1) << rng.integers(0, 64, (700, 2), dtype=np.uint64))
-    frame = pd.DataFrame({"node": np.arange(700), "word": np.where(np.arange(700) % 7 == 0, rng.integers(0, 1 << 24, 700), 9), "home": True, "check0": check[:, 0].view(np.int64), "check1": check[:, 1].view(np.int64)})
+    sets = [np.concatenate([rng.integers(0, 2**64, 6, dtype=np.uint64), np.random.default_rng(f).integers(0, 2**64, 100, dtype=np.uint64)]) for f in family]
+    size, sketch = near_dedup.set_sketch(np.concatenate(sets), np.arange(701) * 106)
+    frame = pd.DataFrame({"node": np.arange(700), "word": np.where(np.arange(700) % 7 == 0, rng.integers(0, 1 << 24, 700), 9), "home": True, "check0": check[:, 0].view(np.int64), "check1": check[:, 1].view(np.int64), "size": size})
     word = frame["word"].to_numpy().astype(np.uint64)
     want = {
         (i, j)
@@ -330,12 +333,43 @@ def test_near_duplicate_rounds_find_every_pair():
         for i in range(j)
         if simhash.distance(word[i], word[j]) <= near_dedup.RADIUS and sum(simhash.distance(check[i], check[j]).tolist()) <= near_dedup.CHECK_BITS
     }
-    first = near_dedup._pairs_of_shard(False)(frame)
+    first = near_dedup._pairs_of_shard("leaders", 0.8)(frame)
     some = set(zip(first["a"].tolist(), first["b"].tolist(), strict=True))
     assert {p for p in some if p[0] < p[1]} <= want and {x for p in want for x in p} <= {x for p in some for x in p}
     group = np.minimum(np.arange(700), 350)
-    second = near_dedup._pairs_of_shard(True)(frame.assign(component=group))
-    assert set(zip(second["a"].tolist(), second["b"].tolist(), strict=True)) == {(i, j) for i, j in want if group[i] != group[j]}
+    frame = frame.assign(component=group, sketch=[x.tobytes() for x in sketch])
+    last = near_dedup._pairs_of_shard("all", 0.8)(frame)
+    across = {(i, j) for i, j in want if group[i] != group[j]}
+    assert sorted(zip(last["a"].tolist(), last["b"].tolist(), strict=True)) == sorted(across)
+    second = near_dedup._pairs_of_shard("likeliest", 0.8)(frame)
+    assert sorted(zip(second["text"], second["other"], strict=True)) == sorted({(i, group[j]) for i, j in across} | {(j, group[i]) for i, j in across})
+
+
+def test_set_sketch_rejects_only_what_is_below():
+    """Pairs of known similarity: those at 0.8 are never rejected, those at 0.6 nearly always, small or large."""
+    rng = np.random.default_rng(7)
+    for shared, own in ((32, 4), (320, 40), (3200, 400)):
+        for similar, part in ((True, own), (False, int(shared / 3))):
+            sets, n = [], 200
+            for _ in range(n):
+                common = rng.integers(0, 2**64, shared, dtype=np.uint64)
+                sets += [np.concatenate([common, rng.integers(0, 2**64, part, dtype=np.uint64)]) for _ in range(2)]
+            size, sketch = near_dedup.set_sketch(np.concatenate(sets), np.arange(2 * n + 1) * (shared + part))
+            pairs = np.arange(n) * 2
+            estimate, may = near_dedup.likeness(sketch.view(np.uint64), size, pairs, pairs + 1, 0.8)
+            assert size.tolist() == [shared + part] * (2 * n)
+            assert abs(estimate.mean() - shared / (shared + 2 * part)) < 0.02 and (may.all() if similar else may.mean() < 0.1)
+
+
+def test_repeated_ids_lose_no_text(spark):
+    """Rows are told apart by id and text, whatever columns there are besides."""
+    same, other = "the same text of some ten words or more in all", "a text of its own that nobody else has at all"
+    frame = spark.createDataFrame([(1, same), (2, same), (2, other), (None, same), (2, other)], SCHEMA).withColumns({"_id": F.lit(1), "key": F.lit(2), "stays": F.lit(3)})
+    for drop in (exact_dedup.drop_exact_duplicates, near_dedup.drop_near_duplicates):
+        kept = drop(frame)
+        assert kept.columns == frame.columns and rows(kept.select("doc_id", "text")) == [(1, same), (2, other)]
+    nulls = spark.createDataFrame([(None, same), (None, same), (None, other), (None, None), (None, "")], SCHEMA)
+    assert len(rows(exact_dedup.drop_exact_duplicates(nulls))) == 3 == len(rows(near_dedup.drop_near_duplicates(nulls)))
 
 
 def test_components(spark):
@@ -350,25 +384,77 @@ def test_language(spark, odd, none):
     out = [r for r in got if r["held_out"]]
     assert sum(r["lang"] == r["lang_pred"] for r in out) >= 0.95 * len(out) and all(0 <= r["score"] <= 1 for r in got)
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
-    learned = language.learn_filter(spark.createDataFrame([("the cat", "en"), ("le chat", "fr"), (None, "de"), ("x", None)], "text string, lang string"), bits=12)
+    learned = language.learn_filter(spark.createDataFrame([("the cat the cat", "en"), ("le chat le chat", "fr"), (None, "de"), ("x", None)], "text string, lang string"), bits=12)
     assert learned.languages == ["en", "fr"]
+    both = language.learn_filter(spark.createDataFrame([("a chat", "en")] * 2 + [("chat", "fr")] * 2, "text string, lang string"))
+    assert all(both.masks[0][int(at[0])] == 0b11 for at in language.slots(np.array([int.from_bytes(b"chat", "big")], dtype=np.uint32), both.bits))  # both contain it
     preds = {r["doc_id"]: r["lang_pred"] for r in language.identify(odd, learned).collect()}
     assert preds[5] == preds[6] == preds[7] == "und" and preds[8] in ("en", "fr")
     assert language.identify(none, learned).collect() == []
     assert {r["lang_pred"] for r in language.identify(odd, language.learn_filter(none.withColumn("lang", F.lit("x")))).collect()} == {"und"}
 
 
-def test_toxicity(spark, odd, none):
-    sf = "/root/testdata/sf0.01"
-    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
+@pytest.mark.parametrize("scale", ["sf0.01", "sf0.1"])
+def test_toxicity_detects_what_it_has_not_seen(spark, scale):
+    sf = f"/root/testdata/{scale}"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     got = QUERIES["op10_toxicity"](spark, sf).join(labels, "doc_id").filter("held_out").collect()
-    assert sum(r["predicted"] == r["toxic"] for r in got) >= 0.9 * len(got) and all(0 <= r["score"] <= 1 for r in got)
-    toxic, other = ([r["score"] for r in got if r["toxic"] == t] for t in (1, 0))
-    assert np.median(toxic) > np.quantile(other, 0.75)  # 45 toxic documents to learn from: the order is right, few reach 0.5
-    model = toxicity.learn_toxicity(odd, spark.createDataFrame([(1, 1), (3, 0), (3, None)], "doc_id long, toxic int"))
+    toxic, other = ([r for r in got if r["toxic"] == t] for t in (1, 0))
+    assert np.mean([r["predicted"] for r in toxic]) >= 0.8 and np.mean([r["predicted"] for r in other]) <= 0.02
+    below = np.array([r["score"] for r in other])
+    assert np.mean([(below < r["score"]).mean() + (below == r["score"]).mean() / 2 for r in toxic]) >= 0.93
+
+
+def test_toxicity_is_kneser_ney(spark):
+    """Likelihood ratios of a toy corpus by the formula, word by word."""
+    corpus = [("you foolish clownish lot", 1), ("clowns all of you", 1), ("what a lovely day", 0), ("you and the foolproof day", 0), ("day of days", 0)]
+    n, pred = [Counter(), Counter()], set()
+    for text, toxic in corpus:
+        w = text.split()
+        n[toxic].update(set(w))
+        pred |= set(zip(["", *w[:-1]], w, strict=True))
+    after = Counter(b for _, b in pred)
+    cut = lambda w, i: w if i == 2 else w[: (4, 6)[i]]
+
+    def p(c, w, i):
+        """Of step i of the word after step i - 1, in class c; None where nothing follows that was seen."""
+        within = lambda v: i == 0 or cut(v, i - 1) == cut(w, i - 1)
+        count, shared = Counter(), Counter()
+        for v, x in n[c].items():
+            count[cut(v, i)] += x * within(v)
+        for v, x in after.items():
+            shared[cut(v, i)] += x * within(v)
+        total, kinds = sum(count.values()), sum(x > 0 for x in count.values())
+        rest = toxicity.DISCOUNT * kinds / total if total else 1.0
+        known = cut(w, i) in {cut(v, i) for v in after}
+        base = shared[cut(w, i)] / sum(shared.values()) if known else 1.0
+        return (max(count[cut(w, i)] - toxicity.DISCOUNT, 0) / total if total and known else 0.0) + rest * base, known
+
+    def ratio(w):
+        out = 0.0
+        for i in range(3):
+            (a, known), (b, _) = p(1, w, i), p(0, w, i)
+            out += np.log(a / b)
+            if not known:
+                break
+        return out
+
+    frame = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(corpus)], SCHEMA)
+    model = toxicity.learn_toxicity(frame, spark.createDataFrame([(i, c) for i, (_, c) in enumerate(corpus)], "doc_id long, toxic int"))
+    for text in ("clownish", "clowning about", "foolish day", "Days of NEVER seen", "lovely lot you all", "clo"):
+        raw = np.frombuffer(text.encode(), dtype=np.uint8)
+        want = np.log(np.mean([np.exp(ratio(w)) for w in text.lower().split()]))
+        assert model.evidence(raw, np.array([0, len(raw)]))[0] == pytest.approx(want, abs=1e-5), text
+
+
+def test_toxicity_of_odd_rows(spark, odd, none):
+    labels = spark.createDataFrame([(1, 1), (3, 0), (3, None), (None, 1)], "doc_id long, toxic int")
+    model = toxicity.learn_toxicity(odd, labels)
     scores = toxicity.toxicity_scores(odd, model).collect()
     assert len(scores) == len(ODD) and all(0 <= r["score"] <= 1 for r in scores)
-    assert toxicity.drop_toxic(odd, labels.limit(0)).columns == odd.columns
+    assert len({r["score"] for r in scores if r["doc_id"] in (5, 6, 7)}) == 1
+    for few in (labels.limit(0), labels.filter("toxic = 0")):
+        assert toxicity.drop_toxic(odd, few).columns == odd.columns and toxicity.drop_toxic(odd, few).count() == len(ODD)
     assert toxicity.toxicity_scores(none, toxicity.learn_toxicity(none, labels)).collect() == []
 
 
@@ -386,3 +472,26 @@ def test_pipeline(spark):
     assert not [1 for i, a in enumerate(sets) for b in sets[:i] if len(a & b) >= 0.8 * len(a | b)]
     packed = corpus_pipeline.run(spark, SF)
     assert packed.select("doc_id").distinct().count() == len(texts)
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Null ids and texts, empty and long texts, ties, repeated rows, clashing columns; then no rows at all."""
+    import corpus_pipeline
+
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    frame = spark.createDataFrame([*ODD, ODD[0], (3, "another text of the same id")], SCHEMA)
+    for f in schema.fields[2:]:
+        frame = frame.withColumn(f.name, F.lit(1).cast(f.dataType))
+    frame = frame.withColumns({"key": F.lit("x"), "component": F.lit(1), "stays": F.lit(True)})
+    for name, docs in (("odd", frame), ("none", frame.limit(0))):
+        sf = str(tmp_path / name)
+        docs.write.parquet(f"{sf}/documents.parquet")
+        for t in ("labels", "benchmark"):
+            spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(f"{sf}/{t}.parquet")
+        kept = spark.read.parquet(f"{sf}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            kept = stage(spark, kept, sf)
+            assert kept.columns == frame.columns
+        packed = corpus_pipeline.run(spark, sf).collect()
+        # Left are: "a b c ...", one empty text, "x", the long one, two of odd letters, and the other text of id 3.
+        assert {r["doc_id"] for r in packed} == ({1, 5, 8, 9, 10, 11, 3} if name == "odd" else set())
