@@ -93,31 +93,37 @@ def investments_adjustment(investments: Column, override: Column, debt: Column,
     return F.when(F.coalesce(inside, F.lit(False)), 0.0).otherwise(investments)
 
 
+def prior_claims(rows: DataFrame) -> Column:
+    """Minority interest and preferred equity; zero where null or without such a column."""
+    return sum((F.coalesce(F.col(n), F.lit(0.0)) for n in ("minority_interest", "preferred_equity") if n in rows.columns), F.lit(0.0))
+
+
 def valued(scenarios: DataFrame) -> DataFrame:
     """scenarios with ev, terminal_share, equity, per_share, upside and error (rows with an error have null values).
 
     In: years, revenue0, nwc0, nol, tax_rate, nol_utilization, wacc, terminal_growth, method, exit_multiple,
-    net_debt_override, debt, cash, investments, shares, price.
+    net_debt_override, debt, cash, investments, shares, price, and if there are such columns minority_interest and
+    preferred_equity (null: zero), which are claims before that of the shares.
     """
     c = F.col
     p = scenarios.withColumn("projection", project(c("years"), c("revenue0"), c("nwc0"), c("nol"), c("tax_rate"), c("nol_utilization"), c("wacc")))
     last = F.try_element_at(c("projection.years"), F.lit(-1))
     value, error = terminal(c("method"), last["fcff"], last["ebitda"], c("terminal_growth"), c("wacc"), c("exit_multiple"))
     p = p.withColumns({"terminal": value, "error": error}).withColumn("_tpv", c("terminal") * c("projection.factor")).withColumn("ev", c("projection.pv") + c("_tpv"))
-    equity = c("ev") - net_debt(c("net_debt_override"), c("debt"), c("cash")) + investments_adjustment(c("investments"), c("net_debt_override"), c("debt"), c("cash"))
+    equity = c("ev") - net_debt(c("net_debt_override"), c("debt"), c("cash")) + investments_adjustment(c("investments"), c("net_debt_override"), c("debt"), c("cash")) - prior_claims(p)
     p = p.withColumns({"terminal_share": F.try_divide("_tpv", "ev"), "equity": equity}).withColumn("per_share", F.try_divide("equity", "shares"))
     return p.withColumn("upside", F.try_divide("per_share", "price") - 1).drop("_tpv")
 
 
 def ai_irr(base: DataFrame) -> DataFrame:
-    """valued rows with target_ev (price x shares with net debt, less investments), ai_irr and irr_flags.
+    """valued rows with target_ev (price x shares with net debt and prior claims, less investments), ai_irr and irr_flags.
 
     The rate at which the cash flows, the terminal value added to the last, are worth the present enterprise value.
     """
     c = F.col
     flows = F.transform(c("projection.years"), lambda y: y["fcff"])
     with_end = F.concat(F.slice(flows, 1, F.greatest(F.size(flows) - 1, F.lit(0))), F.array(F.try_element_at(flows, F.lit(-1)) + c("terminal")))
-    target = c("price") * c("shares") + net_debt(c("net_debt_override"), c("debt"), c("cash")) - investments_adjustment(c("investments"), c("net_debt_override"), c("debt"), c("cash"))
+    target = c("price") * c("shares") + net_debt(c("net_debt_override"), c("debt"), c("cash")) - investments_adjustment(c("investments"), c("net_debt_override"), c("debt"), c("cash")) + prior_claims(base)
     out = base.withColumns({"_flows": F.when(c("terminal").isNotNull(), with_end), "target_ev": target})
     out = out.withColumn("ai_irr", implied_rate(c("_flows"), c("target_ev"))).drop("_flows")
     return out.withColumn("irr_flags", flag_list({"missing_scenario": c("projection").isNull() | (F.size("projection.years") == 0), "missing_ai_irr": c("ai_irr").isNull()}))

@@ -17,6 +17,7 @@ reports AS (SELECT o_orderkey AS report_id, o_custkey AS ticker, o_orderstatus A
   CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice * 2e-2 ELSE 0e0 END AS nol, 2.1e-1 AS tax_rate, 8e-1 AS nol_utilization, 4e-2 + (o_orderkey % 10) / 1e2 AS wacc, 2e-2 + (o_orderkey % 4) / 1e2 AS terminal_growth,
   CASE o_orderkey % 3 WHEN 0 THEN 'gordon_growth' WHEN 1 THEN 'exit_multiple' ELSE 'average' END AS method, CASE WHEN o_orderkey % 7 <> 0 THEN 8e0 END AS exit_multiple,
   CASE WHEN o_orderkey % 6 = 0 THEN o_totalprice * 5e-2 END AS net_debt_override, o_totalprice * 2e-1 AS debt, o_totalprice * 1e-1 AS cash, CASE WHEN o_orderkey % 4 = 0 THEN o_totalprice * 5e-2 ELSE 0e0 END AS investments,
+  CASE WHEN o_orderkey % 8 = 0 THEN o_totalprice * 3e-2 ELSE 0e0 END AS minority_interest, CASE WHEN o_orderkey % 9 = 0 THEN o_totalprice * 2e-2 ELSE 0e0 END AS preferred_equity,
   1e1 + o_orderkey % 100 AS shares, o_totalprice / (2e1 + o_orderkey % 90) AS price FROM orders)"""
 
 
@@ -30,7 +31,7 @@ def reports(spark, sf) -> DataFrame:
         k.alias("report_id"), c("o_custkey").alias("ticker"), c("o_orderstatus").alias("tier"), F.to_date("o_orderdate").alias("date"), "years", total.alias("revenue0"), (total * 0.1).alias("nwc0"),
         F.when(k % 5 == 0, total * 0.02).otherwise(zero).alias("nol"), F.lit(0.21).alias("tax_rate"), F.lit(0.8).alias("nol_utilization"), (0.04 + (k % 10) / 100).alias("wacc"), (0.02 + (k % 4) / 100).alias("terminal_growth"),
         F.when(k % 3 == 0, "gordon_growth").when(k % 3 == 1, "exit_multiple").otherwise("average").alias("method"), F.when(k % 7 != 0, 8.0).alias("exit_multiple"), F.when(k % 6 == 0, total * 0.05).alias("net_debt_override"),
-        (total * 0.2).alias("debt"), (total * 0.1).alias("cash"), F.when(k % 4 == 0, total * 0.05).otherwise(zero).alias("investments"), (10.0 + k % 100).alias("shares"), (total / (20.0 + k % 90)).alias("price"))
+        (total * 0.2).alias("debt"), (total * 0.1).alias("cash"), F.when(k % 4 == 0, total * 0.05).otherwise(zero).alias("investments"), F.when(k % 8 == 0, total * 0.03).alias("minority_interest"), F.when(k % 9 == 0, total * 0.02).alias("preferred_equity"), (10.0 + k % 100).alias("shares"), (total / (20.0 + k % 90)).alias("price"))
 
 
 _RECURSIVE = f"""WITH RECURSIVE {REPORTS}, yrs AS (SELECT l_orderkey AS report_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_discount, l_tax) AS i, l_discount * 2 - 5e-2 AS growth, l_tax * 3 - 4e-2 AS margin FROM lineitem),
@@ -46,7 +47,7 @@ tv AS (SELECT r.*, e.pv, e.factor, CASE WHEN method <> 'exit_multiple' AND NOT w
   FROM ends e JOIN reports r USING (report_id), LATERAL (SELECT e.fcff * (1 + r.terminal_growth) / nullif(r.wacc - r.terminal_growth, 0) AS g, e.ebitda * r.exit_multiple AS x)),
 val0 AS (SELECT *, CASE WHEN error IS NULL THEN raw_terminal * factor END AS tpv FROM tv), val1 AS (SELECT *, pv + tpv AS ev, coalesce(net_debt_override, debt - cash) AS nd,
   CASE WHEN coalesce(abs(net_debt_override - (debt - cash - investments)) <= greatest(1, abs(investments) * 1e-2) AND abs(net_debt_override - (debt - cash)) > greatest(1, abs(investments) * 1e-2), false) THEN 0 ELSE investments END AS inv FROM val0),
-val AS (SELECT *, ev - nd + inv AS equity, (ev - nd + inv) / shares AS per_share FROM val1)"""
+val AS (SELECT *, ev - nd + inv - minority_interest - preferred_equity AS equity, (ev - nd + inv - minority_interest - preferred_equity) / shares AS per_share FROM val1)"""
 
 
 def _valued(spark, sf):

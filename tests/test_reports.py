@@ -1,11 +1,13 @@
 """Valuation reports against plain Python: projections, taxes with losses, terminal values, rates, flags."""
 
+import json
 import math
 
 import pytest
 from pyspark.sql import functions as F
 
 from crosspanel.operators import reports as O
+from crosspanel.sources import files
 
 YEARS = "array<struct<growth:double,ebit_margin:double,da:double,capex:double,nwc:double>>"
 SCHEMA = f"id int, years {YEARS}, revenue0 double, nwc0 double, nol double, tax_rate double, nol_utilization double, wacc double, terminal_growth double, method string, exit_multiple double, net_debt_override double, debt double, cash double, investments double, shares double, price double"
@@ -92,3 +94,16 @@ def test_years_and_normalised_inputs(spark):
     a, b = O.normalize_inputs(raw).collect()
     assert (a.tax_rate, a.terminal_growth, a.nol_utilization, a.flags, a.reason) == (0.0, 0.02, 0.8, ["default_terminal_growth"], None)
     assert math.isclose(b.tax_rate, 0.25) and b.reason == "missing_wacc"
+
+
+def test_prior_claims_come_before_the_shares(spark):
+    plain = spark.createDataFrame([row(1)], SCHEMA)
+    claims = plain.withColumns({"minority_interest": F.lit(30.0), "preferred_equity": F.lit(None).cast("double")})
+    a, b = (O.ai_irr(O.valued(x)).collect()[0] for x in (plain, claims))
+    assert b.equity == pytest.approx(a.equity - 30) and b.target_ev == pytest.approx(a.target_ev + 30) and b.ai_irr < a.ai_irr
+
+
+def test_parsing_tries_later_braces(spark):
+    body = '{"choices": [{"message": {"content": "see {not json} then {\\"a\\": {\\"b\\": 1}} end"}}]}'
+    r = files.clean_llm_content(spark.createDataFrame([(1, body)], "response_id long, body string")).collect()[0]
+    assert json.loads(r.object) == {"a": {"b": 1}} and r.failure is None and r.warnings == ["leading_text"]
