@@ -22,7 +22,7 @@ def cik10(c: Column) -> Column:
 
 def num_or_null(c: Column) -> Column:
     """A finite double or null."""
-    x = F.expr("try_cast(x as double)") if isinstance(c, str) else c.try_cast("double")
+    x = c.try_cast("double")
     return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
 
 
@@ -41,14 +41,14 @@ def safe_div(a: Column, b: Column) -> Column:
 def parse_amount(c: Column, ratio: bool = False) -> Column:
     """Text amount: (x) is negative, % and a trailing x go, separators and currency signs too; words for missing give null.
 
-    As a ratio a percentage is divided by 100, and so is a plain number above one in size.
+    A percentage is divided by 100, and as a ratio so is a plain number above one in size.
     """
     text = F.lower(F.trim(c.cast("string")))
     percent, negative = F.endswith(text, F.lit("%")), F.rlike(text, F.lit(r"^\(.*\)$"))
     plain = F.regexp_replace(F.regexp_replace(text, r"[,_\s$€£¥()%]", ""), r"x$", "")
     value = F.when(text.isin("", "n/a", "na", "none", "null", "nan", "-", "--"), None).otherwise(plain.try_cast("double"))
     value = F.when(negative, -F.abs(value)).otherwise(value)
-    return F.when(percent | (F.abs(value) > 1), value / 100).otherwise(value) if ratio else value
+    return F.when((percent | (F.abs(value) > 1)) if ratio else percent, value / 100).otherwise(value)
 
 
 def annualized(now: Column, later: Column, years: Column) -> Column:
@@ -56,7 +56,7 @@ def annualized(now: Column, later: Column, years: Column) -> Column:
 
 
 def md_link_url(c: Column) -> Column:
-    return F.coalesce(F.nullif(F.regexp_extract(c, r"\[[^\]]*\]\(([^)]*)\)", 1), F.lit("")), c)
+    return F.coalesce(F.nullif(F.regexp_extract(F.trim(c), r"^\[[^\]]+\]\((https?://[^)]+)\)$", 1), F.lit("")), c)
 
 
 def year_map(c: Column) -> Column:

@@ -10,7 +10,7 @@ def keyword_count(text: Column, terms: list[str]) -> Column:
     """Whole-word occurrences of the terms, lower-cased; a word ends at anything but letters, digits and `_`."""
     total = F.lit(0)
     for term in terms:
-        total = total + F.regexp_count(F.lower(text), F.lit(rf"(?<![\p{{L}}\p{{N}}_]){term}(?![\p{{L}}\p{{N}}_])"))
+        total = total + F.regexp_count(F.lower(text), F.lit(rf"(?<![\p{{L}}\p{{N}}_])\Q{term.lower()}\E(?![\p{{L}}\p{{N}}_])"))
     return total
 
 

@@ -132,9 +132,14 @@ def clean_llm_content(responses: DataFrame) -> DataFrame:
     text = F.when(raw.startswith("["), parts).otherwise(F.coalesce(F.get_json_object(raw, "$.text"), F.get_json_object(raw, "$.value"), raw))
     bare = F.regexp_replace(F.regexp_replace(text, r"```[A-Za-z]*", ""), r"^\s+|\s+$", "")
     start = F.locate("{", F.col("_bare"))
-    # The parser reads one value and ignores what follows it.
-    found = F.when(start > 0, F.get_json_object(F.substring(F.col("_bare"), start, F.length("_bare")), "$"))
-    out = responses.withColumns({"content": text, "_bare": bare}).withColumn("object", F.when(F.json_object_keys(found).isNotNull(), found))
+    # The parser reads one value and ignores what follows it; where the first brace begins none, later ones are tried.
+    read = lambda tail: F.get_json_object(tail, "$")
+    first = read(F.substring(F.col("_bare"), start, F.length("_bare")))
+    cut = F.split("_bare", r"\{")
+    tails = F.transform(F.sequence(F.lit(2), F.size(cut)), lambda i: read(F.concat(F.lit("{"), F.array_join(F.slice(cut, i, F.size(cut)), "{"))))
+    later = F.get(F.filter(tails, lambda x: F.json_object_keys(x).isNotNull()), F.lit(0))
+    found = F.when(start > 0, F.coalesce(F.when(F.json_object_keys(first).isNotNull(), first), later))
+    out = responses.withColumns({"content": text, "_bare": bare}).withColumn("object", found)
     warnings = F.array_compact(F.array(F.when(F.col("content").contains("```"), F.lit("code_fence")), F.when(start > 1, F.lit("leading_text"))))
     failure = F.when(F.col("content").isNull(), "missing_content").when(F.col("object").isNull(), "no_json_object")
     return out.withColumns({"warnings": warnings, "failure": failure}).drop("_bare")
