@@ -468,26 +468,27 @@ def membership_on_date(spark, sf):
 POSITIVE, NEGATIVE, RISK = ["the", "and", "with"], ["worthless", "idiot", "trash", "from"], ["are", "was", "that"]
 
 
-def _count_sql(terms: list[str]) -> str:
-    return " + ".join(rf"len(regexp_extract_all(lower(text), '\b{t}\b'))" for t in terms)
+def count_sql(terms: list[str]) -> str:
+    alone = r"' ' || regexp_replace(lower(text), '[^\p{L}\p{N}_]+', '  ', 'g') || ' '"
+    return " + ".join(f"len(regexp_extract_all({alone}, ' {t} '))" for t in terms)
 
 
 _WORDS = "len(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_''-]*'))"
 
 
-@query(f"""SELECT doc_id, CAST({_WORDS} AS INTEGER) AS words, {R(f"coalesce(least(1.0, ({_count_sql(RISK)}) * 1000.0 / nullif({_WORDS}, 0) / 10), 0)")} AS density,
-  {R(f"coalesce((({_count_sql(POSITIVE)}) - ({_count_sql(NEGATIVE)})) * 1.0 / nullif(({_count_sql(POSITIVE)}) + ({_count_sql(NEGATIVE)}), 0), 0)")} AS tone FROM documents WHERE lang = 'en'""")
+@query(f"""SELECT doc_id, CAST({_WORDS} AS INTEGER) AS words, {R(f"coalesce(least(1.0, ({count_sql(RISK)}) * 1000.0 / nullif({_WORDS}, 0) / 10), 0)")} AS density,
+  {R(f"coalesce((({count_sql(POSITIVE)}) - ({count_sql(NEGATIVE)})) * 1.0 / nullif(({count_sql(POSITIVE)}) + ({count_sql(NEGATIVE)}), 0), 0)")} AS tone FROM documents""")
 def keyword_density(spark, sf):
-    d = proxy.table(spark, sf, "documents").filter("lang = 'en'")
+    d = proxy.table(spark, sf, "documents")
     t = F.col("text")
     return d.select("doc_id", text.word_count(t).alias("words"), settle(text.density(t, RISK)).alias("density"), settle(text.tone(t, POSITIVE, NEGATIVE)).alias("tone"))
 
 
-@query(f"""WITH t AS (SELECT doc_id, source, list_distinct(regexp_extract_all(lower(text), '[a-z][a-z0-9_]{{2,}}')) AS tokens FROM documents WHERE lang = 'en'),
+@query(f"""WITH t AS (SELECT doc_id, source, list_distinct(regexp_extract_all(lower(text), '[a-z][a-z0-9_]{{2,}}')) AS tokens FROM documents),
   p AS (SELECT *, lag(tokens) OVER (PARTITION BY source ORDER BY doc_id) AS prior FROM t)
   SELECT doc_id, {R('1 - len(list_intersect(tokens, prior)) * 1.0 / nullif(len(list_distinct(list_concat(tokens, prior))), 0)')} AS novelty FROM p WHERE prior IS NOT NULL""")
 def jaccard_novelty(spark, sf):
-    d = proxy.table(spark, sf, "documents").filter("lang = 'en'").select("doc_id", "source", text.token_set(F.col("text")).alias("tokens"))
+    d = proxy.table(spark, sf, "documents").select("doc_id", "source", text.token_set(F.col("text")).alias("tokens"))
     p = d.withColumn("prior", F.lag("tokens").over(Window.partitionBy("source").orderBy("doc_id"))).filter("prior is not null")
     return p.select("doc_id", settle(text.jaccard_novelty(F.col("tokens"), F.col("prior"))).alias("novelty"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from crosspanel.functions.coerce import settle
 from crosspanel.operators import responses as O
-from crosspanel.plans.registry import NEGATIVE, POSITIVE, R, RISK, query
+from crosspanel.plans.registry import NEGATIVE, POSITIVE, R, RISK, count_sql, query
 from crosspanel.sources import files, proxy
 
 # Small term groups for the driver's English texts.
@@ -16,7 +16,7 @@ _WORDS = "len(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_''-]*'))"
 
 
 def _n(terms):
-    return "(" + " + ".join(rf"len(regexp_extract_all(lower(text), '\b{t}\b'))" for t in terms) + ")"
+    return f"({count_sql(terms)})"
 
 
 def _dens(terms):
@@ -24,13 +24,13 @@ def _dens(terms):
 
 
 @query(f"""WITH t AS (SELECT doc_id, source, {_WORDS} AS words, coalesce(({_n(POSITIVE)} - {_n(NEGATIVE)}) * 1.0 / nullif({_n(POSITIVE)} + {_n(NEGATIVE)}, 0), 0) AS tone, {', '.join(f'{_dens(t)} AS {g}' for g, t in GROUPS.items())},
-    list_distinct(regexp_extract_all(lower(text), '[a-z][a-z0-9_]{{2,}}')) AS tokens FROM documents WHERE lang = 'en' AND doc_id % 5 <> 0),
+    list_distinct(regexp_extract_all(lower(text), '[a-z][a-z0-9_]{{2,}}')) AS tokens FROM documents WHERE text IS NOT NULL),
   p AS (SELECT *, lag(tone) OVER w AS t0, lag(uncertainty) OVER w AS u0, lag(tokens) OVER w AS k0 FROM t WINDOW w AS (PARTITION BY source ORDER BY doc_id))
   SELECT doc_id, {R('tone - t0')} AS tone_change, {R('uncertainty - u0')} AS uncertainty_change, CASE WHEN k0 IS NOT NULL THEN {R('1 - len(list_intersect(tokens, k0)) * 1.0 / nullif(len(list_distinct(list_concat(tokens, k0))), 0)')} END AS novelty, {R('hedging')} AS hedging, {R('regulation')} AS regulation,
     concat_ws(',', CASE WHEN words < 200 THEN 'short_text' END, CASE WHEN t0 IS NULL THEN 'missing_prior' END) AS flags FROM p""")
 def text_features(spark, sf):
-    d = proxy.table(spark, sf, "documents").filter("lang = 'en'")
-    filings = d.select("doc_id", F.col("source").alias("ticker"), F.lit("10-K").alias("form"), "text", F.when(F.col("doc_id") % 5 == 0, "failed").otherwise("extracted").alias("status"))
+    d = proxy.table(spark, sf, "documents")
+    filings = d.select("doc_id", F.col("source").alias("ticker"), F.lit("10-K").alias("form"), "text", F.when(F.col("text").isNull(), "failed").otherwise("extracted").alias("status"))
     t = O.text_features(filings, POSITIVE, NEGATIVE, GROUPS, ["doc_id"])
     return t.select("doc_id", *[settle(F.col(c)).alias(c) for c in ("tone_change", "uncertainty_change", "novelty", "hedging", "regulation")], F.array_join("flags", ",").alias("flags"))
 
