@@ -12,6 +12,38 @@ from pyspark.sql import functions as F
 ANCHOR_FIELDS = ["revenue", "net_income", "total_assets"]
 
 
+# Forms of annual and of quarterly reports, and the days that their periods last.
+ANNUAL_FORMS = ["10-K", "10-K/A", "10-KT", "10-KT/A", "20-F", "20-F/A", "40-F", "40-F/A"]
+QUARTERLY_FORMS, QUARTERS = ["10-Q", "10-Q/A"], ["Q1", "Q2", "Q3"]
+ANNUAL_DAYS, QUARTERLY_DAYS = (300, 380), (45, 130)
+
+
+def _lasts(days: tuple[int, int]) -> Column:
+    """A fact of a day needs no start; one of a period must last so long."""
+    return ~F.col("is_duration") | F.coalesce(F.datediff("end", "start").between(*days), F.lit(False))
+
+
+def annual_facts(facts: DataFrame) -> DataFrame:
+    """Facts (form, start, end, is_duration, ...) of annual reports about whole years; stub periods go."""
+    return facts.filter(F.col("form").isin(ANNUAL_FORMS) & F.col("end").isNotNull() & _lasts(ANNUAL_DAYS))
+
+
+def quarterly_facts(facts: DataFrame) -> DataFrame:
+    """Facts (form, fp, start, end, is_duration, ...) of the first three quarters; figures of the year to date go."""
+    return facts.filter(F.col("form").isin(QUARTERLY_FORMS) & F.col("fp").isin(QUARTERS) & F.col("end").isNotNull() & _lasts(QUARTERLY_DAYS))
+
+
+def preferred_unit(facts: DataFrame, units: list[str]) -> DataFrame:
+    """Of each ticker and tag the facts in the first of units that it has at all, or all of them if it has none.
+
+    To be applied before other filters: the choice looks at which units are there, not at which facts survive.
+    """
+    place = F.array_position(F.array(*[F.lit(u) for u in units]), F.col("unit"))
+    place = F.when(place > 0, place)
+    best = F.min(place).over(Window.partitionBy("ticker", "tag"))
+    return facts.withColumns({"_place": place, "_best": best}).filter("_best is null or _place = _best").drop("_place", "_best")
+
+
 def anchor_facts(facts: DataFrame, fields: list[str] = ANCHOR_FIELDS) -> DataFrame:
     """(ticker, anchor_field, anchor_end, anchor_accn): the newest fact of the first field that the company reports."""
     place = F.array_position(F.array(*[F.lit(f) for f in fields]), F.col("field"))

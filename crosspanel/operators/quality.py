@@ -14,6 +14,30 @@ def failures(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
     return row.unpivot([], list(checks), "check", "bad")
 
 
+def check_columns(df: DataFrame, required: list[str], forbidden: list[str] = ()) -> DataFrame:
+    """(column, problem): required columns that df lacks and forbidden ones that it has."""
+    wrong = [(c, "missing") for c in required if c not in df.columns] + [(c, "forbidden") for c in forbidden if c in df.columns]
+    return df.sparkSession.createDataFrame(wrong, "column string, problem string")
+
+
+def check_counts(df: DataFrame, expected: DataFrame, keys: list[str], conditions: dict[str, Column]) -> DataFrame:
+    """(check, found, expected, ok): rows, distinct keys and rows of each condition, in one pass over df, beside the one
+    row of expected, whose columns are rows, keys and the names of the conditions (a column that is absent: not ok)."""
+    names = ["rows", "keys", *conditions]
+    found = df.agg(F.count("*").alias("rows"), F.countDistinct(*keys).alias("keys"), *[F.count(F.when(ok, 1)).alias(n) for n, ok in conditions.items()])
+    told = expected.select(*[(F.col(n).cast("long") if n in expected.columns else F.lit(None).cast("long")).alias(n) for n in names])
+    both = found.unpivot([], names, "check", "found").join(told.unpivot([], names, "check", "expected"), "check")  # a row for each check
+    return both.withColumn("ok", F.coalesce(F.col("found") == F.col("expected"), F.lit(False)))
+
+
+def return_coverage(df: DataFrame, returns: list[str]) -> DataFrame:
+    """(horizon, rows, non_null, share, status): blocked without any return, partial with some, else complete."""
+    row = df.agg(F.count("*").alias("rows"), *[F.count(r).alias(r) for r in returns])
+    long = row.unpivot(["rows"], returns, "horizon", "non_null")
+    status = F.when(F.col("non_null") == 0, "blocked").when(F.col("non_null") < F.col("rows"), "partial").otherwise("complete")
+    return long.select("horizon", "rows", "non_null", F.try_divide("non_null", "rows").alias("share"), status.alias("status"))
+
+
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
 

@@ -52,6 +52,16 @@ def size_bucket(cap: str, by: list[str]) -> Column:
     return F.when(x.isNull(), "unknown").when(~enough, "known").when(x <= a, "small").when(x <= b, "mid").otherwise("large")
 
 
+def bucket_small(score: str, ticker: str, by: list[str]) -> Column:
+    """As bucket, but names without a score are not counted and have none, and fewer than three are all in Q1."""
+    named = F.col(score).isNotNull()
+    n = F.count(score).over(Window.partitionBy(*by))
+    i = F.row_number().over(Window.partitionBy(*by).orderBy(F.col(score).desc_nulls_last(), F.col(ticker))) - 1
+    third, fifth = F.floor(i * 3 / n), F.floor(i * 5 / n)
+    place = F.when(n < 3, F.lit(0)).when(n < 50, 2 * third).otherwise(fifth) + 1
+    return F.when(named, F.concat(F.lit("Q"), place.cast("string")))
+
+
 def bucket(score: str, ticker: str, by: list[str]) -> Column:
     """Q1 the highest: under 3 names none, under 50 terciles (Q1, Q3, Q5), else quintiles; i*k/n of the rank, stable by ticker."""
     n = F.count(F.lit(1)).over(Window.partitionBy(*by))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from crosspanel.functions.coerce import settle
 from crosspanel.operators import facts as O
-from crosspanel.operators import quality
+from crosspanel.operators import quality, xsec
 from crosspanel.operators.asof import asof
 from crosspanel.plans.registry import FILINGS, PRICES, R, query
 from crosspanel.sources import proxy
@@ -167,3 +167,63 @@ def current_features(spark, sf):
 def fact_summary(spark, sf):
     s = quality.summary_row(company_facts(spark, sf), ["accn"], {"annual": F.col("form") == "10-K", "large": F.col("value") > 1e5})
     return s.withColumn("accn_coverage", settle(F.col("accn_coverage")))
+
+
+TAGGED = """tagged AS (SELECT l_orderkey AS ticker, l_linenumber AS line, l_returnflag AS tag, CASE l_linenumber % 3 WHEN 0 THEN 'EUR' WHEN 1 THEN 'shares' ELSE 'USD' END AS unit,
+  CASE l_linenumber % 6 WHEN 0 THEN '10-K' WHEN 1 THEN '10-Q' WHEN 2 THEN '20-F' WHEN 3 THEN '10-Q/A' WHEN 4 THEN '10-K/A' ELSE '8-K' END AS form, 'Q' || CAST(l_partkey % 4 + 1 AS VARCHAR) AS fp,
+  CASE WHEN l_returnflag <> 'A' THEN CAST(l_shipdate AS DATE) END AS start, CAST(l_shipdate AS DATE) + CAST(l_quantity * 9 AS INTEGER) AS "end", l_linestatus = 'F' AS is_duration, l_extendedprice AS value FROM lineitem)"""
+
+
+def tagged(spark, sf):
+    """Same columns as TAGGED: facts of many forms, units and lengths, some without a start."""
+    nth = F.col("l_linenumber") % 6
+    form = F.when(nth == 0, "10-K").when(nth == 1, "10-Q").when(nth == 2, "20-F").when(nth == 3, "10-Q/A").when(nth == 4, "10-K/A").otherwise("8-K")
+    unit = F.when(F.col("l_linenumber") % 3 == 0, "EUR").when(F.col("l_linenumber") % 3 == 1, "shares").otherwise("USD")
+    day = F.to_date("l_shipdate")
+    return proxy.table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("ticker"), F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("tag"), unit.alias("unit"), form.alias("form"), F.concat(F.lit("Q"), (F.col("l_partkey") % 4 + 1).cast("string")).alias("fp"),
+        F.when(F.col("l_returnflag") != "A", day).alias("start"), F.date_add(day, (F.col("l_quantity") * 9).cast("int")).alias("end"), (F.col("l_linestatus") == "F").alias("is_duration"), F.col("l_extendedprice").alias("value"))
+
+
+@query(f"""WITH {TAGGED} SELECT ticker, line, form, start, "end", value FROM tagged WHERE form IN ({', '.join(f"'{f}'" for f in O.ANNUAL_FORMS)}) AND (NOT is_duration OR coalesce("end" - start BETWEEN 300 AND 380, false))""")
+def annual_facts(spark, sf):
+    return O.annual_facts(tagged(spark, sf)).select("ticker", "line", "form", "start", "end", "value")
+
+
+@query(f"""WITH {TAGGED} SELECT ticker, line, form, fp, start, "end", value FROM tagged WHERE form IN ('10-Q', '10-Q/A') AND fp IN ('Q1', 'Q2', 'Q3') AND (NOT is_duration OR coalesce("end" - start BETWEEN 45 AND 130, false))""")
+def quarterly_facts(spark, sf):
+    return O.quarterly_facts(tagged(spark, sf)).select("ticker", "line", "form", "fp", "start", "end", "value")
+
+
+@query(f"""WITH {TAGGED}, placed AS (SELECT *, CASE unit WHEN 'USD' THEN 1 WHEN 'EUR' THEN 2 END AS place FROM tagged), best AS (SELECT *, min(place) OVER (PARTITION BY ticker, tag) AS first FROM placed)
+  SELECT ticker, line, tag, unit, value FROM best WHERE first IS NULL OR place = first""")
+def preferred_unit(spark, sf):
+    return O.preferred_unit(tagged(spark, sf), ["USD", "EUR"]).select("ticker", "line", "tag", "unit", "value")
+
+
+@query("""WITH s AS (SELECT s_nationkey AS grp, s_suppkey AS ticker, CASE WHEN s_acctbal > 0 THEN s_acctbal END AS score FROM supplier
+    UNION ALL SELECT 100 + c_nationkey, c_custkey, CASE WHEN c_acctbal > 0 THEN c_acctbal END FROM customer),
+  r AS (SELECT *, count(score) OVER (PARTITION BY grp) AS n, row_number() OVER (PARTITION BY grp ORDER BY score DESC NULLS LAST, ticker) - 1 AS i FROM s)
+  SELECT grp, ticker, CASE WHEN score IS NOT NULL THEN 'Q' || CAST(CASE WHEN n < 3 THEN 1 WHEN n < 50 THEN 2 * (i * 3 // n) + 1 ELSE (i * 5 // n) + 1 END AS VARCHAR) END AS bucket FROM r""")
+def buckets_small(spark, sf):
+    part = lambda t, x, by: proxy.table(spark, sf, t).select((F.col(f"{x}_nationkey") + by).cast("long").alias("grp"), F.col({"s": "s_suppkey", "c": "c_custkey"}[x]).cast("long").alias("ticker"), F.when(F.col(f"{x}_acctbal") > 0, F.col(f"{x}_acctbal")).alias("score"))
+    both = part("supplier", "s", 0).unionByName(part("customer", "c", 100))
+    return both.select("grp", "ticker", xsec.bucket_small("score", "ticker", ["grp"]).alias("bucket"))
+
+
+@query("""WITH e AS (SELECT (SELECT count(*) FROM orders) AS rows, (SELECT count(DISTINCT l_orderkey) FROM lineitem) AS keys, (SELECT count(*) FROM customer) AS open),
+  f AS (SELECT count(*) AS rows, count(DISTINCT o_orderkey) AS keys, count(*) FILTER (WHERE o_orderstatus = 'O') AS open FROM orders)
+  SELECT 'rows' AS "check", f.rows AS found, e.rows AS expected, f.rows = e.rows AS ok FROM e, f UNION ALL SELECT 'keys', f.keys, e.keys, f.keys = e.keys FROM e, f UNION ALL SELECT 'open', f.open, e.open, f.open = e.open FROM e, f""")
+def check_counts(spark, sf):
+    t = lambda n: proxy.table(spark, sf, n)
+    one = [t("orders").agg(F.count("*").alias("rows")), t("lineitem").agg(F.countDistinct("l_orderkey").alias("keys")), t("customer").agg(F.count("*").alias("open"))]
+    expected = one[0].crossJoin(one[1]).crossJoin(one[2])  # one row each
+    return quality.check_counts(t("orders"), expected, ["o_orderkey"], {"open": F.col("o_orderstatus") == "O"})
+
+
+@query("""WITH r AS (SELECT count(*) AS rows, count(CASE WHEN l_returnflag <> 'A' THEN l_tax END) AS ret_1m, count(l_discount) AS ret_3m, 0 AS ret_12m FROM lineitem),
+  u AS (SELECT rows, 'ret_1m' AS horizon, ret_1m AS non_null FROM r UNION ALL SELECT rows, 'ret_3m', ret_3m FROM r UNION ALL SELECT rows, 'ret_12m', ret_12m FROM r)
+  SELECT horizon, rows, CAST(non_null AS BIGINT) AS non_null, non_null * 1.0 / rows AS share, CASE WHEN non_null = 0 THEN 'blocked' WHEN non_null < rows THEN 'partial' ELSE 'complete' END AS status FROM u""")
+def return_coverage(spark, sf):
+    lines = proxy.table(spark, sf, "lineitem").select(F.when(F.col("l_returnflag") != "A", F.col("l_tax")).alias("ret_1m"), F.col("l_discount").alias("ret_3m"), F.lit(None).cast("double").alias("ret_12m"))
+    return quality.return_coverage(lines, ["ret_1m", "ret_3m", "ret_12m"])

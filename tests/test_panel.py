@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crosspanel.functions import coerce
-from crosspanel.operators import diagnostics, portfolio, quality, universe, valuation, xsec
+from crosspanel.operators import diagnostics, facts, portfolio, quality, text, universe, valuation, xsec
 from crosspanel.operators.asof import asof
 from crosspanel.plans import registry
 
@@ -92,3 +92,30 @@ def test_query_equals_sql(spark, name):
     cols = sorted(ours.columns)
     text = lambda d: sorted(d[cols].astype(str).replace({"<NA>": "nan", "None": "nan"}).agg(lambda r: "|".join(x.removesuffix(".0").removesuffix(" 00:00:00") for x in r), axis=1))
     assert text(ours) == text(theirs)
+
+
+def test_rates_of_flows_with_several_sign_changes(spark):
+    df = spark.createDataFrame([([-43.0, -16.0, 100.0, -30.0, 2.0], 26.0), ([40.0, 88.0, -42.0, -27.0, -48.0], 42.0)], "flows array<double>, target double")
+    got = [r[0] for r in df.select(valuation.implied_rate(F.col("flows"), F.col("target"))).collect()]
+    assert got == pytest.approx([-0.092, 0.349], abs=5e-4)
+
+
+def test_words_and_links(spark):
+    df = spark.createDataFrame([("15%", "[a](https://x.org/1)", "C++ and c++ but not cxx")], "x string, link string, t string")
+    r = df.select(coerce.parse_amount(F.col("x")), coerce.md_link_url(F.col("link")), coerce.md_link_url(F.lit("see [a](https://x.org) there")), text.keyword_count(F.col("t"), ["c++"])).collect()[0]
+    assert list(r) == [pytest.approx(0.15), "https://x.org/1", "see [a](https://x.org) there", 2]
+
+
+def test_facts_of_whole_periods_in_one_unit(spark):
+    rows = [("10-K", "FY", "2024-01-01", "2024-12-31", True, "USD"), ("10-K", "FY", "2024-10-01", "2024-12-31", True, "EUR"), ("10-Q", "Q2", "2024-01-01", "2024-06-30", True, "USD"), ("10-Q", "Q2", "2024-04-01", "2024-06-30", True, "CAD"), ("10-Q", "Q1", None, "2024-03-31", False, "EUR"), ("20-F", "FY", None, "2024-12-31", True, "EUR"), ("8-K", "Q1", None, "2024-03-31", False, "USD")]
+    df = spark.createDataFrame([(1, "revenue", i, *r) for i, r in enumerate(rows)], "ticker int, tag string, id int, form string, fp string, start string, end string, is_duration boolean, unit string")
+    of = lambda x: sorted(r["id"] for r in x.collect())
+    assert of(facts.annual_facts(df)) == [0] and of(facts.quarterly_facts(df)) == [3, 4]
+    assert of(facts.preferred_unit(df, ["JPY", "EUR", "USD"])) == [1, 4, 5] and of(facts.preferred_unit(df, ["JPY"])) == list(range(7))
+
+
+def test_small_buckets_and_column_checks(spark):
+    df = spark.createDataFrame([("a", "x", 3.0), ("a", "y", None), ("b", "p", 1.0), ("b", "q", 2.0), ("b", "r", 3.0), ("b", "s", None)], "g string, ticker string, score double")
+    got = {r["ticker"]: r["b"] for r in df.select("ticker", xsec.bucket_small("score", "ticker", ["g"]).alias("b")).collect()}
+    assert got == {"x": "Q1", "y": None, "r": "Q1", "q": "Q3", "p": "Q5", "s": None}
+    assert sorted(map(tuple, quality.check_columns(df, ["g", "no"], ["score"]).collect())) == [("no", "missing"), ("score", "forbidden")]
