@@ -50,6 +50,14 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(stored_at(df))
 
 
+def release() -> None:
+    """Memory that a worker's allocators keep goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def tidied(run: Callable) -> Callable:
     """run (batches -> batches), and then the memory that its arrays had goes back to the system.
 
@@ -61,10 +69,7 @@ def tidied(run: Callable) -> Callable:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
+            release()
 
     return tidy
 

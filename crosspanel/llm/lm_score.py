@@ -2,9 +2,10 @@
 
 Both are token bigram models over the one vocabulary of a public tokenizer, with equal smoothing: bigram counts
 interpolated with unigram shares, those with the uniform one. The background is every document, the target the
-documents named. Counts are exact and cover the whole corpus, so the table of bigrams grows with it. A run of texts
-is tokenised once and becomes one row for each distinct bigram, with the texts that have it; these rows meet the
-counts by a shuffle, and each text's losses are added up from there. Only the vocabulary's own counts are broadcast.
+documents named. Counts are exact and cover the whole corpus, so the table of bigrams grows with it. Texts are
+tokenised once, in runs of some million tokens. A run sends each of its distinct bigrams to the counts and gets the
+corpus counts back, both by a shuffle, so that the rows moved are those of the runs' bigrams however many partitions
+there are; each text is then scored where its run is. Only the vocabulary's own counts are broadcast.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosspanel.llm.common import BROADCAST_IDS, checkpoint, stored
+from crosspanel.llm.common import BROADCAST_IDS, checkpoint, release, stored, tidied
 from crosspanel.llm.tokens import byte_tokenizer
 
 VOCABULARY = 50_257
@@ -25,26 +26,28 @@ VOCABULARY = 50_257
 START = 50_256
 #: Strength of the unigram share in a bigram probability, and of the uniform one in a unigram probability.
 BACKOFF, UNIFORM = 20.0, 0.1
-#: Texts encoded at once, and the tokens from which such texts make a run.
-_TEXTS, _TOKENS = 512, 1 << 20
-#: Largest count in one entry of a run; a larger one takes several.
-_MOST = (1 << 16) - 1
-#: Losses are added as whole numbers of this part of a nat, so sums do not depend on the order of rows.
-_UNIT = 2.0**-30
-#: Sums held by a task before they are combined, and after it before they are sent.
-_HELD, _KEPT = 1 << 20, 1 << 19
-
-
-def _token_runs(b: pa.RecordBatch, encode) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """First row, context ids, ids, and offsets of each row's ids, some hundred texts at a time."""
+#: Texts encoded at once, and the tokens and texts that a run has at most; a longer text is a run of its own.
+_TEXTS, _TOKENS, _ROWS = 512, 1 << 21, 1 << 16
+#: Tokens from which texts of a run are scored together.
+_PART = 1 << 18
+_RUNS = "run long, pair long, background long, target long, doc_ids array<long>, targets array<boolean>, lengths array<long>, ids binary"
+
+
+def _tokens(b: pa.RecordBatch, encode) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """First row, ids (16 bits) and number of ids of each row, some hundred texts at a time."""
     for i in range(0, b.num_rows, _TEXTS):
         ids = [encode(t or "") for t in b.column("text").slice(i, _TEXTS).to_pylist()]
-        at = np.cumsum([0, *map(len, ids)])
-        flat = np.fromiter((x for part in ids for x in part), dtype=np.int64, count=at[-1])
-        context = np.empty_like(flat)
-        context[1:] = flat[:-1]
-        context[at[:-1][np.diff(at) > 0]] = START
-        yield i, context, flat, at
+        lengths = np.array([len(part) for part in ids], dtype=np.int64)
+        yield i, np.fromiter((x for part in ids for x in part), dtype="<u2", count=lengths.sum()), lengths
+
+
+def _bigrams(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts one after another: each token's row, the id before it, and itself."""
+    ids, at = ids.astype(np.int64), np.cumsum(lengths) - lengths
+    context = np.empty_like(ids)
+    context[1:] = ids[:-1]
+    context[at[lengths > 0]] = START
+    return np.repeat(np.arange(len(lengths)), lengths), context, ids
 
 
 def flag_ids(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
@@ -54,55 +57,47 @@ def flag_ids(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
     return docs.join(F.broadcast(marked) if ids.count() <= BROADCAST_IDS else marked, "doc_id", "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
-def _run_rows(text: int, pair: np.ndarray, row: np.ndarray, target: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Bigrams and rows of the tokens of one run -> a row for each distinct bigram; entries are row * 2**16 + count."""
-    key = np.sort((pair << 16) + row)
-    starts = np.flatnonzero(np.diff(key, prepend=-1))
-    count, key = np.diff(starts, append=len(key)), key[starts]
-    if len(count) and count.max() > _MOST:
-        pieces = -(-count // _MOST)
-        last = np.cumsum(pieces) - 1
-        rest, key = count - (pieces - 1) * _MOST, np.repeat(key, pieces)
-        count = np.full(len(key), _MOST)
-        count[last] = rest
-    pair, row = key >> 16, key & 0xFFFF
-    starts = np.flatnonzero(np.diff(pair, prepend=-1))
-    entries = ((row << 16) + count).astype("<u4")
-    offsets = (4 * np.append(starts, len(pair))).astype(np.int32)
-    packed = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(entries)])
-    if len(starts):
-        columns = [pa.array(np.full(len(starts), text)), pa.array(pair[starts]), packed, pa.array(np.add.reduceat(count, starts)), pa.array(np.add.reduceat(count * target[row], starts))]
-        rows = pa.RecordBatch.from_arrays([*columns, *[pa.nulls(len(starts), pa.int64())] * 2], names=_NAMES)
-        for i in range(0, len(starts), 50_000):
-            yield rows.slice(i, 50_000)
-
-
-_NAMES = ["text", "pair", "entries", "background", "target", "doc_id", "n_tokens"]
+def _run_rows(run: int, doc_ids: list[pa.Array], targets: list[pa.Array], ids: list[np.ndarray], lengths: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """A row with the texts of a run, and one for each of its distinct bigrams."""
+    flat, size, schema = np.concatenate(ids), np.concatenate(lengths), pa.schema(_FIELDS)
+    flag = pa.concat_arrays(targets)
+    row, context, token = _bigrams(flat, size)
+    pair, at, n = np.unique(context * VOCABULARY + token, return_inverse=True, return_counts=True)
+    inside = np.asarray(flag.to_numpy(zero_copy_only=False), dtype=float)
+    target = np.bincount(at, inside[row], minlength=len(pair)).astype(np.int64)
+    yield pa.RecordBatch.from_pylist([{"run": run, "doc_ids": pa.concat_arrays(doc_ids).to_pylist(), "targets": flag.to_pylist(), "lengths": size.tolist(), "ids": flat.tobytes()}], schema)
+    for i in range(0, len(pair), 50_000):
+        part = [x[i : i + 50_000] for x in (np.full(len(pair), run), pair, n, target)]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, part), *(pa.nulls(len(part[0]), f.type) for f in _FIELDS[4:])], schema=schema)
+
+
+_FIELDS = [
+    *(pa.field(n, pa.int64()) for n in ("run", "pair", "background", "target")),
+    pa.field("doc_ids", pa.list_(pa.int64())), pa.field("targets", pa.list_(pa.bool_())), pa.field("lengths", pa.list_(pa.int64())), pa.field("ids", pa.binary()),
+]
 
 
 def count_tokens(flagged: DataFrame, tokenizer: str) -> DataFrame:
-    """flagged (doc_id, text, target) -> rows of two kinds, stored: (text, doc_id, n_tokens) of each text, text being a
-    number of its own; and (text, pair, entries, background, target) of each bigram of a run whose first text that is.
+    """flagged (doc_id, text, target) -> rows of two kinds, stored: (run, doc_ids, targets, lengths, ids) of each run of
+    texts, and (run, pair, background, target) of each distinct bigram of a run.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, text = byte_tokenizer(tokenizer).encode_ordinary, TaskContext.get().partitionId() << 40
+    @tidied
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, run = byte_tokenizer(tokenizer).encode_ordinary, TaskContext.get().partitionId() << 32
         held, rows, size = [], 0, 0
         for b in batches:
-            target = np.asarray(b.column("target").to_numpy(zero_copy_only=False), dtype=np.int64)
-            for i, context, ids, at in _token_runs(b, encode):
-                n = len(at) - 1
-                if held and (size + len(ids) > _TOKENS or rows + n > 1 << 16):
-                    yield from _run_rows(text, *map(np.concatenate, zip(*held, strict=True)))
-                    text, held, rows, size = text + rows, [], 0, 0
-                nothing = [pa.nulls(n, t) for t in (pa.int64(), pa.binary(), pa.int64(), pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(n) + (text + rows)), *nothing, b.column("doc_id").slice(i, n), pa.array(np.diff(at))], names=_NAMES)
-                held.append((context * VOCABULARY + ids, np.repeat(np.arange(n), np.diff(at)) + rows, target[i : i + n]))
+            for i, ids, lengths in _tokens(b, encode):
+                n = len(lengths)
+                if held and (size + len(ids) > _TOKENS or rows + n > _ROWS):
+                    yield from _run_rows(run, *zip(*held, strict=True))
+                    run, held, rows, size = run + 1, [], 0, 0
+                held.append((b.column("doc_id").slice(i, n), b.column("target").slice(i, n), ids, lengths))
                 rows, size = rows + n, size + len(ids)
         if held:
-            yield from _run_rows(text, *map(np.concatenate, zip(*held, strict=True)))
+            yield from _run_rows(run, *zip(*held, strict=True))
 
-    return stored(flagged.select("doc_id", "text", "target").mapInArrow(run, "text long, pair long, entries binary, background long, target long, doc_id long, n_tokens long"))
+    return stored(flagged.select("doc_id", "text", "target").mapInArrow(runs, _RUNS))
 
 
 class Models:
@@ -119,27 +114,18 @@ class Models:
         self.before, single = both
         self.share = (single + UNIFORM) / (single.sum(axis=1, keepdims=True) + UNIFORM * VOCABULARY)
 
-    def losses(self, pair: np.ndarray, counts: list[np.ndarray]) -> list[np.ndarray]:
+    def losses(self, context: np.ndarray, ids: np.ndarray, counts: list[np.ndarray]) -> list[np.ndarray]:
         """Background's and target's, of bigrams that each has counted so often."""
-        context, ids = pair // VOCABULARY, pair % VOCABULARY
         return [-np.log((n + BACKOFF * share[ids]) / (before[context] + BACKOFF)) for n, share, before in zip(counts, self.share, self.before, strict=True)]
 
 
-def _combined(held: list[np.ndarray]) -> list[np.ndarray]:
-    """Columns (text, background, target) with one column for each text."""
-    text, background, target = np.concatenate(held, axis=1)
-    order = np.argsort(text, kind="stable")
-    starts = np.flatnonzero(np.diff(text[order], prepend=-1))
-    return [np.stack([text[order][starts], np.add.reduceat(background[order], starts), np.add.reduceat(target[order], starts)])] if len(starts) else []
-
-
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, tokenizer: str, bits: int | None = None) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, target_loss, background_loss, score.
 
     Losses are nats per token; score is background_loss - target_loss, higher for documents more like the target
     (target_ids: doc_id). Texts without tokens, null ones too, have losses and score zero. Rows that repeat an id are
     scored each; rows without an id are background. Without a target the target model is the uniform one. Counts are
-    exact; bits, once the size of a hashed model, has no effect.
+    exact; bits, once the size of a hashed model, has no effect. A task holds one run: a text's tokens are held whole.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     met = count_tokens(flag_ids(rows, target_ids.select(F.col("doc_id").cast("long").alias("doc_id")), "target"), tokenizer)
@@ -147,33 +133,25 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, tokenizer:
     counts = stored(pairs.groupBy("pair").agg(F.sum("background").alias("background"), F.sum("target").alias("target")))
     models = rows.sparkSession.sparkContext.broadcast(Models(counts))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def sent() -> Iterator[pa.RecordBatch]:
-            for text, *sums in held:
-                yield pa.RecordBatch.from_arrays([pa.array(text), *map(pa.array, sums)], names=["text", "background", "target"])
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            losses = models.value.losses(np.asarray(b.column("pair")), [np.asarray(b.column(n)) for n in ("background", "target")])
-            packed = b.column("entries").cast(pa.large_binary())
-            _, offsets, data = packed.buffers()
-            at = np.frombuffer(offsets, dtype=np.int64)[packed.offset : packed.offset + len(packed) + 1]
-            entries = np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]].view("<u4").astype(np.int64)
-            each, count = np.diff(at) // 4, entries & 0xFFFF
-            held.append(np.stack([np.repeat(np.asarray(b.column("text")), each) + (entries >> 16), *(np.repeat(np.rint(x / _UNIT).astype(np.int64), each) * count for x in losses)]))
-            if sum(x.shape[1] for x in held) > _HELD:
-                held = _combined(held)
-                if held[0].shape[1] > _KEPT:
-                    yield from sent()
-                    held = []
-        held = _combined(held) if held else []
-        yield from sent()
-
-    found = pairs.select("text", "pair", "entries").join(counts, "pair").mapInArrow(run, "text long, background long, target long")
-    sums = found.groupBy("text").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-    texts = met.filter("pair is null").select("text", "doc_id", "n_tokens").join(sums, "text", "left")
-    target, background = (F.coalesce(F.try_divide(F.col(n) * _UNIT, "n_tokens"), F.lit(0.0)) for n in ("target", "background"))
-    return texts.select("doc_id", "n_tokens", target.alias("target_loss"), background.alias("background_loss"), (background - target).alias("score"))
+    def score(run: pa.Table, found: pa.Table) -> pa.Table:
+        lengths, doc_ids = np.asarray(run.column("lengths")[0].values, dtype=np.int64), run.column("doc_ids")[0].values
+        flat, end = np.frombuffer(run.column("ids")[0].as_buffer(), dtype="<u2"), np.cumsum(lengths)
+        target = np.asarray(run.column("targets")[0].values.to_numpy(zero_copy_only=False), dtype=bool)
+        pair = np.asarray(found.column("pair"))
+        order = np.argsort(pair)
+        counts, sums = [np.asarray(found.column(n)) for n in ("background", "target")], []
+        first = np.flatnonzero(np.diff((end - lengths) // _PART, prepend=-1))
+        for i, j in zip(first, [*first[1:], len(lengths)], strict=True):
+            row, context, ids = _bigrams(flat[end[i] - lengths[i] : end[j - 1]], lengths[i:j])
+            at = order[np.searchsorted(pair, context * VOCABULARY + ids, sorter=order)] if len(pair) else row
+            inside = [np.ones(j - i, dtype=bool), target[i:j]]
+            losses = models.value.losses(row, context, ids, lengths[i:j], [n[at] for n in counts], inside)
+            sums.append([np.bincount(row, x, minlength=j - i) / np.maximum(lengths[i:j], 1) for x in losses])
+        background_loss, target_loss = (np.concatenate(x) for x in zip(*sums, strict=True))
+        release()
+        return pa.table({"doc_id": doc_ids, "n_tokens": lengths, "target_loss": target_loss, "background_loss": background_loss})
+
+    texts = met.filter("pair is null").select("run", "doc_ids", "lengths", "ids")
+    known = pairs.select(F.col("run").alias("of"), "pair").join(counts, "pair")
+    scored = texts.groupBy("run").cogroup(known.groupBy("of")).applyInArrow(score, "doc_id long, n_tokens long, target_loss double, background_loss double")
+    return scored.withColumn("score", F.col("background_loss") - F.col("target_loss"))
