@@ -2,7 +2,9 @@
 
 Both are token bigram models over the one vocabulary of a public tokenizer, with equal smoothing: bigram counts
 interpolated with unigram shares, those with the uniform one. The background is every document, the target the
-documents named. Counts are exact and cover the whole corpus, so the table of bigrams grows with it. Texts are
+documents named. The models are matched: the background's counts are scaled to as many tokens as the target's, so that
+smoothing weighs alike in both, and no model that scores a text has counted that text (its own counts are taken off).
+Counts are exact and cover the whole corpus, so the table of bigrams grows with it. Texts are
 tokenised once, in runs of some million tokens. A run sends each of its distinct bigrams to the counts and gets the
 corpus counts back, both by a shuffle, so that the rows moved are those of the runs' bigrams however many partitions
 there are; each text is then scored where its run is. Only the vocabulary's own counts are broadcast.
@@ -100,8 +102,14 @@ def count_tokens(flagged: DataFrame, tokenizer: str) -> DataFrame:
     return stored(flagged.select("doc_id", "text", "target").mapInArrow(runs, _RUNS))
 
 
+def _own(row: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """How often each token's key occurs in the token's own text."""
+    _, at, n = np.unique(row * VOCABULARY**2 + key, return_inverse=True, return_counts=True)
+    return n[at]
+
+
 class Models:
-    """Background and target: counts of each context, and smoothed shares of each token; as long as the vocabulary."""
+    """Background and target: counts of contexts and tokens; as long as the vocabulary."""
 
     def __init__(self, counts: DataFrame):
         both = []
@@ -111,12 +119,19 @@ class Models:
             for model, name in enumerate(("background", "target")):
                 full[model, np.asarray(single.column("id"))] = np.asarray(single.column(name))
             both.append(full)
-        self.before, single = both
-        self.share = (single + UNIFORM) / (single.sum(axis=1, keepdims=True) + UNIFORM * VOCABULARY)
+        self.before, self.single = both
+        self.total = self.single.sum(axis=1)
+        self.match = np.array([self.total[1] / max(1.0, self.total[0]), 1.0])
 
-    def losses(self, context: np.ndarray, ids: np.ndarray, counts: list[np.ndarray]) -> list[np.ndarray]:
-        """Background's and target's, of bigrams that each has counted so often."""
-        return [-np.log((n + BACKOFF * share[ids]) / (before[context] + BACKOFF)) for n, share, before in zip(counts, self.share, self.before, strict=True)]
+    def losses(self, row: np.ndarray, context: np.ndarray, ids: np.ndarray, lengths: np.ndarray, counts: list[np.ndarray], inside: list[np.ndarray]) -> list[np.ndarray]:
+        """Background's and target's of each token; counts: of its bigram; inside: whether a text is in the model."""
+        pair, before, single = _own(row, context * VOCABULARY + ids), _own(row, context), _own(row, ids)
+        found = []
+        for k, n, belongs, times in zip(range(2), counts, inside, self.match, strict=True):
+            own = belongs[row]
+            share = ((self.single[k][ids] - single * own) * times + UNIFORM) / ((self.total[k] - lengths[row] * own) * times + UNIFORM * VOCABULARY)
+            found.append(-np.log(((n - pair * own) * times + BACKOFF * share) / ((self.before[k][context] - before * own) * times + BACKOFF)))
+        return found
 
 
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, tokenizer: str, bits: int | None = None) -> DataFrame:
@@ -124,7 +139,7 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, tokenizer:
 
     Losses are nats per token; score is background_loss - target_loss, higher for documents more like the target
     (target_ids: doc_id). Texts without tokens, null ones too, have losses and score zero. Rows that repeat an id are
-    scored each; rows without an id are background. Without a target the target model is the uniform one. Counts are
+    scored each; rows without an id are background. Without a target both models are the uniform one. Counts are
     exact; bits, once the size of a hashed model, has no effect. A task holds one run: a text's tokens are held whole.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -151,7 +166,7 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, tokenizer:
         release()
         return pa.table({"doc_id": doc_ids, "n_tokens": lengths, "target_loss": target_loss, "background_loss": background_loss})
 
-    texts = met.filter("pair is null").select("run", "doc_ids", "lengths", "ids")
+    texts = met.filter("pair is null").select("run", "doc_ids", "targets", "lengths", "ids")
     known = pairs.select(F.col("run").alias("of"), "pair").join(counts, "pair")
     scored = texts.groupBy("run").cogroup(known.groupBy("of")).applyInArrow(score, "doc_id long, n_tokens long, target_loss double, background_loss double")
     return scored.withColumn("score", F.col("background_loss") - F.col("target_loss"))

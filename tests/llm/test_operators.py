@@ -215,21 +215,33 @@ def test_lm_score(spark, odd, none):
 
 
 def test_lm_score_counts_are_exact(spark, odd):
-    """Losses of exact counts, whatever else the corpus holds: with few buckets unrelated bigrams shared counts."""
+    """Losses of exact counts of both models, matched in tokens, without the text's own, against the formula."""
     rng = np.random.default_rng(3)
     texts = [" ".join(f"{a:x}" for a in rng.integers(0, 1 << 16, 60)) for _ in range(200)] + ["a b " * 70_000, "a b", None]
     frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], SCHEMA).unionByName(odd.select("doc_id", "text"))
     data = [(r["doc_id"], byte_tokenizer(BYTES).encode_ordinary(r["text"] or "")) for r in frame.collect()]
+    target = {i for i, _ in data if i is not None and i < 100}
+    tokens = sum(len(ids) for _, ids in data)
+    times = sum(len(ids) for i, ids in data if i in target) / tokens
+
+    def counted(ids):
+        before = [lm_score.START, *ids[:-1]] if ids else []
+        return Counter(zip(before, ids, strict=True)), Counter(before), Counter(ids)
+
     losses = []
-    for chosen in (lambda i: i is not None and i < 100, lambda i: True):
-        pair, before, single = Counter(), Counter(), Counter()
+    for chosen, scale in ((lambda i: i in target, 1), (lambda i: True, times)):
+        whole = [Counter(), Counter(), Counter()]
+        for i, ids in data:
+            for all_of, own in zip(whole, counted(ids), strict=True):
+                all_of.update(own if chosen(i) else {})
+        found = []
         for i, ids in data:
-            if chosen(i):
-                pair.update(zip([lm_score.START, *ids[:-1]], ids, strict=bool(ids)))
-                before.update([lm_score.START, *ids[:-1]] if ids else [])
-                single.update(ids)
-        total = sum(single.values()) + lm_score.UNIFORM * lm_score.VOCABULARY
-        losses.append([-sum(np.log((pair[c, x] + 20 * (single[x] + lm_score.UNIFORM) / total) / (before[c] + 20)) for c, x in zip([lm_score.START, *ids[:-1]], ids, strict=bool(ids))) / max(1, len(ids)) for _, ids in data])
+            without = counted(ids) if chosen(i) else (Counter(), Counter(), Counter())
+            n = [lambda k, a=a, b=b: (a[k] - b[k]) * scale for a, b in zip(whole, without, strict=True)]
+            total = (sum(whole[2].values()) - sum(without[2].values())) * scale + lm_score.UNIFORM * lm_score.VOCABULARY
+            loss = sum(-k * np.log((n[0]((c, x)) + 20 * (n[2](x) + lm_score.UNIFORM) / total) / (n[1](c) + 20)) for (c, x), k in counted(ids)[0].items())
+            found.append(loss / max(1, len(ids)))
+        losses.append(found)
     want = sorted((repr(i), len(ids), round(t, 6), round(b, 6)) for (i, ids), t, b in zip(data, *losses, strict=True))
     got = lm_score.cross_entropy_difference(frame, frame.filter("doc_id < 100").select("doc_id"), BYTES, bits=8).collect()
     got = sorted((repr(r["doc_id"]), r["n_tokens"], r["target_loss"], r["background_loss"]) for r in got)
