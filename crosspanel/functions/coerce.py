@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -73,3 +75,61 @@ def latest_ratio(num: Column, den: Column) -> Column:
 
 def flags_add(flags: Column, flag: Column | str) -> Column:
     return F.array_union(F.coalesce(flags, F.array().cast("array<string>")), F.array(F.lit(flag) if isinstance(flag, str) else flag))
+
+
+def fill_years(series: Column, years: Column, default: Column) -> Column:
+    """A map with all of years (array of int): series' value, else that of the year before in the list, at first default."""
+    start = F.struct(default.cast("double").alias("last"), F.array().cast("array<double>").alias("values"))
+
+    def step(a: Column, year: Column) -> Column:
+        value = F.coalesce(F.try_element_at(series, year), a["last"])
+        return F.struct(value.alias("last"), F.concat(a["values"], F.array(value)).alias("values"))
+
+    return F.map_from_arrays(years, F.aggregate(years, start, step, lambda a: a["values"]))
+
+
+def merge_years(base: Column, override: Column, years: Column) -> Column:
+    """A map with all of years: override's value, else base's filled forward from its first year's. Null without a base."""
+    filled = F.map_values(fill_years(base, years, F.try_element_at(base, F.array_min(F.map_keys(base)))))
+    merged = F.zip_with(years, filled, lambda year, value: F.coalesce(F.try_element_at(override, year), value))
+    return F.when(F.size(base) > 0, F.map_from_arrays(years, merged))
+
+
+def missing_fields(names: list[str]) -> Column:
+    """Names of the columns that are null, in the order given."""
+    return F.array_compact(F.array(*[F.when(F.col(n).isNull(), F.lit(n)) for n in names]))
+
+
+# Price of a million prompt tokens and of a million output tokens, by tier.
+TIER_PRICES = {"cheap": (0.20, 1.25), "full": (2.50, 15.00)}
+
+
+def llm_cost(tier: Column, prompt: Column, completion: Column, reasoning: Column) -> Column:
+    """Cost to six decimals; reasoning counts as output, counts that are null as zero, another tier gives null."""
+    n = lambda c: F.coalesce(c, F.lit(0))
+    costs = {t: n(prompt) / 1e6 * one + (n(completion) + n(reasoning)) / 1e6 * other for t, (one, other) in TIER_PRICES.items()}
+    return F.round(F.coalesce(*[F.when(tier == t, cost) for t, cost in costs.items()]), 6)
+
+
+# Names that a sector's text may hold, by template; the first template that fits is taken.
+SECTOR_NAMES = {
+    "software": ["software", "saas", "systems software", "application software", "cloud"],
+    "semiconductors": ["semiconductor", "semiconductors", "chip", "chips"],
+    "energy": ["energy", "oil", "gas", "exploration", "production", "midstream"],
+    "industrials": ["industrial", "industrials", "machinery", "aerospace", "transportation"],
+    "healthcare": ["healthcare", "health care", "pharma", "biotech", "medical", "managed care", "medtech"],
+    "utilities": ["utility", "utilities", "electric utilities", "multi-utilities", "water utilities"],
+    "consumer": ["consumer", "retail", "restaurant", "staples", "discretionary", "brand"],
+    "general": ["general", "unknown"],
+}
+
+
+def letters_and_digits(c: Column) -> Column:
+    return F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
+
+
+def sector_template(c: Column) -> Column:
+    """Template whose name or other names the text holds, letters and digits only; general for none, empty or null."""
+    text = letters_and_digits(c)
+    fits = [(key, "|".join(re.sub("[^a-z0-9]+", "", n) for n in (key, *names))) for key, names in SECTOR_NAMES.items()]
+    return F.coalesce(*[F.when(text.rlike(pattern), key) for key, pattern in fits], F.lit("general"))

@@ -63,3 +63,13 @@ def ic_summary(ic: DataFrame, by: list[str], date: str = "date") -> DataFrame:
     return some.groupBy(*by).agg(
         F.count("*").alias("months"), F.avg("rank_ic").alias("mean_ic"), F.percentile("rank_ic", F.lit(0.5)).alias("median_ic"),
         F.stddev_pop("rank_ic").alias("std_ic"), newey_west_t(series).alias("newey_west_t"), F.avg((F.col("rank_ic") > 0).cast("double")).alias("positive_share"))
+
+
+def sector_ic_summary(ic: DataFrame, by: list[str]) -> DataFrame:
+    """ic (by, date, n, rank_ic) -> by, months with a rank_ic, its mean, median and positive share, mean n of all months.
+
+    A correlation of zero that sums miss by their last bits is not positive.
+    """
+    return ic.groupBy(*by).agg(
+        F.count("rank_ic").alias("months"), F.avg("rank_ic").alias("mean_ic"), F.percentile("rank_ic", F.lit(0.5)).alias("median_ic"),
+        F.avg((F.col("rank_ic") > 1e-12).cast("double")).alias("positive_share"), F.avg("n").alias("mean_n"))

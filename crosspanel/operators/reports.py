@@ -5,6 +5,8 @@ A report is a row whose forecast is an array of yearly structs, so a projection
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -148,6 +150,46 @@ def mechanical_irr(features: DataFrame, growth: float = 0.03, wacc: float = 0.09
     return full.withColumns({"mechanical_irr": implied_rate(c("_flows"), c("_ev")), "mechanical_flags": flags}).select(*features.columns, "mechanical_irr", "mechanical_flags")
 
 
+def mechanical_price(raw_close: Column, current: Column, report: Column) -> Column:
+    """Struct of price, source and flags: a raw close, else the unverified current price; a report's price is refused."""
+    names = lambda *n: F.array(*[F.lit(x) for x in n]).cast("array<string>")
+    row = lambda price, source, flags: F.struct(price.cast("double").alias("price"), F.lit(source).cast("string").alias("source"), flags.alias("flags"))
+    none = F.lit(None)
+    return (
+        F.when(raw_close > 0, row(raw_close, "raw_close_price", names()))
+        .when(current > 0, row(current, "legacy_edgar_current_price", names("raw_price_unavailable", "mechanical_price_asof_unverified")))
+        .when(report > 0, row(none, None, names("raw_price_unavailable", "report_price_ignored_for_mechanical_dcf")))
+        .otherwise(row(none, None, names("missing_price")))
+    )
+
+
+def mechanical_label(records: DataFrame, growth: float = 0.03, wacc: float = 0.09, terminal_growth: float = 0.025, years: int = YEARS) -> DataFrame:
+    """records with mechanical_irr, price_source, target_ev and mechanical_flags, from filing figures and a checked price.
+
+    In: revenue, operating_income, operating_margin, shares, raw_close, current_price, report_price, da, capex, cash,
+    total_debt. Income is revenue by margin where it is null itself. Depreciation, investment, cash and debt that are null
+    count as zero and are flagged; without revenue, income, shares or price there is no rate, and flags say why.
+    """
+    c, optional = F.col, {"da": "da", "capex": "capex", "cash": "cash", "total_debt": "debt"}
+    out = records.withColumns({"_price": mechanical_price(c("raw_close"), c("current_price"), c("report_price")), "_income": F.coalesce(c("operating_income"), c("revenue") * c("operating_margin"))})
+    out = out.withColumns({f"_{o}": F.coalesce(c(o), F.lit(0.0)) for o in optional})
+    positive = lambda x: F.coalesce(x > 0, F.lit(False))
+    lacking = {"revenue": ~positive(c("revenue")), "operating_income": c("_income").isNull(), "shares_outstanding": ~positive(c("shares")), "price": ~positive(c("_price.price"))}
+    usable = ~functools.reduce(Column.__or__, lacking.values())
+    share = lambda x: F.try_divide(x, c("revenue"))
+    year = F.struct(F.lit(growth).alias("growth"), share(c("_income")).alias("ebit_margin"), share(c("_da")).alias("da"), share(F.abs("_capex")).alias("capex"), F.lit(0.0).alias("nwc"))
+    out = out.withColumns({"_usable": usable, "_p": project(F.array_repeat(year, years), c("revenue"), F.lit(0.0), F.lit(0.0), F.lit(TAX), F.lit(NOL_USE), F.lit(wacc))})
+    flows = F.transform(c("_p.years"), lambda y: y["fcff"])
+    last = F.try_element_at(flows, F.lit(-1))
+    with_end = F.concat(F.slice(flows, 1, years - 1), F.array(last * (1 + (1 + terminal_growth) / (wacc - terminal_growth))))
+    out = out.withColumns({"_flows": F.when(c("_usable"), with_end), "target_ev": F.when(c("_usable"), c("_price.price") * c("shares") + c("_total_debt") - c("_cash")), "price_source": c("_price.source")})
+    out = out.withColumn("mechanical_irr", implied_rate(c("_flows"), c("target_ev")))
+    flags = flag_list({
+        **{f"missing_mechanical_{n}": ok for n, ok in lacking.items()}, **{f"missing_{n}_mechanical": c("_usable") & c(o).isNull() for o, n in optional.items()},
+        "mechanical_dcf_error": c("_usable") & c("mechanical_irr").isNull()})
+    return out.withColumn("mechanical_flags", F.array_sort(F.array_union(flags, c("_price.flags")))).select(*records.columns, "mechanical_irr", "price_source", "target_ev", "mechanical_flags")
+
+
 def is_round(values: Column) -> Column:
     """Six forecast figures or more, of which 85 percent are whole percents."""
     whole = F.filter(values, lambda v: F.abs(v * 100 - F.round(v * 100)) < 1e-9)

@@ -20,3 +20,21 @@ def membership_on_dates(current: DataFrame, changes: DataFrame, dates: DataFrame
     now = current.select("ticker", F.lit(True).alias("_now")).distinct()
     state = nxt.join(now, "ticker", "left")
     return state.filter((F.col("kind") == "removed") | (F.col("kind").isNull() & F.col("_now"))).select("date", "ticker")
+
+
+#: Missing features that a member of the broad universe may have; the clean one has none.
+BROAD = 2
+
+
+def with_null_count(matrix: DataFrame, features: list[str]) -> DataFrame:
+    return matrix.withColumn("feature_null_count", sum((F.col(f).isNull().cast("int") for f in features), F.lit(0)))
+
+
+def universe_filter(matrix: DataFrame, universe: str) -> DataFrame:
+    """Rows of the clean or broad universe by feature_null_count."""
+    return matrix.filter(F.col("feature_null_count") <= {"clean": 0, "broad": BROAD}[universe])
+
+
+def universe_counts(matrix: DataFrame, date: str = "date") -> DataFrame:
+    n = lambda most: F.count(F.when(F.col("feature_null_count") <= most, 1))
+    return matrix.groupBy(date).agg(n(BROAD).alias("broad_count"), n(0).alias("clean_count"))
