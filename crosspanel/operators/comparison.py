@@ -45,8 +45,7 @@ def outperformance(a: DataFrame, b: DataFrame, by: list[str], date: str = "date"
 
 def holdings_report(held: DataFrame, turnovers: DataFrame, by: list[str], bps: list[float]) -> DataFrame:
     """A row per name and cost level: cost = turnover of the bucket x rate x weight, net = ret - cost."""
-    levels = held.sparkSession.createDataFrame([(float(b),) for b in bps], "cost_bps double")
-    rows = held.join(turnovers, [*by, "date"]).crossJoin(F.broadcast(levels))  # a few levels
+    rows = held.join(turnovers, [*by, "date"]).withColumn("cost_bps", F.explode(F.array(*[F.lit(float(b)) for b in bps])))
     cost = F.col("turnover") * F.col("cost_bps") / 1e4 * F.col("weight")
     return rows.withColumn("cost", cost).withColumn("net_return", F.col("ret") - F.col("cost"))
 
