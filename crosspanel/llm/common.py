@@ -50,6 +50,14 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(stored_at(df))
 
 
+def scratch(df: DataFrame) -> DataFrame:
+    """df stored for as long as the driver runs: its file system deletes the table when the JVM ends."""
+    path, spark = stored_at(df), df.sparkSession
+    held = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    held.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(held)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def release() -> None:
     """Memory that a worker's allocators keep goes back to the system."""
     pa.default_memory_pool().release_unused()

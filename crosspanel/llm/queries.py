@@ -8,12 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosspanel.llm import chat, decontaminate, exact_dedup, language, lm_score, packing, simhash, token_counts, toxicity, url_filter
+from crosspanel.llm import alignment, chat, decontaminate, exact_dedup, fill_middle, language, lm_score, packing, simhash, span_dedup, token_counts, toxicity, url_filter
 from crosspanel.llm.common import table
 from crosspanel.llm.url_filter import Rule
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 BYTES = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 END_OF_DOCUMENT = 50_256
 
 RULES = [
@@ -81,8 +82,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
 
 
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), BYTES, PIECES, digest=True).withColumnRenamed("groups", "groups_sha256")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    return made.withColumns({"output_sha256": F.sha2("output", 256), "restored_sha256": F.sha2(fill_middle.restored(), 256)}).drop("output")
+
+
+def op13_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = span_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_chat_format, op3_url_filter, op4_token_counts, op5_decontaminate, op6_pack, op7_lm_score, op8_simhash, op9_language_id, op10_toxicity)
+    f.__name__: f for f in (op1_exact_dedup, op2_chat_format, op3_url_filter, op4_token_counts, op5_decontaminate, op6_pack, op7_lm_score, op8_simhash, op9_language_id, op10_toxicity, op11_align, op12_fill_in_middle, op13_span_dedup)
 }
 
 _ESCAPES = r"(\\|<turn>|</turn>|### System:|### User:|### Assistant:|<\|endoftext\|>|<\|im_start\|>|<\|im_end\|>"
@@ -106,4 +121,31 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
                CAST(sum(15 + length(regexp_replace(role, '{_ESCAPES}|\n)', '\\\1', 'g')) + length(regexp_replace(text, '{_ESCAPES})', '\\\1', 'g'))) AS BIGINT) AS formatted_chars
         FROM t GROUP BY conv_id""",
+    "op12_fill_in_middle": r"""
+        WITH d AS (
+          SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || CAST(doc_id AS VARCHAR)) AS h FROM documents),
+        k AS (
+          SELECT doc_id, t, u, CAST(len(u) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+                 CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+        c AS (
+          SELECT doc_id, t, n,
+                 CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+                      WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+                 array_to_string(u[1:least(h1 % (n + 1), h2 % (n + 1))], '') AS p,
+                 array_to_string(u[least(h1 % (n + 1), h2 % (n + 1)) + 1:greatest(h1 % (n + 1), h2 % (n + 1))], '') AS m,
+                 array_to_string(u[greatest(h1 % (n + 1), h2 % (n + 1)) + 1:], '') AS s FROM k)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+               sha256(t) AS restored_sha256
+        FROM c""",
+    "op13_span_dedup": r"""
+        WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        p AS (SELECT r, w, unnest(range(1, CAST(len(w) AS BIGINT) - 33)) AS i FROM d),
+        h AS (SELECT r, i, array_to_string(w[i:i + 34], ' ') AS window_words FROM p),
+        g AS (SELECT window_words FROM h GROUP BY window_words HAVING count(*) > 1),
+        c AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS place FROM h SEMI JOIN g USING (window_words)),
+        v AS (SELECT r, unnest(w) AS word, unnest(range(1, CAST(len(w) AS BIGINT) + 1)) AS place FROM d),
+        k AS (SELECT r, count(*) AS n_kept, string_agg(word, ' ' ORDER BY place) AS kept FROM v ANTI JOIN c USING (r, place) GROUP BY r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n_kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN k USING (r)""",
 }
