@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crosspanel.operators.xsec import average_rank
+from crosspanel.operators.xsec import doubled_rank
 
 
 def decompose(signals: DataFrame, by: list[str]) -> DataFrame:
@@ -16,29 +16,46 @@ def decompose(signals: DataFrame, by: list[str]) -> DataFrame:
     return signals.filter("score is not null").withColumns({"sector_score": mean, "within_score": F.col("score") - mean, "sector_status": status})
 
 
-def spearman(pairs: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """by, n, rank_ic over pairs without nulls; null below two pairs or for a constant side."""
-    full = pairs.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = full.withColumns({"_x": average_rank(F.col(x), by), "_y": average_rank(F.col(y), by)})
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), guarded_corr("_x", "_y").alias("rank_ic"))
+def exact_corr(x: str, y: str) -> Column:
+    """Correlation of two columns of whole numbers (doubled ranks): sums are exact, so neither the order of rows nor their
+    partitions change it, and a zero is zero. Null for a constant side."""
+    whole = lambda e: F.sum(e.cast("decimal(20,0)"))
+    a, b, n = F.col(x), F.col(y), F.count("*").cast("decimal(10,0)")
+    spread = lambda v: (n * whole(v * v) - whole(v) * whole(v)).cast("double")
+    return F.try_divide((n * whole(a * b) - whole(a) * whole(b)).cast("double"), F.sqrt(spread(a)) * F.sqrt(spread(b)))
+
 
+def spearman(pairs: DataFrame, by: list[str], x: str, y: str, keep: list[Column] | None = None) -> DataFrame:
+    """by, n, rank_ic over pairs without nulls (and aggregates to keep); rank_ic is null for a constant side."""
+    full = pairs.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    ranked = full.withColumns({"_x": doubled_rank(F.col(x), by), "_y": doubled_rank(F.col(y), by)})
+    return ranked.groupBy(*by).agg(F.count("*").alias("n"), exact_corr("_x", "_y").alias("rank_ic"), *(keep or []))
 
-def guarded_corr(x: str, y: str) -> Column:
-    spread = F.stddev_pop(x) * F.stddev_pop(y)
-    return F.when(spread > 1e-12, F.try_divide(F.covar_pop(x, y), spread))
 
+def rank_ic(panel: DataFrame, by: list[str], returns: list[str] | None = None) -> DataFrame:
+    """panel (by, sector, score, returns) -> by, horizon, decomposition (global, within_sector, across_sector), n, rank_ic,
+    sector_count (null for across_sector) and sector_status.
 
-def rank_ic(panel: DataFrame, by: list[str]) -> DataFrame:
-    """panel (by, sector, score, ret) -> by, decomposition (global, within_sector, across_sector), n, rank_ic."""
+    The panel is read once: a window over each sector gives its mean score, and one row of each sector stands for it in
+    across_sector, with its mean score and return over the rows that have both. horizon names the column of returns.
+    """
+    returns = returns or ["ret"]
     split = decompose(panel, by)
-    keys = [*by]
-    across = split.filter("ret is not null and sector is not null").groupBy(*keys, "sector").agg(F.avg("score").alias("score"), F.avg("ret").alias("ret"))
-    parts = [("global", split, "score"), ("within_sector", split, "within_score"), ("across_sector", across, "score")]
-    out = None
-    for name, frame, column in parts:
-        one = spearman(frame, keys, column, "ret").withColumn("decomposition", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+    long = split.withColumn("_r", F.explode(F.array(*[F.struct(F.lit(r).alias("horizon"), F.col(r).cast("double").alias("ret")) for r in returns])))
+    long = long.select(*by, "sector", "score", "within_score", "sector_status", "_r.horizon", "_r.ret")
+    sector = Window.partitionBy(*by, "horizon", "sector")
+    both = F.when(F.col("ret").isNotNull() & F.col("sector").isNotNull(), F.col("score"))
+    one = F.row_number().over(sector.orderBy(F.col("ret").isNull()))  # a row of the sector that has a return, if any has
+    long = long.withColumns({"_one": one, "_mean": F.avg(both).over(sector), "_ret": F.avg(F.when(both.isNotNull(), F.col("ret"))).over(sector)})
+    pair = lambda name, x, y, s: F.struct(F.lit(name).alias("decomposition"), x.alias("_s"), y.alias("_y"), s.alias("_sector"))
+    rows = F.array(
+        pair("global", F.col("score"), F.col("ret"), F.col("sector")),
+        pair("within_sector", F.col("within_score"), F.col("ret"), F.col("sector")),
+        pair("across_sector", F.when(F.col("_one") == 1, F.col("_mean")), F.col("_ret"), F.lit(None).cast("string")),
+    )
+    each = long.select(*by, "horizon", "sector_status", F.explode(rows).alias("_p")).select(*by, "horizon", "sector_status", "_p.*")
+    count = F.when(F.col("decomposition") != "across_sector", F.size(F.collect_set("_sector"))).alias("sector_count")
+    return spearman(each, [*by, "horizon", "decomposition"], "_s", "_y", [count, F.min("sector_status").alias("sector_status")])
 
 
 def newey_west_t(values: Column) -> Column:
@@ -66,10 +83,7 @@ def ic_summary(ic: DataFrame, by: list[str], date: str = "date") -> DataFrame:
 
 
 def sector_ic_summary(ic: DataFrame, by: list[str]) -> DataFrame:
-    """ic (by, date, n, rank_ic) -> by, months with a rank_ic, its mean, median and positive share, mean n of all months.
-
-    A correlation of zero that sums miss by their last bits is not positive.
-    """
+    """ic (by, date, n, rank_ic) -> by, months with a rank_ic, its mean, median and positive share, mean n of all months."""
     return ic.groupBy(*by).agg(
         F.count("rank_ic").alias("months"), F.avg("rank_ic").alias("mean_ic"), F.percentile("rank_ic", F.lit(0.5)).alias("median_ic"),
-        F.avg((F.col("rank_ic") > 1e-12).cast("double")).alias("positive_share"), F.avg("n").alias("mean_n"))
+        F.avg((F.col("rank_ic") > 0).cast("double")).alias("positive_share"), F.avg("n").alias("mean_n"))

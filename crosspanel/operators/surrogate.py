@@ -159,41 +159,6 @@ def coefficient_signs(oof: DataFrame, names: list[str]) -> DataFrame:
     return s.withColumn("strength", F.when(relative >= 0.67, "strong").when(relative >= 0.33, "medium").when(F.col("size") > 0, "weak").otherwise("ignored"))
 
 
-def elastic_net(frame: DataFrame, features: list[str], target: str, folds: int = 5, seed: int = 7):
-    """Fitted pipeline: medians, standardisation, elastic net chosen by cross-validation over alphas and mixes."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.evaluation import RegressionEvaluator
-    from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-
-    line = LinearRegression(featuresCol="scaled", labelCol=target, standardization=False)
-    # 20 alphas from 1e-4 to 10 on a log scale, three mixes.
-    grid = ParamGridBuilder().addGrid(line.regParam, [float(a) for a in np.logspace(-4, 1, 20)]).addGrid(line.elasticNetParam, [0.1, 0.5, 0.9]).build()
-    search = CrossValidator(estimator=line, estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol=target, metricName="mse"), numFolds=folds, seed=seed, parallelism=4)
-    filled = [f"{f}_filled" for f in features]
-    return Pipeline(stages=[Imputer(strategy="median", inputCols=features, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="vector"), StandardScaler(withMean=True, inputCol="vector", outputCol="scaled"), search]).fit(frame.filter(F.col(target).isNotNull()))
-
-
-def export_linear_params(model, features: list[str]) -> list[tuple[str, float, float, float, float]]:
-    """(feature, coefficient, median, mean, scale) of an elastic_net pipeline, first the intercept's row; one row a feature."""
-    imputer, _, scaler, search = model.stages
-    best, medians = search.bestModel, imputer.surrogateDF.first().asDict()
-    rows = zip(features, best.coefficients, [medians[f] for f in features], scaler.mean, scaler.std, strict=True)
-    return [("intercept", float(best.intercept), 0.0, 0.0, 1.0), *[(f, float(c), float(m), float(a), float(s)) for f, c, m, a, s in rows]]
-
-
-def tree_surrogate(frame: DataFrame, features: list[str], target: str, rounds: int = 200, seed: int = 7):
-    """Boosted trees of depth two, rate .05, on samples of .8. No monotone constraints; missing values count as medians."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import Imputer, VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    filled = [f"{f}_filled" for f in features]
-    trees = GBTRegressor(featuresCol="vector", labelCol=target, maxDepth=2, maxIter=rounds, stepSize=0.05, subsamplingRate=0.8, seed=seed)
-    return Pipeline(stages=[Imputer(strategy="median", inputCols=features, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="vector"), trees]).fit(frame.filter(F.col(target).isNotNull()))
-
-
 def match_summary(features: DataFrame, labels: DataFrame, known_broken: list[str] | None = None, oldest_year: int = 2024) -> DataFrame:
     """(ticker, reason) over both sides; reason is null for usable pairs, else the first that applies.
 

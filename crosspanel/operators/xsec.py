@@ -23,11 +23,16 @@ def zscore(x: Column, by: list[str]) -> Column:
     return F.when(x.isNotNull(), F.when(spread > 1e-12, (x - F.avg(x).over(w)) / spread).otherwise(0.0))
 
 
-def average_rank(x: Column, by: list[str]) -> Column:
-    """Rank from one, ties averaged."""
+def doubled_rank(x: Column, by: list[str]) -> Column:
+    """Twice the rank from one, ties averaged: a whole number."""
     low = F.rank().over(Window.partitionBy(*by, x.isNull()).orderBy(x))
     ties = F.count(F.lit(1)).over(Window.partitionBy(*by, x))
-    return F.when(x.isNotNull(), low + (ties - 1) / 2)
+    return F.when(x.isNotNull(), 2 * low + ties - 1)
+
+
+def average_rank(x: Column, by: list[str]) -> Column:
+    """Rank from one, ties averaged."""
+    return doubled_rank(x, by) / 2
 
 
 def pct_rank_01(x: Column, by: list[str]) -> Column:

@@ -84,7 +84,7 @@ def mechanical_label(spark, sf):
     return m.select("report_id", "price_source", settle(F.col("target_ev") / F.col("revenue")).alias("target_by_revenue"), F.array_join("mechanical_flags", ",").alias("flags"))
 
 
-@query(f"WITH {PANEL}, ic AS (SELECT * FROM {ranked('panel', 'date, sector')}) SELECT sector, count(rank_ic) AS months, {R('avg(rank_ic)')} AS mean_ic, {R('quantile_cont(rank_ic, 0.5)')} AS median_ic, {R('avg(CASE WHEN rank_ic > 1e-12 THEN 1.0 WHEN rank_ic IS NOT NULL THEN 0.0 END)')} AS positive_share, {R('avg(n)')} AS mean_n FROM ic GROUP BY 1")
+@query(f"WITH {PANEL}, ic AS (SELECT * FROM {ranked('panel', 'date, sector')}) SELECT sector, count(rank_ic) AS months, {R('avg(rank_ic)')} AS mean_ic, {R('quantile_cont(rank_ic, 0.5)')} AS median_ic, {R('avg(CASE WHEN rank_ic > 0 THEN 1.0 WHEN rank_ic IS NOT NULL THEN 0.0 END)')} AS positive_share, {R('avg(n)')} AS mean_n FROM ic GROUP BY 1")
 def sector_ic_summary(spark, sf):
     ic = diagnostics.spearman(proxy.panel(spark, sf), ["date", "sector"], "score", "ret")
     s = diagnostics.sector_ic_summary(ic, ["sector"])

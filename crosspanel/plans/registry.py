@@ -61,10 +61,12 @@ panel AS (
 
 
 def ranked(source: str, keys: str, x: str = "score", y: str = "ret") -> str:
-    return f"""(SELECT {keys}, count(*) AS n, CASE WHEN stddev_pop(rx) * stddev_pop(ry) > 1e-12 THEN covar_pop(rx, ry) / (stddev_pop(rx) * stddev_pop(ry)) END AS rank_ic
-      FROM (SELECT {keys}, rank() OVER (PARTITION BY {keys} ORDER BY {x}) + (count(*) OVER (PARTITION BY {keys}, {x}) - 1) / 2.0 AS rx,
-                   rank() OVER (PARTITION BY {keys} ORDER BY {y}) + (count(*) OVER (PARTITION BY {keys}, {y}) - 1) / 2.0 AS ry
-            FROM {source} WHERE {x} IS NOT NULL AND {y} IS NOT NULL) GROUP BY {keys})"""
+    """Correlation of doubled average ranks, by whole sums."""
+    return f"""(SELECT {keys}, n, CAST(n * xy - sx * sy AS DOUBLE) / nullif(sqrt(CAST(n * xx - sx * sx AS DOUBLE)) * sqrt(CAST(n * yy - sy * sy AS DOUBLE)), 0) AS rank_ic
+      FROM (SELECT {keys}, count(*) AS n, sum(rx) AS sx, sum(ry) AS sy, sum(rx * ry) AS xy, sum(rx * rx) AS xx, sum(ry * ry) AS yy
+      FROM (SELECT {keys}, 2 * rank() OVER (PARTITION BY {keys} ORDER BY {x}) + count(*) OVER (PARTITION BY {keys}, {x}) - 1 AS rx,
+                   2 * rank() OVER (PARTITION BY {keys} ORDER BY {y}) + count(*) OVER (PARTITION BY {keys}, {y}) - 1 AS ry
+            FROM {source} WHERE {x} IS NOT NULL AND {y} IS NOT NULL) GROUP BY {keys}))"""
 
 
 # --- prices, as-of, returns
@@ -255,7 +257,7 @@ def decompose(spark, sf):
 
 
 def _ic(spark, sf):
-    return diagnostics.rank_ic(proxy.panel(spark, sf), ["date"])
+    return diagnostics.rank_ic(proxy.panel(spark, sf), ["date"]).drop("horizon")
 
 
 @query(f"WITH {_IC} SELECT date, n, decomposition, {R('rank_ic')} AS rank_ic FROM ic")
@@ -263,9 +265,8 @@ def rank_ic(spark, sf):
     return _ic(spark, sf).filter("decomposition <> 'within_sector'").select("date", "n", "decomposition", settle(F.col("rank_ic")).alias("rank_ic"))
 
 
-@query()
+@query(f"WITH {_SPLIT} SELECT date, n, {R('rank_ic')} AS rank_ic FROM {ranked('split', 'date', 'within_score')}")
 def rank_ic_within_sector(spark, sf):
-    """Ranks of score less sector mean, where sums in another order may break ties another way: no SQL."""
     return _ic(spark, sf).filter("decomposition = 'within_sector'").select("date", "n", settle(F.col("rank_ic")).alias("rank_ic"))
 
 

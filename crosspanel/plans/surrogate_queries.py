@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from crosspanel.functions.coerce import settle
-from crosspanel.operators import scores
+from crosspanel.operators import elastic, scores, trees
 from crosspanel.operators import surrogate as O
 from crosspanel.operators.xsec import pct_rank_01
 from crosspanel.plans.fact_queries import DERIVED, FEATURES, derived
@@ -129,8 +129,44 @@ def ranking_surprises(spark, sf):
     return O.ranking_surprises(rows, "other").withColumn("gap", settle(F.col("gap")))
 
 
+# The features of the trees, and the signs that predictions keep to.
+TREE_FEATURES = {"fcf_to_ev": 1, "gross_profitability_assets": 1, "asset_growth_1y": -1, "roe": 1, "operating_margin": 0}
+
+
+def _training(spark, sf):
+    return O.training_frame(_labels(spark, sf), derived(spark, sf))
+
+
 @query()
 def tree_fit(spark, sf):
-    """Boosted trees on the panel's features; a fit by Spark's own library."""
-    t = O.training_frame(_labels(spark, sf), derived(spark, sf)).filter("roe is not null")
-    return O.tree_surrogate(t, NUMERIC, "label").transform(t).select("ticker", settle(F.col("prediction")).alias("prediction"))
+    """Boosted trees on the panel's features; tested against numpy."""
+    t = _training(spark, sf)
+    model = trees.fit(t, list(TREE_FEATURES), "label", "ticker", TREE_FEATURES)
+    return t.select("ticker", settle(trees.predicted(model)).alias("prediction"))
+
+
+def _elastic(spark, sf):
+    t, sectors = _training(spark, sf), [r[0] for r in proxy.table(spark, sf, "region").select("r_name").collect()]  # a row a region
+    dummies = {f"sector_{s}": F.when(F.coalesce("sector", F.lit("Unknown")) == s, 1.0).otherwise(0.0) for s in sorted(sectors)[1:]}
+    t = t.withColumns(dummies)
+    return t, elastic.fit(t, [*NUMERIC, *dummies], "label", "ticker")
+
+
+@query()
+def elastic_net(spark, sf):
+    """Predictions of the net chosen by cross-validation; its conditions are tested."""
+    t, model = _elastic(spark, sf)
+    return t.select("ticker", settle(model.score()).alias("prediction"))
+
+
+@query()
+def elastic_net_path(spark, sf):
+    _, model = _elastic(spark, sf)
+    return model.path(spark).select("l1_ratio", settle(F.col("alpha")).alias("alpha"), settle(F.col("error")).alias("error"), "chosen")
+
+
+@query()
+def linear_params(spark, sf):
+    """Coefficients, medians, means and scales for scoring elsewhere."""
+    _, model = _elastic(spark, sf)
+    return model.parameters(spark).select("feature", *[settle(F.col(c)).alias(c) for c in ("coefficient", "median", "mean", "scale")])

@@ -1,7 +1,6 @@
 """Surrogates against numpy, scores and facts by hand, and every SQL-backed query against DuckDB on the smallest tables."""
 
 import datetime as dt
-import inspect
 
 import duckdb
 import numpy as np
@@ -51,32 +50,6 @@ def test_bootstrap_leaves_a_third_out(rows):
     assert len(got) == 40 and 0.3 < got["n"].mean() / 60 < 0.45 and got["rank_ic"].min() > 0.8
 
 
-def test_elastic_net_exports_what_it_predicts(spark, rows):
-    frame = rows[2].select("ticker", F.get("x", F.lit(1)).alias("a"), F.when(F.col("ticker") != 3, F.get("x", F.lit(2))).alias("b"), "y")
-    model = surrogate.elastic_net(frame, ["a", "b"], "y", folds=2)
-    params = {p[0]: p[1:] for p in surrogate.export_linear_params(model, ["a", "b"])}
-    score = scores.linear_score(params.pop("intercept")[0], params)
-    both = model.transform(frame).select("prediction", score.alias("s")).toPandas()
-    assert np.allclose(both["prediction"], both["s"])
-
-
-def test_tree_fit_has_all_rounds(spark, monkeypatch):
-    fitted, fit = [], surrogate.tree_surrogate
-
-    class Same:
-        def transform(self, frame):
-            return frame.withColumn("prediction", F.lit(0.0))
-
-    def kept(*args, **more):
-        fitted.append(inspect.signature(fit).bind(*args, **more))
-        fitted[-1].apply_defaults()
-        return Same()
-
-    monkeypatch.setattr(surrogate, "tree_surrogate", kept)
-    catalog.QUERIES["tree_fit"](spark, SF)
-    assert [x.arguments["rounds"] for x in fitted] == [200]
-
-
 def test_blocks_share_a_feature_with_both_signs(spark):
     df = spark.createDataFrame([("A", 1.0, None), ("B", 3.0, 2.0)], "ticker string, cash_earnings_gap double, accruals double")
     got = {(r.ticker, r.block): (round(r.score, 6), r.feature_count) for r in scores.block_scores(df, []).collect()}
