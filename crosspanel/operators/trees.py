@@ -9,7 +9,7 @@ refuse splits against their sign and pass the middle of the two leaves on as a b
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,6 +22,8 @@ CODES = 256
 MISSING = CODES - 1
 #: Rounds after which rows carry their prediction so far, written with their codes; between, tasks apply the newer trees.
 REFRESH = 20
+#: Codes (rows x features, a byte each) up to which one task grows all trees.
+SMALL = 1 << 22
 #: Partitions from which tables are added up in two steps.
 MANY = 64
 
@@ -138,11 +140,11 @@ def best_split(table: np.ndarray, use: np.ndarray, monotone: np.ndarray, s: Sett
     return int(use[f]), int(cut), bool(side), float(w_left.flat[best]), float(w_right.flat[best])
 
 
-def bin_edges(frame: DataFrame, features: list[str]) -> list[np.ndarray]:
-    """Upper edges of the bins of each feature: quantiles, at most 254; the highest bin has no edge."""
+def bin_edges(frame: DataFrame, features: list[str], *more: Column) -> tuple[list[np.ndarray], list]:
+    """Upper edges of the bins of each feature (quantiles, at most 254; the highest bin has no edge), and aggregates in the same pass."""
     steps = [i / (MISSING - 1) for i in range(MISSING)]
-    one = frame.agg(*[F.percentile_approx(f, F.lit(steps), 10_000).alias(f"_{i}") for i, f in enumerate(features)]).first()
-    return [np.unique(np.array(x if x is not None else [], dtype=float))[:-1] for x in one]
+    one = frame.agg(*more, *[F.percentile_approx(f, F.lit(steps), 10_000).alias(f"_{i}") for i, f in enumerate(features)]).first()
+    return [np.unique(np.array(x if x is not None else [], dtype=float))[:-1] for x in one[len(more) :]], list(one[: len(more)])
 
 
 def _blocks(rows: DataFrame, model: Model) -> RDD:
@@ -160,54 +162,74 @@ def _blocks(rows: DataFrame, model: Model) -> RDD:
     return made.map(lambda r: (np.frombuffer(r.codes, dtype=np.uint8).reshape(-1, width), np.frombuffer(r.y), np.frombuffer(r.uid, dtype=np.int64), None))
 
 
-def _tables(blocks: RDD, model: Model, fresh: int, tree: Tree, level: int, round_: int, s: Settings) -> np.ndarray:
-    """(nodes of the level, features, codes, 2): sums of gradients and counts of the rows sampled."""
+def _count(part: Iterable[tuple], model: Model, fresh: int, tree: Tree, level: int, round_: int, s: Settings) -> np.ndarray:
+    """(nodes of the level, features, codes, 2): sums of gradients and counts of the sampled rows of some blocks."""
     first, nodes, width = 2**level - 1, 2**level, len(model.features)
-    newer, start = Model(model.features, model.edges, 0.0, model.trees[fresh:]), model.start
+    newer = Model(model.features, model.edges, 0.0, model.trees[fresh:])
+    out = np.zeros((nodes, width, CODES, 2))
+    for codes, y, uid, before in part:
+        keep = sampled(uid, s.seed, round_, s.rows)
+        codes, at = codes[keep], tree.leaf(codes[keep])
+        gradient = (model.start if before is None else before[keep]) + newer.predict(codes) - y[keep]
+        inside = at >= first
+        cell = (at[inside] - first) * CODES
+        for f in range(width):
+            where = cell + codes[inside, f]
+            out[:, f, :, 0] += np.bincount(where, gradient[inside], nodes * CODES).reshape(nodes, CODES)
+            out[:, f, :, 1] += np.bincount(where, minlength=nodes * CODES).reshape(nodes, CODES)
+    return out
 
-    def count(part: Iterator[tuple]) -> Iterator[np.ndarray]:
-        out = np.zeros((nodes, width, CODES, 2))
-        for codes, y, uid, before in part:
-            keep = sampled(uid, s.seed, round_, s.rows)
-            codes, at = codes[keep], tree.leaf(codes[keep])
-            gradient = (start if before is None else before[keep]) + newer.predict(codes) - y[keep]
-            inside = at >= first
-            cell = (at[inside] - first) * CODES
-            for f in range(width):
-                where = cell + codes[inside, f]
-                out[:, f, :, 0] += np.bincount(where, gradient[inside], nodes * CODES).reshape(nodes, CODES)
-                out[:, f, :, 1] += np.bincount(where, minlength=nodes * CODES).reshape(nodes, CODES)
-        yield out
 
-    return blocks.mapPartitions(count).treeReduce(np.add, 2 if blocks.getNumPartitions() > MANY else 1)
+def _moved(block: tuple, model: Model, fresh: int) -> tuple:
+    """The block with the prediction of all trees so far; it had that of the first `fresh`."""
+    codes, y, uid, before = block
+    newer = Model(model.features, model.edges, 0.0, model.trees[fresh:])
+    return codes, y, uid, (model.start if before is None else before) + newer.predict(codes)
 
 
-def fit(frame: DataFrame, features: list[str], target: str, key: str, monotone: dict[str, int] | None = None, settings: Settings | None = None) -> Model:
-    """Boosted trees of target by features. Null and NaN features are missing; rows without target take no part.
+class _Here:
+    """Blocks in the memory of one task."""
 
-    key names a row for the sampling by rounds. monotone: 1 or -1 for features by which predictions must not fall or rise.
-    A frame without any target gives a model without trees that predicts zero.
-    """
-    s = settings or Settings()
-    clean = [F.when(~F.isnan(F.col(f).cast("double")), F.col(f).cast("double")).alias(f) for f in features]
-    known = frame.filter(F.col(target).isNotNull()).select(*clean, F.col(target).cast("double").alias("_y"), F.xxhash64(key).alias("_uid"))
-    start = known.agg(F.avg("_y")).first()[0]
-    model = Model(features, bin_edges(known, features), start or 0.0)
-    if start is None:
-        return model
-    sign = np.array([(monotone or {}).get(f, 0) for f in features])
-    x = F.array(*[F.coalesce(F.col(f), F.lit(float("nan"))) for f in features])
-    blocks, fresh = _blocks(known.select(x.alias("x"), F.col("_y").alias("y"), F.col("_uid").alias("uid")), model).persist(StorageLevel.MEMORY_AND_DISK), 0
+    every = 1
+
+    def __init__(self, part: Iterable[tuple]):
+        self.part = list(part)
+
+    def tables(self, *what) -> np.ndarray:
+        return _count(self.part, *what)
+
+    def move(self, model: Model, fresh: int) -> None:
+        self.part = [_moved(b, model, fresh) for b in self.part]
+
+
+class _Spread:
+    """Blocks in the partitions of an RDD; the tables of its tasks are added up."""
+
+    every = REFRESH
+
+    def __init__(self, blocks: RDD):
+        self.blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
+
+    def tables(self, *what) -> np.ndarray:
+        parts = self.blocks.mapPartitions(lambda part: [_count(part, *what)])
+        return parts.treeReduce(np.add, 2 if parts.getNumPartitions() > MANY else 1)
+
+    def move(self, model: Model, fresh: int) -> None:
+        now = Model(model.features, model.edges, model.start, [*model.trees])
+        old, self.blocks = self.blocks, self.blocks.map(lambda b: _moved(b, now, fresh)).persist(StorageLevel.MEMORY_AND_DISK)
+        self.blocks.count()
+        old.unpersist()
+
+
+def _grow(model: Model, held: _Here | _Spread, sign: np.ndarray, s: Settings) -> Model:
+    fresh = 0
     for round_ in range(s.rounds):
-        if round_ - fresh >= REFRESH:
-            newer, first = Model(features, model.edges, 0.0, model.trees[fresh:]), model.start
-            old, blocks = blocks, blocks.map(lambda b, newer=newer, first=first: (*b[:3], (first if b[3] is None else b[3]) + newer.predict(b[0]))).persist(StorageLevel.MEMORY_AND_DISK)
-            blocks.count()
-            old.unpersist()
+        if round_ - fresh >= held.every:
+            held.move(model, fresh)
             fresh = round_
-        tree, use, bounds = Tree.empty(s.depth), allowed(len(features), s, round_), {0: (-np.inf, np.inf)}
+        tree, use, bounds = Tree.empty(s.depth), allowed(len(model.features), s, round_), {0: (-np.inf, np.inf)}
         for level in range(s.depth):
-            tables, grown = _tables(blocks, model, fresh, tree, level, round_, s), False
+            tables, grown = held.tables(model, fresh, tree, level, round_, s), False
             for i in range(2**level - 1, 2 ** (level + 1) - 1):
                 if i not in bounds:
                     continue
@@ -227,7 +249,31 @@ def fit(frame: DataFrame, features: list[str], target: str, key: str, monotone:
             if not grown:
                 break
         model.trees.append(tree)
-    blocks.unpersist()
+    return model
+
+
+def fit(frame: DataFrame, features: list[str], target: str, key: str, monotone: dict[str, int] | None = None, settings: Settings | None = None) -> Model:
+    """Boosted trees of target by features. Null and NaN features are missing; rows without target take no part.
+
+    key names a row for the sampling by rounds. monotone: 1 or -1 for features by which predictions must not fall or rise.
+    Rows of up to SMALL codes are one task's work, which then costs no job a level; the trees are the same.
+    A frame without any target gives a model without trees that predicts zero.
+    """
+    s = settings or Settings()
+    clean = [F.when(~F.isnan(F.col(f).cast("double")), F.col(f).cast("double")).alias(f) for f in features]
+    known = frame.filter(F.col(target).isNotNull()).select(*clean, F.col(target).cast("double").alias("_y"), F.xxhash64(key).alias("_uid"))
+    edges, (start, rows) = bin_edges(known, features, F.avg("_y"), F.count("*"))
+    model = Model(features, edges, start or 0.0)
+    if start is None:
+        return model
+    sign = np.array([(monotone or {}).get(f, 0) for f in features])
+    x = F.array(*[F.coalesce(F.col(f), F.lit(float("nan"))) for f in features])
+    blocks = _blocks(known.select(x.alias("x"), F.col("_y").alias("y"), F.col("_uid").alias("uid")), model)
+    if rows * len(features) <= SMALL:
+        return blocks.coalesce(1).mapPartitions(lambda part: [_grow(model, _Here(part), sign, s)]).first()
+    held = _Spread(blocks)
+    _grow(model, held, sign, s)
+    held.blocks.unpersist()
     return model
 
 

@@ -68,8 +68,10 @@ def plain_trees(x, y, uid, s, sign):
     return pred
 
 
-@pytest.mark.parametrize("sign", [[0, 0, 0], [1, 0, -1]])
-def test_trees_are_those_of_a_plain_search(spark, sign):
+@pytest.mark.parametrize(("sign", "small"), [([0, 0, 0], 0), ([1, 0, -1], 0), ([1, 0, -1], 1 << 22)])
+def test_trees_are_those_of_a_plain_search(spark, sign, small, monkeypatch):
+    """Spread over tasks with a job a level, and in one task."""
+    monkeypatch.setattr(trees, "SMALL", small)
     x, y = data()
     df = frame(spark, x, y).repartition(5)
     s = trees.Settings(rounds=25, depth=2, rate=0.2)  # past a refresh
