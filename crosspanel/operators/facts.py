@@ -107,19 +107,22 @@ def filing_snapshots(facts: DataFrame, fields: list[str]) -> DataFrame:
 def with_prior_filing(snapshots: DataFrame, values: list[str]) -> DataFrame:
     """snapshots with prior_period_end and prior_<value>: the nearest earlier filing of an earlier period.
 
-    Where an end is missing fiscal years decide, and where these are missing too any earlier filing will do. A company
-    has a few hundred filings, so the earlier ones fit in an array.
+    Where an end is missing fiscal years decide, and where these are missing too any earlier filing will do. A company's
+    filings (a few hundred) are one sorted array, held once; each looks back along it.
     """
-    before = Window.partitionBy("ticker").orderBy(F.col("filed").asc_nulls_first(), F.col("period_end").asc_nulls_first(), "filing").rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.collect_list(F.struct("period_end", "fy", *values)).over(before)
-    rows = snapshots.withColumn("_seen", seen)
+    order = F.struct(F.coalesce("filed", F.lit("0001-01-01").cast("date")).alias("a"), F.coalesce("period_end", F.lit("0001-01-01").cast("date")).alias("b"), F.col("filing").alias("c"))
+    one = snapshots.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct(order.alias("_order"), *[c for c in snapshots.columns if c != "ticker"]))).alias("_all"))
 
-    def earlier(p: Column) -> Column:
-        by_end, by_year = p["period_end"] < F.col("period_end"), p["fy"] < F.col("fy")
-        return F.coalesce(by_end, by_year, F.lit(True))
+    def with_prior(row: Column, i: Column) -> Column:
+        def earlier(p: Column) -> Column:
+            return F.coalesce(p["period_end"] < row["period_end"], p["fy"] < row["fy"], F.lit(True))
 
-    prior = F.try_element_at(F.filter("_seen", earlier), F.lit(-1))
-    return rows.withColumn("_prior", prior).select(*snapshots.columns, F.col("_prior.period_end").alias("prior_period_end"), *[F.col(f"_prior.{v}").alias(f"prior_{v}") for v in values])
+        prior = F.try_element_at(F.filter(F.slice("_all", 1, i), earlier), F.lit(-1))
+        return F.struct(row.alias("row"), prior.alias("prior"))
+
+    rows = one.select("ticker", F.explode(F.transform("_all", with_prior)).alias("_r"))
+    own = [F.col("ticker") if c == "ticker" else F.col(f"_r.row.{c}").alias(c) for c in snapshots.columns]
+    return rows.select(*own, F.col("_r.prior.period_end").alias("prior_period_end"), *[F.col(f"_r.prior.{v}").alias(f"prior_{v}") for v in values])
 
 
 def filing_refs(facts: DataFrame) -> DataFrame:

@@ -64,7 +64,7 @@ def value_counts(df: DataFrame, by: list[str], x: Column | str, parts: int | Non
 
 def ranked(df: DataFrame, by: list[str], columns: dict[str, str], parts: int | None = None) -> DataFrame:
     """df with a percentile for each of columns (name -> column): 0 to 1 by average rank, 0.5 where a key has one value, null for nulls."""
-    out = df
+    out = checkpointed(df) if len(columns) > 1 else df  # read once for each column
     for name, x in columns.items():
         found = value_counts(df, by, x, parts)
         place = F.when(F.col("n") == 1, 0.5).otherwise((F.col("before") + (F.col("times") - 1) / 2) / (F.col("n") - 1))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crosspanel.operators import parts
 from crosspanel.operators import text as T
 
 # The features of a response, in order; changes range from -1, all others from 0, up to 1.
@@ -22,18 +23,25 @@ def _words(names: list[str]) -> Column:
     return F.array(*[F.lit(n) for n in names])
 
 
-def text_features(filings: DataFrame, positive: list[str], negative: list[str], groups: dict[str, list[str]], order: list[str]) -> DataFrame:
-    """filings (ticker, form, text, status and the order columns) with changes against the previous extracted filing, novelty, densities and flags.
+def text_features(filings: DataFrame, order: list[str], key: str, groups: dict[str, list[str]] = T.TERMS) -> DataFrame:
+    """filings (ticker, form, text, status, key and the order columns) -> all but the text, with the twelve FEATURES and flags.
 
-    One window over (ticker, form). Filings that were not extracted get none. The group `uncertainty` also gives a change.
+    Changes and novelty are against the previous extracted filing of ticker and form in order; filings that were not
+    extracted are left out. Terms of all groups are found in one pass over a text. What is put in order are keys and
+    two numbers a filing, in parts, and token sets are joined by key, which tells filings apart.
     """
     some = filings.filter("status = 'extracted'")
-    w = Window.partitionBy("ticker", "form").orderBy(*order)
-    some = some.withColumns({"_tone": T.tone(F.col("text"), positive, negative), "_tokens": T.token_set(F.col("text")), "_words": T.word_count(F.col("text")), **{g: T.density(F.col("text"), terms) for g, terms in groups.items()}})
-    prior = F.lag("_tokens").over(w)
-    out = some.withColumns({"tone_change": F.col("_tone") - F.lag("_tone").over(w), "uncertainty_change": F.col("uncertainty") - F.lag("uncertainty").over(w), "novelty": T.jaccard_novelty(F.col("_tokens"), prior)})
-    flags = F.array_compact(F.array(F.when(F.col("_words") < SHORT_WORDS, F.lit("short_text")), F.when(F.col("tone_change").isNull(), F.lit("missing_prior"))))
-    return out.withColumn("flags", flags).drop("_tone", "_tokens", "_words")
+    rest = [c for c in filings.columns if c != "text"]
+    read = some.select(*rest, T.terms_in(F.col("text"), groups).alias("_found"), T.word_count(F.col("text")).alias("_words"))
+    n = {g: T.group_count(F.col("_found"), groups, g) for g in groups}
+    dense = {g: T.density(c, F.col("_words")) for g, c in n.items() if not g.endswith("_tone")}
+    made = read.select(*rest, "_words", T.tone(n["positive_tone"], n["negative_tone"]).alias("_tone"), *[c.alias(g) for g, c in dense.items()])
+    before = parts.previous(made, ["ticker", "form"], order, ["_tone", "uncertainty", key])
+    new = T.novelty(some, ["ticker", "form"], order, key).select(F.col(key).alias("_k"), F.col("novelty").alias("risk_factor_novelty"))
+    out = before.join(new, before[key] == F.col("_k"), "left")
+    out = out.withColumns({"tone_change": F.col("_tone") - F.col("prior__tone"), "uncertainty_change": F.col("uncertainty") - F.col("prior_uncertainty")})
+    flags = F.array_compact(F.array(F.when(F.col("_words") < SHORT_WORDS, F.lit("short_text")), F.when(F.col(f"prior_{key}").isNull(), F.lit("missing_prior_text_for_change_features"))))
+    return out.select(*rest, *FEATURES, flags.alias("flags"))
 
 
 def llm_requests(corpus: DataFrame, prompt: str) -> DataFrame:

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crosspanel.operators.xsec import clip, winsorize, zscore
+from crosspanel.operators import parts
+from crosspanel.operators.xsec import clip, zscore
 
 # Features of each block with the sign that counts as good.
 BLOCKS = {
@@ -51,13 +52,28 @@ def composite(scores: DataFrame, by: list[str], key: str = "ticker") -> DataFram
     return scores.groupBy(*by, key).agg(F.avg("score").alias("composite"), F.count("score").alias("block_count"))
 
 
+def _joined(panel: DataFrame, stats: DataFrame, by: list[str]) -> DataFrame:
+    """panel with the statistics of its key (nulls are a key); of the whole panel they are one row."""
+    if not by:
+        return panel.crossJoin(F.broadcast(stats))
+    left, right = panel.alias("l"), stats.alias("r")
+    both = left.join(right, reduce(Column.__and__, [F.col(f"l.{b}").eqNullSafe(F.col(f"r.{b}")) for b in by]))
+    return both.select("l.*", *[F.col(f"r.{c}") for c in stats.columns if c not in by])
+
+
 def median_imputed(panel: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
-    """Nulls become the partition's median, or zero where all are null. One aggregation, joined back null-safe."""
-    medians = panel.groupBy(*by).agg(*[F.percentile(c, F.lit(0.5)).alias(f"_m_{c}") for c in columns])
-    left, right = panel.alias("l"), medians.alias("r")
-    both = left.join(right, reduce(Column.__and__, [F.col(f"l.{b}").eqNullSafe(F.col(f"r.{b}")) for b in by])) if by else left.crossJoin(F.broadcast(right))  # one row of medians
-    filled = {c: F.coalesce(F.col(f"l.{c}"), F.col(f"r._m_{c}"), F.lit(0.0)) for c in columns}
-    return both.select(*[filled[c].alias(c) if c in filled else F.col(f"l.{c}") for c in panel.columns])
+    """Nulls become the partition's median, or zero where all are null; medians by running counts, so no task holds a partition."""
+    both = _joined(panel, parts.quantiles(panel, by, columns, [0.5]), by)
+    return both.select(*[F.coalesce(c, f"{c}_0", F.lit(0.0)).alias(c) if c in columns else F.col(c) for c in panel.columns])
+
+
+def size_buckets(panel: DataFrame, cap: str, by: list[str]) -> DataFrame:
+    """panel with size_bucket: terciles small, mid, large of positive sizes if three are distinct; else known or unknown."""
+    sized = panel.withColumn("_cap", F.when(F.col(cap) > 0, F.col(cap).cast("double")))
+    kinds = sized.select(*by, "_cap").distinct().groupBy(*by).agg(F.count("_cap").alias("_kinds"))
+    both = _joined(_joined(sized, parts.quantiles(sized, by, ["_cap"], [1 / 3, 2 / 3]), by), kinds, by)
+    size = F.when(F.col("_cap").isNull(), "unknown").when(F.col("_kinds") < 3, "known").when(F.col("_cap") <= F.col("_cap_0"), "small").when(F.col("_cap") <= F.col("_cap_1"), "mid").otherwise("large")
+    return both.withColumn("size_bucket", size).select(*panel.columns, "size_bucket")
 
 
 def additive_score(panel: DataFrame, by: list[str], impute: bool, signs: dict[str, int] = ADDITIVE) -> DataFrame:
@@ -68,10 +84,16 @@ def additive_score(panel: DataFrame, by: list[str], impute: bool, signs: dict[st
 
 
 def standardized(panel: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
-    """The columns winsorised at 1 and 99 percent, nulls filled with the clipped median, as z-scores; all-null ones are zero."""
-    cut = panel.withColumns({c: winsorize(c, by) for c in columns})
-    full = median_imputed(cut, columns, by)
-    return full.withColumns({c: zscore(F.col(c), by) for c in columns})
+    """The columns winsorised at 1 and 99 percent, nulls filled with the clipped median, as z-scores; all-null ones are zero.
+
+    Quantiles come from running counts and moments from one aggregation, both joined back: no window over a partition.
+    """
+    cut = _joined(panel, parts.quantiles(panel, by, columns, [0.01, 0.5, 0.99]), by)
+    filled = {c: F.coalesce(clip(F.col(c), F.col(f"{c}_0"), F.col(f"{c}_2")), clip(F.col(f"{c}_1"), F.col(f"{c}_0"), F.col(f"{c}_2")), F.lit(0.0)) for c in columns}
+    full = cut.select(*[filled[c].alias(c) if c in filled else F.col(c) for c in panel.columns])
+    moments = full.groupBy(*by).agg(*[m for c in columns for m in (F.avg(c).alias(f"_m_{c}"), F.stddev_pop(c).alias(f"_s_{c}"))])
+    z = {c: F.when(F.col(f"_s_{c}") > 1e-12, (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")).otherwise(0.0) for c in columns}
+    return _joined(full, moments, by).select(*[z[c].alias(c) if c in z else F.col(c) for c in panel.columns])
 
 
 def linear_score(intercept: float, terms: dict[str, tuple[float, float, float, float]]) -> Column:

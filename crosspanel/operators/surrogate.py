@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crosspanel.operators import parts
 from crosspanel.operators.diagnostics import spearman
 from crosspanel.operators.xsec import pct_rank_01
 
@@ -135,10 +136,10 @@ def top_rates(oof: DataFrame) -> DataFrame:
 
 
 def overlap_stability(rates: DataFrame) -> DataFrame:
-    """One row: mean rate of the top quarter of tickers by rate."""
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    place = F.row_number().over(Window.partitionBy().orderBy(F.col("rate").desc(), "ticker"))  # one row per ticker, already aggregated
-    return rates.withColumns({"_n": n, "_i": place}).filter("_i <= ceil(_n / 4)").agg(F.avg("rate").alias("stability"))
+    """One row: mean rate of the top quarter of tickers by rate, of equal rates as many as the quarter has room for."""
+    counts = parts.value_counts(rates, [], -F.col("rate"))
+    taken = F.least(F.col("times"), F.greatest(F.ceil(F.col("n") / 4) - F.col("before"), F.lit(0)))
+    return counts.agg(F.try_divide(F.sum(-F.col("_x") * taken), F.sum(taken)).alias("stability"))
 
 
 def fit_metrics(rows: DataFrame, by: list[str], y: str, predicted: str) -> DataFrame:
@@ -172,19 +173,25 @@ def match_summary(features: DataFrame, labels: DataFrame, known_broken: list[str
     return both.select("ticker", reason.alias("reason"))
 
 
-def ranking_surprises(rows: DataFrame, other: str, k: int = 10) -> DataFrame:
-    """rows (ticker, actual, predicted, other: percentiles) -> (kind, ticker, gap): high predictions of low actuals, the reverse, and models apart by .35."""
-    one = Window.partitionBy()  # percentiles of one cross-section, a row per ticker
-    placed = rows.withColumns({"_top": F.row_number().over(one.orderBy(F.col("predicted").desc(), "ticker")), "_low": F.row_number().over(one.orderBy("predicted", "ticker")), "gap": F.col("predicted") - F.col("actual"), "_apart": F.col("predicted") - F.col(other)})
-    kinds = F.array_compact(F.array(
-        F.when((F.col("_top") <= k) & (F.col("actual") <= 0.35), F.struct(F.lit("over").alias("kind"), F.col("gap").alias("gap"))),
-        F.when((F.col("_low") <= k) & (F.col("actual") >= 0.65), F.struct(F.lit("under").alias("kind"), F.col("gap").alias("gap"))),
-        F.when(F.abs("_apart") >= 0.35, F.struct(F.lit("models_apart").alias("kind"), F.col("_apart").alias("gap")))))
-    return placed.select("ticker", F.explode(kinds).alias("e")).select("e.kind", "ticker", "e.gap")
+def ranking_surprises(rows: DataFrame, others: list[str], k: int = 10, pairs: int = 2) -> DataFrame:
+    """rows (ticker, actual, predicted and others: percentiles) -> (kind, ticker, gap).
+
+    over and under: of the k highest and k lowest predictions, those whose actual percentile is at most .35 or at least
+    .65; models_apart: for each other model the few tickers furthest apart, if by .35. Each is a top-k, not a window.
+    """
+    gap = (F.col("predicted") - F.col("actual")).alias("gap")
+    over = parts.first_rows(rows, [F.col("predicted").desc(), F.col("ticker")], k).filter("actual <= 0.35").select(F.lit("over").alias("kind"), "ticker", gap)
+    out = over.unionByName(parts.first_rows(rows, [F.col("predicted"), F.col("ticker")], k).filter("actual >= 0.65").select(F.lit("under").alias("kind"), "ticker", gap))
+    for other in others:
+        apart = rows.withColumn("gap", F.col("predicted") - F.col(other)).filter("gap is not null")
+        far = parts.first_rows(apart, [F.abs("gap").desc(), F.col("ticker")], pairs).filter("abs(gap) >= 0.35")
+        out = out.unionByName(far.select(F.lit(f"models_apart:{other}").alias("kind"), "ticker", "gap"))
+    return out
 
 
 def prediction_report(fitted: DataFrame, oof: DataFrame) -> DataFrame:
-    """(ticker, observed, fit and cross-validated percentiles, residual): cross-validated means over the seeds."""
+    """(ticker, observed, fit and cross-validated percentiles, residual, nulls): cross-validated means over the seeds; nulls of them."""
     cv = oof.groupBy("ticker").agg(F.avg("predicted").alias("cv"))
-    rows = fitted.join(cv, "ticker", "left")
-    return rows.select("ticker", pct_rank_01(F.col("y"), []).alias("observed_pct"), pct_rank_01(F.col("fitted"), []).alias("fit_pct"), pct_rank_01(F.col("cv"), []).alias("cv_pct"), "residual")
+    rows = parts.ranked(fitted.join(cv, "ticker", "left"), [], {"observed_pct": "y", "fit_pct": "fitted", "cv_pct": "cv"})
+    nulls = sum((F.col(c).isNull().cast("int") for c in ("y", "fitted", "cv")), F.lit(0))
+    return rows.select("ticker", "observed_pct", "fit_pct", "cv_pct", "residual", nulls.alias("nulls"))

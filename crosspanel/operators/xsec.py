@@ -48,15 +48,6 @@ def median_impute(x: str, by: list[str]) -> Column:
     return F.coalesce(F.col(x), F.percentile(x, F.lit(0.5)).over(Window.partitionBy(*by)), F.lit(0.0))
 
 
-def size_bucket(cap: str, by: list[str]) -> Column:
-    """Terciles small, mid, large of positive sizes if three are distinct; else known or unknown."""
-    w = Window.partitionBy(*by)
-    x = F.when(F.col(cap) > 0, F.col(cap))
-    a, b = F.percentile(x, F.lit(1 / 3)).over(w), F.percentile(x, F.lit(2 / 3)).over(w)
-    enough = F.size(F.collect_set(x).over(w)) >= 3
-    return F.when(x.isNull(), "unknown").when(~enough, "known").when(x <= a, "small").when(x <= b, "mid").otherwise("large")
-
-
 def bucket_small(score: str, ticker: str, by: list[str]) -> Column:
     """As bucket, but names without a score are not counted and have none, and fewer than three are all in Q1."""
     named = F.col(score).isNotNull()

@@ -77,10 +77,15 @@ def filing_snapshots(spark, sf):
     return _snapshots(spark, sf).drop("filing")
 
 
-@query(f"WITH {_SNAP} SELECT ticker, accn, lag(period_end) OVER w AS prior_period_end, lag(total_assets) OVER w AS prior_total_assets FROM snap WINDOW w AS (PARTITION BY ticker ORDER BY filed, period_end, accn)")
+@query(f"""WITH {_SNAP}, g AS (SELECT ticker, accn, filed, fy, total_assets, CASE WHEN month(period_end) = 6 THEN NULL WHEN month(period_end) = 9 THEN CAST(period_end - INTERVAL 1 YEAR AS DATE) ELSE period_end END AS p,
+    CASE WHEN ticker % 4 <> 0 THEN fy END AS y FROM snap), k AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY filed NULLS FIRST, p NULLS FIRST, accn) AS i FROM g)
+  SELECT a.ticker, a.accn, arg_max_null(b.p, b.i) AS prior_period_end, arg_max_null(b.total_assets, b.i) AS prior_total_assets
+  FROM k a LEFT JOIN k b ON a.ticker = b.ticker AND b.i < a.i AND coalesce(b.p < a.p, b.y < a.y, true) GROUP BY 1, 2""")
 def prior_filing(spark, sf):
-    """Here each filing has a period of its own, so the nearest earlier filing is the one before."""
-    return O.with_prior_filing(_snapshots(spark, sf), ["total_assets"]).select("ticker", "accn", "prior_period_end", "prior_total_assets")
+    """Some filings lack their period or report one of a year before, and some companies have no fiscal years."""
+    month, end = F.month("period_end"), F.col("period_end")
+    s = _snapshots(spark, sf).withColumns({"period_end": F.when(month == 6, None).when(month == 9, F.add_months(end, -12)).otherwise(end), "fy": F.when(F.col("ticker") % 4 != 0, F.col("fy"))})
+    return O.with_prior_filing(s, ["total_assets"]).select("ticker", "accn", "prior_period_end", "prior_total_assets")
 
 
 @query(f"""WITH {PRICES}, {_SNAP}, s AS (SELECT *, lag(total_assets) OVER (PARTITION BY ticker ORDER BY filed, period_end, accn) AS prior_total_assets FROM snap),

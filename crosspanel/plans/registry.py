@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crosspanel.functions.coerce import settle
-from crosspanel.operators import diagnostics, portfolio, quality, text, universe, valuation, xsec
+from crosspanel.operators import diagnostics, parts, portfolio, quality, scores, text, universe, valuation, xsec
 from crosspanel.operators.asof import asof
 from crosspanel.sources import proxy
 
@@ -94,6 +95,15 @@ def first_price_gt(spark, sf):
     return asof(proxy.grid(p), p.select("ticker", F.col("date").alias("_at"), "raw_close"), ["ticker"], "date", "_at", ["raw_close"], strict=True, forward=True)
 
 
+@query("""WITH p AS (SELECT event_id, ts FROM events WHERE event_type = 'purchase'), e AS (SELECT event_id AS error_id, user_id AS error_user, ts AS at FROM events WHERE event_type = 'error' QUALIFY row_number() OVER (PARTITION BY ts ORDER BY event_id DESC) = 1)
+  SELECT p.event_id, e.error_id, e.error_user FROM p ASOF LEFT JOIN e ON p.ts > e.at""")
+def asof_whole_table(spark, sf):
+    """The last error before each purchase, of anyone: one key has all rows."""
+    e = proxy.table(spark, sf, "events")
+    errors = e.filter("event_type = 'error'").select(F.col("event_id").alias("error_id"), F.col("user_id").alias("error_user"), F.col("ts").alias("at"))
+    return parts.asof(e.filter("event_type = 'purchase'").select("event_id", "ts"), errors, [], "ts", "at", ["error_id", "error_user"], strict=True, order=["error_id"]).drop("ts")
+
+
 _RETURNS = ", ".join(f"{R(f'r0.p / r{k}.p - 1')} AS return_{k}m" for k in (1, 3, 6, 12))
 
 
@@ -236,7 +246,7 @@ def pct_rank_deciles(spark, sf):
     CASE WHEN market_cap > 0 THEN {R('ln(CASE WHEN market_cap > 0 THEN market_cap ELSE 1 END)')} END AS log_market_cap FROM q""")
 def size_buckets(spark, sf):
     s = proxy.securities(spark, sf)
-    return s.select("ticker", "sector", xsec.size_bucket("market_cap", ["sector"]).alias("size_bucket"), F.when(F.col("market_cap") > 0, settle(F.ln("market_cap"))).alias("log_market_cap"))
+    return scores.size_buckets(s, "market_cap", ["sector"]).select("ticker", "sector", "size_bucket", F.when(F.col("market_cap") > 0, settle(F.ln("market_cap"))).alias("log_market_cap"))
 
 
 @query(f"WITH {PANEL} SELECT date, count(score) AS n, {R('avg(score)')} AS mean, {R('stddev_pop(score)')} AS std, {R('quantile_cont(score, 0.05)')} AS p05, {R('quantile_cont(score, 0.95)')} AS p95 FROM panel GROUP BY date")
@@ -465,33 +475,38 @@ def membership_on_date(spark, sf):
 
 # --- filing text
 
-# Small term groups for the driver's English texts.
-POSITIVE, NEGATIVE, RISK = ["the", "and", "with"], ["worthless", "idiot", "trash", "from"], ["are", "was", "that"]
+# The driver's texts have few of a filing's terms, so each group also has some of theirs.
+_MORE = {
+    "positive_tone": ["the", "and", "with"], "negative_tone": ["worthless", "idiot", "trash", "from"], "uncertainty": ["or", "as", "or the"], "management_hedging": ["this", "on"], "capital_allocation_discipline": ["are", "was", "that"],
+    "competitive_pressure": ["of the"], "pricing_power": ["the and", "un"], "demand_weakness": ["der", "and the"], "supply_chain_stress": ["la", "los"], "regulatory_pressure": ["are"], "accounting_aggressiveness": ["is", "by"], "guidance_credibility": ["in", "en"],
+}
+GROUPS = {g: [*terms, *_MORE[g]] for g, terms in text.TERMS.items()}
+WORD_SQL = "len(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_''-]*'))"
 
 
-def count_sql(terms: list[str]) -> str:
-    alone = r"' ' || regexp_replace(lower(text), '[^\p{L}\p{N}_]+', '  ', 'g') || ' '"
-    return " + ".join(f"len(regexp_extract_all({alone}, ' {t} '))" for t in terms)
+def count_sql(terms: list[str], column: str = "plain") -> str:
+    return " + ".join(rf"len(regexp_extract_all({column}, '\b{re.escape(t)}\b'))" for t in terms)
 
 
-_WORDS = "len(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_''-]*'))"
+#: Lower-cased text in which any other letter is an x and any other mark no space, so that ASCII word edges are the right ones.
+PLAIN_SQL = r"regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\x00-\x7F]', chr(1), 'g'), '[^\x00-\x7F]', 'x', 'g')"
 
 
-@query(f"""SELECT doc_id, CAST({_WORDS} AS INTEGER) AS words, {R(f"coalesce(least(1.0, ({count_sql(RISK)}) * 1000.0 / nullif({_WORDS}, 0) / 10), 0)")} AS density,
-  {R(f"coalesce((({count_sql(POSITIVE)}) - ({count_sql(NEGATIVE)})) * 1.0 / nullif(({count_sql(POSITIVE)}) + ({count_sql(NEGATIVE)}), 0), 0)")} AS tone FROM documents""")
+@query(f"""WITH d AS (SELECT doc_id, text, {PLAIN_SQL} AS plain, {WORD_SQL} AS words FROM documents), n AS (SELECT doc_id, words, {', '.join(f'{count_sql(t)} AS {g}' for g, t in GROUPS.items())} FROM d)
+  SELECT doc_id, CAST(words AS INTEGER) AS words, {R('coalesce((positive_tone - negative_tone) * 1.0 / nullif(positive_tone + negative_tone, 0), 0)')} AS tone,
+    {', '.join(f"{R(f'coalesce(least(1.0, {g} * 1000.0 / nullif(words, 0) / 10), 0)')} AS {g}" for g in GROUPS if not g.endswith('_tone'))} FROM n""")
 def keyword_density(spark, sf):
-    d = proxy.table(spark, sf, "documents")
-    t = F.col("text")
-    return d.select("doc_id", text.word_count(t).alias("words"), settle(text.density(t, RISK)).alias("density"), settle(text.tone(t, POSITIVE, NEGATIVE)).alias("tone"))
+    found = proxy.table(spark, sf, "documents").select("doc_id", text.word_count(F.col("text")).alias("words"), text.terms_in(F.col("text"), GROUPS).alias("found"))
+    n = {g: text.group_count(F.col("found"), GROUPS, g) for g in GROUPS}
+    return found.select("doc_id", "words", settle(text.tone(n["positive_tone"], n["negative_tone"])).alias("tone"), *[settle(text.density(c, F.col("words"))).alias(g) for g, c in n.items() if not g.endswith("_tone")])
 
 
 @query(f"""WITH t AS (SELECT doc_id, source, list_distinct(regexp_extract_all(lower(text), '[a-z][a-z0-9_]{{2,}}')) AS tokens FROM documents),
   p AS (SELECT *, lag(tokens) OVER (PARTITION BY source ORDER BY doc_id) AS prior FROM t)
   SELECT doc_id, {R('1 - len(list_intersect(tokens, prior)) * 1.0 / nullif(len(list_distinct(list_concat(tokens, prior))), 0)')} AS novelty FROM p WHERE prior IS NOT NULL""")
 def jaccard_novelty(spark, sf):
-    d = proxy.table(spark, sf, "documents").select("doc_id", "source", text.token_set(F.col("text")).alias("tokens"))
-    p = d.withColumn("prior", F.lag("tokens").over(Window.partitionBy("source").orderBy("doc_id"))).filter("prior is not null")
-    return p.select("doc_id", settle(text.jaccard_novelty(F.col("tokens"), F.col("prior"))).alias("novelty"))
+    d = proxy.table(spark, sf, "documents")
+    return text.novelty(d, ["source"], ["doc_id"], "doc_id").filter("prior_doc_id is not null").select("doc_id", settle(F.col("novelty")).alias("novelty"))
 
 
 # --- quality

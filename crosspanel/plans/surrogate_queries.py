@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from crosspanel.functions.coerce import settle
-from crosspanel.operators import elastic, scores, trees
+from crosspanel.operators import elastic, parts, scores, trees
 from crosspanel.operators import surrogate as O
-from crosspanel.operators.xsec import pct_rank_01
 from crosspanel.plans.fact_queries import DERIVED, FEATURES, derived
 from crosspanel.plans.registry import R, query
 from crosspanel.sources import proxy
@@ -50,7 +49,8 @@ def _rows(spark, sf):
     d = scores.standardized(derived(spark, sf), NUMERIC, [])
     sectors = [r[0] for r in proxy.table(spark, sf, "region").select("r_name").collect()]
     t = O.training_frame(_labels(spark, sf).withColumnRenamed("label", "y"), d).filter("roe is not null")
-    return t.select("ticker", O.design(NUMERIC, sectors).alias("x"), "y"), len(NUMERIC) + len(sectors)
+    # A row a ticker, read by several steps of each model.
+    return parts.checkpointed(t.select("ticker", O.design(NUMERIC, sectors).alias("x"), "y")), len(NUMERIC) + len(sectors)
 
 
 @query()
@@ -93,7 +93,7 @@ def coefficient_signs(spark, sf):
 def prediction_report(spark, sf):
     rows, size = _rows(spark, sf)
     p = O.prediction_report(O.least_squares(rows, size, ridge=1.0), _oof(spark, sf))
-    return p.select("ticker", *[settle(F.col(c)).alias(c) for c in ("observed_pct", "fit_pct", "cv_pct", "residual")])
+    return p.select("ticker", *[settle(F.col(c)).alias(c) for c in ("observed_pct", "fit_pct", "cv_pct", "residual")], "nulls")
 
 
 def _sql_pct(x, w=""):
@@ -122,11 +122,11 @@ _PCTS = f"pc AS (SELECT s_suppkey AS ticker, {_sql_pct('s_acctbal')} AS actual,
 
 
 @query(f"""WITH {_PCTS}, k AS (SELECT *, row_number() OVER (ORDER BY predicted DESC, ticker) AS t, row_number() OVER (ORDER BY predicted, ticker) AS l FROM pc)
-  SELECT 'over' AS kind, ticker, {R('predicted - actual')} AS gap FROM k WHERE t <= 10 AND actual <= 0.35 UNION ALL SELECT 'under', ticker, {R('predicted - actual')} FROM k WHERE l <= 10 AND actual >= 0.65 UNION ALL SELECT 'models_apart', ticker, {R('predicted - other')} FROM k WHERE abs(predicted - other) >= 0.35""")
+  SELECT 'over' AS kind, ticker, {R('predicted - actual')} AS gap FROM k WHERE t <= 10 AND actual <= 0.35 UNION ALL SELECT 'under', ticker, {R('predicted - actual')} FROM k WHERE l <= 10 AND actual >= 0.65 UNION ALL SELECT 'models_apart:other', ticker, {R('predicted - other')} FROM (SELECT * FROM k ORDER BY abs(predicted - other) DESC, ticker LIMIT 2) WHERE abs(predicted - other) >= 0.35""")
 def ranking_surprises(spark, sf):
     s = proxy.table(spark, sf, "supplier")
-    rows = s.select(F.col("s_suppkey").alias("ticker"), pct_rank_01(F.col("s_acctbal"), []).alias("actual"), pct_rank_01((F.col("s_suppkey") * 37) % 1009, []).alias("predicted"), pct_rank_01(F.col("s_suppkey"), []).alias("other"))
-    return O.ranking_surprises(rows, "other").withColumn("gap", settle(F.col("gap")))
+    rows = s.select(F.col("s_suppkey").alias("ticker"), "s_acctbal", ((F.col("s_suppkey") * 37) % 1009).alias("key"))
+    return O.ranking_surprises(parts.ranked(rows, [], {"actual": "s_acctbal", "predicted": "key", "other": "ticker"}), ["other"]).withColumn("gap", settle(F.col("gap")))
 
 
 # The features of the trees, and the signs that predictions keep to.

@@ -7,32 +7,23 @@ from pyspark.sql import functions as F
 
 from crosspanel.functions.coerce import settle
 from crosspanel.operators import responses as O
-from crosspanel.plans.registry import NEGATIVE, POSITIVE, R, RISK, count_sql, query
+from crosspanel.plans.registry import GROUPS, PLAIN_SQL, R, WORD_SQL, count_sql, query
 from crosspanel.sources import files, proxy
 
-# Small term groups for the driver's English texts.
-GROUPS = {"uncertainty": ["or", "as"], "hedging": ["this", "on"], "regulation": RISK}
-_WORDS = "len(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_''-]*'))"
+_DENSE = {g: f"coalesce(least(1.0, {g} * 1000.0 / nullif(words, 0) / 10), 0)" for g in GROUPS if not g.endswith("_tone")}
 
 
-def _n(terms):
-    return f"({count_sql(terms)})"
-
-
-def _dens(terms):
-    return f"coalesce(least(1.0, {_n(terms)} * 1000.0 / nullif({_WORDS}, 0) / 10), 0)"
-
-
-@query(f"""WITH t AS (SELECT doc_id, source, {_WORDS} AS words, coalesce(({_n(POSITIVE)} - {_n(NEGATIVE)}) * 1.0 / nullif({_n(POSITIVE)} + {_n(NEGATIVE)}, 0), 0) AS tone, {', '.join(f'{_dens(t)} AS {g}' for g, t in GROUPS.items())},
-    list_distinct(regexp_extract_all(lower(text), '[a-z][a-z0-9_]{{2,}}')) AS tokens FROM documents WHERE text IS NOT NULL),
+@query(f"""WITH d AS (SELECT doc_id, source, text, {PLAIN_SQL} AS plain, {WORD_SQL} AS words, list_distinct(regexp_extract_all(lower(text), '[a-z][a-z0-9_]{{2,}}')) AS tokens FROM documents WHERE text IS NOT NULL),
+  n AS (SELECT doc_id, source, words, tokens, {', '.join(f'{count_sql(t)} AS {g}' for g, t in GROUPS.items())} FROM d),
+  t AS (SELECT doc_id, source, words, tokens, coalesce((positive_tone - negative_tone) * 1.0 / nullif(positive_tone + negative_tone, 0), 0) AS tone, {', '.join(f'{x} AS {g}' for g, x in _DENSE.items())} FROM n),
   p AS (SELECT *, lag(tone) OVER w AS t0, lag(uncertainty) OVER w AS u0, lag(tokens) OVER w AS k0 FROM t WINDOW w AS (PARTITION BY source ORDER BY doc_id))
-  SELECT doc_id, {R('tone - t0')} AS tone_change, {R('uncertainty - u0')} AS uncertainty_change, CASE WHEN k0 IS NOT NULL THEN {R('1 - len(list_intersect(tokens, k0)) * 1.0 / nullif(len(list_distinct(list_concat(tokens, k0))), 0)')} END AS novelty, {R('hedging')} AS hedging, {R('regulation')} AS regulation,
-    concat_ws(',', CASE WHEN words < 200 THEN 'short_text' END, CASE WHEN t0 IS NULL THEN 'missing_prior' END) AS flags FROM p""")
+  SELECT doc_id, {R('tone - t0')} AS tone_change, {R('uncertainty - u0')} AS uncertainty_change, CASE WHEN k0 IS NOT NULL THEN {R('1 - len(list_intersect(tokens, k0)) * 1.0 / nullif(len(list_distinct(list_concat(tokens, k0))), 0)')} END AS risk_factor_novelty,
+    {', '.join(f'{R(g)} AS {g}' for g in _DENSE if g != 'uncertainty')}, concat_ws(',', CASE WHEN words < 200 THEN 'short_text' END, CASE WHEN t0 IS NULL THEN 'missing_prior_text_for_change_features' END) AS flags FROM p""")
 def text_features(spark, sf):
     d = proxy.table(spark, sf, "documents")
     filings = d.select("doc_id", F.col("source").alias("ticker"), F.lit("10-K").alias("form"), "text", F.when(F.col("text").isNull(), "failed").otherwise("extracted").alias("status"))
-    t = O.text_features(filings, POSITIVE, NEGATIVE, GROUPS, ["doc_id"])
-    return t.select("doc_id", *[settle(F.col(c)).alias(c) for c in ("tone_change", "uncertainty_change", "novelty", "hedging", "regulation")], F.array_join("flags", ",").alias("flags"))
+    t = O.text_features(filings, ["doc_id"], "doc_id", GROUPS)
+    return t.select("doc_id", *[settle(F.col(c)).alias(c) for c in O.FEATURES], F.array_join("flags", ",").alias("flags"))
 
 
 _GATE = """CASE WHEN o_orderstatus = 'P' THEN 'blocked_not_date_limited' WHEN o_orderkey % 5 = 0 THEN 'blocked_not_downloaded' WHEN o_orderkey % 7 = 0 THEN 'blocked_missing_hash' WHEN o_orderkey % 11 = 0 THEN 'blocked_missing_path' ELSE 'ready' END"""
