@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -40,17 +41,28 @@ def safe_div(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
 
 
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), with x evaluated once however often f uses it."""
+    return F.get(F.transform(F.array(x), lambda v: f(v)), F.lit(0))
+
+
 def parse_amount(c: Column, ratio: bool = False) -> Column:
     """Text amount: (x) is negative, % and a trailing x go, separators and currency signs too; words for missing give null.
 
     A percentage is divided by 100, and as a ratio so is a plain number above one in size.
     """
-    text = F.lower(F.trim(c.cast("string")))
-    percent, negative = F.endswith(text, F.lit("%")), F.rlike(text, F.lit(r"^\(.*\)$"))
-    plain = F.regexp_replace(F.regexp_replace(text, r"[,_\s$€£¥()%]", ""), r"x$", "")
-    value = F.when(text.isin("", "n/a", "na", "none", "null", "nan", "-", "--"), None).otherwise(plain.try_cast("double"))
-    value = F.when(negative, -F.abs(value)).otherwise(value)
-    return F.when((percent | (F.abs(value) > 1)) if ratio else percent, value / 100).otherwise(value)
+
+    def number(text: Column) -> Column:
+        percent, negative = F.rlike(text, F.lit(r"%\s*\)?$")), F.startswith(text, F.lit("(")) & F.endswith(text, F.lit(")"))
+        plain = F.regexp_replace(F.regexp_replace(text, r"[,_\s$€£¥()%]", ""), r"x$", "")
+        value = F.when(text.isin("", "n/a", "na", "none", "null", "nan", "-", "--"), None).otherwise(plain.try_cast("double"))
+        return F.struct(value.alias("value"), percent.alias("percent"), negative.alias("negative"))
+
+    def signed(n: Column) -> Column:
+        value = F.when(n["negative"], -F.abs(n["value"])).otherwise(n["value"])
+        return F.when((n["percent"] | (F.abs(n["value"]) > 1)) if ratio else n["percent"], value / 100).otherwise(value)
+
+    return bound(bound(F.lower(F.trim(c.cast("string"))), number), signed)
 
 
 def annualized(now: Column, later: Column, years: Column) -> Column:
