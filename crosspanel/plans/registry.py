@@ -395,7 +395,17 @@ def annual_returns(spark, sf):
 # --- valuation and labels
 
 
-@query()
+_GRID = ", ".join(map(repr, valuation.RATE_GRID))
+_PV = "list_sum(list_transform(flows, lambda f, i: f / pow(1 + {r}, i)))"
+
+
+@query(f"""WITH RECURSIVE o AS (SELECT l_orderkey AS order_id, list(l_extendedprice ORDER BY l_linenumber, l_partkey, l_extendedprice) AS flows, sum(l_extendedprice) * 9e-1 AS target FROM lineitem GROUP BY 1),
+  g AS (SELECT order_id, flows, target, i, r, {_PV.format(r='r')} - target AS v FROM o CROSS JOIN (SELECT unnest([{_GRID}]) AS r, unnest(range(17)) AS i)),
+  e AS (SELECT order_id, flows, target, i, r AS lo, lead(r) OVER w AS hi, v AS vlo, lead(v) OVER w AS vhi FROM g WINDOW w AS (PARTITION BY order_id ORDER BY i)),
+  s AS (SELECT order_id, flows, target, CAST(lo AS DOUBLE) AS lo, CAST(hi AS DOUBLE) AS hi, vlo, 0 AS step FROM e WHERE vlo * vhi <= 0 AND target > 0 QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY i) = 1
+    UNION ALL SELECT order_id, flows, target, CASE WHEN vlo * vm <= 0 THEN lo ELSE mid END, CASE WHEN vlo * vm <= 0 THEN mid ELSE hi END, vlo, step + 1
+      FROM (SELECT *, {_PV.format(r='mid')} - target AS vm FROM (SELECT *, (lo + hi) / 2 AS mid FROM s WHERE step < 44)))
+  SELECT order_id, {R('(lo + hi) / 2')} AS rate FROM o LEFT JOIN (SELECT order_id, lo, hi FROM s WHERE step = 44) USING (order_id)""")
 def implied_rate(spark, sf):
     """Rate at which an order's lines, one a year, are worth nine tenths of their sum."""
     l = proxy.table(spark, sf, "lineitem")  # noqa: E741

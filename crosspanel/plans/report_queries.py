@@ -75,7 +75,15 @@ def _scenarios(spark, sf):
     return O.scenario_inputs(reports(spark, sf).withColumns({"bull": bull, "bear": bear}), ["wacc", "terminal_growth"])
 
 
-@query()
+#: The three scenarios of a report as reports of their own, numbered 3 x report_id + 0, 1, 2.
+_SCENARIOS = _RECURSIVE.replace("reports AS (SELECT o_orderkey", "reports0 AS (SELECT o_orderkey").replace(
+    ", yrs AS (SELECT l_orderkey AS report_id,", """, reports AS (SELECT r.* REPLACE (report_id * 3 + s AS report_id,
+  CASE WHEN s = 1 AND report_id % 2 = 0 THEN wacc - 1e-2 WHEN s = 2 THEN wacc + 2e-2 ELSE wacc END AS wacc, CASE WHEN s = 2 AND report_id % 3 = 0 THEN 0e0 ELSE terminal_growth END AS terminal_growth) FROM reports0 r CROSS JOIN range(3) v(s)),
+yrs AS (SELECT l_orderkey * 3 + s AS report_id,""").replace("PARTITION BY l_orderkey ORDER BY", "PARTITION BY l_orderkey, s ORDER BY").replace("AS margin FROM lineitem)", "AS margin FROM lineitem CROSS JOIN range(3) v(s))")
+
+
+@query(f"""{_SCENARIOS}, p AS (SELECT report_id // 3 AS report_id, max(per_share) FILTER (WHERE report_id % 3 = 0) AS base, max(per_share) FILTER (WHERE report_id % 3 = 1) AS bull, max(per_share) FILTER (WHERE report_id % 3 = 2) AS bear FROM val GROUP BY 1)
+  SELECT report_id, {R('base')} AS base, {R('bull')} AS bull, {R('bear')} AS bear, coalesce(bear > base, false) OR coalesce(base > bull, false) AS scenario_order_violated FROM p""")
 def scenario_order(spark, sf):
     """Values of the three scenarios and whether they are out of order; the projection is held against SQL by dcf_values."""
     v = O.valued(_scenarios(spark, sf)).groupBy("report_id").pivot("scenario", O.MODES).agg(F.first("per_share"))

@@ -133,12 +133,18 @@ def add_benchmark_signals(spark, sf):
 
 _HELD = """held AS (SELECT * EXCLUDE (i, n), 'Q' || CAST(CASE WHEN n < 50 THEN 2 * (i * 3 // n) + 1 ELSE (i * 5 // n) + 1 END AS VARCHAR) AS bucket
   FROM (SELECT *, row_number() OVER (PARTITION BY signal, date ORDER BY score DESC, ticker) - 1 AS i, count(*) OVER (PARTITION BY signal, date) AS n FROM signals WHERE score IS NOT NULL) WHERE n >= 3),
-w AS (SELECT *, 1.0 / count(*) OVER (PARTITION BY signal, date, bucket) AS weight FROM held),
-ks AS (SELECT *, dense_rank() OVER (PARTITION BY signal, bucket ORDER BY date) AS k FROM w), ds AS (SELECT DISTINCT signal, bucket, k, date FROM ks),
-kj AS (SELECT coalesce(a.signal, b.signal) AS signal, coalesce(a.bucket, b.bucket) AS bucket, coalesce(a.k, b.k + 1) AS k, abs(coalesce(a.weight, 0) - coalesce(b.weight, 0)) AS d FROM ks a FULL JOIN ks b ON a.signal = b.signal AND a.bucket = b.bucket AND a.ticker = b.ticker AND a.k = b.k + 1),
+w AS (SELECT *, 1.0 / count(*) OVER (PARTITION BY signal, date, bucket) AS weight FROM held)"""
+_AFTER = """ks AS (SELECT *, dense_rank() OVER (PARTITION BY signal, bucket ORDER BY date) AS k FROM w), ds AS (SELECT DISTINCT signal, bucket, k, date FROM ks),
+kl AS (SELECT signal, bucket, k, weight, lag(k) OVER w AS k0, lag(weight) OVER w AS w0, lead(k) OVER w AS k1 FROM ks WINDOW w AS (PARTITION BY signal, bucket, ticker ORDER BY k)),
+kj AS (SELECT signal, bucket, k, abs(weight - CASE WHEN k0 = k - 1 THEN w0 ELSE 0 END) AS d FROM kl UNION ALL SELECT signal, bucket, k + 1, weight FROM kl WHERE k1 IS DISTINCT FROM k + 1),
 tv AS (SELECT kj.signal, kj.bucket, ds.date, CASE WHEN kj.k = 1 THEN sum(d) ELSE sum(d) / 2 END AS turnover FROM kj JOIN ds ON ds.signal = kj.signal AND ds.bucket = kj.bucket AND ds.k = kj.k GROUP BY kj.signal, kj.bucket, ds.date, kj.k),
 sbr AS (SELECT signal, bucket, date, sum(weight * ret) / sum(weight) AS ret, count(*) AS names FROM w WHERE ret IS NOT NULL GROUP BY 1, 2, 3)"""
-_BY_SIGNAL = f"{SIGNALS}, {_HELD}"
+_NEUTRAL = """nk AS (SELECT *, row_number() OVER (PARTITION BY signal, date, sector ORDER BY score DESC, ticker) - 1 AS i, count(*) OVER (PARTITION BY signal, date, sector) AS n FROM signals WHERE score IS NOT NULL AND sector IS NOT NULL),
+nb AS (SELECT *, 'Q' || CAST(CASE WHEN n < 50 THEN 2 * (i * 3 // n) + 1 ELSE (i * 5 // n) + 1 END AS VARCHAR) AS bucket FROM nk WHERE n >= 3),
+ns AS (SELECT signal, date, count(DISTINCT sector) AS s FROM nb GROUP BY 1, 2), bs AS (SELECT signal, date, bucket, count(DISTINCT sector) AS s FROM nb GROUP BY 1, 2, 3),
+w AS (SELECT nb.*, 1.0 / bs.s / count(*) OVER (PARTITION BY nb.signal, nb.date, nb.bucket, nb.sector) AS weight FROM nb JOIN ns ON ns.signal = nb.signal AND ns.date = nb.date
+  JOIN bs ON bs.signal = nb.signal AND bs.date = nb.date AND bs.bucket = nb.bucket WHERE ns.s >= 2)"""
+_BY_SIGNAL = f"{SIGNALS}, {_HELD}, {_AFTER}"
 
 
 @query(f"WITH {_BY_SIGNAL} SELECT w.signal, w.date, w.bucket, w.ticker, CAST(c AS DOUBLE) AS cost_bps, {R('turnover * c / 1e4 * weight')} AS cost, {R('ret - turnover * c / 1e4 * weight')} AS net_return FROM w JOIN tv ON tv.signal = w.signal AND tv.bucket = w.bucket AND tv.date = w.date CROSS JOIN (VALUES (0), (25)) v(c)")
@@ -148,7 +154,11 @@ def holdings(spark, sf):
     return h.select("signal", "date", "bucket", "ticker", "cost_bps", settle(F.col("cost")).alias("cost"), settle(F.col("net_return")).alias("net_return"))
 
 
-@query(f"WITH {_BY_SIGNAL} SELECT 'unconstrained' AS mode, sbr.signal, sbr.date, sbr.bucket, names, CAST(c AS DOUBLE) AS cost_bps, {R('ret')} AS gross_return, {R('ret - turnover * c / 1e4')} AS net_return FROM sbr JOIN tv ON tv.signal = sbr.signal AND tv.bucket = sbr.bucket AND tv.date = sbr.date CROSS JOIN (VALUES (0), (25)) v(c)")
+def _net(mode: str) -> str:
+    return f"SELECT '{mode}' AS mode, sbr.signal, sbr.date, sbr.bucket, names, CAST(c AS DOUBLE) AS cost_bps, {R('ret')} AS gross_return, {R('ret - turnover * c / 1e4')} AS net_return FROM sbr JOIN tv ON tv.signal = sbr.signal AND tv.bucket = sbr.bucket AND tv.date = sbr.date CROSS JOIN (VALUES (0), (25)) v(c)"
+
+
+@query(f"WITH {_BY_SIGNAL} {_net('unconstrained')}")
 def audited_unconstrained(spark, sf):
     return _audited(spark, sf).filter("mode = 'unconstrained'")
 
@@ -158,9 +168,8 @@ def _audited(spark, sf):
     return a.select("mode", "signal", "date", "bucket", "names", "cost_bps", settle(F.col("gross_return")).alias("gross_return"), settle(F.col("net_return")).alias("net_return"))
 
 
-@query()
+@query(f"WITH {SIGNALS}, {_NEUTRAL}, {_AFTER} {_net('sector_neutral')}")
 def audited_sector_neutral(spark, sf):
-    """The weighting itself is held against SQL by weights_neutral."""
     return _audited(spark, sf).filter("mode = 'sector_neutral'")
 
 

@@ -25,6 +25,18 @@ def ingest(stream: DataFrame, requests: DataFrame, within: str = "2 days") -> Da
     return validate(stream.withWatermark("received", within).dropDuplicatesWithinWatermark(["response_id"]), requests)
 
 
+def answers(requests: DataFrame, responses: DataFrame, within: str = "1 hour", late: str = "2 hours") -> DataFrame:
+    """requests (accn, asked) and responses (accn, response_id, answered), both streams or both tables -> a row for each response that comes
+    within the time of its request, and one without response_id for each request that never has such a response.
+
+    As streams, both are kept as state by accn until the watermarks (late behind the newest time of each) have passed the
+    time in which an answer may come; what is then unanswered is reported, so state is bounded by that time.
+    """
+    asked, answered = requests.withWatermark("asked", late).alias("q"), responses.withWatermark("answered", late).alias("r")
+    in_time = F.expr(f"q.accn = r.accn AND r.answered BETWEEN q.asked AND q.asked + INTERVAL {within}")
+    return asked.join(answered, in_time, "leftOuter").select("q.accn", "q.asked", "r.response_id", "r.answered")
+
+
 def start(validated: DataFrame, valid_folder: str, quarantine_folder: str, checkpoint: str, once: bool = False) -> StreamingQuery:
     """Each micro-batch is written to a folder of its number, so a batch that is run again after a failure replaces itself."""
 
