@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosspanel.operators import portfolio
+from crosspanel.operators.xsec import bucket_small
 
 DECOMPOSITIONS = ["global", "within_sector", "across_sector"]
 
@@ -64,8 +65,9 @@ def audited(panel: DataFrame, by: list[str], bps: list[float]) -> DataFrame:
 
 
 def label_audit(panel: DataFrame, by: list[str], bps: list[float]) -> DataFrame:
-    """Buckets of one cross-section bought new: turnover is one, so the cost of a name is rate x weight."""
-    held = portfolio.equal_weights(panel, by).withColumn("turnover", F.lit(1.0))
+    """Buckets of each cross-section bought new: turnover is one, so the cost of a name is rate x weight. Small cross-sections are all Q1."""
+    held = panel.withColumn("bucket", bucket_small("score", "ticker", by)).filter("bucket is not null")
+    held = held.withColumn("weight", 1.0 / F.count(F.lit(1)).over(Window.partitionBy(*by, "bucket")))
     levels = panel.sparkSession.createDataFrame([(float(b),) for b in bps], "cost_bps double")
     rows = held.filter("ret is not null").crossJoin(F.broadcast(levels))
     return rows.groupBy(*by, "bucket", "cost_bps").agg(

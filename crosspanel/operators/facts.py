@@ -44,6 +44,24 @@ def preferred_unit(facts: DataFrame, units: list[str]) -> DataFrame:
     return facts.withColumns({"_place": place, "_best": best}).filter("_best is null or _place = _best").drop("_place", "_best")
 
 
+def selected_annual(facts: DataFrame, units: list[str]) -> DataFrame:
+    """One annual fact for each ticker and field: units first, then forms and lengths, then the choice around the anchor."""
+    usable = annual_facts(preferred_unit(facts, units))
+    return select_facts(usable, anchor_facts(usable))
+
+
+def quarterly_panel(facts: DataFrame, units: list[str]) -> DataFrame:
+    """(ticker, fy, fp, end, filed and a column for each of revenue, ebit, ocf, capex; fcf): the newest quarterly fact of each period.
+
+    Figures of the year to date and of other units are left out before the choice; capex counts by its size.
+    """
+    usable = quarterly_facts(preferred_unit(facts, units)).filter("value is not null")
+    order = F.struct("filed", -F.col("rank"))
+    pick = lambda f: F.max_by("value", F.when(F.col("field") == f, order)).alias(f)
+    wide = usable.groupBy("ticker", "fy", "fp", "end").agg(F.max("filed").alias("filed"), *[pick(f) for f in ("revenue", "ebit", "ocf", "capex")])
+    return wide.withColumn("capex", F.abs("capex")).withColumn("fcf", F.col("ocf") - F.col("capex"))
+
+
 def anchor_facts(facts: DataFrame, fields: list[str] = ANCHOR_FIELDS) -> DataFrame:
     """(ticker, anchor_field, anchor_end, anchor_accn): the newest fact of the first field that the company reports."""
     place = F.array_position(F.array(*[F.lit(f) for f in fields]), F.col("field"))

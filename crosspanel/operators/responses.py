@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crosspanel.functions.coerce import sector_template
 from crosspanel.operators import parts
 from crosspanel.operators import text as T
 
@@ -63,12 +64,14 @@ def render(template: Column, values: dict[str, Column]) -> Column:
 
 
 def render_prompts(tickers: DataFrame, templates: DataFrame) -> DataFrame:
-    """tickers (ticker, sector) joined with templates (sector, template, context lines); the row of sector `general` serves the rest.
+    """tickers (ticker, sector) joined with templates (sector, template, context lines) by the template whose name or other
+    names the sector's text holds; the row of sector `general` serves the rest.
 
     Templates are one row a sector, so the small side is broadcast.
     """
     fallback = templates.filter("sector = 'general'").select(F.col("template").alias("_t"), F.col("context").alias("_c"))
-    rows = tickers.join(F.broadcast(templates), "sector", "left").crossJoin(F.broadcast(fallback))  # one row
+    named = templates.select(F.col("sector").alias("_named"), "template", "context")
+    rows = tickers.join(F.broadcast(named), sector_template(F.col("sector")) == F.col("_named"), "left").crossJoin(F.broadcast(fallback))  # one row
     lines = F.array_join(F.transform(F.coalesce("context", "_c"), lambda c: F.concat(F.lit("- "), c)), "\n")
     return rows.select("ticker", "sector", render(F.coalesce("template", "_t"), {"ticker": F.col("ticker"), "context": lines}).alias("prompt"))
 

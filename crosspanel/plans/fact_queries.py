@@ -232,3 +232,32 @@ def check_counts(spark, sf):
 def return_coverage(spark, sf):
     lines = proxy.table(spark, sf, "lineitem").select(F.when(F.col("l_returnflag") != "A", F.col("l_tax")).alias("ret_1m"), F.col("l_discount").alias("ret_3m"), F.lit(None).cast("double").alias("ret_12m"))
     return quality.return_coverage(lines, ["ret_1m", "ret_3m", "ret_12m"])
+
+
+_FIELD = "CASE WHEN line % 4 = 0 THEN 'revenue' WHEN line % 4 = 1 THEN 'ocf' WHEN line % 4 = 2 THEN 'capex' ELSE 'ebit' END"
+_FILED = f"""{TAGGED}, placed AS (SELECT *, CASE unit WHEN 'USD' THEN 1 WHEN 'EUR' THEN 2 END AS place FROM tagged), best AS (SELECT *, min(place) OVER (PARTITION BY ticker, tag) AS first FROM placed),
+filed AS (SELECT ticker, {_FIELD} AS field, form, fp, "end", value * CASE WHEN line % 4 = 2 THEN -1 ELSE 1 END AS value, "end" + 45 AS filed, ticker || '-' || line AS accn, CAST(year("end") AS INTEGER) AS fy, line, start, is_duration FROM best WHERE first IS NULL OR place = first)"""
+
+
+def _filed(spark, sf):
+    """tagged with field, filed, accn, fy and rank."""
+    line = F.col("line")
+    field = F.when(line % 4 == 0, "revenue").when(line % 4 == 1, "ocf").when(line % 4 == 2, "capex").otherwise("ebit")
+    return tagged(spark, sf).withColumns({"field": field, "value": F.when(line % 4 == 2, -F.col("value")).otherwise(F.col("value")), "filed": F.date_add("end", 45), "accn": F.concat_ws("-", F.col("ticker").cast("string"), line.cast("string")), "fy": F.year("end"), "rank": line})
+
+
+@query(f"""WITH {_FILED}, k AS (SELECT * FROM filed WHERE form IN ('10-Q', '10-Q/A') AND fp IN ('Q1', 'Q2', 'Q3') AND (NOT is_duration OR coalesce("end" - start BETWEEN 45 AND 130, false))),
+  w AS (SELECT ticker, fy, fp, "end", max(filed) AS filed, {', '.join(f"arg_max(value, -line) FILTER (WHERE field = '{f}') AS {f}" for f in ('revenue', 'ebit', 'ocf', 'capex'))} FROM k GROUP BY 1, 2, 3, 4)
+  SELECT ticker, fy, fp, "end", filed, revenue, ebit, ocf, abs(capex) AS capex, {R('ocf - abs(capex)')} AS fcf FROM w""")
+def quarterly_panel(spark, sf):
+    """Figures of single quarters in one unit, with free cash flow."""
+    return O.quarterly_panel(_filed(spark, sf), ["USD", "EUR"]).withColumn("fcf", settle(F.col("fcf")))
+
+
+@query(f"""WITH {_FILED}, a AS (SELECT * FROM filed WHERE form IN ({', '.join(f"'{f}'" for f in O.ANNUAL_FORMS)}) AND (NOT is_duration OR coalesce("end" - start BETWEEN 300 AND 380, false))),
+  anc AS (SELECT ticker, "end" AS anchor_end, accn AS anchor_accn FROM a WHERE field = 'revenue' QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY "end" DESC, filed DESC, line) = 1)
+  SELECT ticker, field, value, "end", filed, accn FROM a LEFT JOIN anc USING (ticker)
+  QUALIFY row_number() OVER (PARTITION BY ticker, field ORDER BY coalesce(accn = anchor_accn, false) DESC, coalesce("end" = anchor_end, false) DESC, coalesce(-abs("end" - anchor_end), -1e9) DESC, "end" DESC, filed DESC, line) = 1""")
+def annual_selection(spark, sf):
+    """The choice of facts after the rules on units, forms and lengths."""
+    return O.selected_annual(_filed(spark, sf), ["USD", "EUR"])

@@ -173,13 +173,13 @@ def audited_sector_neutral(spark, sf):
     return _audited(spark, sf).filter("mode = 'sector_neutral'")
 
 
-@query(f"""WITH {_BY_SIGNAL}, one AS (SELECT * FROM w WHERE ret IS NOT NULL AND date = (SELECT max(date) FROM signals WHERE ret IS NOT NULL))
-  SELECT signal, bucket, CAST(c AS DOUBLE) AS cost_bps, count(*) AS names, {R('sum(weight * ret)')} AS gross_return, {R('sum(weight * ret - weight * c / 1e4)')} AS net_return FROM one CROSS JOIN (VALUES (10), (50)) v(c) GROUP BY 1, 2, c""")
+@query(f"""WITH {SIGNALS}, lk AS (SELECT *, row_number() OVER (PARTITION BY signal, date ORDER BY score DESC, ticker) - 1 AS i, count(*) OVER (PARTITION BY signal, date) AS n FROM signals WHERE score IS NOT NULL),
+  lb AS (SELECT *, 'Q' || CAST(CASE WHEN n < 3 THEN 1 WHEN n < 50 THEN 2 * (i * 3 // n) + 1 ELSE (i * 5 // n) + 1 END AS VARCHAR) AS bucket FROM lk), lw AS (SELECT *, 1.0 / count(*) OVER (PARTITION BY signal, date, bucket) AS weight FROM lb)
+  SELECT signal, date, bucket, CAST(c AS DOUBLE) AS cost_bps, count(*) AS names, {R('sum(weight * ret)')} AS gross_return, {R('sum(weight * ret - weight * c / 1e4)')} AS net_return FROM lw CROSS JOIN (VALUES (10), (50)) v(c) WHERE ret IS NOT NULL GROUP BY 1, 2, 3, c""")
 def label_audit(spark, sf):
-    s = signals(spark, sf)
-    last = s.filter("ret is not null").agg(F.max("date").alias("date"))
-    a = comparison.label_audit(s.join(F.broadcast(last), "date"), ["signal"], [10, 50])  # one date
-    return a.select("signal", "bucket", "cost_bps", "names", settle(F.col("gross_return")).alias("gross_return"), settle(F.col("net_return")).alias("net_return"))
+    """Every date is a cross-section of its own."""
+    a = comparison.label_audit(signals(spark, sf), ["signal", "date"], [10, 50])
+    return a.select("signal", "date", "bucket", "cost_bps", "names", settle(F.col("gross_return")).alias("gross_return"), settle(F.col("net_return")).alias("net_return"))
 
 
 def _signal_buckets(spark, sf):

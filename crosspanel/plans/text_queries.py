@@ -86,24 +86,22 @@ def ingest_responses(spark, sf):
     return O.request_status(requests(spark, sf), _validated(spark, sf)).select("accn", "extraction_status")
 
 
-@query("""SELECT s_suppkey AS ticker, r_name AS sector, CASE WHEN r_name IN ('ASIA', 'EUROPE') THEN 'Study ' || s_suppkey || ':' || chr(10) || '- exports of ' || r_name || chr(10) || '- margins' ELSE 'Look at ' || s_suppkey || chr(10) || '- growth' END AS prompt
-  FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey""")
+@query("""SELECT c_custkey AS ticker, c_mktsegment AS sector, CASE c_mktsegment WHEN 'MACHINERY' THEN 'Study ' || c_custkey || ':' || chr(10) || '- orders' || chr(10) || '- margins' ELSE 'Look at ' || c_custkey || chr(10) || '- growth' END AS prompt FROM customer""")
 def render_prompts(spark, sf):
-    r = proxy.table(spark, sf, "region").filter(F.col("r_name").isin("ASIA", "EUROPE"))
-    t = r.select(F.col("r_name").alias("sector"), F.lit("Study {ticker}:\n{context}").alias("template"), F.array(F.concat(F.lit("exports of "), "r_name"), F.lit("margins")).alias("context"))
-    general = spark.createDataFrame([("general", "Look at {ticker}\n{context}", ["growth"])], "sector string, template string, context array<string>")
-    return O.render_prompts(proxy.securities(spark, sf).select("ticker", "sector"), t.unionByName(general))
+    """Sectors as they are written choose a template by the names it holds."""
+    t = spark.createDataFrame([("industrials", "Study {ticker}:\n{context}", ["orders", "margins"]), ("energy", "Drill {ticker}", []), ("general", "Look at {ticker}\n{context}", ["growth"])], "sector string, template string, context array<string>")
+    return O.render_prompts(proxy.table(spark, sf, "customer").select(F.col("c_custkey").alias("ticker"), F.col("c_mktsegment").alias("sector")), t)
 
 
-@query("SELECT o_custkey AS ticker, o_orderkey AS accn, CASE o_orderstatus WHEN 'F' THEN 'revenue' ELSE 'profit' END AS field, o_totalprice AS value, CAST(o_orderdate AS DATE) AS \"end\" FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_orderkey % 5 <> 0")
+@query("SELECT o_custkey AS ticker, o_orderkey AS accn, CASE o_orderstatus WHEN 'F' THEN 'revenue' WHEN 'O' THEN 'profit' ELSE 'assets' END AS field, o_totalprice AS value, CAST(o_orderdate AS DATE) AS \"end\" FROM orders WHERE o_orderkey % 5 <> 0")
 def flatten_company_facts(spark, sf):
-    """A document for each customer, its facts by tag of order status."""
+    """A document for each customer, its facts by tag of order status; a figure that is no number is no fact."""
     k = F.col("o_orderkey")
     o = proxy.table(spark, sf, "orders")
     fact = F.struct(F.when(k % 5 == 0, F.lit("n/a")).otherwise(F.col("o_totalprice").cast("string")).alias("val"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("end"), k.cast("string").alias("accn"))
     tags = o.groupBy("o_custkey", "o_orderstatus").agg(F.struct(F.create_map(F.lit("USD"), F.collect_list(fact)).alias("units")).alias("body"))
     docs = tags.groupBy(F.col("o_custkey").alias("ticker")).agg(F.to_json(F.struct(F.create_map(F.lit("us-gaap"), F.map_from_entries(F.collect_list(F.struct("o_orderstatus", "body")))).alias("facts"))).alias("json"))
-    specs = spark.createDataFrame([("us-gaap", "F", "revenue", 0), ("us-gaap", "O", "profit", 0)], "taxonomy string, tag string, field string, rank int")
+    specs = spark.createDataFrame([("us-gaap", "F", "revenue", 0), ("us-gaap", "O", "profit", 0), ("us-gaap", "P", "assets", 0)], "taxonomy string, tag string, field string, rank int")
     return files.flatten_company_facts(docs, specs).select("ticker", F.col("accn").cast("long").alias("accn"), "field", "value", "end")
 
 

@@ -75,17 +75,18 @@ def membership_panel(spark, sf):
     return _members(spark, sf)
 
 
-_KNOWN = "kn AS (SELECT 'C' || c_custkey AS ticker FROM customer WHERE c_custkey % 3 <> 0), ids AS (SELECT 'C' || c_custkey AS ticker FROM customer WHERE c_custkey % 2 = 0)"
+_KNOWN = "kn AS (SELECT 'C' || c_custkey AS ticker FROM customer WHERE c_acctbal > 6000), ids AS (SELECT 'C' || c_custkey AS ticker FROM customer WHERE c_mktsegment <> 'BUILDING')"
 
 
-def _customers(spark, sf, keep):
-    return proxy.table(spark, sf, "customer").filter(keep).select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("ticker"))
+def _customers(spark, sf, known):
+    """All customers; those who are not known have no ticker."""
+    return proxy.table(spark, sf, "customer").select(F.when(F.expr(known), F.concat(F.lit("C"), F.col("c_custkey").cast("string"))).alias("ticker"))
 
 
 @query(f"""WITH {_MEMBERS}, {_KNOWN}, mo AS (SELECT date, avg(CAST(ticker NOT IN (SELECT ticker FROM kn) AS INTEGER)) AS share FROM mem GROUP BY 1), ms AS (SELECT DISTINCT ticker FROM mem WHERE ticker NOT IN (SELECT ticker FROM kn))
   SELECT count(*) AS missing, count(*) FILTER (WHERE ticker IN (SELECT ticker FROM ids)) AS with_id, count(*) FILTER (WHERE ticker NOT IN (SELECT ticker FROM ids)) AS without_id, (SELECT {R('avg(share)')} FROM mo) AS mean_share, (SELECT {R('max(share)')} FROM mo) AS max_share FROM ms""")
 def membership_gap(spark, sf):
-    g = O.membership_gap(_members(spark, sf), _customers(spark, sf, "c_custkey % 3 <> 0"), _customers(spark, sf, "c_custkey % 2 = 0"))
+    g = O.membership_gap(_members(spark, sf), _customers(spark, sf, "c_acctbal > 6000"), _customers(spark, sf, "c_mktsegment <> 'BUILDING'"))
     return g.withColumns({c: settle(F.col(c)) for c in ("mean_share", "max_share")})
 
 
@@ -98,7 +99,7 @@ def add_date_filter(spark, sf):
   SELECT CAST(month AS DATE) AS month, count(*) AS members, count(*) FILTER (WHERE ticker NOT IN (SELECT ticker FROM kn)) AS missing, {R('avg(CAST(ticker NOT IN (SELECT ticker FROM kn) AS INTEGER))')} AS share FROM m GROUP BY 1""")
 def gap_by_rebalance_month(spark, sf):
     members = _members(spark, sf)
-    covered = members.join(_customers(spark, sf, "c_custkey % 3 <> 0"), "ticker", "left_semi")
+    covered = members.join(_customers(spark, sf, "c_acctbal > 6000"), "ticker", "left_semi")
     g = O.gap_by_month(members, covered, members.filter("month(date) in (3, 9)").select("date"))
     return g.withColumn("share", settle(F.col("share")))
 
@@ -110,11 +111,11 @@ def add_context(spark, sf):
     return O.add_context(panel, s.select("ticker", F.col("sub_industry").alias("sector")))
 
 
-@query("""WITH a AS (SELECT DISTINCT 'customer' AS t, CAST(c_nationkey AS VARCHAR) AS v FROM customer WHERE c_acctbal > 9900 UNION SELECT 'supplier', CAST(s_nationkey AS VARCHAR) FROM supplier UNION SELECT 'nation', CAST(n_nationkey AS VARCHAR) FROM nation)
-  SELECT n.t AS "table", v.v AS value FROM (SELECT DISTINCT v FROM a) v CROSS JOIN (VALUES ('customer'), ('supplier'), ('nation')) n(t) LEFT JOIN a ON a.v = v.v AND a.t = n.t WHERE a.t IS NULL""")
+@query("""WITH a AS (SELECT DISTINCT 'customer' AS t, CAST(c_custkey AS VARCHAR) AS v FROM customer UNION SELECT 'orders', CAST(o_custkey AS VARCHAR) FROM orders UNION SELECT 'supplier', CAST(s_suppkey AS VARCHAR) FROM supplier)
+  SELECT n.t AS "table", v.v AS value FROM (SELECT DISTINCT v FROM a) v CROSS JOIN (VALUES ('customer'), ('orders'), ('supplier')) n(t) LEFT JOIN a ON a.v = v.v AND a.t = n.t WHERE a.t IS NULL""")
 def check_cross_table(spark, sf):
-    c, s, n = (proxy.table(spark, sf, t) for t in ("customer", "supplier", "nation"))
-    return O.cross_table({"customer": c.filter("c_acctbal > 9900").select(F.col("c_nationkey").alias("k")), "supplier": s.select(F.col("s_nationkey").alias("k")), "nation": n.select(F.col("n_nationkey").alias("k"))}, "k")
+    keys = {"customer": "c_custkey", "orders": "o_custkey", "supplier": "s_suppkey"}
+    return O.cross_table({t: proxy.table(spark, sf, t).select(F.col(k).alias("k")) for t, k in keys.items()}, "k")
 
 
 @query(f"""WITH {PRICES}, sp AS (SELECT ticker, min(date) AS a, max(date) AS b FROM prices GROUP BY 1), w AS (SELECT s_suppkey AS ticker FROM supplier UNION SELECT -1), r AS (SELECT w.ticker, CASE WHEN a IS NULL THEN 'absent' WHEN a - DATE '1995-01-01' > 7 THEN 'late_start' WHEN DATE '2001-06-01' - b > 7 THEN 'early_end' END AS reason FROM w LEFT JOIN sp USING (ticker))
