@@ -22,7 +22,7 @@ def exact_corr(x: str, y: str) -> Column:
     whole = lambda e: F.sum(e.cast("decimal(20,0)"))
     a, b, n = F.col(x), F.col(y), F.count("*").cast("decimal(10,0)")
     spread = lambda v: (n * whole(v * v) - whole(v) * whole(v)).cast("double")
-    return F.try_divide((n * whole(a * b) - whole(a) * whole(b)).cast("double"), F.sqrt(spread(a)) * F.sqrt(spread(b)))
+    return F.try_divide((n * whole(a * b) - whole(a) * whole(b)).cast("double"), F.sqrt(spread(a) * spread(b)))
 
 
 def spearman(pairs: DataFrame, by: list[str], x: str, y: str, keep: list[Column] | None = None) -> DataFrame:

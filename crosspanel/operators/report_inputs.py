@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crosspanel.functions.coerce import bound, fill_years, latest_ratio, merge_years, parse_amount
+from crosspanel.functions.coerce import bound, computed, fill_years, latest_ratio, merge_years, parse_amount
 from crosspanel.operators.reports import GROWTH, MODES, NOL_USE, TAX, YEARS, flag_list
 
 HISTORY = ["revenue", "ebit", "da", "capex", "nwc"]
@@ -35,12 +35,6 @@ def _child(parent: Column, key: str) -> Column:
     return F.try_element_at(parent, F.lit(key))
 
 
-def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """df with the columns, each evaluated once a row: the optimiser copies no expression past a generator."""
-    kept = [c for c in df.columns if c not in columns]
-    return df.select(*kept, F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_c")).select(*kept, "_c.*")
-
-
 def year_series(text: Column, path: Column, ratio: bool) -> Column:
     """JSON object of years -> struct of values (map of the years that have one), years (all of them) and errors."""
     none = F.array().cast("array<string>")

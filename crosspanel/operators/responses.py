@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crosspanel.functions.coerce import sector_template
+from crosspanel.functions.coerce import computed, sector_template
 from crosspanel.operators import parts
 from crosspanel.operators import text as T
 
@@ -17,6 +17,7 @@ FEATURES = [
 # Keys of a response, and keys that must appear nowhere in it.
 KEYS = ["ticker", "filing_accession", "filing_form", "feature_values", "feature_evidence", "quality_flags", "parse_failure_rate"]
 FORBIDDEN = ["raw_ai_implied_irr", "mechanical_dcf_implied_irr", "ai_minus_mechanical_irr", "ai_factor_residual", "return", "future_return", "price_target"]
+EVIDENCE_KEYS = ["section", "rationale", "short_quote"]
 QUOTE_WORDS, SHORT_WORDS = 25, 200
 
 
@@ -76,43 +77,88 @@ def render_prompts(tickers: DataFrame, templates: DataFrame) -> DataFrame:
     return rows.select("ticker", "sector", render(F.coalesce("template", "_t"), {"ticker": F.col("ticker"), "context": lines}).alias("prompt"))
 
 
+def _object(v: Column) -> Column:
+    """A JSON object as a map; null for anything else."""
+    return F.try_variant_get(v, "$", "map<string,variant>")
+
+
+def _is(v: Column, *kinds: str) -> Column:
+    """Whether a JSON value is of one of the kinds; no value is of none."""
+    return F.coalesce(F.rlike(F.schema_of_variant(v), F.lit(f"^({'|'.join(kinds)})")), F.lit(False))
+
+
+_NUMBER = ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT")
+
+
+def _text(v: Column) -> Column:
+    return F.when(_is(v, "STRING"), F.try_variant_get(v, "$", "string"))
+
+
+def _listed(tag: str | Column, found: Column) -> Column:
+    tag = F.lit(tag) if isinstance(tag, str) else tag
+    return F.when(F.size(found) > 0, F.concat(tag, F.lit(":"), F.array_join(F.array_sort(found), ",")))
+
+
+def _value_errors(values: Column) -> Column:
+    def wrong(f: Column) -> Column:
+        v = F.try_element_at(values, f)
+        number = F.try_variant_get(v, "$", "double")
+        low = F.when(f.endswith("_change"), -1.0).otherwise(0.0)
+        bad = F.when(v.isNotNull() & ~_is(v, *_NUMBER, "VOID"), "_not_numeric_or_null").when(_is(v, *_NUMBER) & ~number.between(low, 1.0), "_out_of_range")
+        return F.concat(f, bad)
+
+    names = F.map_keys(values)
+    sides = F.array(_listed("feature_values_missing", F.array_except(_words(FEATURES), names)), _listed("feature_values_extra", F.array_except(names, _words(FEATURES))))
+    return F.concat(sides, F.transform(_words(FEATURES), wrong))
+
+
+def _evidence_errors(evidence: Column) -> Column:
+    def of_item(f: Column, item: Column) -> Column:
+        found, quote = _object(item), F.try_element_at(_object(item), F.lit("short_quote"))
+        lacking = lambda k: F.when(F.coalesce(_text(F.try_element_at(found, F.lit(k))), F.lit("")) == "", F.concat(f, F.lit(f"_evidence_missing_{k}")))
+        told = F.array(
+            _listed(F.concat(f, F.lit("_evidence_unexpected_keys")), F.array_except(F.map_keys(found), _words(EVIDENCE_KEYS))), lacking("section"), lacking("rationale"),
+            F.when(_is(quote, "STRING") & (F.size(F.split(F.trim(_text(quote)), r"\s+")) > QUOTE_WORDS), F.concat(f, F.lit("_evidence_quote_too_long"))),
+            F.when(quote.isNotNull() & ~_is(quote, "STRING", "VOID"), F.concat(f, F.lit("_evidence_quote_not_string"))))
+        return F.when(found.isNull(), F.array(F.concat(f, F.lit("_evidence_item_must_be_object")))).otherwise(told)
+
+    def of_feature(f: Column) -> Column:
+        v = F.try_element_at(evidence, f)
+        items = F.try_variant_get(v, "$", "array<variant>")
+        return F.when(~_is(v, "ARRAY"), F.array(F.concat(f, F.lit("_evidence_must_be_list")))).otherwise(F.flatten(F.transform(items, lambda item: of_item(f, item))))
+
+    names = F.map_keys(evidence)
+    sides = F.array(_listed("feature_evidence_missing", F.array_except(_words(FEATURES), names)), _listed("feature_evidence_extra", F.array_except(names, _words(FEATURES))))
+    return F.concat(sides, F.flatten(F.transform(_words(FEATURES), of_feature)))
+
+
 def validate(responses: DataFrame, requests: DataFrame) -> DataFrame:
     """responses (response_id, payload JSON text) joined with requests (ticker, accn, form) on the accession -> with status and errors.
 
-    status is valid, invalid or unknown_request. A payload is parsed once, its key sets are compared
-    as arrays, and forbidden keys are looked for at every depth.
+    status is valid, invalid or unknown_request. A payload is parsed once into typed values, so that a number in
+    quotes is no number; each level is a column of its own. errors name the feature at fault; forbidden keys are looked for at every depth.
     """
-    evidence = "map<string,array<struct<section:string,rationale:string,short_quote:string>>>"
+    none = F.array().cast("array<string>")
     top = lambda k: F.try_element_at("_top", F.lit(k))
-    read = responses.withColumn("_top", F.from_json("payload", "map<string,string>"))
-    read = read.withColumns({"accn": top("filing_accession"), "_values": F.from_json(top("feature_values"), "map<string,string>"), "_evidence": F.from_json(top("feature_evidence"), evidence)})
-    number = lambda x: x.try_cast("double")
-    keys, names = F.map_keys("_top"), F.map_keys("_values")
-    listed = lambda tag, found: F.when(F.size(found) > 0, F.concat(F.lit(f"{tag}:"), F.array_join(F.array_sort(found), ",")))
-    anywhere = F.array_intersect(F.regexp_extract_all("payload", F.lit(r'"([^"\\]+)"\s*:'), F.lit(1)), _words(FORBIDDEN))
-    rate, flags = top("parse_failure_rate"), F.from_json(top("quality_flags"), "array<string>")
-    errors = [
-        listed("unexpected_top_level_keys", F.array_except(keys, _words(KEYS))), listed("missing_top_level_keys", F.array_except(_words(KEYS), keys)), listed("forbidden_experiment_c_keys", anywhere),
-        F.when(top("ticker") != F.col("_ticker").cast("string"), F.lit("ticker_mismatch")), F.when(top("filing_form") != F.col("_form"), F.lit("filing_form_mismatch")),
-        F.when(rate.isNotNull() & number(rate).isNull(), F.lit("parse_failure_rate_must_be_number")), F.when(~number(rate).between(0, 1), F.lit("parse_failure_rate_out_of_range")),
-        F.when(top("quality_flags").isNotNull() & flags.isNull(), F.lit("quality_flags_must_be_string_list")), F.when(F.array_contains(keys, "feature_values") & names.isNull(), F.lit("feature_values_must_be_object")),
-        listed("feature_values_missing", F.array_except(_words(FEATURES), names)), listed("feature_values_extra", F.array_except(names, _words(FEATURES)))]
-
-    def wrong(f: Column) -> Column:
-        v = F.try_element_at("_values", f)
-        low = F.when(f.endswith("_change"), -1).otherwise(0)
-        return F.when(v.isNotNull() & number(v).isNull(), F.concat(f, F.lit("_not_numeric_or_null"))).when(~number(v).between(low, 1), F.concat(f, F.lit("_out_of_range")))
-
-    ranges = F.array_compact(F.transform(_words(FEATURES), wrong))
-    quotes = F.flatten(F.map_values("_evidence"))
-    cited = [
-        F.when(F.exists(quotes, lambda e: e["section"].isNull()), F.lit("evidence_missing_section")), F.when(F.exists(quotes, lambda e: e["rationale"].isNull()), F.lit("evidence_missing_rationale")),
-        F.when(F.exists(quotes, lambda e: F.size(F.split(F.trim(e["short_quote"]), r"\s+")) > QUOTE_WORDS), F.lit("evidence_quote_too_long"))]
-    known = requests.select(F.col("accn").alias("accn"), F.col("ticker").alias("_ticker"), F.col("form").alias("_form"))
+    plain = lambda k: F.try_variant_get(top(k), "$", "string")
+    read = computed(responses, {"_top": _object(F.try_parse_json("payload"))})
+    read = computed(read, {"accn": plain("filing_accession"), "_values": _object(top("feature_values")), "_evidence": _object(top("feature_evidence"))})
+    known = requests.select(F.col("accn").alias("accn"), F.col("ticker").cast("string").alias("_ticker"), F.col("form").alias("_form"))
     rows = read.join(known, "accn", "left")
-    found = F.when(keys.isNull(), F.array(F.lit("not_an_object"))).otherwise(F.concat(F.array_compact(F.array(*errors)), ranges, F.array_compact(F.array(*cited))))
-    found = F.coalesce(found, F.array_compact(F.array(*errors)))  # no values to look at
-    rows = rows.withColumn("errors", found)
+    keys, rate, flags = F.map_keys("_top"), top("parse_failure_rate"), top("quality_flags")
+    share = F.try_variant_get(rate, "$", "double")
+    anywhere = F.array_intersect(F.regexp_extract_all("payload", F.lit(r'"([^"\\]+)"\s*:'), F.lit(1)), _words(FORBIDDEN))
+    differs = lambda k, own: F.when(F.col("_ticker").isNotNull() & (F.coalesce(plain(k), F.lit("None")) != F.coalesce(F.col(own), F.lit("None"))), F.lit(f"{k}_mismatch"))
+    words = F.try_variant_get(flags, "$", "array<variant>")
+    errors = F.array(
+        _listed("unexpected_top_level_keys", F.array_except(keys, _words(KEYS))), _listed("missing_top_level_keys", F.array_except(_words(KEYS), keys)), _listed("forbidden_experiment_c_keys", anywhere),
+        differs("ticker", "_ticker"), differs("filing_form", "_form"),
+        F.when(~_is(rate, *_NUMBER), F.lit("parse_failure_rate_must_be_number")).when(~share.between(0.0, 1.0), F.lit("parse_failure_rate_out_of_range")),
+        F.when(~_is(flags, "ARRAY") | F.exists(words, lambda w: ~_is(w, "STRING")), F.lit("quality_flags_must_be_string_list")),
+        F.when(F.col("_values").isNull(), F.lit("feature_values_must_be_object")))
+    cited = F.when(F.col("_evidence").isNull(), F.array(F.lit("feature_evidence_must_be_object"))).otherwise(_evidence_errors(F.col("_evidence")))
+    found = F.concat(errors, F.when(F.col("_values").isNull(), none).otherwise(_value_errors(F.col("_values"))), cited)
+    rows = computed(rows, {"errors": F.when(F.col("_top").isNull(), F.array(F.lit("not_an_object"))).otherwise(F.array_compact(found))})
     status = F.when(F.col("_ticker").isNull(), "unknown_request").when(F.size("errors") > 0, "invalid").otherwise("valid")
     return rows.withColumn("status", status).drop("_ticker", "_form", "_top", "_values", "_evidence")
 

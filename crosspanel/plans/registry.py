@@ -63,7 +63,7 @@ panel AS (
 
 def ranked(source: str, keys: str, x: str = "score", y: str = "ret") -> str:
     """Correlation of doubled average ranks, by whole sums."""
-    return f"""(SELECT {keys}, n, CAST(n * xy - sx * sy AS DOUBLE) / nullif(sqrt(CAST(n * xx - sx * sx AS DOUBLE)) * sqrt(CAST(n * yy - sy * sy AS DOUBLE)), 0) AS rank_ic
+    return f"""(SELECT {keys}, n, CAST(n * xy - sx * sy AS DOUBLE) / nullif(sqrt(CAST(n * xx - sx * sx AS DOUBLE) * CAST(n * yy - sy * sy AS DOUBLE)), 0) AS rank_ic
       FROM (SELECT {keys}, count(*) AS n, sum(rx) AS sx, sum(ry) AS sy, sum(rx * ry) AS xy, sum(rx * rx) AS xx, sum(ry * ry) AS yy
       FROM (SELECT {keys}, 2 * rank() OVER (PARTITION BY {keys} ORDER BY {x}) + count(*) OVER (PARTITION BY {keys}, {x}) - 1 AS rx,
                    2 * rank() OVER (PARTITION BY {keys} ORDER BY {y}) + count(*) OVER (PARTITION BY {keys}, {y}) - 1 AS ry

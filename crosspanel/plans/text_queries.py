@@ -54,22 +54,31 @@ def readiness(spark, sf):
 
 
 def _responses(spark, sf):
-    """One response an order: a mistake of one kind for some, no request for others."""
+    """One response an order: a mistake of one kind for some, several for a few, no request for others."""
     k = F.col("o_orderkey")
-    values = F.concat_ws(",", *[F.format_string(f'"{f}":%s', F.when(k % 9 == i, "2.5").when(k % 10 == i, "null").otherwise(((k + i) % 100 / 100).cast("string"))) for i, f in enumerate(O.FEATURES)])
-    evidence = ",".join(f'"{f}":[]' for f in O.FEATURES[1:])
-    quote = F.when(k % 13 == 0, F.repeat(F.lit("word "), 26)).otherwise("a short quote")
-    extra = F.when(k % 17 == 0, ',"price_target":3').otherwise("")
+    when = lambda n, bad, good: F.when(k % n == 0, bad).otherwise(good)
+
+    def value(i: int, f: str):
+        right = F.when(k % 9 == i, "2.5").when(k % 10 == i, "null").otherwise(((k + i) % 100 / 100).cast("string"))
+        return F.format_string(f'"{f}":%s', when(61, '"0.5"', right) if f == "pricing_power" else right)
+
+    values = F.concat_ws(",", *[value(i, f) for i, f in enumerate(O.FEATURES)])
+    item = F.format_string('{"section":"%s","rationale":"r","short_quote":"%s"%s}', when(41, "", "1A"), when(13, F.repeat(F.lit("word "), 26), "a short quote"), when(37, ',"source":"x"', ""))
+    others = ",".join(f'"{f}":[]' for f in O.FEATURES[1:-1] if f != "management_hedging")
+    evidence = F.format_string(f'"tone_change":[%s],{others},"management_hedging":%s%s', item, when(47, "{}", "[]"), when(43, "", f',"{O.FEATURES[-1]}":[]'))
     body = F.format_string(
-        '{"ticker":"%s","filing_accession":"%s","filing_form":"%s","feature_values":{%s},"feature_evidence":{"tone_change":[{"section":"1A","rationale":"r","short_quote":"%s"}],' + evidence + '},"quality_flags":[],"parse_failure_rate":%s%s}',
-        F.when(k % 19 == 0, "ZZ").otherwise(F.col("o_custkey").cast("string")), F.concat(F.when(k % 23 == 0, "X").otherwise("A"), k.cast("string")), F.col("o_orderpriority"), values, quote, F.when(k % 29 == 0, "1.5").otherwise("0.1"), extra)
+        '{"ticker":"%s","filing_accession":"%s","filing_form":"%s","feature_values":{%s},"feature_evidence":{%s},"quality_flags":%s,"parse_failure_rate":%s%s}',
+        F.when(k % 19 == 0, "ZZ").otherwise(F.col("o_custkey").cast("string")), F.concat(F.when(k % 23 == 0, "X").otherwise("A"), k.cast("string")), F.col("o_orderpriority"), values, evidence,
+        when(53, '"x"', "[]"), F.when(k % 59 == 0, "null").when(k % 29 == 0, "1.5").otherwise("0.1"), when(17, ',"price_target":3', ""))
     return proxy.table(spark, sf, "orders").select(k.alias("response_id"), F.when(k % 31 == 0, "[1]").otherwise(body).alias("payload"))
 
 
 _BAD = {0: "tone_change", 1: "uncertainty_change", 2: "risk_factor_novelty", 3: "management_hedging", 4: "capital_allocation_discipline", 5: "competitive_pressure", 6: "pricing_power", 7: "demand_weakness", 8: "supply_chain_stress"}
 _VALID = f"""v AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 31 = 0 THEN 'not_an_object' ELSE concat_ws(',', CASE WHEN o_orderkey % 17 = 0 THEN 'unexpected_top_level_keys:price_target,forbidden_experiment_c_keys:price_target' END,
-    CASE WHEN o_orderkey % 19 = 0 AND o_orderkey % 23 <> 0 THEN 'ticker_mismatch' END, CASE WHEN o_orderkey % 29 = 0 THEN 'parse_failure_rate_out_of_range' END, {', '.join(f"CASE WHEN o_orderkey % 9 = {i} THEN '{f}_out_of_range' END" for i, f in _BAD.items())},
-    CASE WHEN o_orderkey % 13 = 0 THEN 'evidence_quote_too_long' END) END AS errors, o_orderkey % 31 = 0 OR o_orderkey % 23 = 0 AS unknown FROM orders)"""
+    CASE WHEN o_orderkey % 19 = 0 AND o_orderkey % 23 <> 0 THEN 'ticker_mismatch' END, CASE WHEN o_orderkey % 59 = 0 THEN 'parse_failure_rate_must_be_number' WHEN o_orderkey % 29 = 0 THEN 'parse_failure_rate_out_of_range' END, CASE WHEN o_orderkey % 53 = 0 THEN 'quality_flags_must_be_string_list' END,
+    {', '.join(f"CASE {'WHEN o_orderkey % 61 = 0 THEN ' + chr(39) + f + '_not_numeric_or_null' + chr(39) if f == 'pricing_power' else ''} WHEN o_orderkey % 9 = {i} THEN '{f}_out_of_range' END" for i, f in _BAD.items())},
+    CASE WHEN o_orderkey % 43 = 0 THEN 'feature_evidence_missing:guidance_credibility' END, CASE WHEN o_orderkey % 37 = 0 THEN 'tone_change_evidence_unexpected_keys:source' END, CASE WHEN o_orderkey % 41 = 0 THEN 'tone_change_evidence_missing_section' END,
+    CASE WHEN o_orderkey % 13 = 0 THEN 'tone_change_evidence_quote_too_long' END, CASE WHEN o_orderkey % 47 = 0 THEN 'management_hedging_evidence_must_be_list' END, CASE WHEN o_orderkey % 43 = 0 THEN 'guidance_credibility_evidence_must_be_list' END) END AS errors, o_orderkey % 31 = 0 OR o_orderkey % 23 = 0 AS unknown FROM orders)"""
 
 
 def _validated(spark, sf):

@@ -54,6 +54,6 @@ def test_universes_and_sector_summary(spark):
     m = universe.with_null_count(spark.createDataFrame([(1, 1.0, 1.0, 1.0), (1, None, None, 1.0), (1, None, None, None), (2, 1.0, None, 1.0)], "date int, a double, b double, c double"), ["a", "b", "c"])
     assert sorted(map(tuple, universe.universe_counts(m).collect())) == [(1, 2, 1), (2, 1, 0)]
     assert (universe.universe_filter(m, "clean").count(), universe.universe_filter(m, "broad").count()) == (1, 3)
-    ic = spark.createDataFrame([("x", 10, 0.5), ("x", 20, -0.1), ("x", 30, None), ("x", 40, 1e-17), ("y", 5, None)], "sector string, n long, rank_ic double")
+    ic = spark.createDataFrame([("x", 10, 0.5), ("x", 20, -0.1), ("x", 30, None), ("x", 40, 0.0), ("y", 5, None)], "sector string, n long, rank_ic double")
     got = {r.sector: tuple(r)[1:] for r in diagnostics.sector_ic_summary(ic, ["sector"]).collect()}
     assert got["x"] == pytest.approx((3, 0.4 / 3, 0.0, 1 / 3, 25.0)) and got["y"] == (0, None, None, None, 5.0)

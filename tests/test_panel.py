@@ -3,6 +3,8 @@
 import datetime as dt
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +121,23 @@ def test_small_buckets_and_column_checks(spark):
     got = {r["ticker"]: r["b"] for r in df.select("ticker", xsec.bucket_small("score", "ticker", ["g"]).alias("b")).collect()}
     assert got == {"x": "Q1", "y": None, "r": "Q1", "q": "Q3", "p": "Q5", "s": None}
     assert sorted(map(tuple, quality.check_columns(df, ["g", "no"], ["score"]).collect())) == [("no", "missing"), ("score", "forbidden")]
+
+
+@pytest.mark.parametrize("parts", [1, 3, 8, 13])
+def test_rank_correlations_do_not_depend_on_partitions(spark, parts):
+    """Bit for bit: ranks are whole numbers and their sums exact; a correlation of zero is zero."""
+    rng = np.random.default_rng(4)
+    data = [(d, i, f"s{i % 5}", float(rng.integers(0, 6)), float(rng.integers(0, 5))) for d in range(12) for i in range(40)] + [(99, i, f"s{i}", float(x), float(y)) for i, (x, y) in enumerate([(1, 2), (2, 5), (3, 3), (4, 1), (5, 4)])]
+    panel = spark.createDataFrame(data, "date int, ticker int, sector string, score double, ret double")
+    key = lambda df: sorted((r.date, r.decomposition, r.n, r.rank_ic, r.sector_count, r.sector_status) for r in df.collect())
+    want = key(diagnostics.rank_ic(panel.coalesce(1), ["date"]))
+    assert key(diagnostics.rank_ic(panel.repartition(parts), ["date"])) == want
+    assert [r[3] for r in want if r[:2] == (99, "global")] == [0.0]
+    scipy = pd.DataFrame(data, columns=["date", "t", "s", "score", "ret"]).groupby("date").apply(lambda g: g["score"].rank().corr(g["ret"].rank()), include_groups=False)
+    assert all(r[3] == pytest.approx(scipy[r[0]], abs=1e-12) for r in want if r[1] == "global")
+
+
+def test_rank_ic_of_several_returns(spark):
+    panel = spark.createDataFrame([(1, i, None, float(i), float(-i), None) for i in range(5)], "date int, ticker int, sector string, score double, ret_1m double, ret_3m double")
+    got = {(r.horizon, r.decomposition): (r.n, r.rank_ic, r.sector_count, r.sector_status) for r in diagnostics.rank_ic(panel, ["date"], ["ret_1m", "ret_3m"]).collect()}
+    assert got == {("ret_1m", "global"): (5, -1.0, 0, "blocked_missing_sector"), ("ret_1m", "within_sector"): (5, -1.0, 0, "blocked_missing_sector")}

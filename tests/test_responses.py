@@ -21,18 +21,26 @@ def requests(spark):
     return spark.createDataFrame([("T", "A1", "10-K"), ("T", "A2", "10-K")], "ticker string, accn string, form string")
 
 
+def cited(**changes):
+    return {f: [] for f in O.FEATURES} | changes
+
+
 CASES = {
     1: (payload(), "valid", []),
     2: (payload(feature_values={f: None for f in O.FEATURES}), "valid", []),
     3: (payload(feature_values={f: -0.5 for f in O.FEATURES}), "invalid", [f"{f}_out_of_range" for f in O.FEATURES if not f.endswith("_change")]),
     4: (payload(feature_values={f: "x" for f in O.FEATURES[:1]}), "invalid", [f"feature_values_missing:{','.join(sorted(O.FEATURES[1:]))}", "tone_change_not_numeric_or_null"]),
-    5: (payload(feature_evidence={"tone_change": [{"section": "1", "rationale": "r", "return": 1}]}), "invalid", ["forbidden_experiment_c_keys:return"]),
+    5: (payload(feature_evidence=cited(tone_change=[{"section": "1", "rationale": "r", "return": 1}])), "invalid", ["forbidden_experiment_c_keys:return", "tone_change_evidence_unexpected_keys:return"]),
     6: (payload(accn="B"), "unknown_request", []),
     7: (payload(ticker="X", parse_failure_rate=2), "invalid", ["ticker_mismatch", "parse_failure_rate_out_of_range"]),
     8: ("[1, 2]", "unknown_request", ["not_an_object"]),
-    9: (payload(feature_evidence={"tone_change": [{"section": "1", "short_quote": "w " * 26}]}), "invalid", ["evidence_missing_rationale", "evidence_quote_too_long"]),
+    9: (payload(feature_evidence=cited(pricing_power=[{"section": "1", "short_quote": "w " * 26}])), "invalid", ["pricing_power_evidence_missing_rationale", "pricing_power_evidence_quote_too_long"]),
     10: ("not json", "unknown_request", ["not_an_object"]),
     11: (None, "unknown_request", ["not_an_object"]),
+    12: (payload(feature_evidence=cited(tone_change="no", demand_weakness=[3, {"section": "", "rationale": "r", "short_quote": 5}])), "invalid", ["tone_change_evidence_must_be_list", "demand_weakness_evidence_item_must_be_object", "demand_weakness_evidence_missing_section", "demand_weakness_evidence_quote_not_string"]),
+    13: (payload(feature_evidence=[], feature_values=3, quality_flags=["a", 1], parse_failure_rate=True), "invalid", ["parse_failure_rate_must_be_number", "quality_flags_must_be_string_list", "feature_values_must_be_object", "feature_evidence_must_be_object"]),
+    14: (payload(feature_values={f: 0.5 for f in O.FEATURES} | {"other": 1}, feature_evidence={f: [] for f in O.FEATURES[1:]} | {"more": []}), "invalid", ["feature_values_extra:other", "feature_evidence_missing:tone_change", "feature_evidence_extra:more", "tone_change_evidence_must_be_list"]),
+    15: (payload(feature_evidence=cited(tone_change=[{"section": "1", "rationale": "r", "short_quote": None}]), feature_values={f: True for f in O.FEATURES[:1]} | {f: 0 for f in O.FEATURES[1:]}), "invalid", ["tone_change_not_numeric_or_null"]),
 }
 
 
