@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosspanel.functions.coerce import num_or_null, parse_amount
-from crosspanel.operators.valuation import implied_rate
+from crosspanel.operators.valuation import DOWNWEIGHT, EXCLUDE, flag_policy, implied_rate, label_weight
 
 # What a report without the figure is taken to say.
 TAX, GROWTH, NOL_USE, YEARS = 0.21, 0.02, 0.8, 5
@@ -241,6 +241,22 @@ def label_panel(reports: DataFrame, features: DataFrame, sectors: DataFrame, pri
     return rows.withColumns({"sector": F.coalesce("_fs", "_ms"), "sector_source": source, "market_cap": cap, "label_minus_baseline": F.col("ai_irr") - F.col("mechanical_irr")}).drop("_fs", "_ms")
 
 
+def weighted_label_panel(reports: DataFrame, records: DataFrame, features: DataFrame, sectors: DataFrame, prices: DataFrame) -> DataFrame:
+    """label_panel with the mechanical rate made from filing records (ticker and what mechanical_label takes but raw_close), its
+    flags after the report's own, their policy, whether the label is left out, and its weight.
+
+    The rate is that of the record at the report's price, so it belongs to the report's date.
+    """
+    figures = [c for c in records.columns if c not in ("ticker", "raw_close")]
+    priced = reports.join(prices.filter("raw_close > 0"), ["ticker", "date"], "left").join(records.select("ticker", *[F.col(c).alias(f"_r_{c}") for c in figures]), "ticker", "left")
+    made = mechanical_label(priced.select("report_id", "ticker", "raw_close", *[F.col(f"_r_{c}").alias(c) for c in figures])).select("report_id", "price_source", "target_ev", F.col("mechanical_irr").alias("_rate"), "mechanical_flags")
+    rows = label_panel(reports, features.withColumn("mechanical_irr", F.lit(None).cast("double")), sectors, prices).drop("label_minus_baseline", "mechanical_irr").join(made, "report_id").withColumnRenamed("_rate", "mechanical_irr")
+    flags = F.array_union(F.coalesce("flags", F.array().cast("array<string>")), "mechanical_flags")
+    out = rows.withColumn("flags", flags)
+    left_out = F.arrays_overlap("flags", F.array(*[F.lit(f) for f in EXCLUDE]))
+    return out.withColumns({"label_minus_baseline": F.col("ai_irr") - F.col("mechanical_irr"), "flag_policy": flag_policy(F.col("flags")), "excluded": left_out, "label_weight": label_weight(F.col("flags"), EXCLUDE, DOWNWEIGHT)}).drop("mechanical_flags")
+
+
 def label_summary(panel: DataFrame, labels: list[str], flags: str = "flags") -> DataFrame:
     """(kind, name, n, share): coverage of each label and count of each flag, in one pass over the panel."""
     entry = lambda kind, name, hit: F.struct(F.lit(kind).alias("kind"), name.alias("name"), hit.cast("long").alias("hit"))

@@ -119,17 +119,17 @@ def step_returns(spark, sf):
     return proxy.step_returns(proxy.prices(spark, sf))
 
 
-@query(f"""WITH {PRICES}, h AS (SELECT ticker, date, k AS horizon, CAST(date + to_months(k) AS DATE) AS at FROM grid CROSS JOIN (VALUES (1), (3)) v(k)),
+@query(f"""WITH {PRICES}, h AS (SELECT ticker, date, k AS horizon, CAST(date + to_months(k) AS DATE) AS at FROM grid CROSS JOIN (VALUES (1), (3), (6), (12)) v(k)),
   a AS (SELECT h.ticker, h.date, h.horizon, h.at, p.date AS entry_date, p.adjusted_close AS entry FROM h ASOF LEFT JOIN prices p ON h.ticker = p.ticker AND h.date < p.date),
   b AS (SELECT a.ticker, a.date, a.horizon, a.entry_date, a.entry, p.date AS exit_date, p.adjusted_close AS exit FROM a ASOF LEFT JOIN prices p ON a.ticker = p.ticker AND a.at < p.date)
-  SELECT ticker, date, CAST(horizon AS INTEGER) AS horizon, entry_date, exit_date, {R('exit / nullif(entry, 0) - 1')} AS ret FROM b""")
+  SELECT ticker, date, CAST(horizon AS INTEGER) AS horizon, entry_date, exit_date, entry AS entry_price, exit AS exit_price, {R('exit / nullif(entry, 0) - 1')} AS ret FROM b""")
 def forward_returns(spark, sf):
     p = proxy.prices(spark, sf)
     events = p.select("ticker", F.col("date").alias("_at"), F.struct("date", "adjusted_close").alias("e"))
-    probes = proxy.grid(p).withColumn("horizon", F.explode(F.array(F.lit(1), F.lit(3)))).withColumn("at", F.add_months("date", F.col("horizon")))
+    probes = proxy.grid(p).withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in (1, 3, 6, 12)]))).withColumn("at", F.add_months("date", F.col("horizon")))
     entry = asof(probes, events, ["ticker"], "date", "_at", ["e"], strict=True, forward=True).withColumnRenamed("e", "entry")
     out = asof(entry, events, ["ticker"], "at", "_at", ["e"], strict=True, forward=True)
-    return out.select("ticker", "date", "horizon", F.col("entry.date").alias("entry_date"), F.col("e.date").alias("exit_date"), settle(F.try_divide("e.adjusted_close", "entry.adjusted_close") - 1).alias("ret"))
+    return out.select("ticker", "date", "horizon", F.col("entry.date").alias("entry_date"), F.col("e.date").alias("exit_date"), F.col("entry.adjusted_close").alias("entry_price"), F.col("e.adjusted_close").alias("exit_price"), settle(F.try_divide("e.adjusted_close", "entry.adjusted_close") - 1).alias("ret"))
 
 
 @query(f"WITH {PRICES} SELECT count(DISTINCT ticker) AS tickers, CAST(min(date) - INTERVAL 10 DAY AS DATE) AS first_date, CAST(max(date) + INTERVAL 12 MONTH + INTERVAL 10 DAY AS DATE) AS last_date FROM grid")
@@ -347,10 +347,18 @@ def _bucket_returns(spark, sf):
     return held.groupBy("date", "bucket").agg((F.sum(F.col("weight") * F.col("ret")) / F.sum("weight")).alias("ret"), F.count("*").alias("names"))
 
 
-@query(f"WITH {_BUCKET_RETURNS} SELECT date, {R(chr(10).join(['max(ret) FILTER (WHERE bucket = ' + repr('Q1') + ')']))} AS q1, {R('max(ret) FILTER (WHERE bucket = ' + repr('Q5') + ')')} AS q5, {R('max(ret) FILTER (WHERE bucket = ' + repr('Q1') + ') - max(ret) FILTER (WHERE bucket = ' + repr('Q5') + ')')} AS spread FROM br GROUP BY date")
+_Q = [f"Q{i}" for i in range(1, 6)]
+
+
+@query(f"""WITH {_BUCKET_RETURNS}, p AS (SELECT date, {', '.join(f"max(ret) FILTER (WHERE bucket = '{q}') AS {q.lower()}" for q in _Q)}, sum(names) AS names FROM br GROUP BY date),
+  u AS (SELECT date, avg(ret) AS universe FROM w GROUP BY 1)
+  SELECT date, {', '.join(f'{R(q.lower())} AS {q.lower()}' for q in _Q)}, {R('q1 - q5')} AS spread, {R('universe')} AS universe, CAST(names AS BIGINT) AS names FROM p JOIN u USING (date)""")
 def bucket_returns(spark, sf):
-    wide = _bucket_returns(spark, sf).groupBy("date").pivot("bucket", ["Q1", "Q5"]).agg(F.first("ret"))
-    return wide.select("date", settle(F.col("Q1")).alias("q1"), settle(F.col("Q5")).alias("q5"), settle(F.col("Q1") - F.col("Q5")).alias("spread"))
+    """Each bucket's return, the first less the last, and the mean of all names held."""
+    held = _held(spark, sf)
+    wide = _bucket_returns(spark, sf).groupBy("date").pivot("bucket", _Q).agg(F.first("ret"))
+    every = held.filter("ret is not null").groupBy("date").agg(F.avg("ret").alias("universe"), F.count("*").alias("names"))
+    return wide.join(every, "date").select("date", *[settle(F.col(q)).alias(q.lower()) for q in _Q], settle(F.col("Q1") - F.col("Q5")).alias("spread"), settle(F.col("universe")).alias("universe"), "names")
 
 
 _TURNOVER = f"""{_BUCKETS}, ks AS (SELECT bucket, date, ticker, weight, dense_rank() OVER (PARTITION BY bucket ORDER BY date) AS k FROM w),

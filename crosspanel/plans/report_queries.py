@@ -194,3 +194,32 @@ def collection_summary(spark, sf):
     k = F.col("o_orderkey")
     runs = proxy.table(spark, sf, "orders").select(F.col("o_orderstatus").alias("tier"), F.when(k % 3 == 0, "done").when(k % 3 == 1, "failed").otherwise("skipped").alias("status"), F.col("o_totalprice").cast("string").alias("cost"), F.array_compact(F.array(F.lit("seen"), F.when(F.col("o_totalprice") > 100000, F.lit("dear")))).alias("flags"))
     return O.collection_summary(runs).withColumn("cost", settle(F.col("cost")))
+
+
+@query(f"""WITH {PRICES}, {FEATURES}, {SECURITIES}, last AS (SELECT * FROM prices WHERE raw_close > 0), rep AS (SELECT o_orderkey AS report_id, o_custkey % 150 AS ticker, CAST(o_orderdate AS DATE) AS date, o_orderkey AS k FROM orders),
+  pr AS (SELECT r.*, p.raw_close FROM rep r ASOF LEFT JOIN last p ON r.ticker = p.ticker AND r.date >= p.date),
+  rc AS (SELECT l_suppkey AS ticker, count(*) AS n, {R('sum(l_extendedprice)')} AS revenue FROM lineitem GROUP BY 1),
+  j AS (SELECT pr.*, rc.ticker AS known, revenue, CASE WHEN rc.ticker % 7 <> 0 THEN revenue * 1e-1 END AS income, CASE WHEN rc.ticker % 11 <> 0 THEN n * 1e3 END AS shares, CASE WHEN rc.ticker % 5 <> 0 THEN revenue * 5e-2 END AS cash, coalesce(feat.sector, sec.sector) AS sector
+    FROM pr LEFT JOIN rc ON rc.ticker = pr.ticker LEFT JOIN feat ON feat.ticker = pr.ticker LEFT JOIN sec ON sec.ticker = pr.ticker),
+  u AS (SELECT *, known IS NOT NULL AND income IS NOT NULL AND shares IS NOT NULL AND raw_close IS NOT NULL AS usable FROM j),
+  f AS (SELECT *, list_filter([CASE WHEN k % 9 = 0 THEN 'stale_price' END, CASE WHEN k % 10 = 0 THEN 'default_terminal_growth' END, CASE WHEN k % 12 = 0 THEN 'missing_wacc' END, CASE WHEN k % 15 = 0 THEN 'margin_reversal' END], lambda x: x IS NOT NULL) AS own,
+    list_filter([CASE WHEN usable AND cash IS NULL THEN 'missing_cash_mechanical' END, CASE WHEN income IS NULL THEN 'missing_mechanical_operating_income' END, CASE WHEN raw_close IS NULL THEN 'missing_mechanical_price' END, CASE WHEN revenue IS NULL THEN 'missing_mechanical_revenue' END,
+      CASE WHEN shares IS NULL THEN 'missing_mechanical_shares_outstanding' END, CASE WHEN raw_close IS NULL THEN 'missing_price' END], lambda x: x IS NOT NULL) AS made FROM u)
+  SELECT report_id, ticker, sector, array_to_string(own || made, ',') AS flags, k % 12 = 0 OR raw_close IS NULL AS excluded, CASE WHEN k % 12 = 0 OR raw_close IS NULL THEN 0e0 ELSE 1e0 / (1 + CAST(k % 9 = 0 AS INTEGER) + CAST(k % 10 = 0 AS INTEGER)) END AS label_weight,
+    {R('CASE WHEN usable THEN (raw_close * shares + revenue * 1e-1 - coalesce(cash, 0)) / revenue END')} AS target_by_revenue FROM f""")
+def weighted_label_panel(spark, sf):
+    """Labels with the rate of the company's own figures at the report's price, flags, policy and weight."""
+    k, c = F.col("o_orderkey"), F.col
+    own = F.array_compact(F.array(F.when(k % 9 == 0, "stale_price"), F.when(k % 10 == 0, "default_terminal_growth"), F.when(k % 12 == 0, "missing_wacc"), F.when(k % 15 == 0, "margin_reversal")))
+    rep = proxy.table(spark, sf, "orders").select(k.alias("report_id"), (c("o_custkey") % 150).alias("ticker"), F.to_date("o_orderdate").alias("date"), ((k % 40) / 100).alias("ai_irr"), own.alias("flags"))
+    sums = proxy.table(spark, sf, "lineitem").groupBy(c("l_suppkey").alias("ticker")).agg(F.count("*").alias("n"), settle(F.sum("l_extendedprice")).alias("revenue"))
+    none = F.lit(None).cast("double")
+    records = sums.select(
+        "ticker", "revenue", F.when(c("ticker") % 7 != 0, c("revenue") * 0.1).alias("operating_income"), none.alias("operating_margin"), F.when(c("ticker") % 11 != 0, c("n") * 1000.0).alias("shares"), none.alias("current_price"), none.alias("report_price"),
+        (c("revenue") * 0.02).alias("da"), (c("revenue") * -0.03).alias("capex"), F.when(c("ticker") % 5 != 0, c("revenue") * 0.05).alias("cash"), (c("revenue") * 0.1).alias("total_debt"))
+    p = proxy.prices(spark, sf).filter("raw_close > 0").select("ticker", c("date").alias("_at"), "raw_close")
+    priced = asof(rep.select("ticker", "date").distinct(), p, ["ticker"], "date", "_at", ["raw_close"])
+    d = derived(spark, sf).withColumn("shares", F.lit(100.0))
+    out = O.weighted_label_panel(rep, records, d, proxy.securities(spark, sf), priced)
+    return out.select("report_id", "ticker", "sector", F.array_join("flags", ",").alias("flags"), "excluded", "label_weight", "target_ev").join(sums.select("ticker", "revenue"), "ticker", "left").select(
+        "report_id", "ticker", "sector", "flags", "excluded", "label_weight", settle(c("target_ev") / c("revenue")).alias("target_by_revenue"))

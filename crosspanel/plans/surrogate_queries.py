@@ -79,7 +79,7 @@ def repeated_cv(spark, sf):
 def bootstrap_oob(spark, sf):
     """Samples by hash."""
     rows, size = _rows(spark, sf)
-    return O.bootstrap_oob(rows, size, 200, ridge=1.0).select("sample", "n", settle(F.col("rank_ic")).alias("rank_ic"))
+    return O.bootstrap_oob(rows, size, 1000, ridge=1.0).select("sample", "n", settle(F.col("rank_ic")).alias("rank_ic"))
 
 
 @query()

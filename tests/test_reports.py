@@ -107,3 +107,14 @@ def test_parsing_tries_later_braces(spark):
     body = '{"choices": [{"message": {"content": "see {not json} then {\\"a\\": {\\"b\\": 1}} end"}}]}'
     r = files.clean_llm_content(spark.createDataFrame([(1, body)], "response_id long, body string")).collect()[0]
     assert json.loads(r.object) == {"a": {"b": 1}} and r.failure is None and r.warnings == ["leading_text"]
+
+
+def test_policy_and_weight_of_flags(spark):
+    from crosspanel.operators import valuation
+
+    flags = {1: [], 2: ["stale_price", "margin_reversal"], 3: ["stale_price", "terminal_value_dominates"], 4: ["ev_negative", "stale_price"], 5: ["unheard_of"]}
+    df = spark.createDataFrame(list(flags.items()), "k int, flags array<string>")
+    got = {r.k: (r.p, r.w) for r in df.select("k", valuation.flag_policy(F.col("flags")).alias("p"), valuation.label_weight(F.col("flags"), valuation.EXCLUDE, valuation.DOWNWEIGHT).alias("w")).collect()}
+    assert got == {
+        1: ({}, 1.0), 2: ({"stale_price": "downweight", "margin_reversal": "warning"}, 0.5), 3: ({"stale_price": "downweight", "terminal_value_dominates": "downweight"}, pytest.approx(1 / 3)),
+        4: ({"ev_negative": "exclude", "stale_price": "downweight"}, 0.0), 5: ({"unheard_of": "warning"}, 1.0)}
