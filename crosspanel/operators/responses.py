@@ -38,6 +38,7 @@ def text_features(filings: DataFrame, order: list[str], key: str, groups: dict[s
     n = {g: T.group_count(F.col("_found"), groups, g) for g in groups}
     dense = {g: T.density(c, F.col("_words")) for g, c in n.items() if not g.endswith("_tone")}
     made = read.select(*rest, "_words", T.tone(n["positive_tone"], n["negative_tone"]).alias("_tone"), *[c.alias(g) for g, c in dense.items()])
+    made = parts.checkpointed(made)  # range partitions are chosen by a pass of their own over the rows
     before = parts.previous(made, ["ticker", "form"], order, ["_tone", "uncertainty", key])
     new = T.novelty(some, ["ticker", "form"], order, key).select(F.col(key).alias("_k"), F.col("novelty").alias("risk_factor_novelty"))
     out = before.join(new, before[key] == F.col("_k"), "left")

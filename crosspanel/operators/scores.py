@@ -28,9 +28,10 @@ def _unpivoted(panel: DataFrame, keys: list[str], signs: dict[str, int]) -> Data
     return panel.unpivot(keys, [F.col(f).cast("double").alias(f) for f in features], "feature", "x")
 
 
-def block_scores(panel: DataFrame, by: list[str], key: str = "ticker", blocks: dict[str, dict[str, int]] = BLOCKS) -> DataFrame:
+def block_scores(panel: DataFrame, by: list[str], key: str = "ticker", blocks: dict[str, dict[str, int]] = BLOCKS, within: str | None = None) -> DataFrame:
     """(by, key, block, score, feature_count): mean of the signed z-scores at hand, winsorised at 1 and 99 percent.
 
+    within names a column, the sector say, in whose groups (nulls are one) the signed z-scores are standardised once more.
     Features that the panel lacks are left out. The statistics of a partition are one small row each (quantiles, then
     moments), joined back; no window holds a whole partition, so `by` may be empty for statistics of the whole panel.
     """
@@ -44,6 +45,11 @@ def block_scores(panel: DataFrame, by: list[str], key: str = "ticker", blocks: d
     names = F.create_map(*[F.lit(v) for f in signs for v in (f, "|".join(b for b, features in blocks.items() if f in features))])
     placed = z.withColumn("block", F.explode(F.split(names[F.col("feature")], r"\|")))
     sign = F.create_map(*[F.lit(v) for b, features in blocks.items() for f, s in features.items() for v in (f"{b}.{f}", s)])[F.concat_ws(".", "block", "feature")]
+    if within:
+        groups = placed.join(panel.select(*by, key, within), [*by, key])
+        at = [*by, within, "block", "feature"]
+        moments = groups.groupBy(*at).agg(F.avg("z").alias("_zm"), F.stddev_pop("z").alias("_zs"))
+        placed = _joined(groups.drop("_mean", "_std"), moments, at).withColumn("z", F.when(F.col("_zs") > 1e-12, (F.col("z") - F.col("_zm")) / F.col("_zs")).otherwise(0.0))
     return placed.groupBy(*by, key, "block").agg(F.avg(F.col("z") * sign).alias("score"), F.count("*").alias("feature_count"))
 
 

@@ -33,8 +33,11 @@ def terms_in(text: Column, groups: dict[str, list[str]]) -> Column:
 
     The terms that begin a longer one (`may` in `may adversely`) are counted with it by group_count.
     """
-    every = sorted({t.lower() for terms in groups.values() for t in terms}, key=lambda t: (-len(t), t))
-    return F.regexp_extract_all(F.lower(text), F.lit(rf"(?<!{_EDGE})(?=({'|'.join(rf'\Q{t}\E' for t in every)})(?!{_EDGE}))"), F.lit(1))
+    every = sorted({t.lower() for terms in groups.values() for t in terms if t}, key=lambda t: (-len(t), t))
+    # By first letter, so that most words are given up after one comparison for each letter.
+    letters = {t[0]: [s[1:] for s in every if s[0] == t[0]] for t in every}
+    some = "|".join(rf"\Q{c}\E(?:{'|'.join(rf'\Q{rest}\E' for rest in rests)})" for c, rests in sorted(letters.items()))
+    return F.regexp_extract_all(F.lower(text), F.lit(rf"(?<!{_EDGE})(?=({some})(?!{_EDGE}))"), F.lit(1))
 
 
 def group_count(found: Column, groups: dict[str, list[str]], group: str) -> Column:

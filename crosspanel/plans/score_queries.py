@@ -30,6 +30,14 @@ def composite_score(spark, sf):
     return scores.composite(scores.block_scores(derived(spark, sf), []), []).withColumn("composite", settle(F.col("composite")))
 
 
+@query(f"""WITH {_BLOCK}, sz AS (SELECT ticker, block, sign, CASE WHEN stddev_pop(z) OVER w > 1e-12 THEN (z - avg(z) OVER w) / stddev_pop(z) OVER w ELSE 0 END AS z
+    FROM fz JOIN feat USING (ticker) JOIN (VALUES {_SIGNS}) v(block, feature, sign) USING (feature) WINDOW w AS (PARTITION BY feat.sector, block, feature)),
+  sb AS (SELECT ticker, block, avg(z * sign) AS score FROM sz GROUP BY 1, 2) SELECT ticker, {R('avg(score)')} AS composite, count(*) AS block_count FROM sb GROUP BY 1""")
+def composite_within_sector(spark, sf):
+    """Scores of each name among the names of its sector."""
+    return scores.composite(scores.block_scores(derived(spark, sf), [], within="sector"), []).withColumn("composite", settle(F.col("composite")))
+
+
 _COLS = [f for f in scores.ADDITIVE if f in DERIVED]
 _IMPUTED = f"{FEATURES}, med AS (SELECT sector, {', '.join(f'quantile_cont({c}, 0.5) AS {c}' for c in _COLS)} FROM feat GROUP BY 1), imp AS (SELECT ticker, f.sector, {', '.join(f'coalesce(f.{c}, m.{c}, 0) AS {c}' for c in _COLS)} FROM feat f JOIN med m ON f.sector IS NOT DISTINCT FROM m.sector)"
 
