@@ -150,12 +150,19 @@ def fit_metrics(rows: DataFrame, by: list[str], y: str, predicted: str) -> DataF
     return p.groupBy(*by).agg(F.count("*").alias("n"), F.corr("_y", "_p").alias("rank_ic"), (1 - F.try_divide(F.sum(gap * gap), F.var_pop("_y") * F.count("*"))).alias("r2"), F.avg(F.abs(gap)).alias("mae"))
 
 
-def coefficient_signs(oof: DataFrame, names: list[str]) -> DataFrame:
-    """(feature, positive, negative, zero shares, strength) over the models; strength by share of the largest mean size: .67 and .33."""
+def coefficient_signs(oof: DataFrame, names: list[str], expected: dict[str, int] | None = None) -> DataFrame:
+    """(feature, positive, negative, zero shares, expected_sign, expected_share, sign_flip, size, strength) over the models.
+
+    expected names the sign (1, -1 or 0) that a feature should have (others: null); a feature flips if models disagree on it;
+    strength goes by the share of the largest mean size: .67 and .33.
+    """
     models = oof.select("seed", "fold", "beta").dropDuplicates(["seed", "fold"])
     one = models.select(F.posexplode(F.slice("beta", 2, len(names))).alias("i", "b")).withColumn("feature", F.get(F.array(*[F.lit(n) for n in names]), F.col("i")))
     share = lambda ok: F.avg(ok.cast("double"))
     s = one.groupBy("feature").agg(share(F.col("b") > 1e-12).alias("positive"), share(F.col("b") < -1e-12).alias("negative"), share(F.abs("b") <= 1e-12).alias("zero"), F.abs(F.avg("b")).alias("size"))
+    sign = F.coalesce(*[F.when(F.col("feature") == f, v) for f, v in (expected or {}).items()], F.lit(None).cast("int"))
+    s = s.withColumn("expected_sign", sign)
+    s = s.withColumns({"expected_share": F.when(sign > 0, F.col("positive")).when(sign < 0, F.col("negative")).when(sign == 0, F.col("zero")), "sign_flip": (F.col("positive") > 0) & (F.col("negative") > 0)})
     relative = F.try_divide("size", F.max("size").over(Window.partitionBy()))  # a row per feature
     return s.withColumn("strength", F.when(relative >= 0.67, "strong").when(relative >= 0.33, "medium").when(F.col("size") > 0, "weak").otherwise("ignored"))
 

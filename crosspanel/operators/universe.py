@@ -35,6 +35,12 @@ def universe_filter(matrix: DataFrame, universe: str) -> DataFrame:
     return matrix.filter(F.col("feature_null_count") <= {"clean": 0, "broad": BROAD}[universe])
 
 
+def by_universe(matrix: DataFrame) -> DataFrame:
+    """matrix with universe: a row for each universe that it is in, so that one job serves all of them."""
+    names = F.array_compact(F.array(F.when(F.col("feature_null_count") <= BROAD, "broad"), F.when(F.col("feature_null_count") <= 0, "clean")))
+    return matrix.withColumn("universe", F.explode(names))
+
+
 def universe_counts(matrix: DataFrame, date: str = "date") -> DataFrame:
     n = lambda most: F.count(F.when(F.col("feature_null_count") <= most, 1))
     return matrix.groupBy(date).agg(n(BROAD).alias("broad_count"), n(0).alias("clean_count"))

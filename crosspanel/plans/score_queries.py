@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crosspanel.functions.coerce import settle
-from crosspanel.operators import comparison, diagnostics, membership, portfolio, scores
+from crosspanel.operators import comparison, diagnostics, membership, parts, portfolio, scores, universe
 from crosspanel.plans.fact_queries import DERIVED, FEATURES, derived
 from crosspanel.plans.registry import PANEL, R, query, ranked
 from crosspanel.sources import proxy
@@ -190,6 +190,20 @@ def label_audit(spark, sf):
     return a.select("signal", "date", "bucket", "cost_bps", "names", settle(F.col("gross_return")).alias("gross_return"), settle(F.col("net_return")).alias("net_return"))
 
 
+_NULLS = "CAST(score IS NULL AS INTEGER) + CAST(ret IS NULL AS INTEGER) + CAST(market_cap <= 0 AS INTEGER) + CAST(ticker % 9 = 0 AS INTEGER)"
+_UNIVERSES = f"{PANEL}, signals AS (SELECT 'broad' AS signal, * FROM panel WHERE {_NULLS} <= 2 UNION ALL SELECT 'clean', * FROM panel WHERE {_NULLS} = 0)"
+
+
+@query(f"""SELECT mode, signal AS universe, date, bucket, names, cost_bps, gross_return, net_return FROM (
+  (WITH {_UNIVERSES}, {_HELD}, {_AFTER} {_net('unconstrained')}) UNION ALL (WITH {_UNIVERSES}, {_NEUTRAL}, {_AFTER} {_net('sector_neutral')}))""")
+def universe_backtest(spark, sf):
+    """Both weightings on the clean and the broad universe, net of costs."""
+    p = proxy.panel(spark, sf).withColumns({"cap": F.when(F.col("market_cap") > 0, F.col("market_cap")), "other": F.when(F.col("ticker") % 9 != 0, 1.0)})
+    rows = universe.by_universe(universe.with_null_count(p, ["score", "ret", "cap", "other"])).drop("cap", "other", "feature_null_count")
+    a = comparison.audited(parts.checkpointed(rows), ["universe"], [0, 25])
+    return a.select("mode", "universe", "date", "bucket", "names", "cost_bps", settle(F.col("gross_return")).alias("gross_return"), settle(F.col("net_return")).alias("net_return"))
+
+
 def _signal_buckets(spark, sf):
     held = portfolio.equal_weights(signals(spark, sf), ["signal", "date"]).filter("ret is not null")
     return held.groupBy("signal", "bucket", "date").agg((F.sum(F.col("weight") * F.col("ret")) / F.sum("weight")).alias("ret"), F.count("*").alias("names"))

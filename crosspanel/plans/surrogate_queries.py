@@ -89,8 +89,8 @@ def overlap_stability(spark, sf):
 
 @query()
 def coefficient_signs(spark, sf):
-    s = O.coefficient_signs(_oof(spark, sf), NUMERIC)
-    return s.select("feature", "positive", "negative", "zero", settle(F.col("size")).alias("size"), "strength")
+    s = O.coefficient_signs(_oof(spark, sf), NUMERIC, {"roe": 1, "operating_margin": 1, "asset_turnover": -1})
+    return s.select("feature", "positive", "negative", "zero", "expected_sign", "expected_share", "sign_flip", settle(F.col("size")).alias("size"), "strength")
 
 
 @query()
