@@ -180,18 +180,17 @@ def match_summary(features: DataFrame, labels: DataFrame, known_broken: list[str
     return both.select("ticker", reason.alias("reason"))
 
 
-def ranking_surprises(rows: DataFrame, others: list[str], k: int = 10, pairs: int = 2) -> DataFrame:
+def ranking_surprises(rows: DataFrame, others: list[str], k: int = 10) -> DataFrame:
     """rows (ticker, actual, predicted and others: percentiles) -> (kind, ticker, gap).
 
     over and under: of the k highest and k lowest predictions, those whose actual percentile is at most .35 or at least
-    .65; models_apart: for each other model the few tickers furthest apart, if by .35. Each is a top-k, not a window.
+    .65, each a top-k, not a window; models_apart: for each other model every ticker that is apart by .35 or more.
     """
     gap = (F.col("predicted") - F.col("actual")).alias("gap")
     over = parts.first_rows(rows, [F.col("predicted").desc(), F.col("ticker")], k).filter("actual <= 0.35").select(F.lit("over").alias("kind"), "ticker", gap)
     out = over.unionByName(parts.first_rows(rows, [F.col("predicted"), F.col("ticker")], k).filter("actual >= 0.65").select(F.lit("under").alias("kind"), "ticker", gap))
     for other in others:
-        apart = rows.withColumn("gap", F.col("predicted") - F.col(other)).filter("gap is not null")
-        far = parts.first_rows(apart, [F.abs("gap").desc(), F.col("ticker")], pairs).filter("abs(gap) >= 0.35")
+        far = rows.withColumn("gap", F.col("predicted") - F.col(other)).filter("abs(gap) >= 0.35")
         out = out.unionByName(far.select(F.lit(f"models_apart:{other}").alias("kind"), "ticker", "gap"))
     return out
 

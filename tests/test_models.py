@@ -86,3 +86,9 @@ def test_rows_of_duckdb(spark, name):
     got, want = catalog.QUERIES[name](spark, SF).toPandas(), db.execute(catalog.ORACLES[name]).df()
     key = lambda df: sorted(tuple("~" if v is None or v != v else f"{v:.5f}" if isinstance(v, float) else str(v)[:10] if hasattr(v, "year") else str(v) for v in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False))
     assert key(got) == key(want)
+
+
+def test_every_ticker_apart_is_a_surprise(spark):
+    rows = spark.createDataFrame([(i, 0.5, p, q) for i, (p, q) in enumerate([(0.9, 0.1), (0.1, 0.8), (0.2, 0.6), (0.5, 0.5), (0.7, 0.3), (0.4, None)])], "ticker int, actual double, predicted double, other double")
+    got = [(r.kind, r.ticker, round(r.gap, 6)) for r in surrogate.ranking_surprises(rows, ["other"]).collect()]
+    assert sorted(got) == [("models_apart:other", 0, 0.8), ("models_apart:other", 1, -0.7), ("models_apart:other", 2, -0.4), ("models_apart:other", 4, 0.4)]
