@@ -6,13 +6,15 @@ distinct two-word shingles, as the similarity is one of sets), cut into ten word
 expected distance 20 is missed by all ten words about once in a few thousand pairs. Shards and trees are those of
 `simhash`.
 
-Three rounds find the links without listing the pairs of a group of copies. In the first, a shard reports for each text
-its smallest and its nearest partner; these pairs are verified on whole texts, and verified links become components.
-The other rounds search the texts that have a partner again, now with a sketch of their five-word shingles, by which a
-shard itself rejects pairs clearly below the similarity: the second reports for each text and each other component
-that it may belong to one pair, the likeliest; the third every pair of components that are still apart. Pairs inside a
-component can change nothing, so no candidate that matters is left out, and groups of copies cost rows in proportion
-to their size. What costs a row a pair are texts that are apart and so near to the similarity that no sketch can tell.
+Three rounds find the links without listing the pairs of a group. In the first, a shard reports for each text its
+smallest and its nearest partner; these pairs are verified on whole texts, and verified links become components. The
+second searches the texts that have a partner again, now with a sketch of their five-word shingles, by which a shard
+itself rejects pairs clearly below the similarity; of the other pairs between components it reports a spanning forest,
+no row a pair. Both texts of such a pair are in one tree, so the third compares the texts of each tree by their whole
+sets of shingles, all pairs of different components, and reports a forest of links. Pairs inside a component can change
+nothing, so no candidate that matters is left out, and all rounds cost rows in proportion to the texts, also where many
+texts are apart and so near to the similarity that no sketch can tell. A tree of more than TREE bytes of sets is
+compared block by block, so that no task holds more than two blocks.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from crosspanel.llm import words as W
 from crosspanel.llm.common import checkpoint, rows_of, text_key, tidied, without_rows
 from crosspanel.llm.components import components
-from crosspanel.llm.simhash import LEAF, SAMPLE, Router, compared, distance, leaves
+from crosspanel.llm.simhash import LEAF, SAMPLE, Forest, Router, compared, distance, leaves
 
 TABLES, BITS, RADIUS = 10, 24, 2
 #: Differing bits of the first 128 beyond which a pair is not looked at: of similar pairs 11 to 19 are expected
@@ -41,8 +43,12 @@ BINS, SURE = 1024, 4.0
 DEPTH, SHARD, SKETCHED = 2, 1 << 18, 1 << 16
 #: Bytes and rows sketched at once, and pairs of sketches compared at once.
 _BYTES, _ROWS, _PAIRS = 1 << 18, 2048, 1 << 14
+#: Bytes of sets in a block of a tree, and of small trees that go to one task together.
+TREE, TOGETHER = 1 << 24, 1 << 20
+#: Hashes looked up at once, and cells of the table that they are looked up in.
+_HASHES, _TABLE = 1 << 16, 1 << 24
 
-_LEADERS, _LIKELIEST, _ALL = "leaders", "likeliest", "all"
+_LEADERS, _FOREST, _LIKELIEST, _ALL = "leaders", "forest", "likeliest", "all"
 
 
 def set_sketch(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,8 +147,8 @@ def _leaders(node: np.ndarray, word: np.ndarray, home: np.ndarray, size: np.ndar
     return np.concatenate([least[found], closest[found] & ((1 << 40) - 1), still]), np.concatenate([found, found, still])
 
 
-def _across(word: np.ndarray, home: np.ndarray, group: np.ndarray, may_link: Callable) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Every pair of different groups that may be similar, and its estimate, a leaf at a time; the point comes first."""
+def _across(word: np.ndarray, home: np.ndarray, group: np.ndarray, may_link: Callable) -> Iterator:
+    """What may_link makes of the pairs of different groups, a leaf at a time; the point comes first."""
     points = np.flatnonzero(home)
     at_home = group[points]
     for p, q in leaves(word[points], word, RADIUS, at_home, group):
@@ -186,6 +192,19 @@ def _pairs_of_shard(kind: str, similarity: float) -> Callable:
             estimate, may = likeness(sketch, size, p, q, similarity)
             return p[may], q[may], estimate[may]
 
+        if kind == _FOREST:
+            forest = Forest(len(pdf))
+
+            def tie(p: np.ndarray, q: np.ndarray) -> None:
+                loose = forest.root(p) != forest.root(q)
+                forest.link(*may_link(p[loose], q[loose])[:2])
+
+            for _ in _across(word, home, group, tie):
+                pass
+            root = forest.root(np.arange(len(pdf)))
+            tied = np.flatnonzero(root != np.arange(len(pdf)))
+            a, b = node[root[tied]], node[tied]
+            return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
         none = np.zeros(0, dtype=np.int64)
         if kind == _ALL:
             found = [(node[p], node[q]) for p, q, _ in _across(word, home, group, may_link)] or [(none, none)]
@@ -207,8 +226,9 @@ def candidate_pairs(points: DataFrame, kind: str = _LEADERS, similarity: float =
     """points (node, size, check0, check1, w0..w9) -> distinct pairs (a, b), a <= b, that may be similar.
 
     leaders: of each text the smallest and the nearest partner; a pair a = b says that a text's partners were not all
-    looked at. With columns component and sketch, likeliest: for each text and other component the likeliest pair; and
-    all: every pair of different components.
+    looked at. With columns component and sketch, forest: pairs that tie together the texts of all pairs of different
+    components, in each shard fewer than texts. Two more kinds list such pairs, for tables that are small or have no
+    large groups; likeliest: for each text and other component the likeliest pair; and all: every one.
     """
     carried = {"check0": "long", "check1": "long", "size": "int"} | ({} if kind == _LEADERS else {"component": "long", "sketch": "binary"})
     depth = max(depth, (points.count() // (SHARD if kind == _LEADERS else SKETCHED)).bit_length())
@@ -260,6 +280,74 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> D
     return with_b.select("a", "b", "text_a", "text_b").mapInArrow(tidied(run), "a long, b long")
 
 
+def shared(hashes: np.ndarray, at: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """How many hashes each of the sets p (rows) has in common with each of the sets q; set i is hashes[at[i]:at[i + 1]]."""
+    out, n = np.zeros((len(p), len(q)), dtype=np.int64), np.diff(at)
+    known, place = np.unique(np.concatenate([hashes[at[i] : at[i + 1]] for i in p]), return_inverse=True)
+    if not len(known):
+        return out
+    held = np.zeros((len(known) + 1, len(p)), dtype=np.uint8)
+    held[place, np.repeat(np.arange(len(p)), n[p])] = 1
+    to = np.concatenate([[0], np.cumsum(n[q])])
+    for i, j in W.blocks(to, _HASHES):
+        start = to[i:j] - to[i]
+        looked = hashes[np.repeat(at[q[i:j]] - start, n[q[i:j]]) + np.arange(to[j] - to[i])]
+        spot = np.minimum(np.searchsorted(known, looked), len(known) - 1)
+        full = np.flatnonzero(n[q[i:j]])
+        if len(full):
+            out[:, i + full] = np.add.reduceat(held[np.where(known[spot] == looked, spot, len(known))], start[full], axis=0, dtype=np.int32).T
+    return out
+
+
+def _links_of_trees(similarity: float) -> Callable:
+    """Of each tree of a frame the links between components, as a spanning forest of these; with i < j only those
+    between texts of block i and of block j."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["tree", "component", "node"], kind="stable").reset_index(drop=True)
+        names, group = np.unique(pdf["component"].to_numpy(), return_inverse=True)
+        part, i, j = pdf["part"].to_numpy(), pdf["i"].iloc[0], pdf["j"].iloc[0]
+        hashes, size = np.frombuffer(b"".join(pdf["shingles"]), dtype=np.uint64), pdf["shingles"].str.len().to_numpy() // 8
+        at, forest = np.concatenate([[0], np.cumsum(size)]), Forest(len(names))
+        for rows in np.split(np.arange(len(pdf)), np.flatnonzero(np.diff(pdf["tree"].to_numpy())) + 1):
+            left, right = rows[part[rows] == i], rows[part[rows] == j]
+            wide = max(1, min(LEAF, int((_TABLE / max(1, size[rows].max())) ** 0.5)))
+            for x in range(0, len(left), wide):
+                p, q = left[x : x + wide], right[x + 1 :] if i == j else right
+                root, other = forest.root(group[p]), forest.root(group[q])
+                q = q[(other != root[0]) | (root != root[0]).any()]
+                if len(q):
+                    both = shared(hashes, at, p, q)
+                    a, b = np.nonzero(both >= similarity * (size[p][:, None] + size[q] - both) - 1e-9)
+                    forest.link(group[p[a]], group[q[b]])
+        root = forest.root(np.arange(len(names)))
+        tied = np.flatnonzero(root != np.arange(len(names)))
+        return pd.DataFrame({"a": names[root[tied]], "b": names[tied]})
+
+    return run
+
+
+def tree_links(members: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
+    """members (node, component, tree), texts (node, text) -> pairs (a, b) of components that tie together all
+    components with similar texts in one tree: all pairs of its texts are compared by their sets of k-word shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            shingles = pa.array([x.tobytes() for x in _sets(b.column("text"), k)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in ("node", "component", "tree")), shingles], names=["node", "component", "tree", "shingles"])
+
+    sets = checkpoint(members.join(texts, "node").select("node", "component", "tree", "text").mapInArrow(tidied(run), "node long, component long, tree long, shingles binary"))
+    trees = checkpoint(sets.groupBy("tree").agg(F.sum(F.length("shingles")).alias("bytes")))
+    tasks = (trees.agg(F.sum("bytes")).first()[0] or 0) // TOGETHER + 1
+    dealt = (
+        sets.join(trees.select("tree", (F.floor(F.col("bytes") / TREE) + 1).cast("int").alias("parts")), "tree")
+        .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .select(F.pmod(F.xxhash64("tree"), F.lit(tasks)).alias("task"), F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "tree", "part", "component", "node", "shingles")
+    )
+    return dealt.groupBy("task", "i", "j").applyInPandas(_links_of_trees(similarity), "a long, b long")
+
+
 def _row_groups(docs: DataFrame, k: int, similarity: float) -> DataFrame:
     """(doc_id, key, component) of each row of docs; component is a number of no meaning."""
     rows = checkpoint(sketches(docs, k))
@@ -276,14 +364,13 @@ def _row_groups(docs: DataFrame, k: int, similarity: float) -> DataFrame:
         return some.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
 
     partnered = checkpoint(points.join(ends(pairs), "node", "left_semi"))
-    named = partnered.select("node", F.col("first.doc_id").alias("doc_id"), F.col("first.key").alias("key"))
-    texts = checkpoint(rows_of(docs.select("doc_id", "text"), named).select("node", "text").dropDuplicates(["node"]))
+    lent = partnered.select("node", F.col("first.doc_id").alias("doc_id"), F.col("first.key").alias("key"))
+    texts = checkpoint(rows_of(docs.select("doc_id", "text"), lent).select("node", "text").dropDuplicates(["node"]))
     links = checkpoint(verified(pairs.filter("a < b"), texts, k, similarity))
-    likeliest = checkpoint(candidate_pairs(checkpoint(grouped(partnered, links)), _LIKELIEST, similarity).join(pairs, ["a", "b"], "left_anti"))
-    links = checkpoint(links.unionByName(verified(likeliest, texts, k, similarity)))
-    apart = checkpoint(grouped(partnered.join(ends(likeliest), "node", "left_semi"), links))
-    others = candidate_pairs(apart, _ALL, similarity).join(likeliest.unionByName(pairs), ["a", "b"], "left_anti")
-    found = components(links.unionByName(verified(checkpoint(others), texts, k, similarity)))
+    named = checkpoint(grouped(partnered, links))
+    trees = components(candidate_pairs(named, _FOREST, similarity)).withColumnRenamed("component", "tree")
+    members = named.select("node", "component").join(trees, "node")
+    found = components(links.unionByName(tree_links(members, texts, k, similarity)))
     numbered = rows.select("doc_id", "key", *same).join(points.select("node", *same), same).select("doc_id", "key", "node")
     return numbered.join(found, "node", "left").select("doc_id", "key", F.coalesce("component", "node").alias("component"))
 
