@@ -65,7 +65,7 @@ def quarterly_panel(facts: DataFrame, units: list[str]) -> DataFrame:
 def anchor_facts(facts: DataFrame, fields: list[str] = ANCHOR_FIELDS) -> DataFrame:
     """(ticker, anchor_field, anchor_end, anchor_accn): the newest fact of the first field that the company reports."""
     place = F.array_position(F.array(*[F.lit(f) for f in fields]), F.col("field"))
-    best = F.max_by(F.struct("field", "end", "accn"), F.struct(-place, "end", "filed", -F.col("rank")))
+    best = F.max_by(F.struct("field", "end", "accn"), F.struct(-place, "end", "filed", -F.col("rank"), "accn"))
     found = facts.filter(F.col("field").isin(fields) & F.col("value").isNotNull()).groupBy("ticker").agg(best.alias("a"))
     return found.select("ticker", F.col("a.field").alias("anchor_field"), F.col("a.end").alias("anchor_end"), F.col("a.accn").alias("anchor_accn"))
 
@@ -74,11 +74,12 @@ def select_facts(facts: DataFrame, anchors: DataFrame) -> DataFrame:
     """One fact per ticker and field: same filing as the anchor, then same end, then nearest end, then newest.
 
     Both sides are keyed by ticker, so the join and the aggregation need one shuffle of the facts. Without an anchor the
-    newest fact is taken.
+    newest fact is taken. Facts that are equal in all this and in rank go by accession and value, the greatest first, so
+    that the choice does not depend on where rows lie.
     """
     no = F.lit(False)
     near = F.coalesce(-F.abs(F.datediff("end", "anchor_end")).cast("double"), F.lit(-1e9))
-    order = F.struct(F.coalesce(F.col("accn") == F.col("anchor_accn"), no), F.coalesce(F.col("end") == F.col("anchor_end"), no), near, "end", "filed", -F.col("rank"))
+    order = F.struct(F.coalesce(F.col("accn") == F.col("anchor_accn"), no), F.coalesce(F.col("end") == F.col("anchor_end"), no), near, "end", "filed", -F.col("rank"), "accn", "value")
     chosen = F.max_by(F.struct("value", "end", "filed", "accn"), order)
     return facts.filter("value is not null").join(anchors, "ticker", "left").groupBy("ticker", "field").agg(chosen.alias("f")).select("ticker", "field", "f.*")
 

@@ -116,6 +116,15 @@ def test_facts_of_whole_periods_in_one_unit(spark):
     assert of(facts.preferred_unit(df, ["JPY", "EUR", "USD"])) == [1, 4, 5] and of(facts.preferred_unit(df, ["JPY"])) == list(range(7))
 
 
+def test_tied_facts_do_not_depend_on_the_order_of_rows(spark):
+    day, filed = dt.date(2020, 12, 31), dt.date(2021, 2, 14)
+    tied = [(1, "revenue", 5.0, day, filed, "1-4", 4), (1, "capex", -9.0, day, filed, "1-6", 6), (1, "capex", -3.0, day, filed, "1-6", 6), (2, "revenue", 7.0, day, filed, "2-b", 4), (2, "revenue", 8.0, day, filed, "2-a", 4)]
+    for rows in (tied, tied[::-1]):
+        f = spark.createDataFrame(rows, "ticker long, field string, value double, end date, filed date, accn string, rank int").coalesce(1)
+        got = {(r.ticker, r.field): (r.value, r.accn) for r in facts.select_facts(f, facts.anchor_facts(f)).collect()}
+        assert got == {(1, "revenue"): (5.0, "1-4"), (1, "capex"): (-3.0, "1-6"), (2, "revenue"): (7.0, "2-b")}
+
+
 def test_small_buckets_and_column_checks(spark):
     df = spark.createDataFrame([("a", "x", 3.0), ("a", "y", None), ("b", "p", 1.0), ("b", "q", 2.0), ("b", "r", 3.0), ("b", "s", None)], "g string, ticker string, score double")
     got = {r["ticker"]: r["b"] for r in df.select("ticker", xsec.bucket_small("score", "ticker", ["g"]).alias("b")).collect()}
