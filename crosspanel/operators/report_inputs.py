@@ -8,175 +8,39 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from crosspanel.functions.coerce import bound, computed, fill_years, latest_ratio, merge_years, parse_amount
-from crosspanel.operators.reports import GROWTH, MODES, NOL_USE, TAX, YEARS, flag_list
-
-HISTORY = ["revenue", "ebit", "da", "capex", "nwc"]
-DRIVERS = ["revenue_growth", "ebit_margin", "da_pct_sales", "capex_pct_sales", "nwc_pct_sales"]
-#: Figures of a report, and whether they are ratios.
-FIGURES = {
-    "tax_rate": True, "wacc": True, "terminal_growth": True, "terminal_exit_ebitda_multiple": False, "cash": False, "debt": False, "net_debt_override": False, "investments": False,
-    "minority_interest": False, "preferred_equity": False, "diluted_shares": False, "current_price": False, "target_ebit_margin": True, "nol_balance": False, "nol_utilization_pct": True,
-}
-#: What a base report without the figure is taken to say; other figures stay null.
-DEFAULTS = {"tax_rate": TAX, "terminal_growth": GROWTH, "nol_utilization_pct": NOL_USE, **dict.fromkeys(["wacc", "cash", "debt", "investments", "minority_interest", "preferred_equity", "diluted_shares", "nol_balance"], 0.0)}
-METHODS = ["average", "exit_multiple", "gordon_growth"]
-# Texts that stand for a missing figure.
-MISSING = ["", "na", "n/a", "none", "null", "-"]
-_OBJECT = "map<string,string>"
-
-
-def _absent(text: Column) -> Column:
-    return text.isNull() | F.lower(F.trim(text)).isin(MISSING)
-
-
-def _child(parent: Column, key: str) -> Column:
-    return F.try_element_at(parent, F.lit(key))
-
-
-def year_series(text: Column, path: Column, ratio: bool) -> Column:
-    """JSON object of years -> struct of values (map of the years that have one), years (all of them) and errors."""
-    none = F.array().cast("array<string>")
-    entry = lambda e: F.struct(F.trim(e["key"]).try_cast("int").alias("year"), parse_amount(e["value"], ratio).alias("value"), _absent(e["value"]).alias("absent"), e["key"].alias("key"))
-    in_range = lambda e: F.coalesce(e["year"].between(1900, 2500), F.lit(False))
-    named = lambda tag: lambda e: F.concat(F.lit(f"{tag}:"), path, F.lit("."), e["key"])
-
-    def once(known: Column) -> Column:
-        """A map of the years, of a year that is written twice the first."""
-        first = F.filter(known, lambda e, i: ~F.exists(F.slice(known, 1, i), lambda b: b["year"] == e["year"]))
-        return F.map_from_entries(F.transform(first, lambda e: F.struct(e["year"], e["value"])))
-
-    def read(entries: Column) -> Column:
-        values = bound(F.filter(entries, lambda e: in_range(e) & e["value"].isNotNull()), once)
-        wrong = F.concat(F.transform(F.filter(entries, lambda e: ~in_range(e)), named("bad_year")), F.transform(F.filter(entries, lambda e: in_range(e) & e["value"].isNull() & ~e["absent"]), named("bad_number")))
-        return F.struct(values.alias("values"), F.transform(F.filter(entries, in_range), lambda e: e["year"]).alias("years"), wrong.alias("errors"))
-
-    def parsed(loose: Column) -> Column:
-        entries = F.transform(F.coalesce(F.map_entries(loose), F.array().cast("array<struct<key:string,value:string>>")), entry)
-        shape = F.when(text.isNotNull() & loose.isNull(), F.array(F.concat(F.lit("not_an_object:"), path))).otherwise(none)
-        return bound(bound(entries, read), lambda r: F.struct(r["values"].alias("values"), r["years"].alias("years"), F.concat(shape, r["errors"]).alias("errors")))
-
-    return bound(F.from_json(text, _OBJECT), parsed)
-
-
-def _named(items: Column, names: list[str]) -> Column:
-    """An array as a struct with those names."""
-    return bound(items, lambda a: F.struct(*[F.get(a, F.lit(i)).alias(n) for i, n in enumerate(names)]))
-
-
-def _texts(data: Column, names: list[str], path: str) -> Column:
-    return F.array(*[F.struct(F.lit(f"{path}.{n}").alias("path"), _child(data, n).alias("text")) for n in names])
-
-
-def _series(data: Column, names: list[str], path: str, ratio: bool) -> Column:
-    """Struct of a year_series for each name; one expression serves all of them."""
-    return _named(F.transform(_texts(data, names, path), lambda s: year_series(s["text"], s["path"], ratio)), names)
-
-
-def figures(data: Column, path: str) -> Column:
-    """Struct of values (a struct of all figures and the terminal method, null where the report has none) and errors."""
-
-    def amount(ratio: bool):
-        def read(s: Column) -> Column:
-            return bound(parse_amount(s["text"], ratio), lambda v: F.struct(v.alias("value"), F.when(v.isNull() & ~_absent(s["text"]), F.concat(F.lit("bad_number:"), s["path"])).alias("error")))
-
-        return read
-
-    ratios, plain = [f for f, r in FIGURES.items() if r], [f for f, r in FIGURES.items() if not r]
-    read = F.struct(F.transform(_texts(data, ratios, path), amount(True)).alias("r"), F.transform(_texts(data, plain, path), amount(False)).alias("p"))
-    method = F.lower(F.trim(_child(data, "terminal_method")))
-    place = {f: (side, i) for side, fs in (("r", ratios), ("p", plain)) for i, f in enumerate(fs)}
-
-    def told(a: Column) -> Column:
-        values = F.struct(*[F.get(a[place[f][0]], F.lit(place[f][1]))["value"].alias(f) for f in FIGURES], F.when(method.isin(METHODS), method).alias("terminal_method"))
-        wrong = F.concat(F.transform(a["r"], lambda x: x["error"]), F.transform(a["p"], lambda x: x["error"]), F.array(F.when(~_absent(method) & ~method.isin(METHODS), F.lit(f"bad_terminal_method:{path}"))))
-        return F.struct(values.alias("values"), F.array_compact(wrong).alias("errors"))
-
-    return bound(read, told)
-
-
-def _not_object(text: Column, parsed: Column, path: str) -> Column:
-    return F.when(text.isNotNull() & parsed.isNull(), F.lit(f"not_an_object:{path}"))
-
-
-def read_inputs(raw: DataFrame, payload: str = "payload") -> DataFrame:
-    """raw with historical, forecast, base, bull and bear read from its JSON text, and reasons (empty: usable).
-
-    Parsing goes down level by level, each level its own column, so that no text is parsed for each field.
-    """
-    names = {"historical": "_h", "forecast": "_f", "assumptions": "_a", "scenarios": "_s"}
-    top = computed(raw, {"_top": F.from_json(payload, _OBJECT)})
-    two = computed(top, {c: F.from_json(_child(F.col("_top"), n), _OBJECT) for n, c in names.items()})
-    two = computed(two, {f"_{m}": F.from_json(_child(F.col("_s"), m), _OBJECT) for m in ("bull", "bear")})
-    two = computed(two, {f"_{m}_{n[0]}": F.from_json(_child(F.col(f"_{m}"), n), _OBJECT) for m in ("bull", "bear") for n in ("forecast", "assumptions")})
-    declared = _child(F.col("_top"), "forecast_years")
-    sides = {m: F.struct(_series(F.col(f"_{m}_f"), DRIVERS, f"scenarios.{m}.forecast", True).alias("forecast"), figures(F.col(f"_{m}_a"), f"scenarios.{m}.assumptions").alias("figures")) for m in ("bull", "bear")}
-    read = computed(two, {"historical": _series(F.col("_h"), HISTORY, "historical", False), "forecast": _series(F.col("_f"), DRIVERS, "forecast", True), "base": figures(F.col("_a"), "assumptions"), **sides, "_declared": parse_amount(declared)})
-    h = lambda n: F.col(f"historical.{n}.values")
-    checks = [
-        F.when(F.col("_top").isNull(), F.lit("not_an_object")),
-        *[_not_object(_child(F.col("_top"), n), F.col(c), n) for n, c in names.items()],
-        *[_not_object(_child(F.col("_s"), m), F.col(f"_{m}"), f"scenarios.{m}") for m in ("bull", "bear")],
-        *[_not_object(_child(F.col(f"_{m}"), n), F.col(f"_{m}_{n[0]}"), f"scenarios.{m}.{n}") for m in ("bull", "bear") for n in ("forecast", "assumptions")],
-        F.when(F.col("_declared").isNull() & ~_absent(declared), F.lit("bad_number:forecast_years")),
-        F.when(F.size(h("revenue")) == 0, F.lit("missing_historical_revenue")),
-        F.when(F.size(h("ebit")) == 0, F.lit("missing_historical_ebit")),
-        F.when((F.size(h("revenue")) > 0) & (F.size(h("ebit")) > 0) & ~F.arrays_overlap(F.map_keys(h("revenue")), F.map_keys(h("ebit"))), F.lit("no_common_year")),
-        F.when(~(F.coalesce("base.values.wacc", F.lit(0.0)) > 0), F.lit("missing_wacc")),
-        F.when(~(F.coalesce("base.values.diluted_shares", F.lit(0.0)) > 0), F.lit("missing_diluted_shares")),
-    ]
-    inside = [F.col(f"historical.{n}.errors") for n in HISTORY] + [F.col(f"forecast.{n}.errors") for n in DRIVERS] + [F.col("base.errors")]
-    inside += [c for m in ("bull", "bear") for c in (*[F.col(f"{m}.forecast.{n}.errors") for n in DRIVERS], F.col(f"{m}.figures.errors"))]
-    reasons = F.concat(F.array_compact(F.array(*checks)), *inside)
-    text = {n: F.nullif(F.trim(_child(F.col("_top"), n)), F.lit("")) for n in ("company_name", "ticker", "currency") if n not in raw.columns}
-    return computed(read, {**text, "reasons": reasons}).select(*raw.columns, *text, "historical", "forecast", "base", "bull", "bear", "_declared", "reasons")
+from crosspanel.operators.report_json import COLUMNS, DRIVERS, FIGURES, reader
+from crosspanel.operators.reports import MODES
 
 
 def normalized(raw: DataFrame, payload: str = "payload") -> DataFrame:
-    """read_inputs with years, forecast (a map without gaps for each driver), base (figures with defaults) and flags.
+    """raw with historical, years, forecast (a map without gaps for each driver), base (figures with defaults), bull and bear (years,
+    forecast and base of these scenarios), flags and reasons (empty: usable), read from its JSON text.
 
     Years are all those that the forecast names, without any the declared number (five) after the last common year of
     revenue and profit. Gaps take the year before's value; before the first stand zero growth, the target or latest
-    margin, and the latest ratios to revenue. A zero that is given stays zero. Rows with reasons have null in these.
+    margin, and the latest ratios to revenue. A zero that is given stays zero. Rows with reasons have null in all of these but historical.
+    An override's year counts where it has a value; years of its own are added, with the other drivers carried on. Maps are in the order of years.
     """
-    rows = read_inputs(raw, payload)
-    c, h = F.col, lambda n: F.col(f"historical.{n}.values")
-    usable = F.size("reasons") == 0
-    named = F.array_sort(F.array_distinct(F.flatten(F.array(*[c(f"forecast.{d}.years") for d in DRIVERS]))))
-    last = F.array_max(F.array_intersect(F.map_keys(h("revenue")), F.map_keys(h("ebit"))))
-    count = F.coalesce(F.nullif(F.rint("_declared").cast("int"), F.lit(0)), F.lit(YEARS))
-    rows = computed(rows, {"years": F.when(usable, F.when(F.size(named) > 0, named).otherwise(F.sequence(last + 1, last + F.greatest(count, F.lit(1)))))})
-    ratio = lambda n: F.coalesce(latest_ratio(h(n), h("revenue")), F.lit(0.0))
-    margin = F.when((F.size(c("forecast.ebit_margin.values")) == 0) & c("base.values.target_ebit_margin").isNotNull(), c("base.values.target_ebit_margin")).otherwise(ratio("ebit"))
-    default = {"revenue_growth": F.lit(0.0), "ebit_margin": margin, "da_pct_sales": ratio("da"), "capex_pct_sales": ratio("capex"), "nwc_pct_sales": ratio("nwc")}
-    filled = F.struct(*[fill_years(c(f"forecast.{d}.values"), c("years"), default[d]).alias(d) for d in DRIVERS])
-    full = F.struct(*[(F.coalesce(c(f"base.values.{f}"), F.lit(DEFAULTS[f])) if f in DEFAULTS else c(f"base.values.{f}")).alias(f) for f in FIGURES], F.coalesce("base.values.terminal_method", F.lit("average")).alias("terminal_method"))
-    flags = flag_list({"default_tax_rate": c("base.values.tax_rate").isNull(), "default_terminal_growth": c("base.values.terminal_growth").isNull()})
-    return computed(rows, {"flags": F.when(usable, flags), "forecast": F.when(usable, filled), "base": F.when(usable, full)}).drop("_declared")
+    rows = raw.mapInArrow(reader(payload), StructType([*raw.schema.fields, *StructType.fromDDL(", ".join(f"{n} {t}" for n, t in COLUMNS.items())).fields]))
+    top = F.from_json(payload, "map<string,string>")
+    text = [F.nullif(F.trim(F.try_element_at(top, F.lit(n))), F.lit("")).alias(n) for n in ("company_name", "ticker", "currency") if n not in raw.columns]
+    return rows.select(*raw.columns, *text, *COLUMNS)
 
 
 def split(normal: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The usable reports, and the others with their reasons alone."""
-    own = [c for c in normal.columns if c not in ("historical", "forecast", "base", "bull", "bear", "years", "flags", "reasons")]
+    own = [c for c in normal.columns if c not in COLUMNS]
     return normal.filter(F.size("reasons") == 0).drop("reasons"), normal.filter(F.size("reasons") > 0).select(*own, "reasons")
 
 
 def scenarios(usable: DataFrame) -> DataFrame:
-    """Three rows a report: scenario, years, forecast and base, those of bull and bear merged over the report's.
-
-    An override's year counts where it has a value; years of its own are added, with the other drivers carried on.
-    """
-    c = F.col
+    """Three rows a report: scenario, years, forecast and base, those of bull and bear merged over the report's."""
 
     def one(mode: str) -> Column:
-        if mode == "base":
-            return F.struct(F.lit(mode).alias("scenario"), c("years"), c("forecast"), c("base"))
-        own = [c(f"{mode}.forecast.{d}.values") for d in DRIVERS]
-        years = F.array_sort(F.array_union(c("years"), F.flatten(F.array(*[F.map_keys(o) for o in own]))))
-        forecast = F.struct(*[merge_years(c(f"forecast.{d}"), o, years).alias(d) for d, o in zip(DRIVERS, own, strict=True)])
-        base = F.struct(*[F.coalesce(c(f"{mode}.figures.values.{f}"), c(f"base.{f}")).alias(f) for f in (*FIGURES, "terminal_method")])
-        return F.struct(F.lit(mode).alias("scenario"), years.alias("years"), forecast.alias("forecast"), base.alias("base"))
+        of = "" if mode == "base" else f"{mode}."
+        return F.struct(F.lit(mode).alias("scenario"), *[F.col(f"{of}{n}").alias(n) for n in ("years", "forecast", "base")])
 
     kept = [n for n in usable.columns if n not in ("years", "forecast", "base", "bull", "bear")]
     return usable.select(*kept, F.explode(F.array(*[one(m) for m in MODES])).alias("_s")).select(*kept, "_s.*")

@@ -74,6 +74,6 @@ def normalized_reports(spark, sf):
 def scenario_forecasts(spark, sf):
     """A row for each scenario and year, gaps filled and overrides merged."""
     good, _ = O.split(_rows(spark, sf))
-    s = O.scenarios(good).select("report_id", "scenario", "forecast", F.col("base.wacc").alias("wacc"), F.explode("years").alias("year"))
-    at = lambda d: settle(F.try_element_at(F.col(f"forecast.{d}"), F.col("year")))
-    return s.select("report_id", "scenario", "year", at("revenue_growth").alias("growth"), at("ebit_margin").alias("margin"), at("capex_pct_sales").alias("capex"), settle(F.col("wacc")).alias("wacc"))
+    of = [F.map_values(f"forecast.{d}").alias(n) for d, n in (("revenue_growth", "growth"), ("ebit_margin", "margin"), ("capex_pct_sales", "capex"))]  # in the order of years
+    s = O.scenarios(good).select("report_id", "scenario", F.col("base.wacc").alias("wacc"), F.explode(F.arrays_zip(F.col("years").alias("year"), *of)).alias("y"))
+    return s.select("report_id", "scenario", "y.year", *[settle(F.col(f"y.{n}")).alias(n) for n in ("growth", "margin", "capex")], settle(F.col("wacc")).alias("wacc"))

@@ -85,3 +85,33 @@ def test_amounts(spark):
     texts = {"0.5%": 0.005, "15%": 0.15, "0.08": 0.08, "1.5": 0.015, "150%": 1.5, "(2%)": -0.02, "$1,2x": 0.12, "-": None, "abc": None}
     got = {r.t: r.v for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", parse_amount(F.col("t"), ratio=True).alias("v")).collect()}
     assert got == {t: v if v is None else pytest.approx(v) for t, v in texts.items()}
+
+
+def test_texts_are_read_once_in_batches(spark):
+    """Not expression by expression, each level of a text anew."""
+    df = O.normalized(spark.createDataFrame([("plain", json.dumps(PLAIN))], "report_id string, payload string"))
+    for used in (O.split(df)[0].select("report_id", "base.wacc", "flags"), O.split(df)[1].select("report_id", "reasons"), O.scenarios(O.split(df)[0]).select("report_id", "scenario", "forecast")):
+        plan = used._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "from_json" not in plan and "lambda" not in plan
+
+
+def test_amounts_of_batches_are_those_of_columns(spark):
+    from crosspanel.operators import report_json
+
+    texts = ["5%", "0.08", "1.5", "(2%)", "$1,2x", "n/a ", "--", "nan", "$nan", "-inf", "1e3", "2f", "0x1p3", "%)", "(5% )", "5%)\n", "5x%", "()", "(3", "", ".5", "5.", "1e400", "1 2", "\t7", "1e", "٣", "infx", "0.1234567890123456789", True, [5]]
+    rows = [(i, t if isinstance(t, str) else json.dumps(t)) for i, t in enumerate(texts)]
+    got = spark.createDataFrame(rows, "i int, t string").select("i", parse_amount(F.col("t"), True).alias("r"), parse_amount(F.col("t")).alias("p")).orderBy("i").collect()
+    for t, g in zip(texts, got, strict=True):
+        assert [repr(report_json.amount(t, ratio) or None) for ratio in (True, False)] == [repr(g.r or None), repr(g.p or None)], t
+
+
+def test_loose_json_is_read_as_before(spark):
+    """Keys written twice (the first counts), single quotes, JSON within texts, what follows the object, lists for objects."""
+    plain = json.dumps(PLAIN)
+    texts = {
+        "twice": plain.replace('"2026": 0.1', '"2026": 0.1, "2026": 0.7, "2027": "x", "2027": 0.2').replace('"wacc": 0.09', '"wacc": "8%", "wacc": "x"'), "single": plain.replace('"', "'"), "more": f" {plain} x",
+        "within": json.dumps(PLAIN | {"assumptions": json.dumps(PLAIN["assumptions"])}), "cut": plain[:-3], "list": json.dumps(PLAIN | {"forecast": [1]}), "plus": plain.replace("0.09", "+INF")}
+    got = {r.report_id: r for r in O.normalized(spark.createDataFrame(list(texts.items()), "report_id string, payload string")).collect()}
+    assert got["twice"].reasons == ["bad_number:forecast.revenue_growth.2027"]
+    assert [got[k].base.wacc for k in ("single", "more", "within", "plus")] == [0.09, 0.09, 0.09, float("inf")] and got["within"].forecast.revenue_growth == {2026: 0.1}
+    assert got["cut"].reasons[0] == "not_an_object" and got["list"].reasons == ["not_an_object:forecast"]
