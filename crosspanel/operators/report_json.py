@@ -30,6 +30,8 @@ NO_NUMBER = {"nan", "--"}
 
 _PLACE = {f: i for i, f in enumerate(sorted(FIGURES, key=lambda f: not FIGURES[f]))}  # reasons tell ratios first
 _NONE: dict = {}
+_SIDES = [("bull", "scenarios.bull."), ("bear", "scenarios.bear.")]
+_BEFORE_COLON = ['" ', '"\t', '"\n', '"\r']
 _SPACE = " \t\n\x0b\f\r"
 _DROPPED = str.maketrans("", "", f",_${_SPACE}€£¥()%")
 _CONTROL = "".join(map(chr, range(33)))
@@ -57,7 +59,8 @@ def _object(pairs: list) -> dict:
     return d if len(d) == len(pairs) else _Twice(pairs)
 
 
-_decode = json.JSONDecoder(object_pairs_hook=_object, parse_float=str, parse_int=str, parse_constant=str).raw_decode
+_TEXTS = {"parse_float": str, "parse_int": str, "parse_constant": str}
+_plain, _decode = json.JSONDecoder(**_TEXTS).raw_decode, json.JSONDecoder(object_pairs_hook=_object, **_TEXTS).raw_decode
 
 
 def _double_quoted(m: re.Match) -> str:
@@ -126,32 +129,35 @@ def year(key: str) -> int | None:
     return int(m[1]) if m and 1900 <= int(m[1]) <= 2500 else None
 
 
-def _child(parent: dict, name: str, path: str, wrong: list[str]) -> dict:
-    """The object called name, which may be JSON in a text; empty without one."""
+def _child(parent: dict, name: str, path: str, wrong: list[str], sizes: list[int]) -> dict:
+    """The object called name, which may be JSON in a text; empty without one. sizes takes its number of keys."""
     x = parent.get(name)
     if x is None:
         return _NONE
     if x.__class__ is str:
         x = loads(x)
     if isinstance(x, dict):
+        sizes.append(len(x))
         return x
-    wrong.append(f"not_an_object:{path}")
+    wrong.append(f"not_an_object:{path}{name}")
     return _NONE
 
 
-def series(parent: dict, names: list[str], path: str, ratio: bool, wrong: list[str], named: set | None = None) -> list[dict]:
+def series(parent: dict, names: list[str], path: str, ratio: bool, wrong: list[str], sizes: list[int], named: set | None = None) -> list[dict]:
     """Values by year of each of names, of a year that is written twice the first; named takes all years."""
+    if not parent:
+        return [_NONE] * len(names)
     out = []
     for name in names:
-        if name not in parent:
+        data = _child(parent, name, path, wrong, sizes)
+        if not data:
             out.append(_NONE)
             continue
-        data = _child(parent, name, f"{path}.{name}", wrong)
         values, bad = {}, []
         for key, text in data.pairs if data.__class__ is _Twice else data.items():
             y = year(key)
             if y is None:
-                wrong.append(f"bad_year:{path}.{name}.{key}")
+                wrong.append(f"bad_year:{path}{name}.{key}")
                 continue
             if named is not None:
                 named.add(y)
@@ -159,7 +165,7 @@ def series(parent: dict, names: list[str], path: str, ratio: bool, wrong: list[s
             if v.__class__ is float:
                 values.setdefault(y, v)
             elif v is False:
-                bad.append(f"bad_number:{path}.{name}.{key}")
+                bad.append(f"bad_number:{path}{name}.{key}")
         wrong += bad
         out.append(values)
     return out
@@ -168,8 +174,11 @@ def series(parent: dict, names: list[str], path: str, ratio: bool, wrong: list[s
 def figures(data: dict, path: str, wrong: list[str]) -> dict:
     """The figures and the terminal method that the object has."""
     values, bad = {}, []
-    for name in data.keys() & FIGURES.keys():
-        v = amount(data[name], FIGURES[name])
+    for name, text in data.items():
+        ratio = FIGURES.get(name)
+        if ratio is None:
+            continue
+        v = amount(text, ratio)
         if v.__class__ is float:
             values[name] = v
         elif v is False:
@@ -223,23 +232,35 @@ def _merged(own: list[dict], years: list[int], forecast: list[list[float]]) -> t
 
 def read(payload: str | None) -> tuple:
     """(historical, reasons, None, None) or, without reasons, (historical, [], figures of base, bull and bear, years and forecast of each)."""
+    try:
+        top = _plain(payload)[0]
+    except (TypeError, ValueError, RecursionError):
+        return _read(loads(payload), [])
+    sizes: list[int] = []
+    found = _read(top, sizes)
+    # No key is written twice where all keys of the text are in the objects that were read; others are decoded with that in view.
+    if isinstance(top, dict) and payload.count('":') == len(top) + sum(sizes) and not any(x in payload for x in _BEFORE_COLON):
+        return found
+    return _read(loads(payload), [])
+
+
+def _read(top, sizes: list[int]) -> tuple:
     wrong: list[str] = []
-    top = loads(payload)
     if not isinstance(top, dict):
         wrong.append("not_an_object")
         top = _NONE
-    h, f, a, s = (_child(top, n, n, wrong) for n in ("historical", "forecast", "assumptions", "scenarios"))
-    sides = [(f"scenarios.{m}", _child(s, m, f"scenarios.{m}", wrong)) for m in ("bull", "bear")]
-    parts = [(path, *[_child(side, n, f"{path}.{n}", wrong) for n in ("forecast", "assumptions")]) for path, side in sides]
+    h, f, a, s = [_child(top, n, "", wrong, sizes) for n in ("historical", "forecast", "assumptions", "scenarios")]
+    sides = [(path, _child(s, m, "scenarios.", wrong, sizes)) for m, path in _SIDES]
+    parts = [(path, _child(side, "forecast", path, wrong, sizes), _child(side, "assumptions", path, wrong, sizes)) for path, side in sides]
     declared = amount(top.get("forecast_years"), False)
     if declared is False:
         wrong.append("bad_number:forecast_years")
     inside: list[str] = []
     named: set[int] = set()
-    past = series(h, HISTORY, "historical", False, inside)
-    given = series(f, DRIVERS, "forecast", True, inside, named)
+    past = series(h, HISTORY, "historical.", False, inside, sizes)
+    given = series(f, DRIVERS, "forecast.", True, inside, sizes, named)
     found = figures(a, "assumptions", inside)
-    own = [(series(forecast, DRIVERS, f"{path}.forecast", True, inside), figures(assumptions, f"{path}.assumptions", inside)) for path, forecast, assumptions in parts]
+    own = [(series(forecast, DRIVERS, path + "forecast.", True, inside, sizes), figures(assumptions, path + "assumptions", inside)) for path, forecast, assumptions in parts]
     revenue, ebit, *others = past
     common = revenue.keys() & ebit.keys()
     if not revenue:
@@ -280,11 +301,14 @@ class _Maps:
     def __init__(self, columns: int):
         self.ends, self.keys, self.values = [0], [], [[] for _ in range(columns)]
 
-    def add(self, keys: Iterable[int], values: Iterable[Iterable[float]]) -> None:
-        self.keys.extend(keys)
+    def add(self, keys: Iterable[int], values: list[Iterable[float]]) -> None:
+        self.keys += keys
         self.ends.append(len(self.keys))
         for column, more in zip(self.values, values, strict=True):
-            column.extend(more)
+            column += more
+
+    def skip(self) -> None:
+        self.ends.append(len(self.keys))
 
     def arrays(self, missing: pa.Array | None = None) -> tuple[pa.Array, list[pa.Array]]:
         """The keys as lists, and a map for each column."""
@@ -306,16 +330,15 @@ def read_batch(payloads: list[str | None]) -> list[pa.Array]:
     past, scenarios = [_Maps(1) for _ in HISTORY], [_Maps(len(DRIVERS)) for _ in range(3)]
     base = {f: [DEFAULTS.get(f)] * n for f in FIGURES} | {"terminal_method": ["average"] * n}
     changed: list[list[tuple]] = [[], []]
-    missing, flags, reasons = [False] * n, [None] * n, []
+    missing, flags, reasons = [False] * n, [None] * n, [[]] * n
     for i, payload in enumerate(payloads):
         history, wrong, found, forecasts = read(payload)
         for m, d in zip(past, history, strict=True):
-            m.add(d, (d.values(),))
-        reasons.append([w.encode("utf-8", "replace").decode() for w in wrong])
+            m.add(d, [d.values()]) if d else m.skip()
         if wrong:
-            missing[i] = True
+            missing[i], reasons[i] = True, [w.encode("utf-8", "replace").decode() for w in wrong]
             for m in scenarios:
-                m.ends.append(m.ends[-1])
+                m.skip()
             continue
         for m, (years, forecast) in zip(scenarios, forecasts, strict=True):
             m.add(years, forecast)

@@ -18,9 +18,9 @@ def payloads(spark, sf) -> DataFrame:
     i = F.row_number().over(V.Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_discount", "l_tax"))
     line = l.withColumn("i", i).withColumn("y", (F.col("i") + 2025).cast("string"))
     percent = lambda x: F.concat(F.round(x * 100).cast("int").cast("string"), F.lit("%"))
-    entries = line.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("l_quantity") <= 40, F.struct("y", percent(F.col("l_discount"))))))).alias("growth"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("y", percent(F.col("l_tax")))))).alias("margin"), F.count("*").alias("n"))
+    line = line.select(F.col("l_orderkey").alias("o_orderkey"), F.when(F.col("l_quantity") <= 40, F.struct("y", percent(F.col("l_discount")))).alias("growth"), F.struct("y", percent(F.col("l_tax"))).alias("margin"))
+    by_year = lambda e: F.map_from_entries(F.array_sort(F.collect_list(e))).alias(e)
+    entries = line.groupBy("o_orderkey").agg(by_year("growth"), by_year("margin"), F.count("*").alias("n"))
     text = lambda *pairs: F.map_from_arrays(F.array(*[F.lit(p[0]) if isinstance(p[0], str) else p[0] for p in pairs]), F.array(*[p[1].cast("string") for p in pairs]))
     some = lambda ok, value: F.when(ok, value)
     total = F.col("o_totalprice")
