@@ -29,6 +29,8 @@ MISSING = {"", "na", "n/a", "none", "null", "-"}
 NO_NUMBER = {"nan", "--"}
 
 _PLACE = {f: i for i, f in enumerate(sorted(FIGURES, key=lambda f: not FIGURES[f]))}  # reasons tell ratios first
+#: Texts of this length at most recur, so that their values are kept.
+_SHORT = 6
 _NONE: dict = {}
 _SIDES = [("bull", "scenarios.bull."), ("bear", "scenarios.bear.")]
 _BEFORE_COLON = ['" ', '"\t', '"\n', '"\r']
@@ -102,7 +104,7 @@ def amount(text, ratio: bool) -> float | bool | None:
     """functions.coerce.parse_amount of a leaf; None for a missing figure, False for what is no number."""
     if text.__class__ is not str:
         return None if text is None else False
-    if _PLAIN(text):
+    if len(text) > _SHORT and _PLAIN(text):
         value = float(text)
         return value / 100 if ratio and not -1 <= value <= 1 else value
     return _written(text, ratio)
@@ -132,6 +134,9 @@ def year(key: str) -> int | None:
 def _child(parent: dict, name: str, path: str, wrong: list[str], sizes: list[int]) -> dict:
     """The object called name, which may be JSON in a text; empty without one. sizes takes its number of keys."""
     x = parent.get(name)
+    if x.__class__ is dict:
+        sizes.append(len(x))
+        return x
     if x is None:
         return _NONE
     if x.__class__ is str:
@@ -145,29 +150,29 @@ def _child(parent: dict, name: str, path: str, wrong: list[str], sizes: list[int
 
 def series(parent: dict, names: list[str], path: str, ratio: bool, wrong: list[str], sizes: list[int], named: set | None = None) -> list[dict]:
     """Values by year of each of names, of a year that is written twice the first; named takes all years."""
-    if not parent:
-        return [_NONE] * len(names)
-    out = []
-    for name in names:
-        data = _child(parent, name, path, wrong, sizes)
-        if not data:
-            out.append(_NONE)
+    out = [_NONE] * len(names)
+    for i, name in enumerate(names) if parent else ():
+        if name not in parent:
             continue
-        values, bad = {}, []
+        data = _child(parent, name, path, wrong, sizes)
+        values, empty, bad = {}, [], []
         for key, text in data.pairs if data.__class__ is _Twice else data.items():
             y = year(key)
             if y is None:
                 wrong.append(f"bad_year:{path}{name}.{key}")
                 continue
-            if named is not None:
-                named.add(y)
             v = amount(text, ratio)
             if v.__class__ is float:
-                values.setdefault(y, v)
-            elif v is False:
+                if y not in values:
+                    values[y] = v
+                continue
+            empty.append(y)
+            if v is False:
                 bad.append(f"bad_number:{path}{name}.{key}")
         wrong += bad
-        out.append(values)
+        if named is not None:
+            named.update(values, empty)
+        out[i] = values
     return out
 
 
@@ -183,7 +188,8 @@ def figures(data: dict, path: str, wrong: list[str]) -> dict:
             values[name] = v
         elif v is False:
             bad.append(name)
-    wrong += [f"bad_number:{path}.{name}" for name in sorted(bad, key=_PLACE.__getitem__)]
+    if bad:
+        wrong += [f"bad_number:{path}.{name}" for name in sorted(bad, key=_PLACE.__getitem__)]
     method = data.get("terminal_method")
     if method is not None:
         method = method.strip(" ").lower() if method.__class__ is str else "?"
@@ -194,12 +200,8 @@ def figures(data: dict, path: str, wrong: list[str]) -> dict:
     return values
 
 
-def _positive(x: float) -> bool:
-    return not x <= 0  # as Spark, which has NaN above all numbers
-
-
 def _latest_ratio(part: dict, whole: dict) -> float:
-    common = part.keys() & whole.keys()
+    common = part.keys() & whole.keys() if part else ()
     if not common:
         return 0.0
     at = max(common)
@@ -269,7 +271,11 @@ def _read(top, sizes: list[int]) -> tuple:
         wrong.append("missing_historical_ebit")
     if revenue and ebit and not common:
         wrong.append("no_common_year")
-    wrong += [f"missing_{n}" for n in ("wacc", "diluted_shares") if not _positive(found.get(n, 0.0))]
+    # NaN is above all numbers in Spark.
+    if found.get("wacc", 0.0) <= 0:
+        wrong.append("missing_wacc")
+    if found.get("diluted_shares", 0.0) <= 0:
+        wrong.append("missing_diluted_shares")
     wrong += inside
     if wrong:
         return past, wrong, None, None
