@@ -29,8 +29,8 @@ MISSING = {"", "na", "n/a", "none", "null", "-"}
 NO_NUMBER = {"nan", "--"}
 
 _PLACE = {f: i for i, f in enumerate(sorted(FIGURES, key=lambda f: not FIGURES[f]))}  # reasons tell ratios first
-#: Texts of this length at most recur, so that their values are kept.
-_SHORT = 6
+#: Texts of the first length at most recur, so that their values are looked up first; those of the second or more are not kept.
+_SHORT, _LONG = 6, 64
 _NONE: dict = {}
 _SIDES = [("bull", "scenarios.bull."), ("bear", "scenarios.bear.")]
 _BEFORE_COLON = ['" ', '"\t', '"\n', '"\r']
@@ -107,7 +107,7 @@ def amount(text, ratio: bool) -> float | bool | None:
     if len(text) > _SHORT and _PLAIN(text):
         value = float(text)
         return value / 100 if ratio and not -1 <= value <= 1 else value
-    return _written(text, ratio)
+    return _written(text, ratio) if len(text) < _LONG else _written.__wrapped__(text, ratio)
 
 
 @lru_cache(1 << 16)
@@ -124,7 +124,7 @@ def _written(text: str, ratio: bool) -> float | bool | None:
     return value / 100 if percent else value
 
 
-@lru_cache(1 << 16)
+@lru_cache(1 << 12)
 def year(key: str) -> int | None:
     """A year of 1900 to 2500."""
     m = _YEAR.fullmatch(key.strip(_CONTROL + "\x7f"))
@@ -283,8 +283,8 @@ def _read(top, sizes: list[int]) -> tuple:
         years = sorted(named)
     else:
         last, n = max(common), round(declared or 0.0) or YEARS
-        if n > 9999:
-            raise ValueError(f"forecast_years: {n}")
+        if abs(n) >= 1 << 31:
+            raise OverflowError(f"forecast_years: {n}")  # as the cast to int
         years = list(range(last + 1, last + max(n, 1) + 1))
     margin = found["target_ebit_margin"] if not given[1] and "target_ebit_margin" in found else _latest_ratio(ebit, revenue)
     starts = [0.0, margin, *[_latest_ratio(x, revenue) for x in others]]

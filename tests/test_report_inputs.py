@@ -115,3 +115,9 @@ def test_loose_json_is_read_as_before(spark):
     assert got["twice"].reasons == ["bad_number:forecast.revenue_growth.2027"]
     assert [got[k].base.wacc for k in ("single", "more", "within", "plus")] == [0.09, 0.09, 0.09, float("inf")] and got["within"].forecast.revenue_growth == {2026: 0.1}
     assert got["cut"].reasons[0] == "not_an_object" and got["list"].reasons == ["not_an_object:forecast"]
+
+
+def test_many_declared_years(spark):
+    long = json.dumps(changed(forecast={}, forecast_years="20,000"))
+    got = O.normalized(spark.createDataFrame([("long", long)], "report_id string, payload string")).select(F.size("years"), F.array_max("years"), F.size("bear.years")).first()
+    assert list(got) == [20000, 22025, 20000]
